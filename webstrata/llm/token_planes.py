@@ -11,16 +11,19 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe_tree import byte_of_char
 from .common import PYTHON_ONLY_SPACE, by_bytes, stored, text_column
 
 # Fixed value: first bytes of a shard.
@@ -30,55 +33,58 @@ BLOCK = 1 << 15
 #: A shard ends with the document that brings it to this many ids.
 SHARD_IDS = 1 << 18
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
-#: Stands between words that are encoded in one call.
-GAP = "<|startoftext|>"
+CACHE_WORDS = 700_000
+# Fixed value: the split pattern of the tokenizer file, for lower-case words.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class WordEncoder:
     """Exact ids of a tokenizer that drops white space, word by word, with a bounded memory of words.
 
     White space always separates this tokenizer's pieces, so a text's ids are the concatenation of
-    its words' ids.  Unknown words go to the tokenizers library in one call, parted by a special
-    token; words that hold special strings go there one by one, and texts with separators that
-    only Python takes for space go there whole.
+    its words' ids.  Words of characters below U+0250 (all in normal form C, with plain lower case)
+    are split into pieces here and each piece goes to the library's model; other words, words that
+    may hold special strings, and texts with separators that only Python takes for space go to the
+    library whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.gap = self.tokenizer.token_to_id(GAP)
+        self.model = self.tokenizer.model
+        self.chars = {b: c for c, b in byte_of_char().items()}
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()
+        return array("H", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def piece(self, text: str) -> bytes:
+        found = self.pieces.get(text)
+        if found is None:
+            if len(self.pieces) >= CACHE_WORDS // 2:
+                self.pieces.clear()
+            shown = text if text.isascii() else "".join(map(self.chars.__getitem__, text.encode()))
+            found = self.pieces[text] = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return found
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known = {w: self.known[w] for w in words if w in self.known}
-        plain = [w for w in new if "<|" not in w]
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([GAP.join(part)], add_special_tokens=False)[0].ids, "<u2")
-            gaps = np.flatnonzero(ids == self.gap)
-            raw, ends = ids.tobytes(), [*gaps.tolist(), len(ids)]
-            if len(ends) != len(part):
-                raise ValueError("a word held the separator")
-            at = 0
-            for w, e in zip(part, ends, strict=True):
-                self.known[w] = raw[2 * at : 2 * e]
-                at = e + 1
         for w in new:
-            if "<|" in w:
+            if (w.isascii() or max(w) < "ɐ") and "<|" not in w:
+                low = w.lower()
+                self.known[w] = self.piece(low) if low.isalpha() else b"".join(map(self.piece, PIECES.findall(low)))
+            else:
                 self.known[w] = self.whole(w)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 16-bit numbers."""
-        for a, b in by_bytes(texts, 1 << 20):
+        for a, b in by_bytes(texts, 1 << 21):
             split = [None if PYTHON_ONLY_SPACE.search(t) else t.split() for t in texts[a:b]]
-            self.learn({w for s in split if s for w in s})
+            self.learn(set().union(*(s for s in split if s)))
             for t, s in zip(texts[a:b], split, strict=True):
                 yield self.whole(t) if s is None else b"".join(map(self.known.__getitem__, s))
 
