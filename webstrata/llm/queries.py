@@ -5,11 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import arc_warc, poisson_mix, token_planes
+from . import arc_warc, bpe_tree, ngram_join, poisson_mix, suffix_dedup, token_planes
 from .common import table
 
 
+def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document that shares a passage of 50 or more words with another: its spans and the documents that hold them first."""
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.array_distinct(F.col("spans.first_doc")).alias("first_docs"), "spans")
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_planes(table(spark, sf_dir, "documents"))
 
@@ -24,6 +39,9 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe_tree": op2_bpe_tree,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op8_token_planes": op8_token_planes,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_arc_to_warc": op10_arc_to_warc,
