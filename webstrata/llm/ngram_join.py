@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_bytes, map_arrow, stored, text_column
@@ -30,6 +30,10 @@ THRESHOLD = 0.8
 RECALL = 0.9998
 #: Most hash functions to spend.
 HASHES = 128
+#: Stands for a null id in join keys.
+NO_ID = -(2**63)
+#: White space as Python's split() takes it, for a Java character class.
+SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Classes of a block.
 BLOCK = 256
 
@@ -208,7 +212,7 @@ def verify_tasks(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK) -> DataFrame:
-    """One row a document: doc_id, text_hash, class_id (smallest doc_id of its class), n_links.
+    """One row a document: doc_id, text_hash, class_key (of its class, null without words), class_id (smallest doc_id of its class), n_links.
 
     A link joins two rows whose n-gram sets have Jaccard similarity >= threshold (rows with equal
     sets included); classes are the connected components; n_links counts the other rows a row is
@@ -255,8 +259,21 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     rooted = classes.select("cid", "copies", "first_id").join(links, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     firsts = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("class_id"))
     by_class = rooted.join(firsts, F.col("root") == F.col("r")).select(
-        F.col("cid").alias("of_cid"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        F.col("cid").alias("of_cid"), "class_id", F.col("r").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     return signed_docs.select("doc_id", "text_hash", "cid").join(by_class, F.col("cid") == F.col("of_cid"), "left").select(
-        "doc_id", "text_hash", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "doc_id", "text_hash", "class_key", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, **options: float) -> DataFrame:
+    """One row of each near-duplicate class, that with the smallest doc_id (nulls last); texts without words all stay.  Columns unchanged."""
+    found = near_duplicates(docs, **options)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = found.where("class_key is not null").groupBy("class_key").agg(F.min(order).alias("k"))
+    first = first.select(F.coalesce("k.doc_id", F.lit(NO_ID)).alias("k_id"), F.col("k.text_hash").alias("k_hash"))
+    marked = docs.withColumn("nd_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("nd_hash", F.xxhash64(text_column()))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(f"[^{SPACES}]")
+    joined = marked.join(first, (F.col("nd_id") == F.col("k_id")) & (F.col("nd_hash") == F.col("k_hash")), "left")
+    nth = F.row_number().over(Window.partitionBy("nd_id", "nd_hash").orderBy("nd_hash"))
+    return joined.withColumn("nd_nth", nth).where(wordless | (F.col("k_id").isNotNull() & (F.col("nd_nth") == 1))).select(*docs.columns)

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, bpe_tree, ngram_join, poisson_mix, suffix_dedup, token_planes
+from . import ann_mih, arc_warc, bpe_tree, flac_media, html_extract, line_crf, ngram_join, poisson_mix, suffix_dedup, token_planes
 from .common import table
 
 
+def op1_ann_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann_mih.usable(table(spark, sf_dir, "embeddings"))
+    return ann_mih.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.bpe_digests(table(spark, sf_dir, "documents"))
 
@@ -25,6 +30,18 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac_media.media_features(flac_media.to_media(table(spark, sf_dir, "documents")))
+
+
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_planes(table(spark, sf_dir, "documents"))
 
@@ -39,9 +56,13 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann_mih": op1_ann_mih,
     "op2_bpe_tree": op2_bpe_tree,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ngram_join": op4_ngram_join,
+    "op5_html_extract": op5_html_extract,
+    "op6_flac_media": op6_flac_media,
+    "op7_line_crf": op7_line_crf,
     "op8_token_planes": op8_token_planes,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_arc_to_warc": op10_arc_to_warc,

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_bytes, map_arrow, stored, text_column
+from .ngram_join import NO_ID, SPACES
 from .words import grams, words
 
 #: Words of the shortest passage that counts, and of a retained suffix's sort prefix.
@@ -156,16 +157,15 @@ def cut_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX)
     ones with one id stays.
     """
     found = repeated_passages(docs, passage, prefix).where(F.exists("spans", lambda s: s["removed"]))
-    whole = found.where("spans[0].end = -1")
-    parts = found.where("spans[0].end <> -1").groupBy(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash")).agg(F.first("spans").alias("cuts"))
-    gone = whole.groupBy(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).agg(F.count(F.lit(1)).alias("n_gone"), F.max("nth").alias("top"), F.min("nth").alias("low"))
-    hashed = docs.withColumn("cut_hash", F.xxhash64(text_column()))
-    left = hashed.join(parts, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("cut_hash") == F.col("p_hash")), "left").join(
-        gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("cut_hash") == F.col("g_hash")), "left"
+    whole = F.col("spans")[0]["end"] == -1
+    actions = found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("a_id"), F.col("text_hash").alias("a_hash")).agg(
+        F.first(F.when(~whole, F.col("spans")), ignorenulls=True).alias("cuts"), F.min(F.when(whole, F.col("nth"))).alias("low")
     )
+    hashed = docs.withColumn("cut_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("cut_hash", F.xxhash64(text_column()))
+    left = hashed.join(actions, (F.col("cut_id") == F.col("a_id")) & (F.col("cut_hash") == F.col("a_hash")), "left")
     # rows of one id and text: all go, or all but one
-    once = left.where("n_gone is not null and low > 1").dropDuplicates(["doc_id", "cut_hash"])
-    left = left.where("n_gone is null").union(once)
+    nth = F.row_number().over(Window.partitionBy("cut_id", "cut_hash").orderBy("cut_hash"))
+    left = left.withColumn("cut_nth", nth).where("low is null or (low > 1 and cut_nth = 1)")
     pieces = F.filter("cuts", lambda s: s["removed"])
     acc = F.aggregate(
         pieces,
@@ -179,5 +179,5 @@ def cut_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX)
         "cut_text",
         F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat("cut_state.t", F.substring(F.col("text"), (F.col("cut_state.at") + 1).cast("int"), F.length("text")))),
     )
-    done = done.where("cuts is null or cut_text rlike '[^ \\\\t\\\\r\\\\n]'")
+    done = done.where(F.col("cuts").isNull() | F.col("cut_text").rlike(f"[^{SPACES}]"))
     return done.select(*(F.col("cut_text").alias("text") if c == "text" else F.length("cut_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
