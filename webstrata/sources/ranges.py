@@ -1,7 +1,7 @@
 """Payload ranges: read ``length`` bytes at ``offset`` of archive files.
 
-Files are read through Spark's binary source, so any store that Spark reads will do; locators are
-dealt by file, and each file's ranges are cut from it in offset order.
+Locators are dealt by file and sorted by offset, so a task opens a file once and reads forward, and
+reads no more than the ranges.
 """
 
 from __future__ import annotations
@@ -9,23 +9,32 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyarrow import fs
+from pyspark.sql import DataFrame
 
 
-def read_ranges(spark: SparkSession, root: str, locators: DataFrame) -> DataFrame:
-    """locators(digest, filename, offset, length) to (digest, raw); a range past the end is cut there, a missing file gives no rows."""
-    base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path"), "content")
-    wanted = locators.groupBy("filename").agg(F.sort_array(F.collect_set(F.struct("offset", "length", "digest"))).alias("spots"))
-    joined = files.withColumn("filename", F.regexp_extract("path", F.concat(F.lit("\\Q"), F.lit(base.split(":")[-1].lstrip("/")), F.lit("\\E(.*)$")), 1)).join(wanted, "filename")
+def read_ranges(root: str, locators: DataFrame) -> DataFrame:
+    """locators(digest, filename, offset, length) to (digest, raw); a range past the end is cut there, a missing file gives no rows.
+
+    root: a path or URI of a store that pyarrow opens (file, hdfs, s3, gs).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        name, handle = None, None
         for batch in batches:
-            for content, spots in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                data = content.as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s["digest"] for s in spots], pa.string()), pa.array([data[s["offset"] : s["offset"] + s["length"]] for s in spots], pa.binary())], names=["digest", "raw"]
-                )
-
-    return joined.select("content", "spots").mapInArrow(run, "digest string, raw binary")
+            digests, raws = [], []
+            for digest, filename, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if filename != name:
+                    name = filename
+                    try:
+                        handle = store.open_input_file(f"{base.rstrip('/')}/{filename}")
+                    except FileNotFoundError:
+                        handle = None
+                if handle is not None:
+                    raws.append(handle.read_at(max(0, min(length, handle.size() - offset)), min(offset, handle.size())))
+                    digests.append(digest)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(raws, pa.binary())], names=["digest", "raw"])
+
+    dealt = locators.select("digest", "filename", "offset", "length").repartition("filename").sortWithinPartitions("filename", "offset")
+    return dealt.mapInArrow(run, "digest string, raw binary")
