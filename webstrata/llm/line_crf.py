@@ -194,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Line
     """Fit on the lines of at most ``sample`` labelled documents that aren't held out; a line's label is its document's."""
     rows = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select(F.col("doc_id").alias("l_id"), F.col("quality").cast("double").alias("good"))
     chosen = rows.orderBy(F.xxhash64("l_id"), "l_id", "good").limit(sample)
-    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select(text_column().alias("text"), "good")
+    texts = docs.select("doc_id", text_column().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", "good")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out_f, out_y = [], []
@@ -217,26 +217,25 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Line
     return crf
 
 
-def score_lines(docs: DataFrame, crf: LineCrf, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score[, kept columns]; null and empty texts are one empty line."""
+def score_lines(docs: DataFrame, crf: LineCrf) -> DataFrame:
+    """(doc_id, score, row): ``row`` holds every column of docs; null and empty texts are one empty line."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
         score = np.concatenate([crf.scores(texts[a:b]) for a, b in by_bytes(texts, 1 << 20)])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *batch.columns[2:]], names=["doc_id", "score", *keep])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *batch.columns[2:]], names=["doc_id", "score", *batch.schema.names[2:]])
 
-    types = dict(docs.dtypes)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("crf_text"), *keep)
-    return map_arrow(chosen, run, "doc_id long, score double" + "".join(f", `{c}` {types[c]}" for c in keep))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"), *([F.struct(*docs.columns).alias("row")] if len(docs.columns) > 2 else []))
+    kind = dict(chosen.dtypes).get("row")
+    return map_arrow(chosen, run, "doc_id long, score double" + (f", row {kind}" if kind else ""))
 
 
 def quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; with no usable labels every score is 0.5."""
-    return score_lines(docs, learn(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+    return score_lines(docs.select("doc_id", "text"), learn(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """Rows of docs that score at least ``accept``, columns unchanged."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    scored = score_lines(docs, learn(docs, labels), rest)
-    return scored.where(F.col("score") >= accept).select(*docs.columns)
+    padded = docs if len(docs.columns) > 2 else docs.withColumn("crf_pad", F.lit(0))
+    return score_lines(padded, learn(docs, labels)).where(F.col("score") >= accept).select(*(F.col(f"row.`{c}`") for c in docs.columns))

@@ -272,8 +272,8 @@ def drop_near_duplicates(docs: DataFrame, **options: float) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = found.where("class_key is not null").groupBy("class_key").agg(F.min(order).alias("k"))
     first = first.select(F.coalesce("k.doc_id", F.lit(NO_ID)).alias("k_id"), F.col("k.text_hash").alias("k_hash"))
-    marked = docs.withColumn("nd_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("nd_hash", F.xxhash64(text_column()))
-    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(f"[^{SPACES}]")
+    marked = docs.select(F.struct(*docs.columns).alias("nd_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("nd_id"), F.xxhash64(text_column()).alias("nd_hash"))
+    wordless = ~F.coalesce(F.col("nd_row.text"), F.lit("")).rlike(f"[^{SPACES}]")
     joined = marked.join(first, (F.col("nd_id") == F.col("k_id")) & (F.col("nd_hash") == F.col("k_hash")), "left")
     nth = F.row_number().over(Window.partitionBy("nd_id", "nd_hash").orderBy("nd_hash"))
-    return joined.withColumn("nd_nth", nth).where(wordless | (F.col("k_id").isNotNull() & (F.col("nd_nth") == 1))).select(*docs.columns)
+    return joined.withColumn("nd_nth", nth).where(wordless | (F.col("k_id").isNotNull() & (F.col("nd_nth") == 1))).select("nd_row.*")

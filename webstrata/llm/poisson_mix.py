@@ -77,18 +77,18 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, epochs: float
     rates = source_rates(docs, weights, epochs).checkpoint()
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    drawn = F.transform(F.sequence(F.lit(1), F.col("steps")), lambda i: uniform(F.lit(seed), doc_id, i.cast("string")))
+    packed = docs.select(F.struct(*docs.columns).alias("mix_row"), F.col("source").alias("mix_of"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("mix_id"))
+    drawn = F.transform(F.sequence(F.lit(1), F.col("steps")), lambda i: uniform(F.lit(seed), F.col("mix_id"), i.cast("string")))
     draws = F.transform(drawn, lambda u: F.size(F.filter("cdf", lambda f: f < u)))
-    copies = F.aggregate(draws, F.lit(0), lambda a, x: a + x)
-    keep = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
+    keep = [F.col(f"mix_row.`{c}`") for c in docs.columns if c not in ("copy_no", "shuffle_key")]
     return (
-        docs.join(rates, F.col("source").eqNullSafe(F.col("mix_source")))
-        .withColumn("mix_copies", copies)
+        packed.join(rates, F.col("mix_of").eqNullSafe(F.col("mix_source")))
+        .withColumn("mix_copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x))
         .where("mix_copies > 0")
-        .select(*keep, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("copy_no"))
-        .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), doc_id, F.col("copy_no").cast("string"))))
-        .orderBy("shuffle_key", "doc_id", "copy_no")
+        .select("mix_row", "mix_id", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("copy_no"))
+        .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), "mix_id", F.col("copy_no").cast("string"))))
+        .orderBy("shuffle_key", "mix_id", "copy_no")
+        .select(*keep, "copy_no", "shuffle_key")
     )
 
 

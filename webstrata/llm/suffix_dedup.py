@@ -161,23 +161,23 @@ def cut_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX)
     actions = found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("a_id"), F.col("text_hash").alias("a_hash")).agg(
         F.first(F.when(~whole, F.col("spans")), ignorenulls=True).alias("cuts"), F.min(F.when(whole, F.col("nth"))).alias("low")
     )
-    hashed = docs.withColumn("cut_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("cut_hash", F.xxhash64(text_column()))
+    hashed = docs.select(F.struct(*docs.columns).alias("cut_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("cut_id"), F.xxhash64(text_column()).alias("cut_hash"))
     left = hashed.join(actions, (F.col("cut_id") == F.col("a_id")) & (F.col("cut_hash") == F.col("a_hash")), "left")
     # rows of one id and text: all go, or all but one
     nth = F.row_number().over(Window.partitionBy("cut_id", "cut_hash").orderBy("cut_hash"))
     left = left.withColumn("cut_nth", nth).where("low is null or (low > 1 and cut_nth = 1)")
     pieces = F.filter("cuts", lambda s: s["removed"])
+    text = F.col("cut_row.text")
     acc = F.aggregate(
         pieces,
         F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at")),
         lambda s, x: F.struct(
-            F.concat(s["t"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))).alias("t"),
+            F.concat(s["t"], F.substring(text, (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))).alias("t"),
             F.greatest(x["end"], s["at"]).alias("at"),
         ),
     )
-    done = left.withColumn("cut_state", acc).withColumn(
-        "cut_text",
-        F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat("cut_state.t", F.substring(F.col("text"), (F.col("cut_state.at") + 1).cast("int"), F.length("text")))),
-    )
+    rest = F.concat("cut_state.t", F.substring(text, (F.col("cut_state.at") + 1).cast("int"), F.length(text)))
+    done = left.withColumn("cut_state", acc).withColumn("cut_text", F.when(F.col("cuts").isNull(), text).otherwise(rest))
     done = done.where(F.col("cuts").isNull() | F.col("cut_text").rlike(f"[^{SPACES}]"))
-    return done.select(*(F.col("cut_text").alias("text") if c == "text" else F.length("cut_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    changed = {"text": F.col("cut_text"), "n_chars": F.when(F.col("cuts").isNull(), F.col("cut_row.n_chars")).otherwise(F.length("cut_text")).cast("long")} if "n_chars" in docs.columns else {"text": F.col("cut_text")}
+    return done.select(*(changed[c].alias(c) if c in changed else F.col(f"cut_row.`{c}`") for c in docs.columns))
