@@ -96,12 +96,18 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PRE
         cid, texts, parts = batch.column(0).to_numpy(), batch.column(1).to_pylist(), []
         for a, b in by_bytes(texts, 1 << 20):
             t, key, lo, hi = runs(texts[a:b], passage, prefix)
-            parts.append((key, cid[t + a], lo.astype(np.int32), hi.astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["prefix", "cid", "lo", "hi"])
-
-    suffixes = map_arrow(base.select("cid", "text"), retain, "prefix long, cid long, lo int, hi int")
+            parts.append((t + a, key, lo << 32 | hi))
+        t, key, spot = (np.concatenate(c) for c in zip(*parts, strict=True))
+        # a text's equal prefixes travel as one row, however often it repeats itself
+        order = np.lexsort((key, t))
+        t, key, spot = t[order], key[order], spot[order]
+        new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])])) if len(t) else t
+        spots = pa.ListArray.from_arrays(pa.array(np.append(new, len(t)).astype(np.int32)), pa.array(spot))
+        return pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(cid[t[new]]), spots], names=["prefix", "cid", "spots"])
+
+    suffixes = map_arrow(base.select("cid", "text"), retain, "prefix long, cid long, spots array<long>")
     shared = suffixes.groupBy(F.col("prefix").alias("p")).agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("p")
-    spots = suffixes.join(shared, F.col("prefix") == F.col("p")).groupBy("cid").agg(F.collect_set(F.struct("lo", "hi")).alias("spots"))
+    spots = suffixes.join(shared, F.col("prefix") == F.col("p")).groupBy("cid").agg(F.flatten(F.collect_set("spots")).alias("spots"))
     wanted = spots.join(contents.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c")).select("c", "first_id", "spots")
     texts = base.join(wanted, (F.col("cid") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cid", "first_id", "text", "spots")
 
@@ -111,8 +117,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PRE
         for k, t in enumerate(text):
             w = words([t])
             g = grams(w.hashes, passage).view(np.int64)
-            v = batch.column(3)[k].values
-            lo, hi = v.field("lo").to_numpy(), v.field("hi").to_numpy()
+            spot = batch.column(3)[k].values.to_numpy()
+            lo, hi = spot >> 32, spot & 0xFFFFFFFF
             i = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]))
             pos = char_offsets(t, w.starts[i]) << 32 | char_offsets(t, w.ends[i + passage - 1])
             parts.append((g[i], np.full(len(i), cid[k]), pos, np.full(len(i), -1 if first[k] is None else first[k]), np.full(len(i), first[k] is None)))
