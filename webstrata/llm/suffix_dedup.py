@@ -112,7 +112,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PRE
     texts = base.join(wanted, (F.col("cid") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cid", "first_id", "text", "spots")
 
     def extend(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        text, parts = batch.column(2).to_pylist(), []
+        text, parts, places = batch.column(2).to_pylist(), [], []
         cid, first = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for k, t in enumerate(text):
             w = words([t])
@@ -121,11 +121,17 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PRE
             lo, hi = spot >> 32, spot & 0xFFFFFFFF
             i = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]))
             pos = char_offsets(t, w.starts[i]) << 32 | char_offsets(t, w.ends[i + passage - 1])
-            parts.append((g[i], np.full(len(i), cid[k]), pos, np.full(len(i), -1 if first[k] is None else first[k]), np.full(len(i), first[k] is None)))
-        h, c, p, f, gone = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(p), pa.array(f, mask=gone)], names=["win", "cid", "pos", "first_id"])
-
-    windows = stored(map_arrow(texts, extend, "win long, cid long, pos long, first_id long"), "windows")
+            order = np.argsort(g[i], kind="stable")
+            win, pos = g[i][order], pos[order]
+            new = np.flatnonzero(np.concatenate([[True], win[1:] != win[:-1]]))
+            # a text's equal windows travel as one row too
+            parts.append((win[new], np.full(len(new), cid[k]), np.diff(np.append(new, len(win))), np.full(len(new), -1 if first[k] is None else first[k]), np.full(len(new), first[k] is None)))
+            places.append(pos)
+        h, c, n, f, gone = (np.concatenate(x) for x in zip(*parts, strict=True))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(places)))
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), lists, pa.array(f, mask=gone)], names=["win", "cid", "pos", "first_id"])
+
+    windows = stored(map_arrow(texts, extend, "win long, cid long, pos array<long>, first_id long"), "windows")
     again = windows.groupBy(F.col("win").alias("w")).agg(F.min("cid").alias("a"), F.max("cid").alias("b"), F.min("first_id").alias("keeper")).where("a <> b").select("w", "keeper")
     hits = windows.join(again, F.col("win") == F.col("w")).groupBy("cid", "first_id").agg(F.collect_set(F.struct("pos", "keeper")).alias("hits"))
 
@@ -133,7 +139,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PRE
         out = []
         for k, own in enumerate(batch.column(1).to_pylist()):
             v = batch.column(2)[k].values
-            pos, keeper = v.field("pos").to_numpy(), np.array([x if x is not None else -1 for x in v.field("keeper").to_pylist()])
+            lists, keeper = v.field("pos"), np.array([x if x is not None else -1 for x in v.field("keeper").to_pylist()])
+            pos, keeper = lists.flatten().to_numpy(), np.repeat(keeper, lists.value_lengths().to_numpy())
             mine = keeper == (-1 if own is None else own)
             found = [{"start": a, "end": b, "first_doc": own, "removed": False} for a, b in merge(pos[mine])]
             for a, b in merge(pos[~mine]):
