@@ -190,6 +190,42 @@ def test_passages(spark):
         assert [c for c, x in zip(cut, text[i], strict=True) if not x.isspace()] == [c for c, x in zip(want[i], text[i], strict=True) if not x.isspace()]
 
 
+def brute_first_docs(rows, size=50):
+    """Smallest holder of every window that several texts hold, as {doc_id: {(first_doc, start, end)}} with windows of one holder joined."""
+    spots = {i: [(m.start(), m.end(), m.group()) for m in re.finditer(r"\S+", t or "")] for i, t in rows}
+    holders, found = collections.defaultdict(set), {}
+    for i, s in spots.items():
+        for k in range(len(s) - size + 1):
+            holders[tuple(x[2] for x in s[k : k + size])].add(i)
+    for i, s in spots.items():
+        joined = collections.defaultdict(list)
+        for k in range(len(s) - size + 1):
+            who, a, b = holders[tuple(x[2] for x in s[k : k + size])], s[k][0], s[k + size - 1][1]
+            if len(who) > 1:
+                mine = joined[min(who)]
+                if mine and a <= mine[-1][1]:
+                    mine[-1][1] = b
+                else:
+                    mine.append([a, b])
+        if joined:
+            found[i] = {(f, a, b) for f, spans in joined.items() for a, b in spans}
+    return found
+
+
+def test_passages_name_every_first_document(spark):
+    r = random.Random(12)
+    popular, longer = vocabulary(r, 60, 9_000), vocabulary(r, 200, 9_000)
+    rows = [(3, popular), (5, popular + " " + longer), (10, popular + " " + longer + " end"), (11, longer + " " + popular)]
+    parts = [vocabulary(r, n) for n in (50, 55, 70, 90)]
+    for i in range(20, 60):
+        # every text of its own: copies are one whole span
+        rows.append((i, " ".join(r.choice(parts) if r.random() < 0.7 else vocabulary(r, 5) for _ in range(4)) + f" only{i}"))
+    docs = docs_of(spark, rows)
+    got = {x["doc_id"]: {(s["first_doc"], s["start"], s["end"]) for s in x["spans"]} for x in suffix_dedup.repeated_passages(docs).collect()}
+    assert got == brute_first_docs(rows)
+    assert {f for f, _, _ in got[10]} == {3, 5}
+
+
 def test_cut_passages(spark):
     rows = passage_rows(random.Random(7)) + [(200, None), (200, None), (201, "short")]
     twice = (300, vocabulary(random.Random(8), 70))

@@ -77,7 +77,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PRE
 
     A passage is ``passage`` or more equal words in a row, whatever white space parts them.  spans:
     array of (start, end, first_doc, removed) in characters, in order; first_doc is the smallest
-    doc_id that holds the passage's windows, removed is false in that document.  A row whose text
+    doc_id that holds the passage's windows, removed is false in that document.  Windows of one
+    first_doc join to one span; spans of different ones may overlap.  A row whose text
     equals that of a smaller doc_id (or of another row with its id) is one removed span; shorter
     texts, null and empty ones never appear; a null doc_id counts as larger than any other.
     Repeats inside one text alone aren't passages across documents and don't appear.
@@ -143,9 +144,10 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PRE
             pos, keeper = lists.flatten().to_numpy(), np.repeat(keeper, lists.value_lengths().to_numpy())
             mine = keeper == (-1 if own is None else own)
             found = [{"start": a, "end": b, "first_doc": own, "removed": False} for a, b in merge(pos[mine])]
-            for a, b in merge(pos[~mine]):
-                inside = keeper[~mine][(pos[~mine] >> 32 >= a) & (pos[~mine] >> 32 < b)]
-                found.append({"start": a, "end": b, "first_doc": int(inside.min()), "removed": True})
+            order = np.argsort(keeper[~mine], kind="stable")
+            theirs, owners = pos[~mine][order], keeper[~mine][order]
+            for part in np.split(np.arange(len(owners)), np.flatnonzero(owners[1:] != owners[:-1]) + 1) if len(owners) else ():
+                found += [{"start": a, "end": b, "first_doc": int(owners[part[0]]), "removed": True} for a, b in merge(theirs[part])]
             out.append(sorted(found, key=lambda x: (x["start"], x["end"], x["removed"])))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_doc", pa.int64()), ("removed", pa.bool_())]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["cid", "spans"])
