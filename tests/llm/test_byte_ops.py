@@ -277,6 +277,24 @@ def test_search_of_few(spark):
     assert ann_mih.search(none, none).count() == 0
 
 
+@pytest.mark.parametrize("lone", [0, 16, 60])
+def test_search_fills_every_query(spark, lone):
+    r = np.random.default_rng(13)
+    centres = r.standard_normal((50, 32))
+    tight = centres[np.arange(2000) % 50] + 0.02 * r.standard_normal((2000, 32))
+    v = np.concatenate([r.standard_normal((lone, 32)), tight])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    vectors = ann_mih.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    asked = [*range(lone), *range(lone, len(v), 97)]
+    got = {}
+    for x in ann_mih.search(vectors, vectors.where(F.col("vec_id").isin(asked))).collect():
+        got.setdefault(x["query_id"], []).append(x["rank"])
+    assert {i: sorted(n) for i, n in got.items()} == {i: [1, 2, 3, 4, 5] for i in asked}
+    few = vectors.where("vec_id < 4 or vec_id = 900")
+    assert few.count() == 5 and ann_mih.search(few, few).groupBy("query_id").count().where("count <> 4").count() == 0
+    assert ann_mih.search(few, few).select("query_id").distinct().count() == 5
+
+
 def test_probe_finds_every_code_in_the_radius():
     r = np.random.default_rng(10)
     codes = r.integers(0, 256, (500, 8), dtype=np.uint8)

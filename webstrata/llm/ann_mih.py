@@ -4,13 +4,15 @@ A rotation learnt on a bounded sample (principal directions, then iterative quan
 vectors into codes of one bit a direction.  Codes are split into substrings, each an index of its
 own: by the pigeonhole principle a code within Hamming radius r of the query has a substring within
 r / m of the query's, so probing those buckets retrieves every code in the radius.  The codes
-retrieved are ranked again by exact cosine.
+retrieved are ranked again by exact cosine.  A query that finds too few is probed again with a
+larger radius.
 
 Index and queries are dealt into blocks and every pair of blocks is one task of bounded size.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Vectors the rotation and the radius are learnt on at most: those with the smallest hash of their id.
 SAMPLE = 8_192
 #: Sample queries that fix the radius, and the share of their true neighbours that it must hold.
@@ -125,7 +129,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, sample:
 
     vectors: (vec_id, v) as ``usable`` gives them; queries: some of them.  A query never finds its
     own id; repeated rows of one id count once; with fewer candidates there are fewer ranks.
-    Vectors of another length than most are compared with none.
+    Queries that find fewer than k within the learnt radius are searched again within a larger one,
+    in the end among all codes.  Vectors of another length than most are compared with none.
     """
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     empty = "query_id long, rank int, vec_id long, score double"
@@ -135,8 +140,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, sample:
     dim = int(sizes[0])
     codes = fit(np.array([r["v"] for r in chosen if len(r["v"]) == dim]), k, target)
     vectors, queries = (x.where(F.size("v") == dim).dropDuplicates(["vec_id"]) for x in (vectors, queries))
-    n_index = max(1, math.ceil(vectors.count() / INDEX_BLOCK))
-    n_query = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    n_vectors, n_queries = vectors.count(), queries.count()
+    full = min(k, n_vectors - 1)
+    parts: list[DataFrame] = []
+    while True:
+        found = stored(_within(vectors, queries, n_vectors, n_queries, dim, codes, k), "neighbours")
+        if codes.radius >= codes.rotation.shape[1]:
+            parts.append(found)
+            break
+        filled = found.groupBy("query_id").count().where(F.col("count") >= full).select(F.col("query_id").alias("filled_id"))
+        parts.append(found.join(filled, F.col("query_id") == F.col("filled_id"), "left_semi"))
+        queries = stored(queries.join(filled, F.col("vec_id") == F.col("filled_id"), "left_anti"), "short-queries")
+        n_queries = queries.count()
+        if not n_queries:
+            break
+        codes = codes._replace(radius=min(2 * codes.radius + SUBSTRING_BITS, codes.rotation.shape[1]))
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+def _within(vectors: DataFrame, queries: DataFrame, n_vectors: int, n_queries: int, dim: int, codes: Codes, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of every query among the codes within the radius."""
+    n_index = max(1, math.ceil(n_vectors / INDEX_BLOCK))
+    n_query = max(1, math.ceil(n_queries / QUERY_BLOCK))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     left = vectors.select(deal(n_index).alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("qb"), "vec_id", "v")
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))).alias("ib"), deal(n_query).alias("qb"), "vec_id", "v")
