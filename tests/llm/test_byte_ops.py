@@ -231,6 +231,36 @@ def test_main_text(spark):
     assert sorted((str(r["page_id"]), r["n_chars"]) for r in got) == sorted([("1", 0), ("None", 0), ("2", len(text)), ("2", len(text)), ("3", 499_999)])
 
 
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ('<p class="ad">Buy<p>Text</p><p>More</p>', "Text More"),
+        ('<p class="ad">Buy <b>now<div>Text</div>', "Text"),
+        ('<div><p class="ad">Buy</div>Text', "Text"),
+        ('<ul><li>one<li class="share">tell<li>two</ul>Text', "one two Text"),
+        ('<ul><li class="share">tell<ul><li>all<li>of</ul>them<li>two</ul>Text', "two Text"),
+        ('<dl><dt class="promo">a<dd>b<dt>c<dd class="promo">d</dl>Text', "b c Text"),
+        ('<table><tr><td class="ad">a<td>b<tr class="promo"><td>c<tr><td>d</table>Text', "b d Text"),
+        ('<table><tr><td class="ad">a<table><tr><td>b</table>c</table>Text', "Text"),
+        ('<div><form>a<p>b</p></div>Text', "Text"),
+        ('<section><aside>a<div>b</div></section>Text', "Text"),
+        ('<div><aside>a</p></span>b</aside>Text</div>', "Text"),
+        ('<p class="ad"><span>a</p>Text<span class="ad">b<b>c</span></b>d', "Text d"),
+        ('<div class="ad">a<div>b</div>c</div>Text<nav><ul><li>d</ul></nav>e', "Text e"),
+        ('<datalist><option class="ad">a<option>b</datalist>Text', "b Text"),
+    ],
+)
+def test_elements_left_out_end_where_html_ends_them(inner, want):
+    page = "<div>Start " + inner + " End</div>"
+    everything = {t.key: 1.0 if t.words else 0.01 for t in html_extract.tokens(page)}
+    assert html_extract.main_text(page, everything) == f"Start {want} End"
+
+
+def test_deep_pages_take_linear_time():
+    page = "<p>a" + "<button><li class=ad>x<div></span>" * 30_000 + "</section></div>" * 30_000
+    assert html_extract.main_text(page, {}) is not None
+
+
 def test_pages_query(spark, sf_dir):
     import html
     import re

@@ -11,6 +11,7 @@ import html
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -31,6 +32,32 @@ INLINE = frozenset(
 )
 RAW = frozenset("script style noscript template textarea svg math iframe object canvas title".split())
 SKIP = frozenset("nav header footer aside form button select dialog menu".split())
+#: Elements that hide those around them from the end tags inside.
+SCOPE = frozenset("applet caption html table td th marquee".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Block elements whose start tag ends an open paragraph.
+BLOCK = HEADINGS | frozenset(
+    "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form header hgroup hr li listing main menu nav ol p"
+    " plaintext pre search section summary table ul xmp".split()
+)
+CELLS = frozenset("td th".split())
+ROWS = CELLS | frozenset("tr caption colgroup".split())
+GROUPS = frozenset("tbody thead tfoot".split())
+#: Elements whose end tag may be left out: start tag -> (elements that it ends, elements that hide them).
+IMPLIED = {
+    "li": (("li",), SCOPE | BLOCK - {"address", "div", "p", "li"}),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), SCOPE | BLOCK - {"address", "div", "p", "dt", "dd"})),
+    "option": (("option",), frozenset(("select", "datalist", "optgroup"))),
+    "optgroup": (("option", "optgroup"), frozenset(("select", "datalist"))),
+    **dict.fromkeys(CELLS, (tuple(CELLS), frozenset(("table", "tr")))),
+    "tr": (tuple(ROWS), frozenset(("table",))),
+    **dict.fromkeys(GROUPS | {"caption", "colgroup"}, (tuple(ROWS | GROUPS), frozenset(("table",)))),
+    "button": (("button",), SCOPE),
+    "a": (("a",), SCOPE),
+    **dict.fromkeys(("rt", "rp"), (("rt", "rp"), SCOPE | {"ruby"})),
+}
+#: End tag -> elements that hide the one it ends.
+HIDES = {"p": SCOPE | {"button"}, "li": SCOPE | {"ul", "ol"}, "table": frozenset(("html",)), **dict.fromkeys(ROWS | GROUPS, frozenset(("table",)))}
 #: Class or id words of notices, adverts, menus and reader comments.
 ODD = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|comments?|disqus|share|sharing|social|related|recommend\w*"
@@ -130,23 +157,89 @@ def best_run(found: list[Token], weights: dict[str, float]) -> tuple[int, int]:
     return begin, end
 
 
+class Open:
+    """Open elements by HTML's rules for start and end tags that authors leave out; ``skipped`` counts those left out of the text."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool]] = []  # (name, left out); no name once it was closed out of turn
+        self.at: dict[str, list[int]] = {}
+        self.skipped = 0
+
+    def _wall(self, names: Iterable[str]) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def _cut(self, i: int) -> None:
+        """Close the element at i and those inside it."""
+        while len(self.stack) > i:
+            name, left_out = self.stack.pop()
+            if name:
+                self.at[name].pop()
+                self.skipped -= left_out
+
+    def _close(self, name: str, wall: int) -> None:
+        at = self.at.get(name)
+        if not at or at[-1] <= wall:
+            return
+        if name not in INLINE and name != "form":
+            self._cut(at[-1])
+            return
+        # text-level elements and forms end alone: blocks inside that are still open go on
+        i = at.pop()
+        self.skipped -= self.stack[i][1]
+        self.stack[i] = ("", False)
+        while self.stack and not self.stack[-1][0]:
+            self.stack.pop()
+
+    def start(self, name: str, left_out: bool) -> None:
+        self.implied(name)
+        if name not in VOID:
+            self.at.setdefault(name, []).append(len(self.stack))
+            self.stack.append((name, left_out))
+            self.skipped += left_out
+
+    def implied(self, name: str) -> None:
+        """End what a start tag ends."""
+        if name in BLOCK and self.at.get("p"):
+            self._close("p", self._wall(HIDES["p"]))
+        if name in HEADINGS and self.stack and self.stack[-1][0] in HEADINGS:
+            self._cut(len(self.stack) - 1)
+        names, hide = IMPLIED.get(name, ((), ()))
+        if any(self.at.get(n) for n in names):
+            wall = self._wall(hide - set(names))
+            for n in names:
+                while self.at.get(n) and self.at[n][-1] > wall:
+                    self._close(n, wall)
+
+    def end(self, name: str) -> None:
+        names = HEADINGS if name in HEADINGS else (name,)
+        last = max(names, key=lambda n: self._wall((n,)))
+        if self.at.get(last):
+            self._close(last, self._wall(HIDES.get(name, SCOPE) - {name}))
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
-    """Text of the best run: references decoded, white space of a block made single spaces, blocks joined by one space."""
+    """Text of the best run: references decoded, white space of a block made single spaces, blocks joined by one space.
+
+    An element left out ends where HTML ends it: at its end tag, at a start tag that implies it, or
+    with the element around it.
+    """
     found = tokens(page)
     a, b = best_run(found, weights)
     out: list[str] = []
-    skip, depth = "", 0
-    for t in found[a:b]:
+    elements = Open()
+    for i, t in enumerate(found[:b]):
         name = t.tag.lstrip("/")
-        if skip:
-            if name == skip and name not in VOID:
-                depth += -1 if t.tag[0] == "/" else 1
-                if not depth:
-                    skip = ""
-        elif t.tag and t.tag[0] != "/" and name not in VOID and (name in SKIP or t.odd):
-            skip, depth = name, 1
-            out.append(" ")
-        elif t.text:
+        if name:
+            if t.tag[0] == "/":
+                elements.end(name)
+            else:
+                # elements opened before the run aren't left out: the run's text lies in them
+                elements.start(name, i >= a and name not in VOID and (name in SKIP or t.odd))
+                if elements.skipped:
+                    out.append(" ")
+        if i < a or elements.skipped:
+            continue
+        if t.text:
             out.append(t.text)
         elif name and name not in INLINE:
             out.append(" ")
