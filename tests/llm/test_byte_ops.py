@@ -202,6 +202,27 @@ def test_media_query(spark, odd):
     assert [r["first_sample"] for r in blocks] == list(range(0, 1024 * len(blocks), 1024))
 
 
+def test_media_are_stored_and_read_back(spark, odd, tmp_path, monkeypatch):
+    odd.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    features = flac_media.media_features
+    monkeypatch.setattr(flac_media, "media_features", lambda media: seen.append(media) or features(media))
+    got = q.op6_flac_media(spark, str(tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, features(flac_media.to_media(odd)).collect()))
+    files = seen[0].inputFiles()
+    assert files and all("/media-" in f for f in files)
+    assert sum(len(r["media"]) for r in spark.read.parquet(*files).collect()) == sum(r["media_bytes"] for r in got)
+
+
+def test_seek_table_is_verified():
+    stream = flac_media.encode_streams([flac_media.payload("some words here " * 200)[1]])[0]
+    (first, second, *_) = flac_media.open_stream(stream).points
+    entry = second[0].to_bytes(8) + second[1].to_bytes(8)
+    assert first[0] == 0 and stream.count(entry) == 1
+    with pytest.raises(ValueError):
+        flac_media.decode_streams([stream.replace(entry, (second[0] + 1).to_bytes(8) + second[1].to_bytes(8))])
+
+
 def test_best_run_is_the_maximum():
     r = random.Random(8)
     for _ in range(300):

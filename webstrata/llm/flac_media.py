@@ -372,8 +372,8 @@ def decode_lanes(bodies: list[bytes], sizes: np.ndarray, kind: int) -> list[byte
     return [row[:m].tobytes() for row, m in zip(done, sizes.tolist(), strict=True)]
 
 
-def decode_streams(streams: list[bytes]) -> list[bytes]:
-    """Whole payloads, every checksum verified."""
+def stream_blocks(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """(first sample, payload bytes) of every frame of each stream, every checksum verified."""
     opened = [open_stream(s) for s in streams]
     frames = [s.frames() for s in opened]
     flat = [f for fs in frames for f in fs]
@@ -381,14 +381,23 @@ def decode_streams(streams: list[bytes]) -> list[bytes]:
     blocks = [b for c in range(0, len(flat), step) for b in decode_frames(flat[c : c + step])]
     out, at = [], 0
     for s, fs in zip(opened, frames, strict=True):
-        data = b"".join(blocks[at : at + len(fs)])
+        mine = blocks[at : at + len(fs)]
         at += len(fs)
+        data = b"".join(mine)
         if len(data) != s.total or hashlib.md5((np.frombuffer(data, np.uint8) ^ 0x80).tobytes()).digest() != s.md5:
             raise ValueError("the stream's samples differ from its digest")
-        out.append(data)
+        starts = [p[0] for p in s.points]
+        if starts != np.cumsum([0, *map(len, mine)])[:-1].tolist():
+            raise ValueError("the seek table differs from the stream's blocks")
+        out.append(list(zip(starts, mine, strict=True)))
     return out
 
 
+def decode_streams(streams: list[bytes]) -> list[bytes]:
+    """Whole payloads, every checksum verified."""
+    return [b"".join(b for _, b in blocks) for blocks in stream_blocks(streams)]
+
+
 def seek(stream: bytes, start: int, stop: int) -> bytes:
     """Payload bytes start..stop; only the frames that hold them are decoded."""
     s = open_stream(stream)
@@ -435,11 +444,9 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     """doc_id, first_sample, n_samples, pcm (signed 8-bit): one row a frame, seekable by sample offset."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            s = open_stream(data)
-            for (first, _, n), block in zip(s.points, decode_frames(s.frames()), strict=True):
-                rows.append((doc_id, first, n, (np.frombuffer(block, np.uint8) ^ 0x80).tobytes()))
+        ids, media = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        found = [x for a, b in _parts([len(m) for m in media]) for x in stream_blocks(media[a:b])]
+        rows = [(i, first, len(x), (np.frombuffer(x, np.uint8) ^ 0x80).tobytes()) for i, blocks in zip(ids, found, strict=True) for first, x in blocks]
         a, b, c, d = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["doc_id", "first_sample", "n_samples", "pcm"])
 

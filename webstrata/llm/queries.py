@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann_mih, arc_warc, bpe_tree, flac_media, html_extract, line_crf, ngram_join, poisson_mix, suffix_dedup, token_planes
-from .common import table
+from .common import stored, table
 
 
 def op1_ann_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,8 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac_media.media_features(flac_media.to_media(table(spark, sf_dir, "documents")))
+    """Digests and features of the media column as stored: written, read back and decoded block by block."""
+    return flac_media.media_features(stored(flac_media.to_media(table(spark, sf_dir, "documents")), "media", compression="none"))
 
 
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
