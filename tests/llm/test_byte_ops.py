@@ -139,6 +139,13 @@ def test_archives(spark):
     assert arc_warc.convert_pages(pages.limit(0)).count() == 0
 
 
+def test_pages_named_as_version_blocks_stay_pages(spark):
+    rows = [(1, "filedesc://a.arc", "one"), (2, "filedesc:", "é" * 80), (3, "filedesc:x y", "é" * 80), (4, "http://a/", "1 0 four")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {(r["page_id"], r["payload_bytes"], r["record_type"], r["target_uri"]) for r in arc_warc.convert_pages(pages).collect()}
+    assert got == {(1, 3, "response", "filedesc://a.arc"), (2, 160, "response", "filedesc:"), (3, 160, "revisit", "filedesc:x%20y"), (4, 8, "response", "http://a/")}
+
+
 def payloads():
     r = random.Random(6)
     yield from (b"\0" * 64, bytes(range(256)) * 5, b"a" * 4096, bytes([0, 255] * 512), bytes(r.randrange(256) for _ in range(64 * 40)))

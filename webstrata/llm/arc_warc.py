@@ -37,6 +37,7 @@ class ArcRecord(NamedTuple):
     version: int
     header: dict[str, str]
     body: bytes
+    opens: bool = False  # the version block: a file's first record, if its url starts with filedesc:
 
 
 def arc_version_block(version: int, name: str) -> bytes:
@@ -60,7 +61,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
     The version is the first number of the version block's body, or else told by the number of
     header fields.  A length that isn't a number or runs past the end raises ValueError.
     """
-    at, version = 0, 0
+    at, version, opens = 0, 0, True
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -81,11 +82,12 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         if length < 0 or end + 1 + length > len(data):
             raise ValueError(f"record at {at} declares {length} bytes, {len(data) - end - 1} are left")
         body = data[end + 1 : end + 1 + length]
-        if header["url"].startswith("filedesc:"):
+        opens = opens and header["url"].startswith("filedesc:")
+        if opens:
             first = body.split(b" ", 1)[0]
             version = int(first) if first in (b"1", b"2") else mine
-        yield ArcRecord(version or mine, header, body)
-        at = end + 1 + length
+        yield ArcRecord(version or mine, header, body, opens)
+        at, opens = end + 1 + length, False
 
 
 def warc_date(date: str) -> str:
@@ -112,7 +114,7 @@ def record_id(*parts: object) -> str:
 
 
 def warc_type(record: ArcRecord) -> str:
-    if record.header["url"].startswith("filedesc:"):
+    if record.opens:
         return "warcinfo"
     return "response" if record.body.startswith(b"HTTP/") else "resource"
 
