@@ -226,6 +226,52 @@ def test_passages_name_every_first_document(spark):
     assert {f for f, _, _ in got[10]} == {3, 5}
 
 
+@pytest.mark.parametrize("ids", [(-1, None), (None, None), (5, 5), (0, -(2**63)), (None, -(2**63))])
+def test_odd_ids_keep_a_passage_once(spark, ids):
+    r = random.Random(21)
+    passage, tails = vocabulary(r, 60, 9_000), [vocabulary(r, 55, 9_000) for _ in ids]
+    rows = [(i, f"{passage} {t}") for i, t in zip(ids, tails, strict=True)]
+    docs = docs_of(spark, rows)
+    found = suffix_dedup.repeated_passages(docs).collect()
+    assert len(found) == 2 and sorted(s["removed"] for x in found for s in x["spans"]) == [False, True]
+    first = min(ids, key=lambda i: (i is None, i or 0))
+    assert {s["first_doc"] for x in found for s in x["spans"]} == {first}
+    out = [(x["doc_id"], x["text"]) for x in suffix_dedup.cut_passages(docs).collect()]
+    assert len(out) == 2 and sum(t.count(passage) for _, t in out) == 1 and all(any(t.endswith(x) for _, t in out) for x in tails)
+    if ids[0] != ids[1]:
+        assert next(t for i, t in out if i == first).startswith(passage)
+
+
+@pytest.mark.parametrize("partitions", [1, 12])
+def test_runs_across_partitions(spark, partitions, monkeypatch):
+    """Many partitions, so that runs of the sorted order cross their edges, and words that only differ far on."""
+    r = random.Random(22)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        long = ["k" * 70 + str(i) for i in range(3)]
+        hot = vocabulary(r, 75, 9_000)
+        rows = []
+        for i in range(90):
+            a, b = r.randrange(0, 20), r.randrange(56, 76)
+            rows.append((i, " ".join([vocabulary(r, r.randrange(9)), " ".join(hot.split()[a:b]), r.choice(long), vocabulary(r, 3)])))
+        rows += [(200 + i, " ".join(r.choice(long) for _ in range(200)) + f" end{i}") for i in range(3)]
+        got = {x["doc_id"]: {(s["first_doc"], s["start"], s["end"]) for s in x["spans"]} for x in suffix_dedup.repeated_passages(docs_of(spark, rows)).collect()}
+        assert got == brute_first_docs(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_common_words():
+    r = random.Random(23)
+    for _ in range(500):
+        a, b = ([r.choice(["a", "ab", "é", "b"]) for _ in range(r.randrange(8))] for _ in range(2))
+        b = a[: r.randrange(9)] + b
+        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert suffix_dedup.common_words("".join(x + " " for x in a), "".join(x + " " for x in b)) == n
+
+
 def test_cut_passages(spark):
     rows = passage_rows(random.Random(7)) + [(200, None), (200, None), (201, "short")]
     twice = (300, vocabulary(random.Random(8), 70))
