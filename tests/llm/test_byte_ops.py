@@ -355,11 +355,55 @@ def test_search_fills_every_query(spark, lone):
 
 def test_probe_finds_every_code_in_the_radius():
     r = np.random.default_rng(10)
-    codes = r.integers(0, 256, (500, 8), dtype=np.uint8)
-    queries = codes[:20] ^ np.packbits(r.random((20, 64)) < 0.1, axis=1)
-    for radius in (0, 7, 9, 20):
+    codes = r.integers(0, 1 << 16, (500, 4)).astype(np.uint16)
+    codes[100:140] = codes[100]
+    queries = codes[:120:6] ^ np.packbits(r.random((20, 64)) < 0.1, axis=1).view(np.uint16)
+    lists = [ann_mih.Index(codes, j) for j in range(4)]
+    for radius in (0, 3, 7, 9, 20, 33, 64):
+        c = ann_mih.Codes(np.zeros((64, 64)), radius)
         far = np.bitwise_count(queries[:, None, :] ^ codes[None]).sum(axis=2)
-        assert (ann_mih.probe(queries, codes, radius) == (far <= radius)).all()
+        for q, d in zip(queries, far, strict=True):
+            found = np.concatenate([x.within(q, c)[0] for x in lists])
+            assert sorted(found.tolist()) == np.flatnonzero(d <= radius).tolist()  # every one, and once
+
+
+def test_index_compares_few_codes_where_neighbours_are_close():
+    r = np.random.default_rng(14)
+    centres = r.standard_normal((400, 64))
+    x = ann_mih.unit_rows(centres[np.arange(8000) % 400] + 0.05 * r.standard_normal((8000, 64)))
+    c = ann_mih.fit(x)
+    code = c.encode(x)
+    lists = [ann_mih.Index(code, j) for j in range(c.substrings)]
+    compared = retrieved = right = 0
+    for i in range(0, 8000, 50):
+        hits = [n.within(code[i], c) for n in lists]
+        compared += sum(n for _, n in hits)
+        found = np.concatenate([h for h, _ in hits])
+        retrieved += len(found)
+        near = np.argsort(-(x @ x[i]))[1:6]
+        right += len(set(near.tolist()) & set(found.tolist()))
+    assert compared < 0.05 * 160 * 8000 and retrieved < 0.02 * 160 * 8000 and right >= 0.9 * 800
+
+
+def test_recall_on_the_embeddings_table(spark):
+    sf = "/root/testdata/sf0.1"
+    got = {}
+    for x in q.op1_ann_mih(spark, sf).collect():
+        got.setdefault(x["query_id"], set()).add(x["vec_id"])
+    want = brute_nearest([tuple(x) for x in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()])
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert sum(len({j for j, _ in want[i]} & got[i]) for i in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_blocks_change_nothing(spark):
+    r = np.random.default_rng(15)
+    rows = [(i, r.standard_normal(20).tolist()) for i in range(700)] + [(1000 + i, [1.0] * 20) for i in range(300)] + [(7, [9.0] * 20), (50, [1.0] * 20), (50, [-9.0] * 20)]
+    vectors = ann_mih.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    asked = vectors.where("vec_id % 50 = 0")
+    whole = ann_mih.search(vectors, asked).collect()
+    assert sorted(map(str, ann_mih.search(vectors.repartition(5), asked, block=16).collect())) == sorted(map(str, whole))
+    best = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in whole}
+    assert best[1000, 1][0] == 1001 and best[1050, 1][0] == 1000 and best[50, 1][0] not in range(1000, 1300)
 
 
 def test_mixing(spark):
