@@ -340,12 +340,34 @@ def test_quality_ignores_everything_but_text(spark):
     flipped = labels.withColumn("quality", F.when(line_crf.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
     other = line_crf.learn(docs.withColumns({c: F.lit(None).cast("string") for c in ("lang", "source")}), flipped)
     assert np.array_equal(crf.weights, other.weights) and np.array_equal(crf.moves, other.moves)
+    torn = labels.union(labels.limit(20).withColumn("quality", 1 - F.col("quality")))
+    ids = [r["doc_id"] for r in labels.limit(20).collect()]
+    without = line_crf.learn(docs, labels.where(~F.col("doc_id").isin(ids)))
+    assert np.array_equal(line_crf.learn(docs, torn.union(torn)).weights, without.weights)
+    assert np.array_equal(line_crf.learn(docs.repartition(5), labels).weights, crf.weights)
     none = line_crf.quality(odd, labels.limit(0)).collect()
     assert {r["score"] for r in none} == {0.5}
     kept = line_crf.keep_good(docs.withColumn("score", F.lit("mine")).withColumn("row", F.lit(1)), labels)
     assert kept.columns == [*docs.columns, "score", "row"] and 0 < kept.count() < docs.count() and {r["score"] for r in kept.collect()} == {"mine"}
 
 
+def test_learning_takes_whole_documents(spark, monkeypatch):
+    rows = [(i, "\n".join(f"A line of words {k}." for k in range(300)) if i % 2 else "\n".join("%% $$ ##" for _ in range(i % 7 + 1))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = line_crf.LineCrf.fit
+    monkeypatch.setattr(line_crf.LineCrf, "fit", lambda self, near, first, good: seen.append((near.shape[1], first, good)) or fit(self, near, first, good, steps=2))
+    line_crf.learn(docs_of(spark, rows), labels)
+    ids = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    n, first, good = seen.pop()
+    assert n == sum(300 if i % 2 else i % 7 + 1 for i in ids) == len(good) and np.diff(first).max() == 64
+    line_crf.learn(docs_of(spark, rows), labels, lines=30_000, sample=10)
+    assert 0 < seen.pop()[0] <= 3_000
+    line_crf.learn(docs_of(spark, rows), labels, lines=2_000)
+    n, _, good = seen.pop()
+    assert n <= 2_000 and set(good) == {0.0}
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(None, "a b c d e f")]])
 def test_small_tables(spark, rows):
     assert ngram_join.near_duplicates(docs_of(spark, rows)).count() == len(rows)

@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, map_arrow, text_column
+from .common import by_bytes, map_arrow, stored, text_column
 
-#: At most this many labelled documents are learnt from: those with the smallest hash of their id.
-SAMPLE_DOCS = 6_000
-#: Lines of a training sequence, and sequences taken (evenly spaced) from one document at most.
-SEGMENT, SEGMENTS = 64, 8
+#: Labelled documents learnt from, whole, in the order of their ids' hashes: this many and lines of this number in
+#: all at most (48 bytes a line on the driver); one with more than a hundredth of these lines isn't chosen.
+SAMPLE_DOCS, SAMPLE_LINES = 6_000, 500_000
+#: Lines of a training sequence; longer documents are several sequences.
+SEGMENT = 64
 BINS = 8
 STEPS = 120
 #: Documents below this score are rejected.
@@ -101,6 +102,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             twins / n_words,
         ],
         axis=1,
+        dtype=np.float32,
     )
     return feats, first, length
 
@@ -153,10 +155,9 @@ class LineCrf:
         p = fwd * bwd
         return p[:, 1] / p.sum(axis=1), moved
 
-    def fit(self, feats: np.ndarray, first: np.ndarray, good: np.ndarray, steps: int = STEPS, rate: float = 0.15, l2: float = 1e-4) -> None:
-        """Maximise the mean conditional log likelihood (Adam); good: the label of each line."""
-        near = self.near(self.bins(feats), first)
-        n, width, f = len(feats), BINS + 1, np.arange(feats.shape[1])
+    def fit(self, near: np.ndarray, first: np.ndarray, good: np.ndarray, steps: int = STEPS, rate: float = 0.15, l2: float = 1e-4) -> None:
+        """Maximise the mean conditional log likelihood (Adam); first: bounds of the sequences; good: the label of each line."""
+        n, width, f = near.shape[1], BINS + 1, np.arange(near.shape[2])
         same = np.ones(n, bool)
         same[first[:-1]] = False
         y = good.astype(int)
@@ -190,30 +191,37 @@ def held_out() -> "F.Column":
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> LineCrf:
-    """Fit on the lines of at most ``sample`` labelled documents that aren't held out; a line's label is its document's."""
-    rows = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select(F.col("doc_id").alias("l_id"), F.col("quality").cast("double").alias("good"))
-    chosen = rows.orderBy(F.xxhash64("l_id"), "l_id", "good").limit(sample)
-    texts = docs.select("doc_id", text_column().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", "good")
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out_f, out_y = [], []
-        for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            feats, _, _ = line_features([t])
-            parts = range(0, len(feats), SEGMENT)
-            for a in parts if len(parts) <= SEGMENTS else np.linspace(0, len(parts) - 1, SEGMENTS).astype(int) * SEGMENT:
-                out_f.append(feats[a : a + SEGMENT].ravel().tolist())
-                out_y.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(out_f, pa.list_(pa.float64())), pa.array(out_y, pa.float64())], names=["feats", "good"])
-
-    got = sorted(map_arrow(texts, cut, "feats array<double>, good double").collect(), key=lambda r: (r["good"], r["feats"]))
-    blocks = [np.array(r["feats"]).reshape(-1, len(FEATURES)) for r in got]
-    if not blocks:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> LineCrf:
+    """Fit on every line of a bounded sample of labelled documents that aren't held out; a line's label is its document's.
+
+    A doc_id whose label rows disagree is not learnt from; rows of docs that repeat a doc_id are
+    documents of their own.  With no usable label the model is empty: every score is 0.5.
+    """
+    rows = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").alias("l_id")).agg(F.min("quality").alias("low"), F.max("quality").cast("double").alias("good")).where("low = good")
+    chosen = rows.orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
+    texts = docs.select("doc_id", text_column().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select(F.xxhash64("l_id").alias("pick"), F.xxhash64("text").alias("pick_text"), "good", "text")
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [line_features([t])[0] for t in batch.column(3).to_pylist()]
+        cols = [*batch.columns[:3], pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["pick", "pick_text", "good", "n_lines", "feats"])
+
+    measured = map_arrow(texts, measure, "pick long, pick_text long, good double, n_lines long, feats binary").where(F.col("n_lines") <= max(1, lines // 100))
+    measured = stored(measured.withColumn("row_no", F.monotonically_increasing_id()), "line-features")
+    budget = {}
+    for r in measured.orderBy("pick", "pick_text", "row_no").select("row_no", "n_lines").limit(sample).collect():
+        if r["n_lines"] <= lines:
+            lines -= r["n_lines"]
+            budget[r["row_no"]] = r["n_lines"]
+    got = sorted(measured.where(F.col("row_no").isin(list(budget))).select("good", "feats").collect(), key=lambda r: (r["good"], bytes(r["feats"]))) if budget else []
+    if not got:
         return LineCrf(np.zeros((len(FEATURES), BINS - 1)))
-    feats = np.concatenate(blocks)
-    crf = LineCrf(np.quantile(feats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T.copy())
-    sizes = np.array([len(b) for b in blocks])
-    crf.fit(feats, np.concatenate([[0], np.cumsum(sizes)]), np.repeat([r["good"] for r in got], sizes))
+    blocks = [np.frombuffer(r["feats"], np.float32).reshape(-1, len(FEATURES)) for r in got]
+    feats, sizes = np.concatenate(blocks), np.array([len(b) for b in blocks])
+    crf = LineCrf(np.quantile(feats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T.astype(np.float32))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    cuts = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(first, first[1:])] + [first[-1:]])
+    crf.fit(crf.near(crf.bins(feats), first), cuts, np.repeat([r["good"] for r in got], sizes))
     return crf
 
 
