@@ -165,6 +165,134 @@ def test_media_round_trip():
         assert flac_media.seek(streams[4], a, b) == data[4][a:b]
 
 
+class Writer:
+    """Bits of a frame, for streams that the writer under test never makes."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [value >> (n - 1 - i) & 1 for i in range(n)]
+
+    def bytes(self):
+        self.bits += [0] * (-len(self.bits) % 8)
+        return np.packbits(self.bits).tobytes()
+
+
+def slow_crc(data, poly, bits):
+    c = 0
+    for byte in data:
+        c ^= byte << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ poly if c >> (bits - 1) else c << 1) & ((1 << bits) - 1)
+    return c
+
+
+def foreign_subframe(w, r, s, depth):
+    """Any subframe form that holds the samples."""
+    wasted = 0
+    while all(x % (2 << wasted) == 0 for x in s) and any(s):
+        wasted += 1
+    s, depth = [x >> wasted for x in s], depth - wasted
+    kind = 0 if len(set(s)) == 1 else r.choice([1, 8, 9, 10, 11, 12, 33, 35, 39])
+    order = kind - 31 if kind >= 32 else kind - 8 if kind >= 8 else 0
+    w.put(0, 1), w.put(kind, 6), w.put(bool(wasted), 1)
+    if wasted:
+        w.put(1, wasted)
+    if kind < 8:
+        for x in s if kind else s[:1]:
+            w.put(x, depth)
+        return
+    for x in s[:order]:
+        w.put(x, depth)
+    coefs, shift = {8: [], 9: [1], 10: [2, -1], 11: [3, -3, 1], 12: [4, -6, 4, -1]}.get(kind, []), 0
+    if kind >= 32:
+        precision, shift = r.randrange(5, 13), r.randrange(0, 9)
+        coefs = [r.randrange(-(1 << precision - 1), 1 << precision - 1) >> 2 for _ in range(order)]
+        w.put(precision - 1, 4), w.put(shift, 5)
+        for c in coefs:
+            w.put(c, precision)
+    rest = [x - (sum(c * s[i - 1 - j] for j, c in enumerate(coefs)) >> shift) for i, x in enumerate(s)][order:]
+    method = r.randrange(2)
+    parts = r.choice([p for p in (0, 1, 2, 3) if len(s) % (1 << p) == 0 and len(s) >> p > order])
+    w.put(method, 2), w.put(parts, 4)
+    at = 0
+    for p in range(1 << parts):
+        n = (len(s) >> parts) - (order if p == 0 else 0)
+        part, at = rest[at : at + n], at + n
+        wide = max(x.bit_length() for x in [*part, 0]) + 1
+        if wide < 32 and r.random() < 0.4:
+            w.put((1 << 4 + method) - 1, 4 + method), w.put(wide, 5)
+            for x in part:
+                w.put(x, wide)
+        else:
+            k = min(max(0, wide - 3), 30 if method else 14)
+            w.put(k, 4 + method)
+            for x in part:
+                u = x * 2 if x >= 0 else -x * 2 - 1
+                w.put(1, (u >> k) + 1), w.put(u, k) if k else None
+
+
+def foreign_stream(r, channels, depth, sizes, assignment, points=False, known=True):
+    """(stream, samples by channel)"""
+    frames, every, at, table = b"", [[] for _ in range(channels)], 0, b""
+    for i, size in enumerate(sizes):
+        top = 1 << depth - 1
+        s = [[max(-top, min(top - 1, int(top / 3 * math.sin(k / (3 + c)) + r.randrange(-5, 6)))) for k in range(size)] for c in range(channels)]
+        if i % 3 == 1:
+            s = [[(x >> 2) << 2 for x in c] for c in s]
+        if i % 4 == 3:
+            s[0] = [7] * size
+        code = assignment if channels == 2 and assignment > 7 else channels - 1
+        coded = s
+        if code == 8:
+            coded = [s[0], [a - b for a, b in zip(*s)]]
+        elif code == 9:
+            coded = [[a - b for a, b in zip(*s)], s[1]]
+        elif code == 10:
+            coded = [[(a + b) >> 1 for a, b in zip(*s)], [a - b for a, b in zip(*s)]]
+        head = bytes([0xFF, 0xF9, 0x7D, code << 4 | {8: 1, 12: 2, 16: 4, 20: 5, 24: 6}[depth] << 1]) + chr(at).encode() + (size - 1).to_bytes(2) + (44100).to_bytes(2)
+        w = Writer()
+        for c, x in enumerate(coded):
+            foreign_subframe(w, r, x, depth + ((code, c) in ((8, 1), (9, 0), (10, 1))))
+        frame = head + bytes([slow_crc(head, 7, 8)]) + w.bytes()
+        table += at.to_bytes(8) + len(frames).to_bytes(8) + size.to_bytes(2)
+        frames += frame + slow_crc(frame, 0x8005, 16).to_bytes(2)
+        at += size
+        for c in range(channels):
+            every[c] += s[c]
+    raw = b"".join(x.to_bytes(-(-depth // 8), "little", signed=True) for row in zip(*every) for x in row)
+    info = (16).to_bytes(2) + (4096).to_bytes(2) + bytes(6) + (44100 << 44 | channels - 1 << 41 | depth - 1 << 36 | (at if known else 0)).to_bytes(8) + (hashlib.md5(raw).digest() if known else bytes(16))
+    blocks = (0 if points else 0x80000000).__or__(len(info)).to_bytes(4) + info + ((0x83000000 | len(table)).to_bytes(4) + table if points else b"")
+    return b"fLaC" + blocks + frames, raw
+
+
+@pytest.mark.parametrize("channels, depth, assignment", [(1, 8, 0), (1, 16, 0), (1, 24, 0), (2, 8, 1), (2, 16, 8), (2, 16, 9), (2, 16, 10), (2, 24, 10), (2, 12, 8), (3, 20, 0)])
+def test_foreign_streams(channels, depth, assignment):
+    r = random.Random(depth * channels + assignment)
+    own = flac_media.encode_streams([b"own words " * 300])[0]
+    for points, known in ((False, True), (True, True), (False, False)):
+        stream, raw = foreign_stream(r, channels, depth, [64, 128, 40, 256, 16, 200], assignment, points, known)
+        got, mine = flac_media.stream_blocks([stream, own])
+        assert (got.channels, got.bits) == (channels, depth) and b"".join(x for _, _, x in got.blocks) == raw
+        assert [n for _, n, _ in got.blocks] == [64, 128, 40, 256, 16, 200] and mine == flac_media.stream_blocks([own])[0]
+        wide = channels * -(-depth // 8)
+        for a, b in ((0, 10), (63, 65), (200, 500), (700, 704)):
+            assert flac_media.seek_pcm(stream, a, b) == raw[a * wide : b * wide]
+        broken = bytearray(stream)
+        broken[-9] ^= 16
+        with pytest.raises(ValueError):
+            flac_media.stream_blocks([bytes(broken)])
+
+
+def test_media_columns_of_any_streams(spark):
+    stream, raw = foreign_stream(random.Random(3), 2, 16, [64, 96], 10)
+    media = spark.createDataFrame([(1, bytearray(stream)), (2, None)], "doc_id long, media binary").withColumn("n_bytes", F.lit(1).cast("long"))
+    rows = flac_media.pcm_blocks(media).orderBy("first_sample").collect()
+    assert [(r["first_sample"], r["n_samples"], r["channels"], r["bits"]) for r in rows] == [(0, 64, 2, 16), (64, 96, 2, 16)] and b"".join(bytes(r["pcm"]) for r in rows) == raw
+    assert flac_media.media_features(media.where("media is null")).count() == 0
+
+
 def test_media_damage_is_seen():
     stream = bytearray(flac_media.encode_streams([flac_media.payload("some words here " * 200)[1]])[0])
     first = flac_media.open_stream(bytes(stream)).first
@@ -176,19 +304,11 @@ def test_media_damage_is_seen():
 
 
 def test_checksums():
-    def slow(data, poly, bits):
-        c = 0
-        for byte in data:
-            c ^= byte << (bits - 8)
-            for _ in range(8):
-                c = (c << 1 ^ poly if c >> (bits - 1) else c << 1) & ((1 << bits) - 1)
-        return c
-
     r = random.Random(7)
     data = sorted((bytes(r.randrange(256) for _ in range(r.randrange(1, 40))) for _ in range(30)), key=len, reverse=True)
     rows = np.frombuffer(b"".join(d.ljust(40, b"\0") for d in data), np.uint8).reshape(30, 40)
-    assert flac_media.crc16(rows, np.array([len(d) for d in data])).tolist() == [slow(d, 0x8005, 16) for d in data]
-    assert [flac_media.crc8(d) for d in data] == [slow(d, 7, 8) for d in data]
+    assert flac_media.crc16(rows, np.array([len(d) for d in data])).tolist() == [slow_crc(d, 0x8005, 16) for d in data]
+    assert [flac_media.crc8(d) for d in data] == [slow_crc(d, 7, 8) for d in data]
     assert all(flac_media.coded_number(n) == chr(n).encode() for n in (0, 127, 128, 2047, 2048, 65535, 65536))
 
 

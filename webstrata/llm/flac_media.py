@@ -1,9 +1,11 @@
-"""Media columns: FLAC streams of 8-bit mono samples, written and read in numpy.
+"""Media columns: FLAC streams, written as 8-bit mono samples in numpy, read whatever their form.
 
 Many frames are worked on at once, sample by sample: encoder and decoder hold one lane a frame.
-Streams are plain FLAC (fixed block size, seek table with a point for every frame); the reader
-checks the header CRC-8 and the frame CRC-16 of every frame it touches and the stream's MD5 where
-it reads a whole stream.
+Streams written here have a fixed block size and a seek table with a point for every frame; the
+lanes read such streams.  All others (more bits or channels, decorrelated stereo, wasted bits,
+escaped partitions, either residual method, no seek table, changing block sizes) are read frame by
+frame.  Both readers check the header CRC-8 and the frame CRC-16 of every frame they touch, and the
+stream's MD5 where they read a whole stream that has one.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -94,9 +97,13 @@ class Frame(NamedTuple):
     body: int  # offset of the subframe's type byte in the frame
 
 
+class Foreign(ValueError):
+    """A frame that the lanes don't read."""
+
+
 def read_header(frame: bytes) -> Frame:
     if frame[:2] != b"\xff\xf8" or frame[3] != 0x02:
-        raise ValueError("not a frame of 8-bit mono samples with fixed block size")
+        raise Foreign("not a frame of 8-bit mono samples with fixed block size")
     at = 5
     while frame[at] & 0xC0 == 0x80:
         at += 1
@@ -109,6 +116,8 @@ def read_header(frame: bytes) -> Frame:
         size = 192 if code == 1 else 576 << (code - 2) if code < 6 else 256 << (code - 8)
     if crc8(frame[:at]) != frame[at]:
         raise ValueError("header checksum differs")
+    if frame[at + 1] & 1:
+        raise Foreign("wasted bits")
     return Frame(size, frame[at + 1] >> 1, at + 1)
 
 
@@ -247,11 +256,19 @@ def encode_streams(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
 
 class Stream(NamedTuple):
     data: bytes
-    total: int
+    channels: int
+    bits: int
+    total: int  # samples of a channel, 0 if unknown
     md5: bytes
     points: list[tuple[int, int, int]]  # first sample, offset from the first frame, samples
     first: int
 
+    @property
+    def laned(self) -> bool:
+        """8-bit mono with a point for every frame."""
+        ends = [s + n for s, _, n in self.points]
+        return self.channels == 1 and self.bits == 8 and bool(ends) and [p[0] for p in self.points] == [0, *ends[:-1]] and ends[-1] == self.total
+
     def frames(self, start: int = 0, stop: int | None = None) -> list[bytes]:
         """The frames that hold samples start..stop, found by the seek table."""
         stop = self.total if stop is None else stop
@@ -264,36 +281,43 @@ def open_stream(data: bytes) -> Stream:
         raise ValueError("not a FLAC stream")
     at, last, points, info = 4, False, [], b""
     while not last:
-        (head,) = struct.unpack(">I", data[at : at + 4])
+        head = int.from_bytes(data[at : at + 4])
         last, kind, size = bool(head >> 31), head >> 24 & 0x7F, head & 0xFFFFFF
         block = data[at + 4 : at + 4 + size]
+        if len(block) < size or at + 4 > len(data):
+            raise ValueError("the stream is cut short")
         if kind == 0:
             info = block
         elif kind == 3:
             points = [p for p in struct.iter_unpack(">QQH", block) if p[0] != 0xFFFFFFFFFFFFFFFF]
         at += 4 + size
-    return Stream(data, int.from_bytes(info[10:18]) & (1 << 36) - 1, info[18:34], points, at)
+    if len(info) != 34:
+        raise ValueError("the stream has no header block")
+    packed = int.from_bytes(info[10:18])
+    return Stream(data, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, info[18:34], points, at)
 
 
 def decode_frames(frames: list[bytes]) -> list[bytes]:
-    """Payload bytes of each frame, checksums verified."""
+    """Samples of each frame as signed bytes, checksums verified."""
     rows, length, order = lanes(frames)
     said = rows[np.arange(len(rows)), length - 2].astype(np.int64) << 8 | rows[np.arange(len(rows)), length - 1]
+    heads = [read_header(f) for f in frames]
     if (crc16(rows, length - 2) != said).any():
         raise ValueError("a frame's checksum differs")
-    heads = [read_header(f) for f in frames]
     out: list[bytes] = [b""] * len(frames)
-    groups: dict[int, list[int]] = {}
+    groups: dict[tuple[int, int], list[int]] = {}
     for i, (h, f) in enumerate(zip(heads, frames, strict=True)):
         if h.kind == 0:
-            out[i] = bytes([f[h.body + 1] ^ 0x80]) * h.size
+            out[i] = f[h.body + 1 : h.body + 2] * h.size
         elif h.kind == 1:
-            out[i] = (np.frombuffer(f, np.uint8, h.size, h.body + 1) ^ 0x80).tobytes()
+            out[i] = f[h.body + 1 : h.body + 1 + h.size]
         elif 8 <= h.kind <= 12 or h.kind >= 32:
-            groups.setdefault(h.kind, []).append(i)
+            # lanes of one group share precision and shift, which follow the warm-up samples
+            at = h.body + 1 + order_of(h.kind)
+            groups.setdefault((h.kind, int.from_bytes(f[at : at + 2]) >> 7 if h.kind >= 32 else 0), []).append(i)
         else:
             raise ValueError(f"subframe type {h.kind}")
-    for kind, members in groups.items():
+    for (kind, _), members in groups.items():
         members.sort(key=lambda i: -heads[i].size)
         for i, row in zip(members, decode_lanes([frames[i][heads[i].body :] for i in members], np.array([heads[i].size for i in members]), kind), strict=True):
             out[i] = row
@@ -322,16 +346,13 @@ def decode_lanes(bodies: list[bytes], sizes: np.ndarray, kind: int) -> list[byte
         s[t] = signed(take(n, 8), 8)
     coefs, shift = [], 0
     if kind >= 32:
-        precision = take(n, 4) + 1
-        shift_of = take(n, 5)
-        if (precision != precision[0]).any() or (shift_of != shift_of[0]).any():
-            raise ValueError("lanes of one group must share precision and shift")
-        shift = int(shift_of[0])
-        coefs = [signed(take(n, int(precision[0])), int(precision[0])) for _ in range(order)]
+        precision = int(take(n, 4)[0]) + 1
+        shift = int(take(n, 5)[0])
+        coefs = [signed(take(n, precision), precision) for _ in range(order)]
     elif order:
-        coefs = [np.full(n, c) for c in ((1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))[order - 1]]
+        coefs = [np.full(n, c) for c in FIXED[order]]
     if take(n, 2).any():
-        raise ValueError("residual coding method")
+        raise Foreign("residual coding method")
     parts = 1 << take(n, 4)
     k = np.zeros(n, np.int64)
     active = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right")
@@ -346,7 +367,7 @@ def decode_lanes(bodies: list[bytes], sizes: np.ndarray, kind: int) -> list[byte
                 k[new] = (words[p >> 3] << (p & 7).astype(np.uint32)) >> np.uint32(28)
                 at[new] += 4
                 if (k[new] == 15).any():
-                    raise ValueError("escaped partitions aren't supported")
+                    raise Foreign("escaped partition")
         p = at[:a]
         x = words[p >> 3] << (p & 7).astype(np.uint32)
         q = _ZEROS[x >> np.uint32(16)]
@@ -368,41 +389,213 @@ def decode_lanes(bodies: list[bytes], sizes: np.ndarray, kind: int) -> list[byte
                 guess += coefs[j][:a] * s[t - 1 - j, :a]
             r += guess >> shift
         s[t, :a] = r
-    done = np.ascontiguousarray((s + 128).astype(np.uint8).T)
+    done = np.ascontiguousarray(s.astype(np.int8).T)
     return [row[:m].tobytes() for row, m in zip(done, sizes.tolist(), strict=True)]
 
 
-def stream_blocks(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
-    """(first sample, payload bytes) of every frame of each stream, every checksum verified."""
+class Bits:
+    """Bits of a frame, read from the highest on."""
+
+    def __init__(self, data: bytes, at: int) -> None:
+        self.data, self.at = data, at * 8
+
+    def take(self, n: int) -> int:
+        end = self.at + n
+        if end > len(self.data) * 8:
+            raise ValueError("the stream is cut short")
+        value = int.from_bytes(self.data[self.at >> 3 : (end + 7) >> 3]) >> (-end & 7)
+        self.at = end
+        return value & ((1 << n) - 1)
+
+    def signed(self, n: int) -> int:
+        value = self.take(n)
+        return value - (value >> (n - 1) << n) if n else 0
+
+    def zeros(self) -> int:
+        """Zeros up to the next one, which is read too."""
+        n = 0
+        while True:
+            left = 8 - (self.at & 7)
+            byte = self.take(left)
+            if byte:
+                used = left - byte.bit_length() + 1
+                self.at -= left - used
+                return n + used - 1
+            n += left
+
+
+# The format's codes of sample sizes, coefficients of its fixed predictors, channel codes of decorrelated stereo.
+SAMPLE_BITS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
+FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
+LEFT_SIDE, SIDE_RIGHT, MID_SIDE = 8, 9, 10
+
+
+def read_residuals(bits: Bits, size: int, order: int) -> list[int]:
+    width = {0: 4, 1: 5}.get(bits.take(2))
+    if width is None:
+        raise ValueError("residual coding method")
+    parts = 1 << bits.take(4)
+    out: list[int] = []
+    for p in range(parts):
+        count = size // parts - (order if p == 0 else 0)
+        k = bits.take(width)
+        if k == (1 << width) - 1:
+            raw = bits.take(5)
+            out += [bits.signed(raw) for _ in range(count)]
+            continue
+        for _ in range(count):
+            u = bits.zeros() << k | bits.take(k)
+            out.append((u >> 1) ^ -(u & 1))
+    return out
+
+
+def read_subframe(bits: Bits, size: int, depth: int) -> np.ndarray:
+    head = bits.take(8)
+    kind, wasted = head >> 1, bits.zeros() + 1 if head & 1 else 0
+    if head & 0x80:
+        raise ValueError("no subframe")
+    depth -= wasted
+    if kind == 0:
+        s = [bits.signed(depth)] * size
+    elif kind == 1:
+        s = [bits.signed(depth) for _ in range(size)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = order_of(kind)
+        s = [bits.signed(depth) for _ in range(order)]
+        coefs, shift = FIXED[order] if kind < 32 else (), 0
+        if kind >= 32:
+            precision = bits.take(4) + 1
+            shift = bits.signed(5)
+            if precision == 16 or shift < 0:
+                raise ValueError("linear predictor")
+            coefs = [bits.signed(precision) for _ in range(order)]
+        for r in read_residuals(bits, size, order):
+            s.append(r + (sum(c * x for c, x in zip(coefs, reversed(s[len(s) - order :] if order else []))) >> shift))
+    else:
+        raise ValueError(f"subframe type {kind}")
+    return np.array(s, np.int64) << wasted
+
+
+def read_frame(stream: Stream, at: int) -> tuple[int, np.ndarray, int]:
+    """(first sample, or the frame's number where block sizes are fixed; samples, one row a channel; place behind the frame)."""
+    data = stream.data
+    if int.from_bytes(data[at : at + 2]) & 0xFFFE != 0xFFF8:
+        raise ValueError("no frame")
+    code, rate, channel, depth = data[at + 2] >> 4, data[at + 2] & 15, data[at + 3] >> 4, SAMPLE_BITS.get(data[at + 3] >> 1 & 7, stream.bits)
+    bits = Bits(data, at + 4)
+    lead = bits.take(8)
+    more = 8 - (lead ^ 0xFF).bit_length()
+    number = lead & 0x7F >> more
+    for _ in range(more - 1):
+        number = number << 6 | bits.take(8) & 0x3F
+    if code in (6, 7):
+        size = bits.take(8 * (code - 5)) + 1
+    else:
+        size = 192 if code == 1 else 576 << (code - 2) if code < 6 else 256 << (code - 8)
+    bits.take({12: 8, 13: 16, 14: 16}.get(rate, 0))
+    if crc8(data[at : bits.at >> 3]) != bits.take(8):
+        raise ValueError("header checksum differs")
+    n = channel + 1 if channel < LEFT_SIDE else 2
+    side = {LEFT_SIDE: 1, SIDE_RIGHT: 0, MID_SIDE: 1}.get(channel, -1)
+    s = np.stack([read_subframe(bits, size, depth + (c == side)) for c in range(n)])
+    if channel == LEFT_SIDE:
+        s[1] = s[0] - s[1]
+    elif channel == SIDE_RIGHT:
+        s[0] += s[1]
+    elif channel == MID_SIDE:
+        mid = s[0] << 1 | s[1] & 1
+        s[0], s[1] = (mid + s[1]) >> 1, (mid - s[1]) >> 1
+    end = (bits.at + 7) >> 3
+    frame = np.frombuffer(data[at:end].ljust(end - at + (end - at & 1), b"\0"), np.uint8)[None, :]
+    if end + 2 > len(data) or int(crc16(frame, np.array([end - at]))[0]) != int.from_bytes(data[end : end + 2]):
+        raise ValueError("a frame's checksum differs")
+    return number, s, end + 2
+
+
+def packed(samples: np.ndarray, bits: int) -> bytes:
+    """Interleaved little-endian signed samples, as few whole bytes each as hold the bits."""
+    wide = -(-bits // 8)
+    return np.ascontiguousarray(samples.T.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+
+
+class Pcm(NamedTuple):
+    """A stream's samples: channels, bits of a sample, (first sample, samples, interleaved signed bytes) of every frame."""
+
+    channels: int
+    bits: int
+    blocks: list[tuple[int, int, bytes]]
+
+
+def read_frames(s: Stream, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """Frames one after another that hold samples start..stop, from the last seek point before them on."""
+    first, at = max(((p[0], s.first + p[1]) for p in s.points if p[0] <= start), default=(0, s.first))
+    while at < len(s.data) and (stop is None or first < stop) and (not s.total or first < s.total):
+        _, samples, at = read_frame(s, at)
+        if first + samples.shape[1] > start:
+            yield first, samples.shape[1], packed(samples, s.bits)
+        first += samples.shape[1]
+
+
+def stream_blocks(streams: list[bytes]) -> list[Pcm]:
+    """Every frame of each stream, every checksum verified."""
     opened = [open_stream(s) for s in streams]
-    frames = [s.frames() for s in opened]
+    frames = [s.frames() if s.laned else [] for s in opened]
     flat = [f for fs in frames for f in fs]
     step = max(1, CHUNK // BLOCK)
-    blocks = [b for c in range(0, len(flat), step) for b in decode_frames(flat[c : c + step])]
+    try:
+        fast: list[bytes] | None = [b for c in range(0, len(flat), step) for b in decode_frames(flat[c : c + step])]
+    except Foreign:
+        if len(streams) > 1:
+            return [x for s in streams for x in stream_blocks([s])]
+        fast = None
     out, at = [], 0
     for s, fs in zip(opened, frames, strict=True):
-        mine = blocks[at : at + len(fs)]
-        at += len(fs)
-        data = b"".join(mine)
-        if len(data) != s.total or hashlib.md5((np.frombuffer(data, np.uint8) ^ 0x80).tobytes()).digest() != s.md5:
+        if s.laned and fast is not None:
+            mine = fast[at : at + len(fs)]
+            at += len(fs)
+            starts = np.cumsum([0, *map(len, mine)])[:-1].tolist()
+            if [p[0] for p in s.points] != starts:
+                raise ValueError("the seek table differs from the stream's blocks")
+            blocks = [(a, len(x), x) for a, x in zip(starts, mine, strict=True)]
+        else:
+            blocks = list(read_frames(s))
+            if not {p[0] for p in s.points} <= {b[0] for b in blocks}:
+                raise ValueError("the seek table differs from the stream's blocks")
+        data = b"".join(x for _, _, x in blocks)
+        if (s.total and sum(n for _, n, _ in blocks) != s.total) or (any(s.md5) and hashlib.md5(data).digest() != s.md5):
             raise ValueError("the stream's samples differ from its digest")
-        starts = [p[0] for p in s.points]
-        if starts != np.cumsum([0, *map(len, mine)])[:-1].tolist():
-            raise ValueError("the seek table differs from the stream's blocks")
-        out.append(list(zip(starts, mine, strict=True)))
+        out.append(Pcm(s.channels, s.bits, blocks))
     return out
 
 
 def decode_streams(streams: list[bytes]) -> list[bytes]:
-    """Whole payloads, every checksum verified."""
-    return [b"".join(b for _, b in blocks) for blocks in stream_blocks(streams)]
+    """Whole payloads of streams as ``encode_streams`` makes them, every checksum verified."""
+    return [to_payload(b"".join(x for _, _, x in pcm.blocks)) for pcm in stream_blocks(streams)]
 
 
-def seek(stream: bytes, start: int, stop: int) -> bytes:
-    """Payload bytes start..stop; only the frames that hold them are decoded."""
+def seek_pcm(stream: bytes, start: int, stop: int) -> bytes:
+    """Interleaved samples start..stop; only frames from the last seek point before them on are decoded."""
     s = open_stream(stream)
-    hit = [p for p in s.points if p[0] < stop and p[0] + p[2] > start]
-    return b"".join(decode_frames(s.frames(start, stop)))[start - hit[0][0] :][: stop - start] if hit else b""
+    size = s.channels * -(-s.bits // 8)
+    hit: list[tuple[int, int, bytes]]
+    try:
+        if not s.laned:
+            raise Foreign
+        points = [p for p in s.points if p[0] < stop and p[0] + p[2] > start]
+        hit = [(p[0], p[2], x) for p, x in zip(points, decode_frames(s.frames(start, stop)) if points else [], strict=True)]
+    except Foreign:
+        hit = list(read_frames(s, start, stop))
+    return b"".join(x for _, _, x in hit)[(start - hit[0][0]) * size :][: (stop - start) * size] if hit else b""
+
+
+def seek(stream: bytes, start: int, stop: int) -> bytes:
+    """Payload bytes start..stop."""
+    return to_payload(seek_pcm(stream, start, stop))
+
+
+def to_payload(pcm: bytes) -> bytes:
+    """Payload bytes of 8-bit samples: 128 is silence."""
+    return (np.frombuffer(pcm, np.uint8) ^ 0x80).tobytes()
 
 
 def payload(text: str) -> tuple[int, bytes]:
@@ -441,20 +634,24 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """doc_id, first_sample, n_samples, pcm (signed 8-bit): one row a frame, seekable by sample offset."""
+    """doc_id, first_sample, n_samples, channels, bits, pcm (interleaved signed little-endian): one row a frame, seekable by sample offset.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    media: (doc_id, media) with FLAC streams of any form; a null stream has no rows, a damaged one raises.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, media = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         found = [x for a, b in _parts([len(m) for m in media]) for x in stream_blocks(media[a:b])]
-        rows = [(i, first, len(x), (np.frombuffer(x, np.uint8) ^ 0x80).tobytes()) for i, blocks in zip(ids, found, strict=True) for first, x in blocks]
-        a, b, c, d = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["doc_id", "first_sample", "n_samples", "pcm"])
+        rows = [(i, first, n, pcm.channels, pcm.bits, x) for i, pcm in zip(ids, found, strict=True) for first, n, x in pcm.blocks]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = ["doc_id", "first_sample", "n_samples", "channels", "bits", "pcm"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names) if rows else None
 
-    return map_arrow(media.select("doc_id", "media"), run, "doc_id long, first_sample long, n_samples long, pcm binary")
+    return map_arrow(media.select("doc_id", "media").where("media is not null"), run, "doc_id long, first_sample long, n_samples long, channels int, bits int, pcm binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests and features of (doc_id, n_bytes, media), from the decoded streams."""
+    """Digests and features of (doc_id, n_bytes, media) as ``to_media`` makes them, from the decoded streams; rows without a stream go."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         media = batch.column(2).to_pylist()
@@ -472,4 +669,4 @@ def media_features(media: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_pydict(cols)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_arrow(media, run, schema)
+    return map_arrow(media.select("doc_id", "n_bytes", "media").where("media is not null"), run, schema)
