@@ -215,11 +215,16 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PRE
             sizes.append(n)
             parts.append((t + a, key, m << 32 | near << 16 | far))
         t, key, spot = (np.concatenate(c) for c in zip(*parts, strict=True))
-        ends = pa.array(np.searchsorted(t, np.arange(len(texts) + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (key, spot)]
+        # a text's equal prefixes travel as one row, however often it repeats itself
+        order = np.lexsort((key, t))
+        t, key, spot = t[order], key[order], spot[order]
+        new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])])) if len(t) else t
+        each = pa.ListArray.from_arrays(pa.array(np.append(new, len(t)).astype(np.int32)), pa.array(spot))
+        ends = pa.array(np.searchsorted(t[new], np.arange(len(texts) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, v) for v in (pa.array(key[new]), each)]
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate(sizes)), *lists], names=["doc_id", "c1", "c2", "n_words", "prefixes", "spots"])
 
-    signed = map_arrow(base, retain, "doc_id long, c1 long, c2 long, n_words long, prefixes array<long>, spots array<long>")
+    signed = map_arrow(base, retain, "doc_id long, c1 long, c2 long, n_words long, prefixes array<long>, spots array<array<long>>")
     signed = stored(signed.withColumn("row_no", F.monotonically_increasing_id()), "suffixes").where(F.col("n_words") >= passage)
     kept = signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("row_no").alias("rep_no"))
     order = [F.col("first_id").isNull(), F.col("first_id"), F.col("c1"), F.col("c2")]
@@ -227,9 +232,9 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PRE
     contents = stored(kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()), "contents")
 
     listed = signed.select("row_no", "prefixes", "spots").join(contents.select("rep_no", "ord"), F.col("row_no") == F.col("rep_no"))
-    suffixes = stored(listed.select("ord", F.explode(F.arrays_zip("prefixes", "spots")).alias("x")).select("ord", F.col("x.prefixes").alias("prefix"), F.col("x.spots").alias("spot")), "listed")
+    suffixes = stored(listed.select("ord", F.explode(F.arrays_zip("prefixes", "spots")).alias("x")).select("ord", F.col("x.prefixes").alias("prefix"), F.col("x.spots").alias("spots")), "listed")
     shared = suffixes.groupBy(F.col("prefix").alias("p")).agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a <> b").select("p")
-    spots = suffixes.join(shared, F.col("prefix") == F.col("p"), "left_semi").groupBy(F.col("ord").alias("s_ord")).agg(F.collect_list("spot").alias("spots"))
+    spots = suffixes.join(shared, F.col("prefix") == F.col("p"), "left_semi").groupBy(F.col("ord").alias("s_ord")).agg(F.flatten(F.collect_list("spots")).alias("spots"))
     number = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     wanted = spots.join(contents, F.col("s_ord") == F.col("ord")).select(F.col("c1").alias("w1"), F.col("c2").alias("w2"), number(F.col("first_id")).alias("w_id"), "ord", "first_id", "spots")
     # one row of each wanted text
