@@ -156,6 +156,9 @@ def payloads():
 
 def test_media_round_trip():
     data = list(payloads())
+    ranked = flac_media.encode_streams(data, levels="ranks")
+    assert flac_media.decode_streams(ranked) == data and flac_media.seek(ranked[1], 7, 99) == data[1][7:99]
+    assert len(ranked[-1]) < len(flac_media.encode_streams(data[-1:])[0])
     streams = flac_media.encode_streams(data)
     assert flac_media.decode_streams(streams) == data
     assert [flac_media.encode_streams([d])[0] for d in data] == streams  # equal texts, equal streams, whatever stands beside them
@@ -324,7 +327,7 @@ def test_media_query(spark, odd):
         assert by[r["payload_sha256"]] == (r["payload_bytes"], r["tail_crc32"]) and r["n_bytes"] <= r["payload_bytes"]
     same = [r for r in got if r["doc_id"] == 2]
     assert len(same) == 2 and same[0] == same[1]
-    blocks = flac_media.pcm_blocks(flac_media.to_media(odd.where("doc_id = 8"))).orderBy("first_sample").collect()
+    blocks = flac_media.pcm_blocks(flac_media.to_media(odd.where("doc_id = 8"), levels="plain")).orderBy("first_sample").collect()
     assert b"".join(bytes(b ^ 0x80 for b in r["pcm"]) for r in blocks).rstrip(b"\0").decode() == dict(ODD)[8]
     assert [r["first_sample"] for r in blocks] == list(range(0, 1024 * len(blocks), 1024))
 

@@ -30,6 +30,24 @@ CHUNK = 1 << 21
 LPC_ORDER, LPC_BITS = 4, 12
 LAST_BYTES = 64
 
+#: Bytes that text holds most, the commonest first: the space, then letters in the order of type-setting machines.
+COMMON = b" etaoinshrdlucmfwypvbgkqjxz"
+# Fixed value: id of the stream's application block that says its samples are ranks of bytes.
+RANKED = b"rnk1"
+
+
+def _ranked() -> np.ndarray:
+    """Sample (as unsigned byte) of each byte: 0, -1, 1, -2, 2, ... in order of rank; common ones first, the others by value."""
+    order = np.array([*COMMON, *(b for b in range(256) if b not in COMMON)])
+    rank = np.empty(256, np.int64)
+    rank[order] = np.arange(256)
+    return ((rank >> 1) ^ -(rank & 1)).astype(np.int8).view(np.uint8)
+
+
+#: Signed samples of bytes and the way back: 128 is silence, or (``ranks``) common bytes are near silence, as companding has common levels.
+SAMPLES = {"plain": np.arange(256, dtype=np.uint8) ^ np.uint8(0x80), "ranks": _ranked()}
+BYTES = {k: np.argsort(v).astype(np.uint8) for k, v in SAMPLES.items()}
+
 # Generators of the format's checksums.
 CRC8_POLY, CRC16_POLY = 0x07, 0x8005
 
@@ -227,18 +245,19 @@ def lanes(frames: list[bytes], spare: int = 8) -> tuple[np.ndarray, np.ndarray,
     return np.frombuffer(b"".join(frames[i].ljust(wide, b"\0") for i in order.tolist()), np.uint8).reshape(len(frames), wide), size[order], order
 
 
-def encode_streams(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
-    """One FLAC stream a payload; no payload may be empty.  Bytes are samples, 128 is silence."""
+def encode_streams(payloads: list[bytes], block: int = BLOCK, levels: str = "plain") -> list[bytes]:
+    """One FLAC stream a payload; no payload may be empty.  levels: a key of SAMPLES."""
     cuts = [(p, i, a) for p, data in enumerate(payloads) for i, a in enumerate(range(0, len(data), block))]
+    pcm = [SAMPLES[levels][np.frombuffer(data, np.uint8)].tobytes() for data in payloads]
     frames: list[bytes] = []
     for c in range(0, len(cuts), max(1, CHUNK // block)):
         part = cuts[c : c + max(1, CHUNK // block)]
-        sizes = np.array([min(block, len(payloads[p]) - a) for p, _, a in part])
-        raw = b"".join(payloads[p][a : a + block].ljust(block, b"\x80") for p, _, a in part)
-        samples = np.frombuffer(raw, np.uint8).reshape(len(part), block).astype(np.int64) - 128
-        frames += encode_frames(samples, sizes, [i for _, i, _ in part])
+        sizes = np.array([min(block, len(pcm[p]) - a) for p, _, a in part])
+        raw = b"".join(pcm[p][a : a + block].ljust(block, b"\0") for p, _, a in part)
+        frames += encode_frames(np.frombuffer(raw, np.int8).reshape(len(part), block).astype(np.int64), sizes, [i for _, i, _ in part])
+    mark = struct.pack(">I", 2 << 24 | len(RANKED)) + RANKED if levels == "ranks" else b""
     out, at = [], 0
-    for data in payloads:
+    for data in pcm:
         mine = frames[at : at + -(-len(data) // block)]
         at += len(mine)
         points, offset = [], 0
@@ -246,11 +265,10 @@ def encode_streams(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
             points.append(struct.pack(">QQH", i * block, offset, min(block, len(data) - i * block)))
             offset += len(f)
         sizes = [len(f) for f in mine]
-        signed = (np.frombuffer(data, np.uint8) ^ 0x80).tobytes()
         rate = (RATE << 44) | (7 << 36) | len(data)
-        info = struct.pack(">HH", max(16, block), max(16, block)) + min(sizes).to_bytes(3) + max(sizes).to_bytes(3) + rate.to_bytes(8) + hashlib.md5(signed).digest()
+        info = struct.pack(">HH", max(16, block), max(16, block)) + min(sizes).to_bytes(3) + max(sizes).to_bytes(3) + rate.to_bytes(8) + hashlib.md5(data).digest()
         table = b"".join(points)
-        out.append(b"fLaC" + struct.pack(">I", len(info)) + info + struct.pack(">I", 0x83 << 24 | len(table)) + table + b"".join(mine))
+        out.append(b"fLaC" + struct.pack(">I", len(info)) + info + mark + struct.pack(">I", 0x83 << 24 | len(table)) + table + b"".join(mine))
     return out
 
 
@@ -262,6 +280,7 @@ class Stream(NamedTuple):
     md5: bytes
     points: list[tuple[int, int, int]]  # first sample, offset from the first frame, samples
     first: int
+    levels: str = "plain"
 
     @property
     def laned(self) -> bool:
@@ -279,7 +298,7 @@ class Stream(NamedTuple):
 def open_stream(data: bytes) -> Stream:
     if data[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
-    at, last, points, info = 4, False, [], b""
+    at, last, points, info, levels = 4, False, [], b"", "plain"
     while not last:
         head = int.from_bytes(data[at : at + 4])
         last, kind, size = bool(head >> 31), head >> 24 & 0x7F, head & 0xFFFFFF
@@ -290,11 +309,13 @@ def open_stream(data: bytes) -> Stream:
             info = block
         elif kind == 3:
             points = [p for p in struct.iter_unpack(">QQH", block) if p[0] != 0xFFFFFFFFFFFFFFFF]
+        elif kind == 2 and block == RANKED:
+            levels = "ranks"
         at += 4 + size
     if len(info) != 34:
         raise ValueError("the stream has no header block")
     packed = int.from_bytes(info[10:18])
-    return Stream(data, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, info[18:34], points, at)
+    return Stream(data, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, info[18:34], points, at, levels)
 
 
 def decode_frames(frames: list[bytes]) -> list[bytes]:
@@ -519,11 +540,12 @@ def packed(samples: np.ndarray, bits: int) -> bytes:
 
 
 class Pcm(NamedTuple):
-    """A stream's samples: channels, bits of a sample, (first sample, samples, interleaved signed bytes) of every frame."""
+    """A stream's samples: channels, bits of a sample, (first sample, samples, interleaved signed bytes) of every frame; what 8-bit samples stand for."""
 
     channels: int
     bits: int
     blocks: list[tuple[int, int, bytes]]
+    levels: str
 
 
 def read_frames(s: Stream, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, int, bytes]]:
@@ -564,13 +586,13 @@ def stream_blocks(streams: list[bytes]) -> list[Pcm]:
         data = b"".join(x for _, _, x in blocks)
         if (s.total and sum(n for _, n, _ in blocks) != s.total) or (any(s.md5) and hashlib.md5(data).digest() != s.md5):
             raise ValueError("the stream's samples differ from its digest")
-        out.append(Pcm(s.channels, s.bits, blocks))
+        out.append(Pcm(s.channels, s.bits, blocks, s.levels))
     return out
 
 
 def decode_streams(streams: list[bytes]) -> list[bytes]:
     """Whole payloads of streams as ``encode_streams`` makes them, every checksum verified."""
-    return [to_payload(b"".join(x for _, _, x in pcm.blocks)) for pcm in stream_blocks(streams)]
+    return [to_payload(b"".join(x for _, _, x in pcm.blocks), pcm.levels) for pcm in stream_blocks(streams)]
 
 
 def seek_pcm(stream: bytes, start: int, stop: int) -> bytes:
@@ -590,12 +612,12 @@ def seek_pcm(stream: bytes, start: int, stop: int) -> bytes:
 
 def seek(stream: bytes, start: int, stop: int) -> bytes:
     """Payload bytes start..stop."""
-    return to_payload(seek_pcm(stream, start, stop))
+    return to_payload(seek_pcm(stream, start, stop), open_stream(stream).levels)
 
 
-def to_payload(pcm: bytes) -> bytes:
-    """Payload bytes of 8-bit samples: 128 is silence."""
-    return (np.frombuffer(pcm, np.uint8) ^ 0x80).tobytes()
+def to_payload(pcm: bytes, levels: str = "plain") -> bytes:
+    """Payload bytes of 8-bit samples."""
+    return BYTES[levels][np.frombuffer(pcm, np.uint8)].tobytes()
 
 
 def payload(text: str) -> tuple[int, bytes]:
@@ -621,12 +643,16 @@ def _parts(sizes: list[int]) -> list[tuple[int, int]]:
     return out + ([(start, len(sizes))] if start < len(sizes) else [])
 
 
-def to_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each text's payload as a FLAC stream.  Null texts count as empty."""
+def to_media(docs: DataFrame, levels: str = "ranks") -> DataFrame:
+    """doc_id, n_bytes, media: each text's payload as a FLAC stream.  Null texts count as empty.
+
+    levels: "plain" for bytes as they are, "ranks" for samples that are small where bytes are
+    common in text, which Rice codes make shorter; the stream says which, and readers undo it.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [payload(t) for t in batch.column(1).to_pylist()]
-        media = [m for a, b in _parts([len(p) for _, p in made]) for m in encode_streams([p for _, p in made[a:b]])]
+        media = [m for a, b in _parts([len(p) for _, p in made]) for m in encode_streams([p for _, p in made[a:b]], levels=levels)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
