@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+import pickle
 import random
 from datetime import datetime
 
@@ -7,16 +9,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from webstrata import derived, sinks
-from webstrata.api import Archive
+from webstrata.api import Archive, Settings
 from webstrata.cli import main, parser, rendered, run
-from webstrata.errors import BudgetExhaustedError
+from webstrata.errors import BudgetExhaustedError, ConfigError, IndexTooLargeError, NotFoundError, ParseError
 from webstrata.operators import budget, cache, payload, reduce
 from webstrata.operators.sampling import Sampling, sample
 from webstrata.plans.query import MatchType, UrlQuery
 from webstrata.queries import page_records
 from webstrata.schema import CAPTURE, COLUMNS
 from webstrata.sources import captures as src
+from webstrata.sources.paged import read_pages, requests_of
 from webstrata.sources.ranges import read_ranges
+from webstrata.transport import HttpTransport, Politeness, answer_name
 
 
 def timeline(spark, digests, key="k"):
@@ -31,8 +35,8 @@ def offsets(df):
 @pytest.mark.parametrize(
     ("policy", "most", "digests", "want"),
     [
-        ("unique-digest", 8, "xxy", [0, 2]), ("first-last", 8, "xyz", [0, 2]), ("first-last", 8, "x", [0]), ("first-last-digest", 8, "xxyyz", [0, 2, 4]), ("first-last-digest", 8, "xyx", [0, 1, 2]),
-        ("first-last-digest", 8, "xxxx", [0, 3]), ("adaptive", 3, "abcdefghij", [0, 4, 9]), ("adaptive", 1, "abc", [0]), ("adaptive", 0, "abc", [0, 1, 2]), ("all", 8, "xx", [0, 1]),
+        ("unique-digest", 8, "pqpqr", [0, 1, 4]), ("first-last", 8, "ppqp", [0, 3]), ("first-last", 8, "q", [0]), ("first-last-digest", 8, "pppqqp", [0, 3, 5]), ("first-last-digest", 8, "pqqpp", [0, 1, 3, 4]),
+        ("first-last-digest", 8, "ppppp", [0, 4]), ("adaptive", 4, "pqrstuv", [0, 2, 4, 6]), ("adaptive", 1, "pqr", [0]), ("adaptive", 0, "pqrs", [0, 1, 2, 3]), ("adaptive", 2, "ppqqq", [0, 4]), ("all", 8, "ppq", [0, 1, 2]),
     ],
 )
 def test_sampling(spark, policy, most, digests, want):
@@ -51,25 +55,67 @@ def test_sampling_plan_shuffles_once(spark, sf_dir):
     assert text.count("hashpartitioning(urlkey") == 1
 
 
-def test_index_scan_pushes_filters(spark, tmp_path, sf_dir):
-    root = str(tmp_path)
-    c = derived.captures(spark, sf_dir)
-    table = c.select(
-        F.col("urlkey").alias("url_surtkey"), "url", F.col("timestamp").cast("timestamp").alias("fetch_time"), F.col("status").alias("fetch_status"), F.col("mime").alias("content_mime_type"),
-        F.col("mime_detected").alias("content_mime_detected"), F.array_join("languages", ",").alias("content_languages"), F.col("digest").alias("content_digest"),
-        F.col("filename").alias("warc_filename"), F.col("offset").alias("warc_record_offset"), F.col("length").alias("warc_record_length"), "crawl", F.lit("warc").alias("subset"),
-    )
-    table.write.partitionBy("crawl", "subset").parquet(f"{root}/{src.INDEX_PATH}")
-    assert src.partition_path("CC-MAIN-2026-30").endswith("crawl=CC-MAIN-2026-30/subset=warc")
-    archive = Archive(spark, src.read_index(spark, root), derived.crawls(spark))
-    query = UrlQuery.domain("example.com").status(200).in_crawls("latest")
-    want = Archive(spark, c, derived.crawls(spark)).search(query)
-    got = archive.search(query)
-    assert got.select(*COLUMNS[:3]).exceptAll(want.select(*COLUMNS[:3])).count() == 0 and got.count() == want.count() > 0
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(subset" in plan and "crawl" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
-    assert "GreaterThanOrEqual(url_surtkey" in plan or "url_surtkey" in plan.split("PushedFilters")[1]
-    assert "Python" not in plan
+def scan_of(df):
+    """(pushed filters, partition filters, columns read) of a plan's Parquet scan."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    text = next(x for x in text.splitlines() if "FileScan parquet" in x and "url_surtkey" in x)
+    part = lambda name: text.split(name + ": ")[1]
+    return part("PushedFilters").split("], ReadSchema")[0], part("PartitionFilters").split("], PushedFilters")[0], part("ReadSchema")
+
+
+@pytest.fixture(scope="module")
+def index(spark, tmp_path_factory, sf_dir):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    root = str(tmp_path_factory.mktemp("index"))
+    src.write_index(derived.captures(spark, sf_dir), root)
+    yield Archive.of_index(spark, root, derived.crawls(spark))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_index_scan_pushes_filters(spark, sf_dir, index):
+    assert src.partition_path("CC-MAIN-2021-04").endswith("crawl=CC-MAIN-2021-04/subset=warc")
+    whole = Archive(spark, derived.captures(spark, sf_dir), derived.crawls(spark))
+    start, end = datetime(2024, 1, 25, 6), datetime(2024, 1, 30)
+    query = UrlQuery.domain("example.com").status(200).mime("text/html").between(start, end).in_crawls("latest").select("url", "offset")
+    got = index.search(query)
+    assert got.count() > 0 and sorted(map(str, got.collect())) == sorted(map(str, whole.search(query).collect()))
+    pushed, partitions, columns = scan_of(got)
+    for want in ("GreaterThanOrEqual(url_surtkey,com,example))", "LessThan(url_surtkey,com,example-)", "EqualTo(fetch_status,200)", "GreaterThanOrEqual(fetch_time,2024-01-25", "LessThanOrEqual(fetch_time,2024-01-30", "EqualTo(content_mime_detected,text/html)"):
+        assert want in pushed, want
+    assert "subset" in partitions and "crawl" in partitions
+    assert "warc_record_offset" in columns and "warc_filename" not in columns and "content_languages" not in columns
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        (UrlQuery.exact("example.com/a"), "EqualTo(url_surtkey,com,example)/a)"), (UrlQuery.prefix("example.com/a"), "StringStartsWith(url_surtkey,com,example)/a)"), (UrlQuery.host("example.com"), "LessThan(url_surtkey,com,example*)"),
+        (UrlQuery.host("example.com").status_class(3), "GreaterThanOrEqual(fetch_status,300)"), (UrlQuery.host("example.com").status(1, 2), "In(fetch_status, [1,2])"),
+    ],
+)
+def test_every_match_reaches_the_files(index, query, want):
+    assert want in scan_of(index.search(query))[0]
+
+
+def test_index_rows_with_nulls(spark):
+    rows = [(None, "u", None, None, "c"), ("com,a)/", "v", datetime(2024, 1, 2), 200, "c")]
+    table = spark.createDataFrame(rows, "url_surtkey string, url string, fetch_time timestamp, fetch_status int, crawl string")
+    archive = Archive(spark, src.from_index(table), src.registry(spark, [("c", None, None)]))
+    assert archive.search(UrlQuery.host("a.com")).count() == 1 and archive.search(UrlQuery.host("a.com").status(0)).count() == 0
+    filled = src.with_defaults(src.from_index(table)).where("url = 'u'").first()
+    assert (filled["urlkey"], filled["status"], filled["timestamp"].timestamp(), filled["length"]) == ("", 0, 0, 0)
+
+
+def test_byte_budget_over_many_partitions(spark, sf_dir):
+    c = derived.captures(spark, sf_dir).cache()
+    lengths = [r["length"] for r in c.orderBy(*reduce.total_order(c)).select("length").collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", 17)
+    try:
+        for n in (0, 1, 500, 999, 1000):
+            assert budget.within_bytes(c, sum(lengths[:n])).count() == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
 def test_sinks_round_trip(spark, sf_dir, tmp_path):
@@ -85,10 +131,11 @@ def test_sinks_round_trip(spark, sf_dir, tmp_path):
 
 
 def test_index_lines(spark):
-    line = '{"urlkey":"com,example)/x","timestamp":"20260701120000","url":"https://example.com/x","mime":"text/html","mime-detected":"text/html","status":"200","digest":"sha1:ABC","length":"1234","offset":"5678","filename":"crawl-data/foo.warc.gz","languages":"eng"}'
-    row = src.parse_lines(spark.createDataFrame([(line,), ("  ",)], "value string"), "c").first()
-    assert (row["status"], row["length"], row["offset"], row["languages"], row["redirect"]) == (200, 1234, 5678, ["eng"], None)
-    poor = src.parse_lines(spark.createDataFrame([('{"timestamp":"20260701120000","status":"x","length":"-5"}',)], "value string"), "c").first()
+    # The names of an index line's fields; all are strings.
+    fields = {"urlkey": "org,rivers)/map?z=2", "timestamp": "20220519083041", "url": "http://rivers.org/map?z=2", "mime": "text/plain", "mime-detected": "text/html", "status": "302", "digest": "sha1:Q7", "length": "88", "offset": "901", "filename": "crawl-data/r.warc.gz", "languages": "deu,fra", "redirect": "/maps"}
+    row = src.parse_lines(spark.createDataFrame([(json.dumps(fields),), ("  ",)], "value string"), "c").first()
+    assert (row["status"], row["length"], row["offset"], row["languages"], row["redirect"], row["truncated"]) == (302, 88, 901, ["deu", "fra"], "/maps", None)
+    poor = src.parse_lines(spark.createDataFrame([('{"timestamp":"20220519083041","status":"x","length":"-5"}',)], "value string"), "c").first()
     assert (poor["urlkey"], poor["status"], poor["length"], poor["languages"]) == ("", 0, 0, [])
     bad = spark.createDataFrame([("{}",), ("nope",)], "value string")
     assert src.parse_lines(bad, "c", "PERMISSIVE").where("_corrupt is not null").count() == 2
@@ -100,7 +147,18 @@ def test_budget(spark, sf_dir):
     c = derived.captures(spark, sf_dir).limit(30).cache()
     rows, over = budget.spend(c, budget.Budget(records=2))
     assert rows.count() == 2 and isinstance(over, BudgetExhaustedError) and over.resume.startswith("CC-MAIN")
-    assert budget.spend(c, budget.Budget(records=30))[1] is None
+    rest = reduce.resume_after(c, over.resume)
+    assert rest.count() == 28 and rest.exceptAll(c.exceptAll(rows)).count() == 0
+    bare = c.drop("crawl_ord")
+    assert reduce.resume_after(bare, budget.spend(bare, budget.Budget(records=5))[1].resume).count() == 25
+    for bad in ("nothing", "CC-MAIN-2024-04:f:99999"):
+        with pytest.raises(ConfigError):
+            reduce.resume_after(c, bad)
+    assert budget.spend(c, budget.Budget(records=30))[1] is None and budget.spend(c, budget.Budget())[1] is None
+    with pytest.raises(IndexTooLargeError):
+        budget.spend(c, budget.Budget(pages=3), {"a": 4})
+    none, over = budget.spend(c, budget.Budget(records=9, bytes=0))
+    assert none.count() == 0 and over.what == "byte" and over.resume is None
     ordered = [r["length"] for r in reduce.ordered_limit(c, 30).collect()]
     most = sum(ordered[:7])
     assert budget.within_bytes(c, most).count() == 7
@@ -116,7 +174,11 @@ def test_payload_ranges_and_text(spark, sf_dir, tmp_path):
         data += bytes(r["raw"])
     (tmp_path / "seg").mkdir()
     (tmp_path / "seg" / "a.warc.gz").write_bytes(data)
+    spots += [("long", "seg/a.warc.gz", len(data) - 3, 9), ("far", "seg/a.warc.gz", len(data) + 5, 2), ("none", "seg/b.warc.gz", 0, 9), ("null", None, 0, 9), ("empty", "seg/a.warc.gz", 4, 0)]
     got = read_ranges(str(tmp_path), spark.createDataFrame(spots, "digest string, filename string, offset long, length long"))
+    failed = {r["digest"]: r["error"] for r in got.where("error is not null").collect()}
+    assert set(failed) == {"long", "far", "none", "null"} and failed["long"].startswith("3 of 9 bytes") and got.where("digest = 'empty'").first()["raw"] == b""
+    got = got.where("length(raw) > 0").drop("error")
     text = {r["digest"]: r["text"] for r in payload.decode_payloads(got, strict=True).collect()}
     html = {f"d{r['page_id']}": r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     assert text == {k: html[k] for k in text} and len(text) == 5
@@ -171,14 +233,79 @@ def test_command_line(spark):
     assert len(lines("sitemap", "ex.com")) == 4
     assert len(lines("--newest", "search", "ex.com")) == 1
     assert len(lines("manifest", "ex.com/a", "--sample", "first-last")) == 2
-    assert len(lines("crawls")) == 1 and '"captures":5' in lines("stats", "ex.com")[0]
+    assert len(lines("crawls")) == 1 and '"captures":5' in lines("stats", "ex.com", "--captures")[0]
     assert len(lines("enumerate", "--template", "ex.com/{x}")) == 5
     assert "SELECT" in lines("--dry-run", "search", "ex.com")[-1]
-    with pytest.raises(BudgetExhaustedError):
+    with pytest.raises(BudgetExhaustedError) as over:
         lines("--budget", "1", "enumerate", "ex.com", "--distinct-urls")
+    assert len(lines("--resume", over.value.resume, "enumerate", "ex.com", "--distinct-urls", "--bulk")) == 2
     assert main(["crawls"]) == 2
 
 
+def test_command_line_fetch(spark, tmp_path, capsys):
+    a = archive_with_payloads(spark)
+    lines = lambda *argv: list(run(parser().parse_args(argv), a))
+    out = tmp_path / "out"
+    assert lines("fetch", "https://ex.com/a", "--out", str(out)) == ["g9\t3"] and (out / "g9").read_bytes() == b"new"
+    assert lines("fetch", "https://ex.com/a", "--text") == ["new"]
+    sinks.ndjson(a.captures).coalesce(1).write.text(str(tmp_path / "m"))
+    assert sorted(lines("fetch", f"@{tmp_path / 'm'}", "--text")) == sorted(["new", "new", "old", "Sitemap: https://ex.com/s1.xml\n", "<loc>https://ex.com/a</loc><loc>https://ex.com/b</loc>"])
+    with pytest.raises(NotFoundError):
+        lines("fetch", "https://ex.com/none")
+    a.payloads = a.payloads.where("digest <> 'g9'")
+    with pytest.raises(ParseError, match="1 payloads failed"):
+        lines("text", "https://ex.com/a")
+    assert "no payload in any store" in capsys.readouterr().err
+
+
+def test_command_line_pages(spark, tmp_path):
+    a = archive_with_payloads(spark)
+    a.settings = Settings(answers=str(tmp_path))
+    query = UrlQuery.prefix("ex.com").in_crawls("latest")
+    ((crawl, url),) = requests_of(query, [(r["id"], r["cdx-api"]) for r in a.crawls("latest").collect()]).items()
+    line = json.dumps({"urlkey": "com,ex)/q", "timestamp": "20240126000000", "url": "http://ex.com/q", "status": "200", "digest": "d", "length": "5", "offset": "0", "filename": "f"})
+    for tail, body in (("&showNumPages=true", "3"), ("&page=0", line + "\n\n" + line), ("&page=2", line)):
+        (tmp_path / answer_name(url + tail)).write_text(body)
+    lines = lambda *argv: list(run(parser().parse_args(argv), a))
+    assert lines("stats", "ex.com") == ['{"pages":3}']
+    assert len(lines("--live", "search", "ex.com")) == 3
+    with pytest.raises(IndexTooLargeError):
+        lines("--budget-pages", "2", "search", "ex.com")
+    with pytest.raises(Exception, match="has 3 index pages"):
+        read_pages(spark, query, a._servers(query), max_pages=2, answers=str(tmp_path)).collect()
+
+
+def test_fetch_reads_a_shared_payload_once(spark, tmp_path):
+    asked = tmp_path / "asked"
+    captures = archive_with_payloads(spark).captures.withColumns({"length": F.lit(4).cast("long"), "filename": F.concat(F.lit("f"), "digest")})
+    web = CountingTransport(str(asked))
+    a = Archive(spark, captures, derived.crawls(spark), settings=Settings("https://data.example.com", web, str(tmp_path / "cache"), workers=2))
+    got = a.fetch(captures).select("digest", "error").collect()
+    assert len(got) == 5 and all(r["error"] == "no WARC record" for r in got)
+    assert sorted(asked.read_text().split()) == sorted(f"https://data.example.com/fg{i}" for i in (0, 1, 2, 9))
+    assert a.fetch(captures).count() == 5 and len(asked.read_text().split()) == 4  # now cached
+    with pytest.raises(ConfigError):
+        Archive(spark, captures, derived.crawls(spark)).fetch(captures)
+
+
+def test_transport_rates_are_shared():
+    web = HttpTransport("me", Politeness(6.0, 4)).shared_by(3)
+    assert (web.politeness.rps, web.politeness.concurrency) == (2.0, 1)
+    assert pickle.loads(pickle.dumps(web)).politeness.rps == 2.0
+
+
+class CountingTransport:
+    """Writes down what it is asked for."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def get_range(self, url, start, length):
+        with open(self.path, "a") as f:
+            f.write(url + "\n")
+        return b"junk"[:length]
+
+
 def test_cache(spark):
     c = spark.createDataFrame([("payload", "a", b"xx", 100, 0), ("payload", "b", b"yyy", 100, 10), ("index", "a", b"z", 100, 0)], "domain string, key string, value binary, written long, ttl long")
     now = F.lit(111)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 from collections.abc import Iterator
 
@@ -10,15 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sinks
-from .api import Archive
-from .errors import ArchiveError, ConfigError
+from .api import Archive, Settings
+from .errors import ArchiveError, ConfigError, NotFoundError, ParseError
 from .functions.timespec import parse_range
 from .operators import budget as budgets
 from .operators import reduce
-from .operators.sampling import Sampling
+from .operators.sampling import Sampling, sample
 from .plans.query import Collapse, MatchType, UrlQuery
 from .session import session
 from .sources import captures as src
+from .transport import MAX_RPS, HttpTransport, Politeness
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,12 +28,20 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--root", default=".", help="folder of the columnar index")
     p.add_argument("--registry", help="crawl list, JSON")
     p.add_argument("--payloads", help="payload table (digest, raw)")
+    p.add_argument("--archives", help="path, URI or address before payload file names")
+    p.add_argument("--cache", help="folder of the payload cache")
+    p.add_argument("--agent", default="", help="user agent of live requests")
+    p.add_argument("--rps", type=float, default=MAX_RPS)
+    p.add_argument("--answers", help="folder of fixed answers instead of live requests")
+    p.add_argument("--live", action="store_true", help="ask index servers instead of the columnar index")
     p.add_argument("--crawl", default="latest")
     p.add_argument("--from", dest="start")
     p.add_argument("--to", dest="end")
     p.add_argument("--output", default="ndjson")
     p.add_argument("--budget", type=int, help="most records")
     p.add_argument("--budget-bytes", type=int)
+    p.add_argument("--budget-pages", type=int, help="most index pages of a crawl")
+    p.add_argument("--resume", help="go on behind this capture, as a budget error names it")
     p.add_argument("--newest", action="store_true")
     p.add_argument("--oldest", action="store_true")
     p.add_argument("--dry-run", action="store_true")
@@ -53,8 +63,15 @@ def parser() -> argparse.ArgumentParser:
         if name == "enumerate":
             c.add_argument("--distinct-urls", action="store_true")
             c.add_argument("--template")
+            c.add_argument("--bulk", action="store_true", help="the columnar index, whatever --live says")
+        if name == "stats":
+            c.add_argument("--captures", action="store_true", help="count captures by crawl instead of index pages")
     for name in ("fetch", "text", "sitemap"):
-        sub.add_parser(name).add_argument("target")
+        c = sub.add_parser(name)
+        c.add_argument("target")
+        if name == "fetch":
+            c.add_argument("--out", help="folder for one file a payload")
+            c.add_argument("--text", action="store_true")
     sub.add_parser("cache").add_argument("path")
     return p
 
@@ -78,6 +95,31 @@ def rendered(captures: DataFrame, form: str) -> Iterator[str]:
     yield from (r["value"] for r in made.toLocalIterator())
 
 
+def fetched(a: argparse.Namespace, archive: Archive) -> Iterator[str]:
+    """Texts, bodies or written files of the wanted captures; raises after them if a payload failed."""
+    spark = archive.spark
+    if a.target.startswith("@"):
+        lines = spark.createDataFrame([(x,) for x in sys.stdin], "value string") if a.target == "@-" else spark.read.text(a.target[1:])
+        wanted = src.parse_manifest(lines)
+    else:
+        wanted = archive.newest(spark.createDataFrame([(a.target,)], "url string"), a.crawl)
+        if wanted.isEmpty():
+            raise NotFoundError(f"no capture of {a.target}")
+    if a.command == "fetch" and a.out:
+        rows = archive.write_payloads(wanted, a.out).select(F.concat_ws("\t", "name", F.col("bytes").cast("string")).alias("text"), "error")
+    else:
+        rows = archive.fetch(wanted).select("text", "error")
+    failed = 0
+    for r in rows.toLocalIterator():
+        if r["error"] is None:
+            yield r["text"]
+        else:
+            failed += 1
+            print(f"error: {r['error']}", file=sys.stderr)
+    if failed:
+        raise ParseError(f"{failed} payloads failed")
+
+
 def run(a: argparse.Namespace, archive: Archive) -> Iterator[str]:
     spark = archive.spark
     if a.command == "crawls":
@@ -89,12 +131,7 @@ def run(a: argparse.Namespace, archive: Archive) -> Iterator[str]:
         yield from (r["v"] for r in cache.stats(spark.read.parquet(a.path)).select(F.to_json(F.struct("*")).alias("v")).collect())
         return
     if a.command in ("fetch", "text"):
-        if a.target.startswith("@"):
-            lines = spark.createDataFrame([(x,) for x in sys.stdin], "value string") if a.target == "@-" else spark.read.text(a.target[1:])
-            got = archive.fetch(src.parse_manifest(lines))
-        else:
-            got = archive.text(spark.createDataFrame([(a.target,)], "url string"), a.crawl)
-        yield from (r["text"] for r in got.where("text is not null").select("text").toLocalIterator())
+        yield from fetched(a, archive)
         return
     if a.command == "sitemap":
         yield from (r["url"] for r in archive.sitemap_seeds(a.target, a.crawl).toLocalIterator())
@@ -104,16 +141,23 @@ def run(a: argparse.Namespace, archive: Archive) -> Iterator[str]:
         yield from archive.dry_run(q)
         return
     if a.command == "stats":
-        yield from (r["v"] for r in archive.stats(q).orderBy("crawl").select(F.to_json(F.struct("*")).alias("v")).collect())
+        if a.captures:
+            yield from (r["v"] for r in archive.stats(q).orderBy("crawl").select(F.to_json(F.struct("*")).alias("v")).collect())
+        else:
+            yield json.dumps({"pages": sum(archive.page_counts(q).values())}, separators=(",", ":"))
         return
     if a.command == "enumerate" and a.template:
         bound = archive.enumerate_template(a.template, q.crawls, q.filters, q.time_range)
         yield from (r["value"] for r in sinks.template_rows(bound).toLocalIterator())
         return
-    rows = archive.manifest(q, Sampling.parse(a.sample)) if a.command == "manifest" else archive.search(q)
+    search = archive.live if a.live and not getattr(a, "bulk", False) else archive.search
+    rows = sample(search(q), Sampling.parse(a.sample)) if a.command == "manifest" else search(q)
     if a.command == "enumerate" and a.distinct_urls:
         rows = reduce.distinct_urls(rows)
-    rows, over = budgets.spend(rows, budgets.Budget(a.budget, a.budget_bytes))
+    if a.resume:
+        rows = reduce.resume_after(rows, a.resume)
+    pages = archive.page_counts(q) if a.budget_pages is not None else None
+    rows, over = budgets.spend(rows, budgets.Budget(a.budget, a.budget_bytes, a.budget_pages), pages)
     if a.newest or a.oldest:
         rows = reduce.newest(rows) if a.newest else reduce.oldest(rows)
     yield from rendered(rows, a.output)
@@ -128,7 +172,9 @@ def main(argv: list[str] | None = None) -> int:
             raise ConfigError("--registry is needed")
         spark = session()
         captures = src.read_index(spark, a.root)
-        archive = Archive(spark, captures, src.read_registry(spark, a.registry), spark.read.parquet(a.payloads) if a.payloads else None)
+        web = HttpTransport(a.agent, Politeness(a.rps)) if (a.archives or "").startswith(("http:", "https:")) else None
+        settings = Settings(a.archives, web, a.cache, agent=a.agent, rps=a.rps, answers=a.answers)
+        archive = Archive(spark, captures, src.read_registry(spark, a.registry), spark.read.parquet(a.payloads) if a.payloads else None, settings)
         for line in run(a, archive):
             print(line)
     except ArchiveError as e:

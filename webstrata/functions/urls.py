@@ -56,9 +56,16 @@ def reversed_host(pattern: str) -> str:
 def prefix_bounds(pattern: str) -> tuple[str, str]:
     """Half-open key range [lo, hi) of a URL prefix, for range filters that reach the scan."""
     lo = surt_literal(pattern)
-    raw = lo.encode()
-    hi = raw[:-1] + bytes([raw[-1] + 1]) if raw and raw[-1] < 255 else raw + b"\0"
-    return lo, hi.decode("utf-8", "replace")
+    return lo, after_prefix(lo)
+
+
+def after_prefix(text: str) -> str:
+    """The least text behind all that start with ``text``; UTF-8 sorts as code points do.  "" has none: the largest character stands for it."""
+    kept = text.rstrip("\U0010ffff")
+    if not kept:
+        return "\U0010ffff" * (len(text) + 1)
+    point = ord(kept[-1]) + 1
+    return kept[:-1] + chr(0xE000 if 0xD800 <= point < 0xE000 else point)
 
 
 def host_of(pattern: str) -> str:

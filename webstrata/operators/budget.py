@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import BudgetExhaustedError, IndexTooLargeError
 from ..functions.fields import capture_key
+from ..session import stored
 from .reduce import total_order
 
 #: Index pages of a crawl that a search reads at most.
@@ -32,33 +33,48 @@ def within_records(captures: DataFrame, n: int) -> DataFrame:
 def within_bytes(captures: DataFrame, most: int) -> DataFrame:
     """The longest leading run of rows whose lengths sum to ``most`` at most.
 
-    Rows are range-partitioned in order; sums of the partitions, one row each, give each partition
-    its start, so no task sees more than its own rows.
+    Rows are range-partitioned in order and stored, so that their partitions are fixed; sums of
+    the partitions, one row each, give each partition its start, and only partitions that start
+    within the budget are summed row by row.
     """
     order = total_order(captures)
-    dealt = captures.repartitionByRange(*order).withColumn("b_part", F.spark_partition_id()).sortWithinPartitions(*order)
+    dealt = stored(captures.repartitionByRange(*order).withColumn("b_part", F.spark_partition_id()), "budget-ranges")
     sums = dealt.groupBy("b_part").agg(F.sum("length").alias("b_sum"))
-    starts = sums.select(F.col("b_part").alias("b_of"), (F.sum("b_sum").over(Window.orderBy("b_part")) - F.col("b_sum")).alias("b_start"))
+    starts = sums.select(F.col("b_part").alias("b_of"), (F.sum("b_sum").over(Window.orderBy("b_part")) - F.col("b_sum")).alias("b_start")).where(F.col("b_start") <= most)
     w = Window.partitionBy("b_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = dealt.withColumn("b_run", F.sum("length").over(w)).join(F.broadcast(starts), F.col("b_part") == F.col("b_of"))
+    run = dealt.join(F.broadcast(starts), F.col("b_part") == F.col("b_of")).withColumn("b_run", F.sum("length").over(w))
     return run.where(F.col("b_run") + F.col("b_start") <= most).select(*captures.columns)
 
 
-def spend(captures: DataFrame, budget: Budget) -> tuple[DataFrame, BudgetExhaustedError | None]:
-    """Rows within the budget, and the error to raise after them if rows were left."""
-    kept, what = captures, ""
+def spend(captures: DataFrame, budget: Budget, pages: dict[str, int] | None = None) -> tuple[DataFrame, BudgetExhaustedError | None]:
+    """Rows within the budget, and the error to raise after them if rows were left.
+
+    The plan runs once: rows within the budget, and with a record budget one more, are stored.  pages:
+    index pages by crawl, for a page budget, which is checked before anything runs.
+    """
+    if budget.pages is not None:
+        check_pages(pages or {}, budget.pages)
+    if budget.records is None and budget.bytes is None:
+        return captures, None
+    what = ""
+    now = captures
     if budget.records is not None:
-        kept = within_records(kept, budget.records)
-        what = "record" if captures.limit(budget.records + 1).count() > budget.records else what
+        now = stored(within_records(captures, budget.records + 1), "budget-records")
+        if now.count() > budget.records:
+            what = "record"
+            now = within_records(now, budget.records)
+    kept = now
     if budget.bytes is not None:
-        before = kept
-        kept = within_bytes(kept, budget.bytes)
-        what = "byte" if kept.count() < before.count() else what
+        # a byte budget alone reads the plan twice: its total first, its leading run then
+        total = now.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        if total > budget.bytes:
+            what = "byte"
+            kept = stored(within_bytes(now, budget.bytes), "budget-bytes")
     if not what:
         return kept, None
-    last = kept.orderBy(*(c.desc() if i or "crawl_ord" in captures.columns else F.col("crawl") for i, c in enumerate(total_order(captures)))).limit(1)
-    key = last.select(capture_key(F.col("crawl"), F.col("filename"), F.col("offset")).alias("k")).first()
-    return kept, BudgetExhaustedError(what, key["k"] if key else None)
+    names = [capture_key(F.col("crawl"), F.col("filename"), F.col("offset")).alias("k")]
+    last = kept.orderBy(*total_order(kept, last_first=True)).select(*names).first()
+    return kept, BudgetExhaustedError(what, last["k"] if last else None)
 
 
 def check_pages(pages: dict[str, int], most: int = MAX_PAGES) -> None:

@@ -1,10 +1,18 @@
-"""Payload and index cache as a table: (domain, key, value, written, ttl), ttl 0 never expires."""
+"""Payload and index cache as a table: (domain, key, value, written, ttl), ttl 0 never expires.
+
+Tiers are tables: ``CacheStore`` is one on storage, partitioned by domain; any DataFrame of ``SCHEMA``
+that is persisted is one in memory, ``empty`` is none at all; ``layered`` reads through two.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SCHEMA = "domain string, key string, value binary, written long, ttl long"
 DOMAINS = ("registry", "index", "payload")
 
 
@@ -37,3 +45,39 @@ def collect_garbage(cache: DataFrame, now: Column) -> tuple[DataFrame, DataFrame
 def layered(fast: DataFrame, slow: DataFrame) -> DataFrame:
     """Read-through: entries of the fast tier, and of the slow tier those that it lacks, without their ttl."""
     return fast.unionByName(slow.join(fast.select("domain", "key"), ["domain", "key"], "left_anti").withColumn("ttl", F.lit(0).cast("long")))
+
+
+def empty(spark: SparkSession) -> DataFrame:
+    """The tier that holds nothing."""
+    return spark.createDataFrame([], SCHEMA)
+
+
+class CacheStore(NamedTuple):
+    """A tier on storage.  Entries are only ever added, each write as a folder of its own; the latest of a key counts."""
+
+    spark: SparkSession
+    path: str
+
+    def table(self) -> DataFrame:
+        """All entries written; of one key the latest."""
+        jvm = self.spark.sparkContext._jvm
+        base = jvm.org.apache.hadoop.fs.Path(self.path)
+        if not base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(base):
+            return empty(self.spark)
+        return put(empty(self.spark), self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(self.path))
+
+    def get(self, domain: str, keys: DataFrame, now: Column) -> DataFrame:
+        return get(self.table(), domain, keys, now)
+
+    def put(self, entries: DataFrame) -> DataFrame:
+        """Write entries, and give back those written."""
+        path = f"{self.path.rstrip('/')}/{uuid.uuid4().hex}"
+        entries.select("domain", "key", "value", "written", "ttl").write.parquet(path)
+        return self.spark.read.schema(SCHEMA).parquet(path)
+
+    def collect_garbage(self, now: Column, into: str) -> tuple[CacheStore, DataFrame]:
+        """(a store of the live entries at ``into``, one row of reclaimed bytes); the old folder is the caller's to drop."""
+        live, reclaimed = collect_garbage(self.table(), now)
+        fresh = CacheStore(self.spark, into)
+        fresh.put(live)
+        return fresh, reclaimed

@@ -104,6 +104,12 @@ def decode_payloads(payloads: DataFrame, raw: str = "raw", strict: bool = False,
     return payloads.select(*keep, raw).mapInArrow(run, schema)
 
 
+def decoded_body(http: Column, text: Column) -> Column:
+    """Bytes of the body as sent: decoded text of a zipped body, the raw body otherwise."""
+    zipped = F.coalesce(F.contains(F.lower(header(http["headers"], "content-encoding")), F.lit("gzip")), F.lit(False))
+    return F.when(zipped, F.encode(text, "UTF-8")).otherwise(http["body"])
+
+
 def header(headers: Column, name: str) -> Column:
     """The first value of a header, null without one."""
     return F.get(F.filter(headers, lambda h: h["name"] == name.lower()), F.lit(0))["value"]

@@ -7,15 +7,19 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
 from ..functions.fields import stamp
 from ..plans.query import Collapse
 from ..schema import TOTAL_ORDER
 
 
-def total_order(captures: DataFrame) -> list[Column]:
-    """The order that replaces arrival order; without ``crawl_ord`` newer ids of crawls come first."""
-    first = [F.col("crawl_ord")] if "crawl_ord" in captures.columns else [F.desc("crawl")]
-    return first + [F.col(c) for c in TOTAL_ORDER[1:]]
+def total_order(captures: DataFrame, last_first: bool = False) -> list[Column]:
+    """The order that replaces arrival order, or its reverse; without ``crawl_ord`` newer ids of crawls come first."""
+    ranked = "crawl_ord" in captures.columns
+    first = F.col("crawl_ord" if ranked else "crawl")
+    if last_first:
+        return [first.desc() if ranked else first.asc(), *(F.desc(c) for c in TOTAL_ORDER[1:])]
+    return [first.asc() if ranked else first.desc(), *(F.col(c) for c in TOTAL_ORDER[1:])]
 
 
 def first_per(captures: DataFrame, *keys: Column) -> DataFrame:
@@ -56,13 +60,29 @@ def ordered_limit(captures: DataFrame, n: int) -> DataFrame:
     return captures.orderBy(*total_order(captures)).limit(n)
 
 
-def resume_after(captures: DataFrame, after: dict[str, object]) -> DataFrame:
-    """Rows behind the given values of the total order."""
-    names = [c for c in TOTAL_ORDER if c in after]
+def order_of(captures: DataFrame, token: str) -> dict[str, object]:
+    """Values of the total order of the capture that a resume token (its capture key) names."""
+    crawl, _, rest = token.partition(":")
+    filename, _, offset = rest.rpartition(":")
+    if not filename or not offset.isdigit():
+        raise ConfigError(f"no resume token: {token!r}")
+    names = [c for c in ("crawl_ord", *TOTAL_ORDER[1:]) if c in captures.columns]
+    row = captures.where((F.col("crawl") == crawl) & (F.col("filename") == filename) & (F.col("offset") == int(offset))).select("crawl", *names).first()
+    if row is None:
+        raise ConfigError(f"no capture {token!r} to resume after")
+    return row.asDict()
+
+
+def resume_after(captures: DataFrame, after: dict[str, object] | str) -> DataFrame:
+    """Rows behind the given values of the total order, or behind the capture that a resume token names."""
+    place = order_of(captures, after) if isinstance(after, str) else after
+    first = ["crawl_ord"] if "crawl_ord" in captures.columns else ["crawl"]
+    names = [c for c in (*first, *TOTAL_ORDER[1:]) if c in place]
     steps = []
     for i, c in enumerate(names):
-        same = [F.col(x) == F.lit(after[x]) for x in names[:i]]
-        steps.append(fold(lambda a, b: a & b, [*same, F.col(c) > F.lit(after[c])]))
+        same = [F.col(x) == F.lit(place[x]) for x in names[:i]]
+        behind = F.col(c) < F.lit(place[c]) if c == "crawl" else F.col(c) > F.lit(place[c])
+        steps.append(fold(lambda a, b: a & b, [*same, behind]))
     return captures.where(fold(lambda a, b: a | b, steps))
 
 

@@ -24,7 +24,7 @@ def match_predicate(query: UrlQuery) -> Column:
         return key == surt_literal(query.pattern)
     if query.match is MatchType.PREFIX:
         lo, hi = prefix_bounds(query.pattern)
-        return (key >= lo) & (key < hi)
+        return (key >= lo) & (key < hi) & key.startswith(lo)
     rev = reversed_host(query.pattern)
     if query.match is MatchType.HOST:
         return (key >= rev + ")") & (key < rev + "*")
@@ -36,9 +36,10 @@ def filter_predicate(f: Filter) -> Column:
         case Status(codes=None, hundred=int() as h):
             return F.col("status").between(h * 100, h * 100 + 99)
         case Status(codes=codes):
-            return F.col("status").isin(*codes) if codes else F.lit(False)
+            found = F.col("status").isin(*codes) if codes else F.lit(False)
+            return found | F.col("status").isNull() if 0 in (codes or ()) else found
         case Mime(value):
-            return F.coalesce((F.col("mime") == value) | (F.col("mime_detected") == value), F.lit(False))
+            return (F.col("mime") == value) | (F.col("mime_detected") == value)
         case Language(value):
             return F.array_contains("languages", value)
         case Tld(value):
@@ -48,15 +49,20 @@ def filter_predicate(f: Filter) -> Column:
     raise TypeError(f"no filter: {f!r}")
 
 
-def predicate(query: UrlQuery, crawls: list[str] | None = None) -> Column:
-    """All conditions of a query; regular expressions come last.  crawls: ids the selector gave, none of them matches nothing."""
+def conditions(query: UrlQuery, crawls: list[str] | None = None) -> list[Column]:
+    """A query's conditions but for its match; regular expressions come last.  crawls: ids the selector gave, none of them matches nothing, None is no condition."""
     parts = [] if crawls is None else [F.col("crawl").isin(*crawls) if crawls else F.lit(False)]
-    parts.append(match_predicate(query))
     if query.time_range:
         a, b = (F.lit(t.replace(tzinfo=None)).cast("timestamp_ntz") for t in query.time_range)
-        parts.append(F.col("timestamp").between(a, b))
-    parts += [filter_predicate(f) for f in sorted(query.filters, key=lambda f: isinstance(f, UrlRegex))]
-    return fold(lambda a, b: a & b, parts)
+        inside = F.col("timestamp").between(a, b)
+        # a time that isn't known is the epoch
+        parts.append(inside | F.col("timestamp").isNull() if query.time_range[0].timestamp() <= 0 <= query.time_range[1].timestamp() else inside)
+    return parts + [filter_predicate(f) for f in sorted(query.filters, key=lambda f: isinstance(f, UrlRegex))]
+
+
+def predicate(query: UrlQuery, crawls: list[str] | None = None) -> Column:
+    """All conditions of a query, for a where clause: rows with null for an answer don't match."""
+    return fold(lambda a, b: a & b, conditions(query, crawls), match_predicate(query))
 
 
 def index_filter(f: Filter) -> str:
@@ -94,12 +100,24 @@ def index_url(api: str, query: UrlQuery, **extra: object) -> str:
     return api + "?" + "&".join(f"{percent_encode(k)}={percent_encode(str(v))}" for k, v in params)
 
 
-def sql_text(query: UrlQuery, crawls: list[str], table: str = "ccindex") -> str:
-    """A SELECT over the columnar index, with the meaning that ``predicate`` has where the index's columns allow it."""
+#: Index column of each capture column.
+_INDEX_OF = {
+    "crawl": "crawl", "urlkey": "url_surtkey", "url": "url", "timestamp": "fetch_time", "status": "fetch_status", "mime": "content_mime_type", "mime_detected": "content_mime_detected", "languages": "content_languages",
+    "digest": "content_digest", "filename": "warc_filename", "offset": "warc_record_offset", "length": "warc_record_length",
+}
+_TEXT_ORDER = "crawl DESC, url_surtkey, fetch_time, warc_filename, warc_record_offset"
+
+
+def sql_text(query: UrlQuery, crawls: list[str] | None = None, table: str = "ccindex") -> str:
+    """A SELECT over the columnar index, with the meaning that ``predicate`` has where the index's columns allow it.
+
+    crawls: None for every crawl; an empty list selects nothing.  Fields that the index lacks are
+    left out; newer crawl ids come first, as there is no registry.
+    """
     q = sql_quote
     parts = ["subset = 'warc'"]
-    if crawls:
-        parts.append(f"crawl IN ({', '.join(map(q, crawls))})")
+    if crawls is not None:
+        parts.append(f"crawl IN ({', '.join(map(q, crawls))})" if crawls else "FALSE")
     name = host_of(query.pattern)
     if query.match is MatchType.HOST:
         parts.append(f"url_host_name = {q(name)}")
@@ -124,9 +142,15 @@ def sql_text(query: UrlQuery, crawls: list[str], table: str = "ccindex") -> str:
             case Mime(value):
                 parts.append(f"(content_mime_type = {q(value)} OR content_mime_detected = {q(value)})")
             case Language(value):
-                parts.append(f"content_languages LIKE {q(f'%{value}%')}")
+                parts.append(f"concat(',', content_languages, ',') LIKE {q(f'%,{value},%')}")
             case Tld(value):
                 parts.append(f"url_host_tld = {q(value)}")
             case UrlRegex(pattern):
                 parts.append(f"REGEXP_LIKE(url, {q(pattern)})")
-    return f"SELECT {TABLE_COLUMNS} FROM {table} WHERE {' AND '.join(parts)}" + (f" LIMIT {query.limit}" if query.limit is not None else "")
+    columns = ", ".join(_INDEX_OF[c] for c in query.fields if c in _INDEX_OF) if query.fields else TABLE_COLUMNS
+    where = f"FROM {table} WHERE {' AND '.join(parts)}"
+    if query.collapse:
+        stamp = f"substr(date_format(fetch_time, 'yyyyMMddHHmmss'), 1, {query.collapse.digits})"
+        key = {"digest": "content_digest", "urlkey": "url_surtkey", "timestamp": f"url_surtkey, {stamp}"}[query.collapse.by]
+        where = f"FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {_TEXT_ORDER}) AS pick {where}) WHERE pick = 1"
+    return f"SELECT {columns} {where}" + (f" ORDER BY {_TEXT_ORDER} LIMIT {query.limit}" if query.limit is not None else "")

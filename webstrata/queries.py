@@ -86,7 +86,8 @@ searched(
 searched("crawl_latest", ALL.in_crawls("latest"), f"{_ALL} and crawl = 'CC-MAIN-2024-04'")
 searched("crawl_latest_n", ALL.in_crawls("latest-2"), f"{_ALL} and crawl_ord < 2")
 searched("crawl_ids", ALL.in_crawls("CC-MAIN-2024-01,CC-MAIN-2024-03,CC-MAIN-1999-01"), f"{_ALL} and crawl in ('CC-MAIN-2024-01', 'CC-MAIN-2024-03')")
-searched("crawl_year_range", ALL.in_crawls("2020..2023"), "false")
+searched("crawl_year_range", ALL.in_crawls("2023..2025"), f"{_ALL} and crawl like 'CC-MAIN-2024-%'")
+searched("crawl_year_range_without_captures", ALL.in_crawls("2019..2023"), "crawl like 'CC-MAIN-2020-%'")
 searched("crawl_since", ALL.in_crawls("since:2024-01-20"), f"{_ALL} and crawl in ('CC-MAIN-2024-03', 'CC-MAIN-2024-04')")
 
 
@@ -186,7 +187,14 @@ def _union(c: DataFrame, a: Archive) -> DataFrame:
     return c.where("crawl = 'CC-MAIN-2024-04'").unionByName(c.where("crawl = 'CC-MAIN-2024-01'"))
 
 
-@register("ndjson_rows", None, None)
+@register(
+    "ndjson_rows",
+    """select concat('{"crawl":"', crawl, '","urlkey":', to_json(urlkey), ',"url":', to_json(url), ',"timestamp":"', strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ'), '","status":', status,
+       ',"mime":', coalesce(to_json(mime), 'null'), ',"mime_detected":', coalesce(to_json(mime_detected), 'null'),
+       ',"languages":', case when languages_csv = '' then '[]' else concat('["', replace(languages_csv, ',', '","'), '"]') end, ',"digest":', to_json(digest),
+       ',"length":', length, ',"offset":', "offset", ',"filename":', to_json(filename), ',"redirect":', coalesce(to_json(redirect), 'null'), ',"truncated":null}') as value from captures""",
+    None,
+)
 def _ndjson(c: DataFrame, a: Archive) -> DataFrame:
     return sinks.ndjson(c)
 
@@ -272,18 +280,23 @@ def challenge_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload.decode_payloads(page_records(spark, sf_dir)).select("page_id", payload.is_challenge(F.col("http")).alias("challenge"))
 
 
-def _streamed(spark: SparkSession, captures: DataFrame, step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """The result of a streaming plan over all captures there are now."""
-    source, out = scratch(spark, f"{name}-in"), scratch(spark, f"{name}-out")
-    captures.drop("truncated").write.parquet(source)
-    schema = captures.drop("truncated").schema
-    step(spark.readStream.schema(schema).parquet(source)).writeStream.trigger(availableNow=True).option("checkpointLocation", scratch(spark, f"{name}-state")).start(out, format="parquet").awaitTermination()
+def _streamed(spark: SparkSession, parts: list[DataFrame], step: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The result of a streaming plan that is started, and stopped, once for each part of its input."""
+    source, out, state = (scratch(spark, f"{name}-{x}") for x in ("in", "out", "state"))
+    for part in parts:
+        part.drop("truncated").write.mode("append").parquet(source)
+        step(spark.readStream.schema(part.drop("truncated").schema).parquet(source)).writeStream.trigger(availableNow=True).option("checkpointLocation", state).start(out, format="parquet").awaitTermination()
     return spark.read.parquet(out)
 
 
+def _by_month_half(captures: DataFrame) -> list[DataFrame]:
+    early = F.col("timestamp") < F.lit(_TO)
+    return [captures.where(early), captures.where(~early)]
+
+
 @over_pages("stream_distinct", derived.CTE + "select distinct urlkey from captures")
 def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, derived.captures(spark, sf_dir), lambda s: streams.stream_distinct(s).select("urlkey"), "distinct")
+    return _streamed(spark, _by_month_half(derived.captures(spark, sf_dir)), lambda s: streams.stream_distinct(s).select("urlkey"), "distinct")
 
 
 @over_pages(
@@ -291,4 +304,7 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     derived.CTE + 'select urlkey, timestamp, digest, "offset" from (select *, lag(digest) over (partition by urlkey order by timestamp, filename, "offset") p, row_number() over (partition by urlkey order by timestamp, filename, "offset") rn from captures) where rn = 1 or digest <> p',
 )
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, derived.captures(spark, sf_dir), streams.stream_changes, "changes")
+    return _streamed(spark, _by_month_half(derived.captures(spark, sf_dir)), streams.stream_changes, "changes")
+
+
+from . import stored_queries  # noqa: E402, F401  registers the queries over written tables and files

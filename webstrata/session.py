@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from .errors import ConfigError
 
 
 def session(app: str = "webstrata", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,6 +21,17 @@ def session(app: str = "webstrata", master: str | None = None, **conf: str) -> S
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``, or in a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="webstrata-")
+    """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share; only a local master may leave it unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="webstrata-")
     return f"{base.rstrip('/')}/webstrata/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet to the shared folder and read again: run once, lineage cut."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

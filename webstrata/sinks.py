@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.fields import safe_name, stamp
 from .schema import COLUMNS
+from .session import stored
 
 CSV_COLUMNS = ("crawl", "timestamp", "status", "url", "digest", "filename", "offset", "length")
 
@@ -46,6 +51,32 @@ def payload_table(payloads: DataFrame) -> DataFrame:
     return payloads.select(safe_name(F.col("digest")).alias("name"), "body")
 
 
+def write_payload_files(payloads: DataFrame, root: str) -> DataFrame:
+    """Write every (name, body) as a file of its own below ``root`` (a path or URI that pyarrow opens) and give (name, bytes, error).
+
+    An action.  A null body writes nothing and says so; of rows that share a name the last written
+    stays.  A retried task writes its files again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            sizes, errors = [], []
+            for name, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if body is None or not name:
+                    sizes.append(None)
+                    errors.append("no payload" if name else "no name")
+                    continue
+                with store.open_output_stream(f"{base.rstrip('/')}/{name}", compression=None) as f:
+                    f.write(body)
+                sizes.append(len(body))
+                errors.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], names=["name", "bytes", "error"])
+
+    return stored(payloads.select("name", "body").mapInArrow(run, "name string, bytes long, error string"), "payload-files")
+
+
 def write_captures(captures: DataFrame, path: str) -> None:
     """A columnar table by crawl, sorted by key inside, so that key ranges skip row groups."""
     captures.repartitionByRange("crawl", "urlkey").sortWithinPartitions("crawl", "urlkey", "timestamp").write.partitionBy("crawl").parquet(path)

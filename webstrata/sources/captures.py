@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import languages, parse_stamp
-from ..schema import CAPTURE, COLUMNS, REGISTRY
+from ..functions.urls import host, tld
+from ..schema import CAPTURE, COLUMNS
 
 # Fixed value: layout of the columnar index.
 INDEX_PATH = "cc-index/table/cc-main/warc"
@@ -18,6 +19,10 @@ INDEX_COLUMNS = {
 }
 
 
+#: A registry of at most this many rows is broadcast.
+BROADCAST_CRAWLS = 10_000
+
+
 def parse_lines(lines: DataFrame, crawl: str | None = None, mode: str = "FAILFAST") -> DataFrame:
     """Rows of (value[, crawl]) with one JSON object each to captures.
 
@@ -56,24 +61,58 @@ def page_count(spark: SparkSession, path: str) -> int:
 
 
 def from_index(table: DataFrame) -> DataFrame:
-    """Rows of the columnar index to captures; absent columns take their defaults, ``crawl`` stays the partition column."""
-    have = set(table.columns)
-    col = {c: (F.col(c).cast(t) if c in have else F.lit(None).cast(t)) for c, t in INDEX_COLUMNS.items()}
+    """Rows of the columnar index to captures; ``crawl`` stays the partition column.
+
+    Key, time and status are the file's own columns, nulls included, so that filters on them reach
+    the files; ``with_defaults`` fills the nulls behind the filters.  Absent columns are null or,
+    as all others' nulls, take their defaults.
+    """
+    types = dict(table.dtypes)
+
+    def column(c: str) -> Column:
+        kind = INDEX_COLUMNS[c]
+        if c not in types:
+            return F.lit(None).cast(kind)
+        return F.col(c) if types[c] == kind or (kind == "timestamp" and types[c] == "timestamp_ntz") else F.col(c).cast(kind)
+
+    col = {c: column(c) for c in INDEX_COLUMNS}
     text = lambda c: F.coalesce(col[c], F.lit(""))
     return table.select(
-        "crawl", text("url_surtkey").alias("urlkey"), text("url").alias("url"), F.coalesce(col["fetch_time"], F.timestamp_seconds(F.lit(0))).alias("timestamp"), F.coalesce(col["fetch_status"], F.lit(0)).alias("status"),
+        "crawl", col["url_surtkey"].alias("urlkey"), text("url").alias("url"), col["fetch_time"].alias("timestamp"), col["fetch_status"].alias("status"),
         col["content_mime_type"].alias("mime"), col["content_mime_detected"].alias("mime_detected"), languages(col["content_languages"]).alias("languages"), text("content_digest").alias("digest"),
         F.greatest(F.coalesce(col["warc_record_length"], F.lit(0)), F.lit(0).cast("long")).alias("length"), F.greatest(F.coalesce(col["warc_record_offset"], F.lit(0)), F.lit(0).cast("long")).alias("offset"),
         text("warc_filename").alias("filename"), F.lit(None).cast("string").alias("redirect"), F.lit(None).cast("string").alias("truncated"),
     )
 
 
+def with_defaults(captures: DataFrame) -> DataFrame:
+    """Null keys become "", null statuses 0, null times the epoch; columns that can't be null are left alone."""
+    fill = {"urlkey": F.lit(""), "status": F.lit(0), "timestamp": F.timestamp_seconds(F.lit(0)).cast(dict(captures.dtypes).get("timestamp", "timestamp"))}
+    null = {f.name for f in captures.schema if f.nullable}
+    return captures.withColumns({c: F.coalesce(c, v) for c, v in fill.items() if c in null})
+
+
 def read_index(spark: SparkSession, root: str, subset: str = "warc") -> DataFrame:
-    """The partitioned index below ``root``; filters on crawl prune partitions, those on keys and status reach the files."""
+    """The partitioned index below ``root``; filters on crawl prune partitions, those on keys, times, statuses and types reach the files."""
     table = spark.read.parquet(f"{root.rstrip('/')}/{INDEX_PATH}")
     return from_index(table.where(F.col("subset") == subset))
 
 
+def to_index(captures: DataFrame, subset: str = "warc") -> DataFrame:
+    """Captures as rows of the columnar index, with the host columns that SQL text filters on."""
+    source = {"url_surtkey": "urlkey", "url": "url", "fetch_time": "timestamp", "fetch_status": "status", "content_mime_type": "mime", "content_mime_detected": "mime_detected", "content_digest": "digest", "warc_filename": "filename", "warc_record_offset": "offset", "warc_record_length": "length"}
+    return captures.select(
+        *(F.col(v).alias(k) for k, v in source.items()), F.array_join("languages", ",").alias("content_languages"), host(F.col("url")).alias("url_host_name"), tld(F.col("urlkey")).alias("url_host_tld"),
+        "crawl", F.lit(subset).alias("subset"),
+    )
+
+
+def write_index(captures: DataFrame, root: str, subset: str = "warc") -> None:
+    """The index's layout below ``root``: files by crawl and subset, each sorted by key, so that key ranges skip files and row groups."""
+    rows = to_index(captures, subset).repartitionByRange("crawl", "url_surtkey").sortWithinPartitions("crawl", "url_surtkey", "fetch_time")
+    rows.write.mode("append").partitionBy("crawl", "subset").parquet(f"{root.rstrip('/')}/{INDEX_PATH}")
+
+
 def partition_path(crawl: str, subset: str = "warc") -> str:
     return f"{INDEX_PATH}/crawl={crawl}/subset={subset}"
 
@@ -92,8 +131,9 @@ def registry(spark: SparkSession, rows: list[tuple[str, str | None, str | None]]
 
 
 def with_crawl_order(captures: DataFrame, crawls: DataFrame) -> DataFrame:
-    """Adds ``crawl_ord``; rows of unknown crawls go.  The registry has about one row a month."""
-    return captures.join(F.broadcast(crawls.select(F.col("id").alias("crawl"), "crawl_ord")), "crawl")
+    """Adds ``crawl_ord``; rows of unknown crawls go.  The registry has about one row a month; a large one is joined without a hint."""
+    order = crawls.select(F.col("id").alias("crawl"), "crawl_ord")
+    return captures.join(F.broadcast(order) if order.limit(BROADCAST_CRAWLS + 1).count() <= BROADCAST_CRAWLS else order, "crawl")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -105,6 +145,3 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     """The same from rows of (value), as read from standard input."""
     j = F.from_json(F.trim("value"), CAPTURE, {"mode": "FAILFAST", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX"})
     return lines.where(F.trim("value") != "").select(j.alias("j")).select("j.*").withColumn("languages", F.coalesce("languages", F.array().cast("array<string>")))
-
-
-__all__ = ["COLUMNS", "REGISTRY", "from_index", "page_count", "parse_lines", "parse_manifest", "partition_path", "read_index", "read_lines", "read_manifest", "read_registry", "registry", "with_crawl_order"]

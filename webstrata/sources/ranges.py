@@ -1,40 +1,70 @@
 """Payload ranges: read ``length`` bytes at ``offset`` of archive files.
 
 Locators are dealt by file and sorted by offset, so a task opens a file once and reads forward, and
-reads no more than the ranges.
+reads no more than the ranges.  From a web server every range is one request.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 
+from ..errors import ArchiveError
+from ..transport import Transport
 
-def read_ranges(root: str, locators: DataFrame) -> DataFrame:
-    """locators(digest, filename, offset, length) to (digest, raw); a range past the end is cut there, a missing file gives no rows.
 
-    root: a path or URI of a store that pyarrow opens (file, hdfs, s3, gs).
+def _file_reader(root: str) -> Callable[[str, int, int], bytes]:
+    store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+    now: list = [None, None]
+
+    def read(filename: str, offset: int, length: int) -> bytes:
+        if filename != now[0]:
+            now[:] = [filename, None]
+            now[1] = store.open_input_file(f"{base.rstrip('/')}/{filename}")
+        if now[1] is None:
+            raise FileNotFoundError(filename)
+        size = now[1].size()
+        return now[1].read_at(max(0, min(length, size - offset)), min(offset, size))
+
+    return read
+
+
+def read_ranges(root: str, locators: DataFrame, transport: Transport | None = None, workers: int | None = None) -> DataFrame:
+    """locators(digest, filename, offset, length) to (digest, raw, error): one row each.
+
+    A range that ends past the file, a missing file and a failed request give a null ``raw`` and say
+    why in ``error``; an empty range is empty bytes.  Null locators are errors too.
+
+    root: a path or URI of a store that pyarrow opens (file, hdfs, s3, gs); with a transport, the
+    address before file names.  workers: tasks that send requests at most, so that they share its
+    rate evenly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-        name, handle = None, None
+        if transport is not None:
+            polite = transport.shared_by(workers) if workers and hasattr(transport, "shared_by") else transport
+            read = lambda name, offset, length: polite.get_range(f"{root.rstrip('/')}/{name}", offset, length)
+        else:
+            read = _file_reader(root)
         for batch in batches:
-            digests, raws = [], []
-            for digest, filename, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if filename != name:
-                    name = filename
-                    try:
-                        handle = store.open_input_file(f"{base.rstrip('/')}/{filename}")
-                    except FileNotFoundError:
-                        handle = None
-                if handle is not None:
-                    raws.append(handle.read_at(max(0, min(length, handle.size() - offset)), min(offset, handle.size())))
-                    digests.append(digest)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(raws, pa.binary())], names=["digest", "raw"])
-
-    dealt = locators.select("digest", "filename", "offset", "length").repartition("filename").sortWithinPartitions("filename", "offset")
-    return dealt.mapInArrow(run, "digest string, raw binary")
+            raws, errors = [], []
+            for filename, offset, length in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                raw, error = None, None
+                try:
+                    if filename is None or offset is None or length is None or offset < 0 or length < 0:
+                        raise ValueError("no locator")
+                    raw = read(filename, offset, length) if length else b""
+                    if len(raw) != length:
+                        raw, error = None, f"{len(raw)} of {length} bytes at {offset} of {filename}"
+                except (OSError, ValueError, ArchiveError) as e:
+                    error = f"{type(e).__name__}: {e}"
+                raws.append(raw)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raws, pa.binary()), pa.array(errors, pa.string())], names=["digest", "raw", "error"])
+
+    chosen = locators.select("digest", "filename", "offset", "length")
+    dealt = (chosen.repartition(workers, "filename") if workers else chosen.repartition("filename")).sortWithinPartitions("filename", "offset")
+    return dealt.mapInArrow(run, "digest string, raw binary, error string")

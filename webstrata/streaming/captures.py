@@ -8,8 +8,10 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.reduce import total_order
 from ..sources.captures import parse_lines
 
 
@@ -28,7 +30,9 @@ def stream_distinct(captures: DataFrame, watermark: str | None = None) -> DataFr
 def stream_changes(captures: DataFrame) -> DataFrame:
     """(urlkey, timestamp, digest, offset) of rows whose digest differs from the one before of their key; the first row of a key counts.
 
-    Inside a trigger rows go by time, filename and offset; state is one digest a key.
+    Inside a trigger rows go by time, filename and offset; state is one digest a key.  Triggers have
+    to come in the order of time: a capture that arrives after later ones of its key is compared
+    with the last of those, where the batch form compares it with its neighbour in time.
     """
     order = ["timestamp", "filename", "offset"]
     columns = ["urlkey", "timestamp", "digest", "offset"]
@@ -46,6 +50,23 @@ def stream_changes(captures: DataFrame) -> DataFrame:
     return chosen.groupBy("urlkey").applyInPandasWithState(step, f"urlkey string, timestamp {kind}, digest string, offset long", "digest string", "append", GroupStateTimeout.NoTimeout)
 
 
+def write_within_records(captures: DataFrame, most: int, path: str, checkpoint: str) -> StreamingQuery:
+    """Start a stream that appends captures to ``path`` until it holds ``most``; each trigger takes the first in order.
+
+    What was written before a trigger is counted in the table itself, and a trigger that is tried
+    again overwrites its own folder, so a restart neither loses nor repeats rows.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(base)
+        done = spark.read.parquet(path).where(F.col("trigger") < number).count() if number and there else 0
+        batch.orderBy(*total_order(batch)).limit(max(0, most - done)).write.mode("overwrite").parquet(f"{path}/trigger={number}")
+
+    return captures.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(captures: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Captures per event-time window and status, late rows up to the watermark."""
-    return captures.withWatermark("timestamp", late).groupBy(F.window("timestamp", size, slide), "status").count()
+    return captures.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late).groupBy(F.window("timestamp", size, slide), "status").count()

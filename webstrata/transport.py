@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import threading
 import time
@@ -11,6 +12,8 @@ from collections.abc import Callable
 from typing import Any, Protocol
 from urllib.parse import urlsplit
 
+from pyarrow import fs
+
 from .errors import ConfigError, HttpError, NetworkError, NotFoundError, RateLimitedError
 
 MAX_RPS, MAX_CONCURRENCY, MAX_RETRIES, BASE_MS, CAP_MS = 2.0, 4, 5, 500, 30_000
@@ -30,9 +33,13 @@ class Politeness:
     """A token bucket for each class of host, and a cap on requests under way."""
 
     def __init__(self, rps: float = MAX_RPS, concurrency: int = MAX_CONCURRENCY, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
-        self.rps, self.clock, self.sleep = rps, clock, sleep
+        self.rps, self.concurrency, self.clock, self.sleep = rps, concurrency, clock, sleep
         self.slots, self.lock, self.next = threading.Semaphore(concurrency), threading.Lock(), dict[str, float]()
 
+    def __reduce__(self) -> tuple:
+        """Locks stay behind: each process paces its own requests."""
+        return Politeness, (self.rps, self.concurrency, self.clock, self.sleep)
+
     @staticmethod
     def host_class(url: str) -> str:
         host = urlsplit(url).hostname or ""
@@ -82,6 +89,11 @@ class HttpTransport:
             self.politeness.sleep(wait)
             attempt += 1
 
+    def shared_by(self, workers: int) -> HttpTransport:
+        """The same with this process's share of the rate; processes can't see each other's requests."""
+        p = self.politeness
+        return HttpTransport(self.agent, Politeness(p.rps / workers, max(1, p.concurrency // workers), p.clock, p.sleep), self.retries, self.open)
+
     def get_text(self, url: str) -> str:
         return self.fetch(url, {}).decode("utf-8", "replace")
 
@@ -108,6 +120,31 @@ class FixedTransport:
         return self._get(url)[start : start + length]
 
 
+class FolderTransport:
+    """Answers from files of a folder that every process can read, one a URL, as ``answer_name`` names them."""
+
+    def __init__(self, root: str) -> None:
+        self.root = root
+
+    def _get(self, url: str) -> bytes:
+        store, base = fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
+        try:
+            with store.open_input_stream(f"{base.rstrip('/')}/{answer_name(url)}", compression=None) as f:
+                return f.read()
+        except FileNotFoundError as e:
+            raise NotFoundError(url) from e
+
+    def get_text(self, url: str) -> str:
+        return self._get(url).decode("utf-8", "replace")
+
+    def get_range(self, url: str, start: int, length: int) -> bytes:
+        return self._get(url)[start : start + length]
+
+
+def answer_name(url: str) -> str:
+    return hashlib.sha1(url.encode()).hexdigest()
+
+
 def pages_of(body: str) -> int:
     """Bare integer, or JSON with ``pages``; else 0."""
     try:
@@ -125,12 +162,9 @@ def num_pages(transport: Transport, url: str) -> int:
         return 0
 
 
-def page_lines(transport: Transport, url_of: Callable[[int], str], pages: int) -> list[str]:
-    """Lines of pages 0..pages (page 0 always), blank ones and absent pages skipped."""
-    out: list[str] = []
-    for n in range(max(1, pages)):
-        try:
-            out += [x for x in transport.get_text(url_of(n)).splitlines() if x.strip()]
-        except NotFoundError:
-            continue
-    return out
+def lines_of(transport: Transport, url: str) -> list[str]:
+    """Lines of one page; blank ones are skipped, an absent page has none."""
+    try:
+        return [x for x in transport.get_text(url).splitlines() if x.strip()]
+    except NotFoundError:
+        return []
