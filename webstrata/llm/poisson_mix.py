@@ -7,7 +7,7 @@ from its id, so the result depends on the rows alone: not on partitioning, retri
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir
@@ -29,21 +29,20 @@ def uniform(*parts: Column) -> Column:
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0) -> DataFrame:
     """One row a source: ``rate`` (mean repeats), ``steps`` and the cumulative distribution of one step.
 
-    weights: (source, weight) with any positive scale; by default the square root of a source's
-    characters (temperature 2).  Sources with no characters or no weight get rate 0.
-    epochs: expected characters out per character in.
+    weights: (source, weight) with any positive scale, rows that repeat a source add up; by default
+    the square root of a source's characters (temperature 2).  Sources with no characters or no
+    positive weight get rate 0.  epochs: expected characters out per character in.
     """
     sizes = docs.groupBy(F.col("source").alias("mix_source")).agg(F.sum(F.length("text")).cast("double").alias("chars"))
     if weights is None:
         sizes = sizes.withColumn("weight", F.sqrt("chars"))
     else:
-        w = weights.select(F.col("source").alias("w_source"), F.col("weight").cast("double"))
+        w = weights.groupBy(F.col("source").alias("w_source")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
         sizes = sizes.join(w, F.col("mix_source").eqNullSafe(F.col("w_source")), "left").drop("w_source")
-    every = Window.partitionBy()
-    sized = sizes.where("chars > 0 and weight > 0").select(
-        "mix_source",
-        (F.col("weight") / F.sum("weight").over(every) * F.sum("chars").over(every) * F.lit(float(epochs)) / F.col("chars")).alias("rate"),
-    )
+    sizes = sizes.where("chars > 0 and weight > 0").checkpoint()
+    # two numbers, from partial sums
+    total = sizes.agg(F.sum("weight").alias("weight"), F.sum("chars").alias("chars")).first()
+    sized = sizes.select("mix_source", (F.col("weight") / F.lit(total["weight"]) * F.lit(total["chars"]) * F.lit(float(epochs)) / F.col("chars")).alias("rate"))
     step = F.col("rate") / F.col("steps")
     grown = F.aggregate(
         F.sequence(F.lit(1), F.lit(TERMS)),
@@ -73,7 +72,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, epochs: float
     an empty one.  A hot source never meets in one task: rates come from partial sums and reach the
     documents by a broadcast whose size was counted, or by a join that adaptive execution splits.
     """
-    shared_dir(docs.sparkSession)
+    shared_dir(docs.sparkSession)  # for checkpoints
     rates = source_rates(docs, weights, epochs).checkpoint()
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
