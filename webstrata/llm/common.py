@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is made and registered.
+    Only where that setting is absent and the master is local (tests) a temporary folder is made and registered.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="webstrata-")
             spark.sparkContext.setCheckpointDir(base)
@@ -41,6 +44,30 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def export_files(rows: DataFrame, root: str) -> DataFrame:
+    """Write every (name, blob) as a file of its own below ``root`` (a path or URI that pyarrow opens); (name, bytes) of each.
+
+    An action.  Names must be unique; a null blob writes nothing and has null bytes.  A retried task
+    writes its files again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            sizes = []
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not blob.is_valid:
+                    sizes.append(None)
+                    continue
+                with store.open_output_stream(f"{base.rstrip('/')}/{name}", compression=None) as f:
+                    f.write(blob.as_buffer())
+                sizes.append(len(blob.as_buffer()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    return stored(rows.select("name", "blob").mapInArrow(run, "name string, bytes long"), "files")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Batch-at-a-time ``mapInArrow``; ``fn`` may give None for no rows."""
 

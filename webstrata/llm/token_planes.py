@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe_tree import byte_of_char
-from .common import PYTHON_ONLY_SPACE, by_bytes, stored, text_column
+from .common import PYTHON_ONLY_SPACE, by_bytes, export_files, stored, text_column
 
 # Fixed value: first bytes of a shard.
 MAGIC = b"BPLN0001"
@@ -57,8 +57,12 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+        # little-endian ids, as wide as the vocabulary needs
+        self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+
     def whole(self, text: str) -> bytes:
-        return array("H", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def piece(self, text: str) -> bytes:
         found = self.pieces.get(text)
@@ -66,7 +70,7 @@ class WordEncoder:
             if len(self.pieces) >= CACHE_WORDS // 2:
                 self.pieces.clear()
             shown = text if text.isascii() else "".join(map(self.chars.__getitem__, text.encode()))
-            found = self.pieces[text] = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            found = self.pieces[text] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
         return found
 
     def learn(self, words: set[str]) -> None:
@@ -81,7 +85,7 @@ class WordEncoder:
                 self.known[w] = self.whole(w)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian 16-bit numbers."""
+        """Ids of each text, of ``dtype``."""
         for a, b in by_bytes(texts, 1 << 21):
             split = [None if PYTHON_ONLY_SPACE.search(t) else t.split() for t in texts[a:b]]
             self.learn(set().union(*(s for s in split if s)))
@@ -156,19 +160,21 @@ class Shard:
 def write_planes(docs: DataFrame, path: str, end_id: int = 1, kind: str = "byte") -> DataFrame:
     """Encode documents in ascending doc_id order and store shards: (part, seq, part_start, n_ids, blob).
 
-    Order: doc_id with nulls first, equal ids by text.  Null texts count as empty; every document
-    gets the end id.  Only a document's own ids and one shard are held at once.
+    Order: doc_id with nulls first, equal ids by a hash of their text, then by the text.  Null texts
+    count as empty; every document gets the end id.  A document is never split: one longer than a
+    shard is a shard of its own length.  Only a document's own ids and one shard are held at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, end = WordEncoder(path), np.array([end_id], "<u2").tobytes()
+        encoder = WordEncoder(path)
+        end = np.array([end_id], encoder.dtype).tobytes()
         ids, doc_ids, lengths, seq, start, size = [], [], [], 0, 0, 0
 
         def shard() -> pa.RecordBatch:
-            blob = encode_shard(np.frombuffer(b"".join(ids), "<u2"), doc_ids, lengths, kind)
+            blob = encode_shard(np.frombuffer(b"".join(ids), encoder.dtype), doc_ids, lengths, kind)
             row = {"part": part, "seq": seq, "part_start": start, "n_ids": size, "blob": blob}
             return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("blob", pa.binary())]))
 
@@ -176,7 +182,7 @@ def write_planes(docs: DataFrame, path: str, end_id: int = 1, kind: str = "byte"
             for doc_id, one in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 ids += [one, end]
                 doc_ids.append(doc_id)
-                lengths.append(len(one) // 2 + 1)
+                lengths.append(len(one) // encoder.dtype.itemsize + 1)
                 size += lengths[-1]
                 if size >= SHARD_IDS:
                     yield shard()
@@ -184,7 +190,9 @@ def write_planes(docs: DataFrame, path: str, end_id: int = 1, kind: str = "byte"
         if lengths:
             yield shard()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    # rows of one id spread by their texts
+    ordered = ordered.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text").drop("text_hash")
     return stored(ordered.mapInArrow(run, "part long, seq long, part_start long, n_ids long, blob binary"), "planes", compression="none")
 
 
@@ -205,10 +213,15 @@ def read_planes(shards: DataFrame) -> DataFrame:
                     [pa.array(s.doc_ids, pa.int64()), pa.array(starts + begin), pa.array(s.lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    # one row a partition: the table is as short as the partition list
+    # one row a partition of the writing job, 16 bytes each
     placed = shards.join(F.broadcast(offsets), F.col("part") == F.col("of_part")).select((F.col("part_start") + F.col("offset")).alias("begin"), "blob")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def export_shards(shards: DataFrame, root: str) -> DataFrame:
+    """Each shard as a file of the format, named in document order; (name, bytes)."""
+    return export_files(shards.select(F.format_string("shard-%06d-%06d.bpln", "part", "seq").alias("name"), "blob"), root)
+
+
 def token_planes(docs: DataFrame, path: str | None = None, end_id: int = 1, kind: str = "byte") -> DataFrame:
     return read_planes(write_planes(docs, path or public_tokenizers.path("word_bpe_49k.json"), end_id, kind))
