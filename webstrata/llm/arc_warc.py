@@ -29,8 +29,10 @@ FIELDS = {
 }
 #: Payloads shorter than this are never revisits.
 LEAST_REVISIT = 100
-#: Bytes of archive that one stored blob gathers before the next begins.
-BLOB_BYTES = 1 << 20
+#: Bytes of records that a legacy archive gathers before the next begins.
+ARC_BYTES = 4 << 20
+#: Groups of equal payloads that are broadcast at most, about 200 bytes each.
+BROADCAST_GROUPS = 100_000
 
 
 class ArcRecord(NamedTuple):
@@ -48,9 +50,19 @@ def arc_version_block(version: int, name: str) -> bytes:
     return f"filedesc://{name} 0.0.0.0 20240101000000 text/plain {rest}{len(body)}\n{body}\n".encode()
 
 
+def arc_url(url: str | None) -> str:
+    """A url as header lines hold it: characters that would break them are percent-encoded; none is ``urn:none``."""
+    return quote(url or "", safe="%/:=&?~#+!$,;'@()*[]|^{}\\\"<>`") or "urn:none"
+
+
+def arc_date(page: int | None) -> str:
+    """Archive date of a page, which the pages table doesn't have."""
+    return f"{20240101000000 + (page or 0) % 60}"
+
+
 def arc_record(version: int, url: str, date: str, status: int, body: bytes, name: str, offset: int) -> bytes:
-    """One URL record; characters that would break the header line are percent-encoded."""
-    safe = quote(url, safe="%/:=&?~#+!$,;'@()*[]|^{}\\\"<>`") or "urn:none"
+    """One URL record."""
+    safe = arc_url(url)
     rest = f"{status} - - {offset} {name} " if version == 2 else ""
     return f"{safe} 0.0.0.0 {date} text/html {rest}{len(body)}\n".encode() + body + b"\n"
 
@@ -119,31 +131,39 @@ def warc_type(record: ArcRecord) -> str:
     return "response" if record.body.startswith(b"HTTP/") else "resource"
 
 
-def to_warc(record: ArcRecord, refers_to: int | None = None, **more: object) -> bytes:
+def to_warc(record: ArcRecord, first: ArcRecord | None = None, first_page: int | None = None, page: int | None = None) -> bytes:
     """A WARC/1.1 record equivalent to an ARC record.
 
-    refers_to: makes it a revisit of the page with that id: the block keeps the HTTP headers alone,
-    the payload digest and length stay those of the full payload.
+    first: header of the record whose payload this one repeats, which makes it a revisit: the block
+    keeps the HTTP headers alone, digest and length stay those of the full payload, and the
+    record names the first one by identifier, address and date.  page: the id that
+    ``WARC-Page-ID`` keeps.
     """
     kind = warc_type(record)
     _, payload = http_parts(record.body) if kind == "response" else ({}, record.body)
-    block = record.body if refers_to is None else record.body[: len(record.body) - len(payload)]
+    block = record.body if first is None else record.body[: len(record.body) - len(payload)]
     digest = hashlib.sha256(payload).hexdigest()
     mime = {"response": "application/http; msgtype=response", "warcinfo": "application/warc-fields"}.get(kind, record.header["type"])
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if refers_to is not None else kind}",
-        f"WARC-Record-ID: {record_id(record.header['url'], record.header['date'], digest, more.get('WARC-Page-ID'))}",
+        f"WARC-Type: {'revisit' if first else kind}",
+        f"WARC-Record-ID: {record_id(record.header['url'], record.header['date'], digest, page)}",
         f"WARC-Date: {warc_date(record.header['date'])}",
         *([f"WARC-Target-URI: {record.header['url']}"] if kind != "warcinfo" else []),
         f"WARC-IP-Address: {record.header['ip']}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
-        *(f"{k}: {v}" for k, v in more.items() if v is not None),
+        *([f"WARC-Page-ID: {page}"] if page is not None else []),
     ]
-    if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {refers_to}"]
+    if first:
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {record_id(first.header['url'], first.header['date'], digest, first_page)}",
+            f"WARC-Refers-To-Target-URI: {first.header['url']}",
+            f"WARC-Refers-To-Date: {warc_date(first.header['date'])}",
+            *([f"WARC-Refers-To-Page: {first_page}"] if first_page is not None else []),
+        ]
     lines += [f"Content-Type: {mime}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -166,96 +186,133 @@ def parse_warc(data: bytes) -> tuple[dict[str, str], bytes]:
         raise ValueError("no WARC record")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     block = rest[: int(fields["content-length"])]
-    said = fields.get("warc-block-digest", "").rpartition(":")[2]
-    if said and said != hashlib.sha256(block).hexdigest():
+    kind, _, said = fields.get("warc-block-digest", "").partition(":")
+    if kind == "sha256" and said != hashlib.sha256(block).hexdigest():
         raise ValueError(f"block digest of {fields.get('warc-record-id')} differs")
     return fields, block
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) with ``refers_to``: the smallest page_id of equal payloads of 100 bytes or more, null on that page itself.
+    """pages(page_id, url, html) with ``refers_to`` and ``refers_url``: the smallest page_id of equal payloads of 100 bytes or more and its url, null on that page itself.
 
-    A null html counts as empty; rows that repeat the smallest page_id all stay responses; a null
-    page_id is never the smallest unless all are null, then all stay responses.
+    A null html counts as empty; rows that repeat the smallest page_id all stay responses (the
+    smallest of their urls is referred to); a null page_id is never the smallest unless all are
+    null, then all stay responses.  Only groups of equal payloads take part in the join: where they
+    are few they are broadcast, otherwise pages too small to be revisits pass by it.
     """
     keyed = pages.select(
         F.col("page_id").cast("long"),
         F.col("url").cast("string"),
         F.coalesce(F.col("html"), F.lit("")).alias("html"),
     ).withColumn("digest", F.when(F.octet_length("html") >= LEAST_REVISIT, F.sha2("html", 256)))
-    first = (
-        keyed.where("digest is not null")
-        .groupBy(F.col("digest").alias("first_digest"))
-        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
-    return keyed.join(first, F.col("digest") == F.col("first_digest"), "left").select(
-        "page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to")
-    )
-
-
-def write_archives(pages: DataFrame) -> DataFrame:
-    """Legacy ARC files of (page_id, url, html, refers_to), converted to gzip WARC blobs: (n_records, blob).
-
-    Files alternate between both ARC versions.  A null url becomes ``urn:none``.
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = keyed.where("digest is not null").groupBy(F.col("digest").alias("first_digest")).agg(F.min(known).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = stored(first.select("first_digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "repeated")
+    again = ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    marked = lambda df: df.select("page_id", "url", "html", F.when(again, F.col("first_id")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
+    if first.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        return marked(keyed.join(F.broadcast(first), F.col("digest") == F.col("first_digest"), "left"))
+    large = keyed.where("digest is not null").join(first, F.col("digest") == F.col("first_digest"), "left")
+    small = keyed.where("digest is null").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
+    return marked(large).union(small)
+
+
+PAGES = "array<struct<page_id: bigint, refers_to: bigint, refers_url: string>>"
+
+
+def write_arcs(pages: DataFrame) -> DataFrame:
+    """Legacy archives of (page_id, url, html, refers_to, refers_url): (arc, pages), gzip members one a record, and each record's ids.
+
+    Files alternate between both ARC versions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         version = 1
+        kind = pa.list_(pa.struct([("page_id", pa.int64()), ("refers_to", pa.int64()), ("refers_url", pa.string())]))
         for batch in batches:
-            ids, urls, htmls, refs = (batch.column(i) for i in range(4))
+            ids, urls, htmls, refs, ref_urls = (batch.column(i) for i in range(5))
             at = 0
             while at < batch.num_rows:
                 version, name = 3 - version, f"legacy-{at}.arc"
-                legacy, kept, size, start = [arc_version_block(version, name)], [], 0, at
-                while at < batch.num_rows and (size < BLOB_BYTES * 4 or at == start):
+                legacy, kept, size, start = [gzip.compress(arc_version_block(version, name), 1, mtime=0)], [], 0, at
+                while at < batch.num_rows and (size < ARC_BYTES or at == start):
                     page, html = ids[at].as_py(), htmls[at].as_py().encode("utf-8", "replace")
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n"
-                    legacy.append(arc_record(version, urls[at].as_py() or "", f"{20240101000000 + (page or 0) % 60}", 200, head.encode() + html, name, size))
-                    kept.append((page, refs[at].as_py()))
-                    size += len(legacy[-1])
+                    record = arc_record(version, urls[at].as_py() or "", arc_date(page), 200, head.encode() + html, name, size)
+                    legacy.append(gzip.compress(record, 1, mtime=0))
+                    kept.append({"page_id": page, "refers_to": refs[at].as_py(), "refers_url": ref_urls[at].as_py()})
+                    size += len(record)
                     at += 1
-                records = parse_arc(b"".join(legacy))
-                blob = [gzip.compress(to_warc(next(records)), 1, mtime=0)]
-                blob += [gzip.compress(to_warc(r, ref, **{"WARC-Page-ID": page}), 1, mtime=0) for r, (page, ref) in zip(records, kept, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(legacy)], pa.binary()), pa.array([kept], kind)], names=["arc", "pages"])
+
+    return pages.select("page_id", "url", "html", "refers_to", "refers_url").mapInArrow(run, f"arc binary, pages {PAGES}")
+
+
+def convert_arcs(arcs: DataFrame) -> DataFrame:
+    """Legacy archives (arc[, pages]), plain or gzip, to gzip WARC blobs: (n_records, blob), a blob an archive.
+
+    pages: ids of the URL records in order, where there are any; without them no record is a revisit.
+    """
+    named = "pages" in arcs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                raw = batch.column(0)[k].as_py()
+                records = parse_arc(b"".join(members(raw)) if raw[:2] == b"\x1f\x8b" else raw)
+                ids = iter((batch.column(1)[k].as_py() or []) if named else [])
+                blob = []
+                for record in records:
+                    about = {} if record.opens else next(ids, {})
+                    ref = about.get("refers_to")
+                    first = ArcRecord(record.version, {"url": arc_url(about["refers_url"]), "date": arc_date(ref)}, b"") if ref is not None else None
+                    blob.append(gzip.compress(to_warc(record, first, ref, about.get("page_id")), 1, mtime=0))
                 yield pa.RecordBatch.from_pydict({"n_records": pa.array([len(blob)], pa.int64()), "blob": pa.array([b"".join(blob)], pa.binary())})
 
-    return pages.mapInArrow(run, "n_records long, blob binary")
+    return arcs.select("arc", *(["pages"] if named else [])).mapInArrow(run, "n_records long, blob binary")
 
 
 def read_archives(blobs: DataFrame) -> DataFrame:
-    """One row a page record: id, type, payload length and digest, reference.  Response payloads are digested again."""
-    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date", "target_uri")
+    """One row a record other than warcinfo: page id, type, payload length and digest, reference, identifiers.
+
+    blob: gzip members one a record, as Spark's ``binaryFile`` source gives whole files too.  Digests
+    of responses and resources are computed again; one that differs raises.  Fields that other
+    writers leave out are null.  An empty or null blob has no rows.
+    """
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date", "target_uri", "refers_to_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0):
                 rows: list[tuple] = []
-                for data in members(blob.as_py()):
+                for data in members(blob.as_py() or b""):
                     f, block = parse_warc(data)
-                    if f["warc-type"] == "warcinfo":
+                    kind = f.get("warc-type")
+                    if kind == "warcinfo":
                         continue
-                    n, digest = int(f["warc-payload-length"]), f["warc-payload-digest"].rpartition(":")[2]
-                    if f["warc-type"] == "response":
+                    said = f.get("warc-payload-digest", "")
+                    n, digest = f.get("warc-payload-length"), said.rpartition(":")[2] or None
+                    if kind in ("response", "resource"):
                         _, payload = http_parts(block)
                         n, seen = len(payload), hashlib.sha256(payload).hexdigest()
-                        if seen != digest:
-                            raise ValueError(f"payload digest of {f['warc-record-id']} differs")
+                        if said.startswith("sha256:") and seen != digest:
+                            raise ValueError(f"payload digest of {f.get('warc-record-id')} differs")
+                        digest = seen
                     page, ref = f.get("warc-page-id"), f.get("warc-refers-to-page")
-                    rows.append((page and int(page), n, digest, f["warc-type"], ref and int(ref), f["warc-record-id"], f["warc-date"], f.get("warc-target-uri")))
+                    number = lambda x: None if x is None else int(x)
+                    rows.append((number(page), number(n), digest, kind, number(ref), f.get("warc-record-id"), f.get("warc-date"), f.get("warc-target-uri"), f.get("warc-refers-to")))
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 4)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
-    return blobs.select("blob").mapInArrow(
-        run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, target_uri string"
-    )
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, target_uri string, refers_to_id string"
+    return blobs.select("blob").mapInArrow(run, schema)
 
 
 def convert_pages(pages: DataFrame) -> DataFrame:
-    """Write every page as an archive record, store the archives in the shared folder, read them back."""
-    return read_archives(stored(write_archives(with_revisits(pages)), "warc", compression="none"))
+    """Write every page as a legacy record, store the archives, convert them, store the converted ones, read these back."""
+    arcs = stored(write_arcs(with_revisits(pages)), "arc", compression="none")
+    return read_archives(stored(convert_arcs(arcs), "warc", compression="none"))
 
 
 ORACLE = """
