@@ -2,7 +2,8 @@
 
 Texts with equal n-gram sets form one class, so copies cost one row each.  Classes that share a
 band hash are candidates.  To verify them without listing pairs, each class gets a home (the
-smallest class of its fullest bucket), homes are dealt into blocks of bounded size, and every pair
+smallest class of its fullest bucket), homes are dealt into blocks of bounded numbers of classes and
+n-grams, and every pair
 of blocks that meet in some bucket is one task that compares their full sets.  A block pair is
 one task however many bands it shares, so each link is counted once.  Tasks give link counts and a
 spanning forest, never pairs.
@@ -34,8 +35,8 @@ HASHES = 128
 NO_ID = -(2**63)
 #: White space as Python's split() takes it, for a Java character class.
 SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Classes of a block.
-BLOCK = 256
+#: Classes of a block, and n-grams of a block (8 bytes each), at most on average.
+BLOCK, BLOCK_GRAMS = 256, 1 << 20
 
 
 def band_plan(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -96,22 +97,23 @@ class Signer:
 
 
 def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_hash, cid (class: digest of the n-gram set, null without words), bands."""
+    """doc_id, text_hash, cid (class: digest of the n-gram set, null without words), bands, size (of the set)."""
     signer = Signer(bands, rows)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, keys, hashes = batch.column(2).to_pylist(), [], []
+        texts, keys, hashes, sizes = batch.column(2).to_pylist(), [], [], []
         for a, b in by_bytes(texts, 1 << 20):
             sets = text_sets(texts[a:b], n)
             keys += map(set_key, sets)
+            sizes += map(len, sets)
             full = [s for s in sets if len(s)]
             rows_of = iter(signer.sign(full).view(np.int64) if full else [])
             hashes += [next(rows_of) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "cid", "bands"]
+            [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "cid", "bands", "size"]
         )
 
-    return map_arrow(keyed(docs), run, "doc_id long, text_hash long, cid binary, bands array<long>")
+    return map_arrow(keyed(docs), run, "doc_id long, text_hash long, cid binary, bands array<long>, size long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -225,14 +227,16 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     classes = stored(
         signed_docs.where("cid is not null")
         .groupBy("cid")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")),
+        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.min("size").alias("size")),
         "classes",
     )
     hits = classes.select(F.explode("bands").alias("bucket"), "cid")
     shared = hits.groupBy("bucket").agg(F.min("cid").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
     met = stored(hits.join(shared, "bucket"), "buckets")
     home = met.groupBy("cid").agg(F.max(F.struct("members", "leader"))["leader"].alias("home"))
-    blocks = home.join(home.groupBy(F.col("home").alias("h")).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("n_blocks")), F.col("home") == F.col("h"))
+    home = home.join(classes.select(F.col("cid").alias("sized"), "size"), F.col("cid") == F.col("sized"))
+    needed = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("size") / F.lit(BLOCK_GRAMS)))
+    blocks = home.join(home.groupBy(F.col("home").alias("h")).agg(needed.alias("n_blocks")), F.col("home") == F.col("h"))
     placed = stored(blocks.select("cid", F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.col("n_blocks"))).alias("block")), "blocks")
     spots = met.select("bucket", "cid").join(placed, "cid").select("bucket", "block").distinct()
     pairs = spots.join(spots.withColumnRenamed("block", "other"), "bucket").where("block <= other").select("block", "other").distinct()
