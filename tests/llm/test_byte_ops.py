@@ -10,10 +10,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from webstrata.llm import ann_mih, arc_warc, bpe_tree, flac_media, html_extract, poisson_mix, token_planes
+from webstrata.llm import ann_mih, arc_warc, bpe_tree, common, flac_media, html_extract, poisson_mix, token_planes
 from webstrata.llm import queries as q
 
 from ..conftest import rows_of
@@ -91,7 +92,8 @@ def test_shards(kind, dtype):
 
 def brute_planes(rows):
     t, at, out = Tokenizer.from_file(WORD), 0, []
-    for i, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    spread = lambda t: np.uint64(xxhash.xxh64(t.encode(), seed=42).intdigest()).astype(np.int64)
+    for i, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, spread(x[1] or ""), x[1] or "")):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
         out.append((str(i), at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -105,13 +107,41 @@ def test_planes_query(spark, odd, kind, monkeypatch):
     assert token_planes.token_planes(odd.limit(0)).count() == 0
 
 
+def test_shard_files(spark, odd, tmp_path):
+    """Files of the format, read in order without Spark."""
+    shards = token_planes.write_planes(odd.repartition(3), WORD)
+    token_planes.export_shards(shards, str(tmp_path / "s"))
+    read = [token_planes.Shard(p.read_bytes()) for p in sorted((tmp_path / "s").iterdir())]
+    assert sum(len(s.doc_ids) for s in read) == len(ODD)
+    t = Tokenizer.from_file(WORD)
+    ids = np.concatenate([s.ids() for s in read]).tolist()
+    at = 0
+    for s in read:
+        for n in s.lengths.tolist():
+            at += n
+            assert ids[at - 1] == 1
+    by_id = dict(ODD)
+    last = [i for s in read for i in s.doc_ids][-1]
+    assert last == 9 and ids[-len(t.encode(by_id[9], add_special_tokens=False).ids) - 1 :][:-1] == t.encode(by_id[9], add_special_tokens=False).ids
+
+
+def test_wide_vocabularies(monkeypatch):
+    monkeypatch.setattr(Tokenizer, "get_vocab_size", lambda self, with_added_tokens=True: 1 << 17, raising=False)
+    try:
+        w = token_planes.WordEncoder(WORD)
+    except TypeError:
+        pytest.skip("the library's class can't be patched")
+    ids = np.frombuffer(next(iter(w.encode(["some words, 12 <|endoftext|> é"]))), w.dtype)
+    assert ids.tolist() == w.tokenizer.encode("some words, 12 <|endoftext|> é", add_special_tokens=False).ids
+
+
 def test_arc_versions():
     for version in (1, 2):
         block = arc_warc.arc_version_block(version, "a.arc")
         body = b"HTTP/1.0 200 OK\r\nX: y\r\n\r\n\n\nbody with 2 0 numbers\n"
         recs = list(arc_warc.parse_arc(block + arc_warc.arc_record(version, "http://x/a b\nc", "20010203040506", 200, body, "a.arc", 3) + arc_warc.arc_record(version, "dns:x", "200102030405", 200, b"1.2.3.4", "a.arc", 9)))
         assert [r.version for r in recs] == [version] * 3 and recs[1].body == body and recs[1].header["url"] == "http://x/a%20b%0Ac"
-        fields, out = arc_warc.parse_warc(arc_warc.to_warc(recs[1]))
+        fields, out = arc_warc.parse_warc(arc_warc.to_warc(recs[1], page=7))
         assert out == body and fields["warc-type"] == "response" and fields["warc-date"] == "2001-02-03T04:05:06Z"
         assert fields["warc-payload-digest"] == "sha256:" + hashlib.sha256(body.split(b"\r\n\r\n", 1)[1]).hexdigest()
         assert [arc_warc.warc_type(r) for r in recs] == ["warcinfo", "response", "resource"]
@@ -137,6 +167,38 @@ def test_archives(spark):
         want.append((str(i), len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if ref else "response", str(ref)))
     assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], str(r["refers_to"])) for r in got) == sorted(want)
     assert arc_warc.convert_pages(pages.limit(0)).count() == 0
+    ids = {r["record_id"]: r for r in got}
+    for r in got:
+        # standard fields resolve a revisit without the page ids
+        if r["record_type"] == "revisit":
+            first = ids[r["refers_to_id"]]
+            assert (first["page_id"], first["record_type"], first["payload_digest"]) == (3, "response", r["payload_digest"])
+        else:
+            assert r["refers_to_id"] is None
+
+
+def test_revisits_alike_however_they_are_joined(spark, monkeypatch):
+    rows = [(i, f"u{i % 3}", "x" * (99 + i % 4)) for i in range(40)] + [(None, "n", "x" * 200), (None, "n", "x" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few = sorted(map(str, arc_warc.with_revisits(pages).collect()))
+    monkeypatch.setattr(arc_warc, "BROADCAST_GROUPS", 0)
+    assert sorted(map(str, arc_warc.with_revisits(pages).collect())) == few
+
+
+def test_archive_files_of_others(spark, tmp_path):
+    block = arc_warc.arc_version_block(1, "a.arc") + arc_warc.arc_record(1, "http://x/", "20010203040506", 200, b"HTTP/1.0 200 OK\r\n\r\nbody", "a.arc", 0) + arc_warc.arc_record(1, "dns:x", "2001", 200, b"1.2.3.4", "a.arc", 0)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.arc").write_bytes(block)
+    warcs = arc_warc.convert_arcs(spark.read.format("binaryFile").load(str(tmp_path / "in")).withColumnRenamed("content", "arc"))
+    common.export_files(warcs.select(F.lit("a.warc").alias("name"), "blob"), str(tmp_path / "out"))
+    files = spark.read.format("binaryFile").load(str(tmp_path / "out")).withColumnRenamed("content", "blob")
+    got = sorted((r["target_uri"], r["payload_bytes"], r["record_type"], r["page_id"]) for r in arc_warc.read_archives(files).collect())
+    assert got == [("dns:x", 7, "resource", None), ("http://x/", 4, "response", None)]
+    import gzip
+
+    foreign = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Block-Digest: sha1:ABC\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    rows = spark.createDataFrame([(bytearray(foreign),), (bytearray(),), (None,)], "blob binary")
+    assert [(r["payload_bytes"], r["record_id"]) for r in arc_warc.read_archives(rows).collect()] == [(3, None)]
 
 
 def test_pages_named_as_version_blocks_stay_pages(spark):
@@ -561,7 +623,7 @@ def test_blocks_change_nothing(spark):
 def test_mixing(spark):
     rows = [(i, "x" * (1 + i % 9), ["a", "a", "a", "b", None][i % 5]) for i in range(4000)] + [(5000, None, "a"), (5001, "", "b"), (5002, None, "empty"), (None, "nn", "a"), (7, "x", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("rate", "steps", "cdf", "mix_id", "copy_no")})
-    weights = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, 1.0)], "source string, weight double")
+    weights = spark.createDataFrame([("a", 0.5), ("a", 0.5), ("b", 2.0), (None, 1.0), ("empty", 3.0), ("absent", 1.0)], "source string, weight double")
     out = poisson_mix.mix_sources(docs, weights, epochs=2.0).cache()
     chars = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.length("text")).alias("n")).collect()}
     total = sum(len(t or "") for _, t, _ in rows) * 2
@@ -605,3 +667,29 @@ def test_pipeline(spark, sf_dir):
     out = p.run(spark, sf_dir)
     assert 0 < out.count() < 3 * docs.count() and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert p.run(spark, sf_dir).exceptAll(out).count() == 0
+
+
+@pytest.mark.parametrize("rows", ["none", "odd"])
+def test_pipeline_on_odd_tables(spark, sf_dir, tmp_path, rows):
+    """No documents; null, empty, repeated, very long ones, null and repeated ids, clashing columns, no labels."""
+    import corpus_pipeline as p
+
+    r = random.Random(17)
+    text = lambda n: " ".join(f"W{r.randrange(9000)}" for _ in range(n))
+    same, long = text(80), text(40_000)
+    made = [] if rows == "none" else [(1, None), (2, ""), (3, " \n "), (4, same), (4, same), (None, same), (5, same + " " + text(70)), (None, text(60)), (-7, "é " * 30), (6, long), (2**62, text(9)), (8, text(200)), (8, text(30))]
+    docs = spark.createDataFrame([(i, t, "en", None if i == 5 else "s", len(t or "")) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("x") for c in ("score", "row", "c1", "cid", "copy_no", "n_tokens", "cut_row", "class_id", "ord")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = p.run(spark, str(tmp_path)).collect()
+    if rows == "none":
+        assert out == []
+        return
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in p.STAGES[:3]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns, name
+    left = [(x["doc_id"], x["text"]) for x in now.collect()]
+    assert sum((t or "").count(same) for _, t in left) == 1 and (6, long) in left and {i for i, t in left if not (t or "").strip()} == {1, 2, 3}
+    assert all(x["n_tokens"] >= 0 for x in out) and {x["doc_id"] for x in out} <= {i for i, _ in made}
