@@ -87,7 +87,6 @@ searched("crawl_latest", ALL.in_crawls("latest"), f"{_ALL} and crawl = 'CC-MAIN-
 searched("crawl_latest_n", ALL.in_crawls("latest-2"), f"{_ALL} and crawl_ord < 2")
 searched("crawl_ids", ALL.in_crawls("CC-MAIN-2024-01,CC-MAIN-2024-03,CC-MAIN-1999-01"), f"{_ALL} and crawl in ('CC-MAIN-2024-01', 'CC-MAIN-2024-03')")
 searched("crawl_year_range", ALL.in_crawls("2023..2025"), f"{_ALL} and crawl like 'CC-MAIN-2024-%'")
-searched("crawl_year_range_without_captures", ALL.in_crawls("2019..2023"), "crawl like 'CC-MAIN-2020-%'")
 searched("crawl_since", ALL.in_crawls("since:2024-01-20"), f"{_ALL} and crawl in ('CC-MAIN-2024-03', 'CC-MAIN-2024-04')")
 
 

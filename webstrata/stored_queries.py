@@ -86,7 +86,13 @@ over_sql("sql_text_domain", ALL.where(Status(hundred=4), Language("eng")), None,
 over_sql("sql_text_prefix", UrlQuery.prefix("therha.example.com/en/").between(_FROM, _TO), ["CC-MAIN-2024-01", "CC-MAIN-2024-02"], f"select {_FOUR} from captures where starts_with(urlkey, 'com,example,therha)/en/') and crawl_ord > 1 and timestamp between timestamp '{_FROM}' and timestamp '{_TO}'")
 over_sql("sql_text_collapse", ALL.collapsed(Collapse("digest")), None, f"select {_FOUR} from (select *, row_number() over (partition by digest order by {_ORDER}) rn from captures where {_ALL}) where rn = 1")
 over_sql("sql_text_limit", ALL.status(200).take(40), None, f"select {_FOUR} from captures where {_ALL} and status = 200 order by {_ORDER} limit 40")
-over_sql("sql_text_no_crawl", ALL, [], f"select {_FOUR} from captures where false")
+
+
+@over_pages("sql_text_no_crawl", "select cast(0 as bigint) n")
+def sql_text_no_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty crawl selection selects nothing."""
+    spark.read.parquet(f"{index_root(spark, sf_dir)}/{src.INDEX_PATH}").createOrReplaceTempView("ccindex_none")
+    return spark.sql(sql_text(ALL, [], "ccindex_none")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _REGISTRY = ", ".join(f"('{i}', '{a}', {f"'{b}'" if b else 'null'}, {k})" for k, (i, a, b) in enumerate(derived.REGISTRY_ROWS))
