@@ -20,7 +20,8 @@ from webstrata.schema import CAPTURE, COLUMNS
 from webstrata.sources import captures as src
 from webstrata.sources.paged import read_pages, requests_of
 from webstrata.sources.ranges import read_ranges
-from webstrata.transport import HttpTransport, Politeness, answer_name
+from webstrata.sources.registry import REGISTRY_URL, live_registry
+from webstrata.transport import FixedTransport, HttpTransport, Politeness, answer_name
 
 
 def timeline(spark, digests, key="k"):
@@ -294,6 +295,24 @@ def test_transport_rates_are_shared():
     assert pickle.loads(pickle.dumps(web)).politeness.rps == 2.0
 
 
+def test_live_registry_is_cached(spark, tmp_path):
+    said = [{"id": "CC-MAIN-2031-09", "name": "September", "cdx-api": "https://i/9", "from": None, "to": "2031-09-12T00:00:00"}, {"id": "CC-MAIN-2031-02"}]
+    store = cache.CacheStore(spark, str(tmp_path / "c"))
+    web = FixedTransport({REGISTRY_URL: json.dumps(said)})
+    ids = lambda df: [(r["id"], r["cdx-api"], r["crawl_ord"]) for r in df.collect()]
+    first = ids(live_registry(spark, web, store, ttl=50, now=1000))
+    assert first == [("CC-MAIN-2031-09", "https://i/9", 0), ("CC-MAIN-2031-02", None, 1)]
+    web.answers[REGISTRY_URL] = json.dumps(said[1:])
+    assert ids(live_registry(spark, web, store, ttl=50, now=1050)) == first
+    assert len(ids(live_registry(spark, web, store, ttl=50, now=1060))) == 1
+    assert len(ids(live_registry(spark, web, None))) == 1
+    web.answers[REGISTRY_URL] = json.dumps(said)
+    assert len(ids(live_registry(spark, web, store, ttl=50, now=1061, refresh=True))) == 2
+    for bad in ("{", "3", "[3]"):
+        with pytest.raises(ParseError):
+            live_registry(spark, FixedTransport({REGISTRY_URL: bad}))
+
+
 class CountingTransport:
     """Writes down what it is asked for."""
 

@@ -21,11 +21,11 @@ from webstrata.plans.template import UrlTemplate
 NOW = datetime(2025, 3, 31, 9, 45, tzinfo=UTC)
 
 SURT = [
-    ("https://www.example.com/manufacturer/acme", "com,example)/manufacturer/acme"),
-    ("http://Example.COM:80/A/B", "com,example)/a/b"),
-    ("https://example.com", "com,example)/"),
-    ("HTTPS://u:p@example.com:8080/x?B=1#f", "com,example)/x?b=1"),
-    ("example.com/x|y z", "com,example)/x|y z"),
+    ("http://www.maps.rivers.org/elbe/Map", "org,rivers,maps)/elbe/map"),
+    ("https://Rivers.ORG:8443/ODER", "org,rivers)/oder"),
+    ("http://rivers.org", "org,rivers)/"),
+    ("HTTPS://u:p@rivers.org:8080/x?B=1#f", "org,rivers)/x?b=1"),
+    ("rivers.org/x|y z", "org,rivers)/x|y z"),
     ("http://10.0.0.1/a", "10.0.0.1)/a"),
     ("http://[::1]:80/a", "[::1])/a"),
     ("http://www.www.a.org?q", "org,a,www)/?q"),
@@ -114,22 +114,23 @@ def test_registry_selection(spark):
     from webstrata.plans.crawls import resolve
     from webstrata.sources.captures import registry
 
-    reg = registry(spark, [("CC-MAIN-2026-30", "2026-07-01T00:00:00", "2026-07-14T00:00:00"), ("CC-MAIN-2023-10", "2023-03-01T00:00:00", None), ("CC-MAIN-2020-05", "2020-01-01T00:00:00", "2020-01-28T00:00:00")])
+    reg = registry(spark, [("CC-MAIN-2031-09", "2031-02-20T00:00:00", "2031-03-02T00:00:00"), ("CC-MAIN-2029-40", "2029-09-28T00:00:00", None), ("CC-MAIN-2027-21", None, "2027-05-30T00:00:00")])
     pick = lambda t: resolve(reg, CrawlSelector.parse(t))
-    assert pick("since:2023-01-01") == ["CC-MAIN-2026-30", "CC-MAIN-2023-10"]
-    assert pick("latest-2") == ["CC-MAIN-2026-30", "CC-MAIN-2023-10"]
-    assert pick("2020..2023") == ["CC-MAIN-2023-10", "CC-MAIN-2020-05"]
-    assert pick("CC-MAIN-2020-05,CC-MAIN-1990-01") == ["CC-MAIN-2020-05"]
-    assert pick("latest-0") == [] and len(pick("all")) == 3 and pick("2024..2020") == []
+    assert pick("since:2029-06-01") == ["CC-MAIN-2031-09", "CC-MAIN-2029-40"]
+    assert pick("since:2031-03-02") == ["CC-MAIN-2031-09"] and pick("since:2031-03-03") == []
+    assert pick("latest-2") == ["CC-MAIN-2031-09", "CC-MAIN-2029-40"]
+    assert pick("2026..2030") == ["CC-MAIN-2029-40", "CC-MAIN-2027-21"]
+    assert pick("CC-MAIN-2027-21,CC-MAIN-1990-01") == ["CC-MAIN-2027-21"]
+    assert pick("latest-0") == [] and len(pick("all")) == 3 and pick("2031..2027") == []
 
 
 def test_template(spark):
-    t = UrlTemplate.parse("example.com/manufacturer/{name}/{part}")
-    assert t.prefix == "example.com/manufacturer/"
+    t = UrlTemplate.parse("rivers.org/in/{land}/by/{river}")
+    assert t.prefix == "rivers.org/in/"
     cases = {
-        "https://www.example.com/manufacturer/acme/x1?q=1/2": {"name": "acme", "part": "x1?q=1/2"},
-        "http://example.com/manufacturer/acme": None,
-        "http://example.com/manufacturer//x": None,
+        "https://www.rivers.org/in/cz/by/elbe?z=1/2": {"land": "cz", "river": "elbe?z=1/2"},
+        "http://rivers.org/in/cz/by": None,
+        "http://rivers.org/in//by/x": None,
     }
     df = spark.createDataFrame([(u,) for u in cases], "u string").select("u", t.bind(F.col("u")).alias("v"))
     assert {r["u"]: r["v"] for r in df.collect()} == cases
@@ -157,8 +158,8 @@ def test_fields(spark):
     df = spark.createDataFrame([(500, 100, 403, "http://x/"), (0, 0, 200, "http://x/cdn-cgi/challenge"), (1, 1, 200, None)], "o long, l long, s int, u string")
     got = df.select(fields.range_header(F.col("o"), F.col("l")).alias("r"), fields.looks_like_challenge(F.col("s"), F.col("u")).alias("c")).collect()
     assert [(r["r"], r["c"]) for r in got] == [("bytes=500-599", True), (None, True), ("bytes=1-1", False)]
-    one = spark.range(1).select(fields.decode_entities(F.lit("&amp;lt;&quot;")).alias("a"), fields.languages(F.lit("a,,b")).alias("b"), fields.safe_name(F.lit("sha1:A/b?c&d=e")).alias("c"), fields.backoff_ms(F.lit(3), 100, 1000).alias("d"), fields.pages_of(F.lit('{"pages": 7}')).alias("e"), fields.pages_of(F.lit(" 2 ")).alias("f"), fields.pages_of(F.lit("no")).alias("g")).first()
-    assert tuple(one) == ('<"', ["a", "b"], "sha1_A_b_c_d_e", 800, 7, 2, 0)
+    one = spark.range(1).select(fields.decode_entities(F.lit("&amp;lt;&quot;")).alias("a"), fields.languages(F.lit("a,,b")).alias("b"), fields.safe_name(F.lit("sha1:A/b?c&d=e")).alias("c"), fields.backoff_ms(F.lit(3), 70, 900).alias("d"), fields.pages_of(F.lit('{"pages": 31}')).alias("e"), fields.pages_of(F.lit(" 12 ")).alias("f"), fields.pages_of(F.lit("no")).alias("g")).first()
+    assert tuple(one) == ('<"', ["a", "b"], "sha1_A_b_c_d_e", 560, 31, 12, 0)
 
 
 def test_discover(spark):
@@ -170,11 +171,11 @@ def test_discover(spark):
 def test_payload_parsers():
     import gzip
 
-    r = payload.parse_record(gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nHELLO\r\n\r\n"))
-    assert r["body"] == b"HELLO\r\n\r\n" and payload.header_of(r["headers"], "WARC-TYPE") == "response"
-    assert payload.parse_record(b"WARC/1.0\r\nContent-Length: 5\r\n\r\nHELLO\r\n\r\n", strict=True)["body"] == b"HELLO"
-    h = payload.parse_response(b"HTTP/1.1 301 Moved\r\nLocation: /x\r\nA: 1\r\nA: 2\r\n\r\n")
-    assert h["status"] == 301 and payload.header_of(h["headers"], "a") == "1"
+    r = payload.parse_record(gzip.compress(b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 7\r\n\r\nover: 1\r\n\r\n"))
+    assert r["body"] == b"over: 1\r\n\r\n" and payload.header_of(r["headers"], "WARC-TYPE") == "metadata"
+    assert payload.parse_record(b"WARC/1.1\r\nContent-Length: 7\r\n\r\nover: 1\r\n\r\n", strict=True)["body"] == b"over: 1"
+    h = payload.parse_response(b"HTTP/1.0 410 Gone\r\nVia: /x\r\nA: 1\r\nA: 2\r\n\r\n")
+    assert h["status"] == 410 and payload.header_of(h["headers"], "a") == "1"
     zipped = {"headers": [{"name": "content-encoding", "value": "gzip"}], "body": gzip.compress(b"x") + b"\r\n\r\n"}
     assert payload.body_bytes(zipped) == b"x"
     for bad in (b"no", b"HTTP/1.1 x\r\n\r\n"):
@@ -185,11 +186,11 @@ def test_payload_parsers():
 
 
 def test_transport():
-    assert [tp.backoff_ms(k, 100, 1000) for k in range(5)] == [100, 200, 400, 800, 1000]
+    assert [tp.backoff_ms(k, 70, 900) for k in range(6)] == [70, 140, 280, 560, 900, 900]
     for bad in ("", " User-Agent "):
         with pytest.raises(ConfigError):
             tp.user_agent(bad)
-    assert [tp.pages_of(x) for x in ("2", '{"pages":7}', "x", "[1]", "-1")] == [2, 7, 0, 0, 0]
+    assert [tp.pages_of(x) for x in (" 12", '{"pages": 31, "blocks": 9}', "x", "[1]", "-1")] == [12, 31, 0, 0, 0]
     t = tp.FixedTransport({"p0": "a\n\nb\n", "p1": "c\n", "n": "2"})
     assert [tp.lines_of(t, f"p{n}") for n in range(tp.num_pages(t, "n") + 1)] == [["a", "b"], ["c"], []]
     assert tp.num_pages(t, "zz") == 0 and t.get_range("p0", 0, 1) == b"a"

@@ -16,10 +16,13 @@ from .errors import ArchiveError, ConfigError, NotFoundError, ParseError
 from .functions.timespec import parse_range
 from .operators import budget as budgets
 from .operators import reduce
+from .operators.cache import CacheStore
 from .operators.sampling import Sampling, sample
 from .plans.query import Collapse, MatchType, UrlQuery
+from .schema import CAPTURE
 from .session import session
 from .sources import captures as src
+from .sources.registry import live_registry
 from .transport import MAX_RPS, HttpTransport, Politeness
 
 
@@ -46,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--oldest", action="store_true")
     p.add_argument("--dry-run", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("crawls")
+    sub.add_parser("crawls").add_argument("--refresh", action="store_true", help="ask for the crawl list even if a cached one counts")
     for name in ("stats", "search", "manifest", "enumerate"):
         c = sub.add_parser(name)
         c.add_argument("pattern", nargs="?" if name == "enumerate" else None, default="")
@@ -168,13 +171,15 @@ def run(a: argparse.Namespace, archive: Archive) -> Iterator[str]:
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
-        if not a.registry:
-            raise ConfigError("--registry is needed")
+        if not (a.registry or a.agent or a.answers):
+            raise ConfigError("--registry, or an --agent to ask for it, is needed")
         spark = session()
-        captures = src.read_index(spark, a.root)
         web = HttpTransport(a.agent, Politeness(a.rps)) if (a.archives or "").startswith(("http:", "https:")) else None
         settings = Settings(a.archives, web, a.cache, agent=a.agent, rps=a.rps, answers=a.answers)
-        archive = Archive(spark, captures, src.read_registry(spark, a.registry), spark.read.parquet(a.payloads) if a.payloads else None, settings)
+        store = CacheStore(spark, a.cache) if a.cache else None
+        registry = src.read_registry(spark, a.registry) if a.registry else live_registry(spark, settings.live(), store, settings.registry_ttl, getattr(a, "refresh", False))
+        captures = spark.createDataFrame([], CAPTURE) if a.live or a.command == "crawls" else src.read_index(spark, a.root)
+        archive = Archive(spark, captures, registry, spark.read.parquet(a.payloads) if a.payloads else None, settings)
         for line in run(a, archive):
             print(line)
     except ArchiveError as e:

@@ -28,6 +28,9 @@ def sample(captures: DataFrame, how: Sampling | None = None, ordered: bool = Tru
     all: every row.  unique-digest: the earliest of each digest.  first-last: both ends.
     first-last-digest: the ends and every row whose digest differs from the row before.  adaptive:
     of those at most ``most``, evenly spaced with both ends (0: no limit, 1: the first).
+
+    All captures of one key are sorted in one task, which spills; a key has as many as there were
+    visits to one address.
     """
     how = how or Sampling()
     ties = ["crawl_ord"] if "crawl_ord" in captures.columns else []
