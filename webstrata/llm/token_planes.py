@@ -8,6 +8,7 @@ is read by decoding its blocks alone.
 
 from __future__ import annotations
 
+import functools
 import json
 import struct
 import zlib
@@ -93,6 +94,12 @@ class WordEncoder:
                 yield self.whole(t) if s is None else b"".join(map(self.known.__getitem__, s))
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder a worker process, so that its tasks share what it remembers."""
+    return WordEncoder(path)
+
+
 def to_planes(block: np.ndarray, kind: str) -> list[bytes]:
     """Planes of a block of unsigned little-endian ids, lowest first."""
     rows = block.view(np.uint8).reshape(len(block), block.itemsize).T
@@ -169,7 +176,7 @@ def write_planes(docs: DataFrame, path: str, end_id: int = 1, kind: str = "byte"
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         end = np.array([end_id], encoder.dtype).tobytes()
         ids, doc_ids, lengths, seq, start, size = [], [], [], 0, 0, 0
 
