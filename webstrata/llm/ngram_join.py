@@ -37,6 +37,8 @@ NO_ID = -(2**63)
 SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Classes of a block, and n-grams of a block (8 bytes each), at most on average.
 BLOCK, BLOCK_GRAMS = 256, 1 << 20
+#: Blocks of one bucket that meet in one join key, on average.
+CHUNK = 64
 
 
 def band_plan(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -213,6 +215,20 @@ def verify_tasks(rows: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "cid binary, links long, root binary")
 
 
+def block_pairs(spots: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(block, other), block <= other, each once, of blocks that meet in a bucket of spots(bucket, block), a block with itself included.
+
+    A bucket's blocks are dealt into chunks, and every pair of chunks is a join key of its own, so
+    a bucket of very many blocks spreads over many tasks.
+    """
+    n = spots.groupBy(F.col("bucket").alias("of")).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("n"))
+    dealt = spots.join(n, F.col("bucket") == F.col("of")).withColumn("c", F.pmod(F.xxhash64("block"), F.col("n")).cast("int"))
+    left = dealt.select("bucket", "block", F.col("c").alias("a"), F.explode(F.sequence("c", F.col("n") - 1)).alias("b"))
+    right = dealt.select("bucket", F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), "c")).alias("a"), F.col("c").alias("b"))
+    met = left.join(right, ["bucket", "a", "b"]).where("a < b or block <= other")
+    return met.select(F.least("block", "other").alias("block"), F.greatest("block", "other").alias("other")).distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, block: int = BLOCK) -> DataFrame:
     """One row a document: doc_id, text_hash, class_key (of its class, null without words), class_id (smallest doc_id of its class), n_links.
 
@@ -239,7 +255,7 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     blocks = home.join(home.groupBy(F.col("home").alias("h")).agg(needed.alias("n_blocks")), F.col("home") == F.col("h"))
     placed = stored(blocks.select("cid", F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.col("n_blocks"))).alias("block")), "blocks")
     spots = met.select("bucket", "cid").join(placed, "cid").select("bucket", "block").distinct()
-    pairs = spots.join(spots.withColumnRenamed("block", "other"), "bucket").where("block <= other").select("block", "other").distinct()
+    pairs = block_pairs(spots)
     tasks = pairs.withColumn("task", F.xxhash64("block", "other"))
     parts = tasks.select("task", "block", F.lit(0).alias("side")).union(tasks.where("block <> other").select("task", F.col("other").alias("block"), F.lit(1).alias("side")))
     members = placed.join(classes.select("cid", "copies", "rep"), "cid")
