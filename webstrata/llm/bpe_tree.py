@@ -16,6 +16,7 @@ Otherwise the window grows to the whole text, which is encoding it plainly.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -185,6 +186,12 @@ class TreeEncoder:
         return raw.decode("utf-8", "replace").encode()
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> TreeEncoder:
+    """One encoder a worker process, so that its tasks share what it remembers."""
+    return TreeEncoder(path)
+
+
 def bpe_digests(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
     """Encode and decode every text: doc_id, n_tokens, ids_sha256, decoded_sha256[, ids][, kept columns].
 
@@ -192,18 +199,16 @@ def bpe_digests(docs: DataFrame, path: str | None = None, keep: tuple[str, ...]
     results and extra columns are ignored unless kept.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    encoder: list[TreeEncoder] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not encoder:
-            encoder.append(TreeEncoder(path))
+        encoder = encoder_of(path)
         texts = batch.column(1).to_pylist()
         count, first, second, ids = [], [], [], []
         for a, b in by_bytes(texts, 1 << 21):
-            for x in encoder[0].encode(texts[a:b]):
+            for x in encoder.encode(texts[a:b]):
                 count.append(len(x) // 4)
                 first.append(hashlib.sha256(x).hexdigest())
-                second.append(hashlib.sha256(encoder[0].decode(x)).hexdigest())
+                second.append(hashlib.sha256(encoder.decode(x)).hexdigest())
                 if with_ids:
                     ids.append(np.frombuffer(x, "<i4").tolist())
         cols = {"doc_id": batch.column(0), "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(first), "decoded_sha256": pa.array(second)}
