@@ -102,11 +102,17 @@ _BY_BITS = np.argsort(np.bitwise_count(np.arange(1 << SUBSTRING_BITS, dtype=np.u
 _UP_TO = np.cumsum([math.comb(SUBSTRING_BITS, k) for k in range(SUBSTRING_BITS + 1)])
 
 
+def long_words(codes: np.ndarray) -> np.ndarray:
+    """Codes as 64-bit words."""
+    spare = -codes.shape[1] % 4
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, spare)))).view(np.uint64)
+
+
 class Index:
     """The bucket list of one substring over a block of codes."""
 
     def __init__(self, codes: np.ndarray, substring: int) -> None:
-        self.codes, self.substring = codes, substring
+        self.codes, self.substring, self.words = codes, substring, long_words(codes)
         self.rows = np.argsort(codes[:, substring], kind="stable")
         self.values, self.starts, self.sizes = np.unique(codes[self.rows, substring], return_index=True, return_counts=True)
 
@@ -128,11 +134,11 @@ class Index:
         """(rows within the radius that no earlier substring retrieves, codes compared)."""
         near = codes.near()
         found = self.probe(code[self.substring], near[self.substring])
-        bits = np.bitwise_count(self.codes[found] ^ code)
-        mine = bits.sum(axis=1, dtype=np.int64) <= codes.radius
+        far = np.bitwise_count(self.words[found] ^ long_words(code[None, :]))
+        hit = found[far.sum(axis=1, dtype=np.int64) <= codes.radius]
         for j in range(self.substring):
-            mine &= bits[:, j].astype(np.int64) > near[j]
-        return found[mine], len(found)
+            hit = hit[np.bitwise_count(self.codes[hit, j] ^ code[j]).astype(np.int64) > near[j]]
+        return hit, len(found)
 
 
 def nearest(q_id: int, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, float]]:
