@@ -44,6 +44,15 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that is joined by broadcast.
+FEW = 20_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A stored table, marked for broadcast if it has ``most`` rows or fewer; a larger one is joined by its key."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def export_files(rows: DataFrame, root: str) -> DataFrame:
     """Write every (name, blob) as a file of its own below ``root`` (a path or URI that pyarrow opens); (name, bytes) of each.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_mih, arc_warc, bpe_tree, flac_media, html_extract, line_crf, ngram_join, poisson_mix, suffix_dedup, token_planes
+from . import ann_mih, arc_warc, bpe_tree, flac_media, html_extract, line_crf, ngram_join, piece_rounds, poisson_mix, source_audit, suffix_dedup, token_planes, vector_codes
 from .common import stored, table
 
 
@@ -56,6 +56,18 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_warc.convert_pages(table(spark, sf_dir, "pages")).select(*names)
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_audit(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_rounds.piece_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_mih": op1_ann_mih,
     "op2_bpe_tree": op2_bpe_tree,
@@ -67,8 +79,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_planes": op8_token_planes,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_arc_to_warc": op10_arc_to_warc,
+    "op11_source_audit": op11_source_audit,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_piece_rounds": op13_piece_rounds,
 }
 ORACLES: dict[str, str] = {
     "op9_poisson_mix": poisson_mix.ORACLE,
     "op10_arc_to_warc": arc_warc.ORACLE,
+    "op11_source_audit": source_audit.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
 }
