@@ -12,12 +12,14 @@ from webstrata import derived, sinks
 from webstrata.api import Archive, Settings
 from webstrata.cli import main, parser, rendered, run
 from webstrata.errors import BudgetExhaustedError, ConfigError, IndexTooLargeError, NotFoundError, ParseError
-from webstrata.operators import budget, cache, payload, reduce
+from webstrata.operators import budget, cache, payload, reduce, sampling
+from webstrata.operators.ordered import leading_rows
 from webstrata.operators.sampling import Sampling, sample
 from webstrata.plans.query import MatchType, UrlQuery
 from webstrata.queries import page_records
 from webstrata.schema import CAPTURE, COLUMNS
 from webstrata.sources import captures as src
+from webstrata.sources import ranges
 from webstrata.sources.paged import read_pages, requests_of
 from webstrata.sources.ranges import read_ranges
 from webstrata.sources.registry import REGISTRY_URL, live_registry
@@ -51,9 +53,61 @@ def test_adaptive_is_even(spark):
         assert offsets(sample(timeline(spark, [str(i) for i in range(n)]), Sampling("adaptive", most))) == want
 
 
-def test_sampling_plan_shuffles_once(spark, sf_dir):
-    text = sample(derived.captures(spark, sf_dir), Sampling("adaptive"), ordered=False)._jdf.queryExecution().executedPlan().toString()
-    assert text.count("hashpartitioning(urlkey") == 1
+def brute_sample(rows, policy, most):
+    """rows: (key, time, crawl order, file, offset, digest) of any keys."""
+    kept = []
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: r[1:5])
+        n = len(mine)
+        if policy == "first-last":
+            kept += [r for k, r in enumerate(mine) if k in (0, n - 1)]
+            continue
+        changes = [r for k, r in enumerate(mine) if k in (0, n - 1) or r[5] != mine[k - 1][5]]
+        m = len(changes)
+        if policy == "adaptive" and most == 1:
+            changes = changes[:1]
+        elif policy == "adaptive" and 1 < most < m:
+            changes = [changes[i] for i in sorted({i * (m - 1) // (most - 1) for i in range(most)})]
+        kept += changes
+    return sorted(map(str, kept))
+
+
+@pytest.mark.parametrize(("seed", "keys"), [(1, ["hot"]), (2, ["a", "hot", "z", None]), (3, [f"k{i}" for i in range(300)])])
+@pytest.mark.parametrize(("policy", "most"), [("first-last", 8), ("first-last-digest", 8), ("adaptive", 1), ("adaptive", 0), ("adaptive", 7)])
+def test_sampling_over_the_edges_of_ranges(spark, seed, keys, policy, most):
+    r = random.Random(seed)
+    key = lambda: "hot" if "hot" in keys and r.random() < 0.9 else r.choice(keys)
+    digest = lambda k: r.choice(["p", "q", None]) if k % 50 < 10 else "p"
+    rows = [(key(), datetime.fromtimestamp(r.randrange(400)), r.randrange(3), r.choice("fg"), k, digest(k)) for k in range(900)]
+    table = spark.createDataFrame(rows, "urlkey string, timestamp timestamp, crawl_ord int, filename string, offset long, digest string").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", 23)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sample(table, Sampling(policy, most), ordered=False)
+        assert sorted(map(str, map(tuple, got.collect()))) == brute_sample(rows, policy, most)
+        marked = sampling.in_marked_ranges(table, ["timestamp", "crawl_ord", "filename", "offset"], ends_only=False)
+        if "hot" in keys:
+            assert marked.where("urlkey = 'hot'").select("s_part").distinct().count() > 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_sampling_of_nothing(spark):
+    for policy in ("first-last", "adaptive", "unique-digest", "all"):
+        assert sample(timeline(spark, ["p"]).limit(0), Sampling(policy)).count() == 0
+
+
+def test_large_limits_have_no_single_task(spark):
+    rows = spark.range(5000).select(F.lit(0).alias("crawl_ord"), F.md5(F.col("id").cast("string")).alias("urlkey"), F.lit(datetime(2024, 1, 1)).alias("timestamp"), F.lit("f").alias("filename"), F.col("id").alias("offset"))
+    order = reduce.total_order(rows)
+    want = [r["offset"] for r in rows.orderBy(*order).collect()]
+    for n in (0, 1, 7, 2500, 4999, 5000, 9000):
+        got = leading_rows(rows, order, n, top=5)
+        assert [r["offset"] for r in got.collect()] == want[:n]
+    plan = leading_rows(rows, order, 2500, top=5)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "SinglePartition" not in plan and "Limit" not in plan
+    assert leading_rows(rows.limit(0), order, 9, top=5).count() == 0
 
 
 def scan_of(df):
@@ -187,6 +241,69 @@ def test_payload_ranges_and_text(spark, sf_dir, tmp_path):
     assert {r["digest"]: r["error"] for r in payload.decode_payloads(broken, on_error="null").collect()} == {"x": "no WARC record", "y": None}
 
 
+def test_ranges_are_joined_and_packed_by_bytes(spark, sf_dir, tmp_path):
+    recs = page_records(spark, sf_dir).orderBy("page_id").collect()
+    data, spots = b"", []
+    for k, r in enumerate(recs):
+        data += b"x" * (5_000 if k % 10 == 9 else k % 3)  # what lies between records
+        spots.append((f"d{k}", "big.warc.gz", len(data), len(r["raw"])))
+        data += bytes(r["raw"])
+    (tmp_path / "big.warc.gz").write_bytes(data)
+    spots += [("inside", "big.warc.gz", spots[3][2] + 5, 7), ("again", "big.warc.gz", *spots[4][2:])]
+    given = spark.createDataFrame(spots, "digest string, filename string, offset long, length long").repartition(3)
+    gap, slab, share = 1_000, 5_000, 8_000
+    planned, tasks = ranges.packed(ranges.reads(given, gap, slab), share)
+    rows = planned.collect()
+    found = {(r["r_start"], r["r_stop"]) for r in rows}
+    most = max(r["length"] for r in rows)
+    by_task = {}
+    for r in {(r["r_task"], r["r_start"], r["r_stop"]) for r in rows}:
+        by_task[r[0]] = by_task.get(r[0], 0) + r[2] - r[1]
+    assert len(rows) == len(spots) and len(found) < len(spots) / 2 and sum(r["r_first"] for r in rows) == len(found)
+    assert len(by_task) > 5 and max(by_task) < tasks and max(by_task.values()) <= share + slab + most
+    assert all(r["r_start"] <= r["offset"] and r["offset"] + r["length"] <= r["r_stop"] <= r["r_start"] + slab + most for r in rows)
+    for kw in ({}, {"gap": gap, "slab": slab, "task_bytes": share}, {"gap": 0, "slab": 1, "task_bytes": 1}):
+        got = {r["digest"]: bytes(r["raw"]) for r in read_ranges(str(tmp_path), given, **kw).collect()}
+        assert got == {d: data[o : o + n] for d, _, o, n in spots}
+    assert read_ranges(str(tmp_path), given.limit(0)).count() == 0
+    # one request a read, and the bytes that a failed read holds are asked for one by one
+    web = FailingTransport(str(tmp_path / "asked"), str(tmp_path))
+    got = read_ranges("https://data", given, web, 2, gap=gap, slab=slab).collect()
+    asked = (tmp_path / "asked").read_text().split()
+    assert all(bytes(r["raw"]) == data[o : o + n] for r in got for d, _, o, n in spots if d == r["digest"]) and len(got) == len(spots)
+    assert len(asked) < len(found) + 40
+
+
+class FailingTransport:
+    """Fails for requests that begin with the file and are long; writes down all."""
+
+    def __init__(self, log, root):
+        self.log, self.root = log, root
+
+    def get_range(self, url, start, length):
+        with open(self.log, "a") as f:
+            f.write(f"{start}-{length}\n")
+        if start == 0 and length > 4_000:
+            raise ParseError("no")
+        with open(f"{self.root}/{url.rpartition('/')[2]}", "rb") as f:
+            f.seek(start)
+            return f.read(length)
+
+
+def test_bodies_keep_their_bytes(spark):
+    import gzip
+
+    image = bytes(range(256))
+    for zipped in (False, True):
+        head = b"HTTP/1.1 200 OK\r\n" + (b"Content-Encoding: gzip\r\n" if zipped else b"") + b"\r\n"
+        block = head + (gzip.compress(image) if zipped else image)
+        record = gzip.compress(b"WARC/1.0\r\nContent-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+        rows = spark.createDataFrame([(record,)], "raw binary")
+        assert bytes(payload.decode_payloads(rows, strict=True, parts=("body",)).first()["body"]) == image
+        loose = bytes(payload.decode_payloads(rows, parts=("body", "text")).first()["body"])
+        assert loose == (image if zipped else image + b"\r\n\r\n")
+
+
 def archive_with_payloads(spark):
     import gzip
 
@@ -335,3 +452,60 @@ def test_cache(spark):
     assert cache.put(c, newer).where("key = 'a' and domain = 'payload'").first()["value"] == b"new"
     assert {r["domain"]: r["entries"] for r in cache.stats(c).collect()} == {"payload": 2, "index": 1}
     assert cache.layered(newer, c).where("key = 'b'").first()["ttl"] == 0
+
+
+def test_cache_store_reads_the_buckets_of_its_keys(spark, tmp_path):
+    store = cache.CacheStore(spark, str(tmp_path / "c"))
+    assert store.get("payload", spark.createDataFrame([("k1",)], "key string"), F.lit(0)).count() == 0 and store.table().count() == 0 and store.stats().count() == 0
+    rows = spark.range(2000).select(F.lit("payload").alias("domain"), F.concat(F.lit("k"), "id").alias("key"), F.encode(F.repeat(F.lit("v"), 50), "UTF-8").alias("value"), F.lit(1).cast("long").alias("written"), F.lit(0).cast("long").alias("ttl"))
+    store.put(rows)
+    store.put(rows.where("key = 'k7'").withColumns({"value": F.encode(F.lit("later"), "UTF-8"), "written": F.lit(2).cast("long")}))
+    keys = spark.createDataFrame([("k7",), ("k1999",), ("none",), (None,), ("k7",)], "key string")
+    buckets = store.buckets_of(keys.where("key is not null"))
+    got = store.get("payload", keys, F.lit(5))
+    assert {r["key"]: bytes(r["value"]) for r in got.collect()} == {"k7": b"later", "k1999": b"v" * 50}
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    try:
+        text = store.get("payload", keys, F.lit(5))._jdf.queryExecution().executedPlan().toString()
+        light = store.lookup("payload", keys, F.lit(5))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    parts = text.split("PartitionFilters: ")[1].split("], PushedFilters")[0]
+    assert all(f"{b}" in parts for b in buckets) and "bucket" in parts and "(domain" in parts
+    # no exchange of values: one of the wanted places at most
+    assert "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+    assert "value" not in light
+    folders = {p.parent.name for p in (tmp_path / "c").rglob("*.parquet")}
+    assert len(folders) > 200 and all(f.startswith("bucket=") for f in folders)
+
+
+def test_cache_store_removes_and_collects(spark, tmp_path):
+    store, kind = cache.CacheStore(spark, str(tmp_path / "c")), cache.SCHEMA
+    key = lambda *ks: spark.createDataFrame([(k,) for k in ks], "key string")
+    store.put(spark.createDataFrame([("payload", f"k{i}", bytes(10), 1, 0) for i in range(50)] + [("index", "k1", b"abc", 1, 5), ("index", None, b"n", 1, 0)], kind))
+    store.put(spark.createDataFrame([("payload", "k3", b"new", 2, 0)], kind))
+    store.remove("payload", key("k4", "k5"), F.lit(3))
+    store.put(spark.createDataFrame([("payload", "k5", b"back", 4, 0)], kind))
+    want = {f"k{i}": bytes(10) for i in range(50) if i != 4} | {"k3": b"new", "k5": b"back"}
+    held = lambda: {r["key"]: bytes(r["value"]) for r in store.table().where("domain = 'payload'").collect()}
+    assert held() == want and store.get("index", key("k1"), F.lit(7)).count() == 0 and store.get("index", key("k1"), F.lit(6)).count() == 1
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "c").rglob("*.parquet")}
+    said = store.collect_garbage(F.lit(100)).first()
+    # old k3, old k4, old k5 and the expired index entry; one bucket each
+    assert said["reclaimed"] == 33 and said["buckets"] <= 4
+    left = [p for p in before if p.exists()]
+    assert held() == want and len(left) >= len(before) - 12 and all(p.stat().st_mtime_ns == before[p] for p in left)
+    assert store.get("index", key("k1"), F.lit(0)).count() == 0 and store.get("payload", key("k4", "k5"), F.lit(9)).count() == 1
+    # the tombstone of k4 hides nothing now, and goes
+    again = store.collect_garbage(F.lit(100)).first()
+    assert again["reclaimed"] == 0 and again["buckets"] == 1 and held() == want
+    assert store.collect_garbage(F.lit(100)).first()["buckets"] == 0
+    assert {r["domain"]: (r["entries"], r["bytes"]) for r in store.stats().collect()} == {"payload": (49, 47 * 10 + 7), "index": (1, 1)}
+
+
+def test_memory_tier_weighs_bytes(spark):
+    rows = spark.createDataFrame([("payload", f"k{i}", bytes(10), i, 1) for i in range(30)] + [("payload", "k29", bytes(15), 99, 0)], cache.SCHEMA)
+    tier = cache.MemoryTier.of(rows, 46)
+    assert {r["key"] for r in tier.entries.collect()} == {"k29", "k28", "k27", "k26"} and tier.entries.storageLevel.useMemory
+    assert tier.get("payload", spark.createDataFrame([("k29",), ("k1",)], "key string")).first()["written"] == 99
+    tier.drop()

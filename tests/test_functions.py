@@ -148,7 +148,7 @@ def test_request_and_sql_text():
     for part in ("url=example.com%2Fa%20b", "matchType=prefix", "filter=status%3A200", "filter=~status%3A%28301%7C302%29", "filter=~status%3A2..", "filter=languages%3Aeng", "filter=~url%3Ax%2B", "collapse=timestamp%3A10", "fl=url%2Cmime-detected", "limit=5", "page=3"):
         assert part in url
     sql = plan.sql_text(UrlQuery.host("https://www.o'x.com/").where(Language("e'g")), ["c1"])
-    assert "url_host_name = 'o''x.com'" in sql and "crawl IN ('c1')" in sql and "LIKE '%,e''g,%'" in sql
+    assert "url_surtkey >= 'com,o''x)' AND url_surtkey < 'com,o''x*'" in sql and "crawl IN ('c1')" in sql and "LIKE '%,e''g,%'" in sql
     assert "url_surtkey >= 'com,example)/a' AND url_surtkey < 'com,example)/b'" in plan.sql_text(UrlQuery.prefix("example.com/a"))
     assert " FALSE" in plan.sql_text(UrlQuery.prefix("example.com/a"), []) and "crawl IN" not in plan.sql_text(UrlQuery.prefix("example.com/a"))
     assert MatchType.parse("odd") is MatchType.PREFIX and Collapse.parse("odd").by == "digest" and Collapse.parse("timestamp:8").token == "timestamp:8"

@@ -20,7 +20,7 @@ from .plans.crawls import CrawlSelector, resolve, select_crawls
 from .plans.query import Collapse, Filter, MatchType, UrlQuery
 from .plans.template import UrlTemplate
 from .schema import COLUMNS
-from .session import stored
+from .session import few, stored
 from .sources.captures import read_index, with_crawl_order, with_defaults
 from .sources.paged import open_transport, page_counts, read_pages, requests_of
 from .sources.ranges import read_ranges
@@ -133,7 +133,10 @@ class Archive:
         wanted = payload.once_per_digest(captures)
         found: list[DataFrame] = []
         if self.payloads is not None:
-            table = self.payloads.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("raw").alias("raw"))
+            held = self.payloads.join(wanted, "digest", "left_semi").select("digest", "raw")
+            # only payloads whose digest repeats are grouped
+            again = few(stored(held.groupBy("digest").count().where("count > 1").select("digest"), "repeated-digests"))
+            table = held.join(again, "digest", "left_anti").unionByName(held.join(again, "digest", "left_semi").groupBy("digest").agg(F.min("raw").alias("raw")))
             found.append(table.select("digest", "raw", F.lit(None).cast("string").alias("error")))
             wanted = payload.missing(wanted, table)
         store = CacheStore(self.spark, self.settings.cache) if self.settings.cache else None
@@ -152,30 +155,36 @@ class Archive:
             found.append(wanted.select("digest", F.lit(None).cast("binary").alias("raw"), F.lit("no payload in any store").alias("error")))
         return fold(DataFrame.unionByName, found)
 
-    def fetch(self, captures: DataFrame, on_error: str = "null") -> DataFrame:
-        """Captures with record, http, text and error; each payload is read and decoded once however many captures share it.
-
-        on_error: "null" keeps captures whose payload is missing or broken, with the error; "raise" fails.
-        """
+    def _decoded(self, captures: DataFrame, on_error: str, strict: bool, parts: tuple[str, ...]) -> DataFrame:
+        """(digest, parts, error), one row a wanted digest."""
         if self.payloads is None and self.settings.archives is None and self.settings.cache is None:
             raise ConfigError("this archive has neither payload table nor archives nor cache")
         raw = self.raw_payloads(captures).withColumnRenamed("error", "read_error")
         if on_error == "raise":
             raw = raw.withColumn("raw", F.when(F.col("read_error").isNull(), F.col("raw")).otherwise(F.raise_error(F.col("read_error")).cast("binary")))
-        made = payload.decode_payloads(raw, on_error=on_error)
-        return captures.join(made.withColumn("error", F.coalesce("read_error", "error")).drop("read_error"), "digest", "left")
+        made = payload.decode_payloads(raw, strict=strict, on_error=on_error, parts=parts)
+        return made.withColumn("error", F.coalesce("read_error", "error")).drop("read_error")
+
+    def fetch(self, captures: DataFrame, on_error: str = "null", strict: bool = True, parts: tuple[str, ...] = ("record", "http", "text")) -> DataFrame:
+        """Captures with ``parts`` and error; each payload is read and decoded once however many captures share it.
+
+        on_error: "null" keeps captures whose payload is missing or broken, with the error; "raise"
+        fails.  strict: records end with their declared length; otherwise with their data, end marks
+        included.  parts: of record, http, text and body (the decoded bytes).
+        """
+        return captures.join(self._decoded(captures, on_error, strict, parts), "digest", "left")
 
-    def fetch_http(self, captures: DataFrame) -> DataFrame:
-        """Captures with the status, headers and decoded body of their responses, and the error where there is none."""
-        return self.fetch(captures).select(*captures.columns, "http", payload.decoded_body(F.col("http"), F.col("text")).alias("body"), "error")
+    def fetch_http(self, captures: DataFrame, strict: bool = True) -> DataFrame:
+        """Captures with the status, headers and decoded body of their responses, as bytes, and the error where there is none."""
+        return self.fetch(captures, strict=strict, parts=("http", "body")).select(*captures.columns, "http", "body", "error")
 
     def fetch_url(self, url: str, selector: CrawlSelector | str = "all") -> DataFrame:
         """The newest capture with status 200 of one URL, fetched; no row if there is none."""
         return self.fetch(self.newest(self.spark.createDataFrame([(url,)], "url string"), selector))
 
-    def write_payloads(self, captures: DataFrame, root: str) -> DataFrame:
+    def write_payloads(self, captures: DataFrame, root: str, strict: bool = True) -> DataFrame:
         """Write each distinct payload's decoded body as a file named by its digest; (name, bytes, error) of each."""
-        bodies = self.fetch_http(captures).dropDuplicates(["digest"])
+        bodies = self._decoded(captures, "null", strict, ("body",))
         return sinks.write_payload_files(sinks.payload_table(bodies), root)
 
     def text(self, urls: DataFrame, selector: CrawlSelector | str = "all") -> DataFrame:

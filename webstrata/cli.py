@@ -75,7 +75,9 @@ def parser() -> argparse.ArgumentParser:
         if name == "fetch":
             c.add_argument("--out", help="folder for one file a payload")
             c.add_argument("--text", action="store_true")
-    sub.add_parser("cache").add_argument("path")
+    kept = sub.add_parser("cache")
+    kept.add_argument("path")
+    kept.add_argument("--gc", action="store_true", help="drop what has expired or was replaced, and say how many bytes that were")
     return p
 
 
@@ -129,9 +131,9 @@ def run(a: argparse.Namespace, archive: Archive) -> Iterator[str]:
         yield from (r["value"] for r in sinks.crawl_rows(archive.crawls(a.crawl)).collect())
         return
     if a.command == "cache":
-        from .operators import cache
-
-        yield from (r["v"] for r in cache.stats(spark.read.parquet(a.path)).select(F.to_json(F.struct("*")).alias("v")).collect())
+        store = CacheStore(spark, a.path)
+        said = store.collect_garbage(F.unix_timestamp()) if a.gc else store.stats().orderBy("domain")
+        yield from (r["v"] for r in said.select(F.to_json(F.struct("*")).alias("v")).collect())
         return
     if a.command in ("fetch", "text"):
         yield from fetched(a, archive)

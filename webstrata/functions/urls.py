@@ -78,8 +78,13 @@ def tld_of(pattern: str) -> str:
     return host_of(pattern).rpartition(".")[2]
 
 
+def host_name(url: Column) -> Column:
+    """Host of a URL in lower case, as the columnar index has it, a leading ``www.`` included."""
+    return F.lower(F.regexp_extract(with_scheme(url), _HOST, 1))
+
+
 def host(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_extract(with_scheme(url), _HOST, 1)), r"^www\.", "")
+    return F.regexp_replace(host_name(url), r"^www\.", "")
 
 
 def tld(urlkey: Column) -> Column:

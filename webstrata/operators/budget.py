@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import BudgetExhaustedError, IndexTooLargeError
 from ..functions.fields import capture_key
 from ..session import stored
+from .ordered import leading_rows
 from .reduce import total_order
 
 #: Index pages of a crawl that a search reads at most.
@@ -27,7 +28,7 @@ class Budget:
 
 
 def within_records(captures: DataFrame, n: int) -> DataFrame:
-    return captures.orderBy(*total_order(captures)).limit(n)
+    return leading_rows(captures, total_order(captures), n)
 
 
 def within_bytes(captures: DataFrame, most: int) -> DataFrame:

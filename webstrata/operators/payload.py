@@ -73,43 +73,46 @@ def body_bytes(http: dict) -> bytes:
     return gunzip(http["body"]) if "gzip" in (header_of(http["headers"], "content-encoding") or "").lower() else http["body"]
 
 
-def decode_payloads(payloads: DataFrame, raw: str = "raw", strict: bool = False, on_error: str = "raise") -> DataFrame:
-    """Adds record, http, text and error to rows with a gzip (or plain) record in ``raw``.
+#: Columns that decoding adds, and their types.
+DECODED = {"record": WARC_RECORD, "http": HTTP_CAPTURE, "text": "string", "body": "binary"}
+_ARROW = {"record": _WARC, "http": _HTTP, "text": pa.string(), "body": pa.binary()}
 
-    Equal payloads should be reduced to one by digest before.  on_error: "raise", or "null" to keep
-    the row with its error.  A null payload gives nulls.
+
+def decode_payloads(payloads: DataFrame, raw: str = "raw", strict: bool = False, on_error: str = "raise", parts: tuple[str, ...] = ("record", "http", "text")) -> DataFrame:
+    """Adds ``parts`` and error to rows with a gzip (or plain) record in ``raw``.
+
+    record: headers and block; http: status, headers, body as sent; body: its bytes, unzipped where
+    its encoding says so; text: these as UTF-8, what isn't that replaced.  strict: a block ends with
+    its declared length, else with the data, its end marks included.  Equal payloads should be
+    reduced to one by digest before.  on_error: "raise", or "null" to keep the row with its error.
+    A null payload gives nulls.
     """
     keep = [c for c in payloads.columns if c != raw]
 
-    def one(data: bytes | None) -> tuple:
+    def one(data: bytes | None) -> tuple[dict, str | None]:
         if data is None:
-            return None, None, None, None
+            return {}, None
         try:
             record = parse_record(data, strict)
             http = parse_response(record["body"])
-            return record, http, body_bytes(http).decode("utf-8", "replace"), None
+            body = body_bytes(http)
+            return {"record": record, "http": http, "body": body, "text": body.decode("utf-8", "replace") if "text" in parts else None}, None
         except (ParseError, zlib.error) as e:
             if on_error == "raise":
                 raise
-            return None, None, None, str(e)
+            return {}, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [one(x.as_py()) for x in batch.column(batch.num_columns - 1)]
-            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((_WARC, _HTTP, pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*keep, "record", "http", "text", "error"])
+            cols = [pa.array([made.get(p) for made, _ in rows], _ARROW[p]) for p in parts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols, pa.array([e for _, e in rows], pa.string())], names=[*keep, *parts, "error"])
 
     types = dict(payloads.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"record {WARC_RECORD}", f"http {HTTP_CAPTURE}", "text string", "error string"])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"{p} {DECODED[p]}" for p in parts] + ["error string"])
     return payloads.select(*keep, raw).mapInArrow(run, schema)
 
 
-def decoded_body(http: Column, text: Column) -> Column:
-    """Bytes of the body as sent: decoded text of a zipped body, the raw body otherwise."""
-    zipped = F.coalesce(F.contains(F.lower(header(http["headers"], "content-encoding")), F.lit("gzip")), F.lit(False))
-    return F.when(zipped, F.encode(text, "UTF-8")).otherwise(http["body"])
-
-
 def header(headers: Column, name: str) -> Column:
     """The first value of a header, null without one."""
     return F.get(F.filter(headers, lambda h: h["name"] == name.lower()), F.lit(0))["value"]

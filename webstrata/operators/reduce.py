@@ -11,6 +11,7 @@ from ..errors import ConfigError
 from ..functions.fields import stamp
 from ..plans.query import Collapse
 from ..schema import TOTAL_ORDER
+from .ordered import leading_rows
 
 
 def total_order(captures: DataFrame, last_first: bool = False) -> list[Column]:
@@ -43,11 +44,11 @@ def collapse(captures: DataFrame, how: Collapse) -> DataFrame:
 
 
 def newest(captures: DataFrame, n: int = 1) -> DataFrame:
-    return captures.orderBy(F.desc("timestamp"), *total_order(captures)).limit(n)
+    return leading_rows(captures, [F.desc("timestamp"), *total_order(captures)], n)
 
 
 def oldest(captures: DataFrame, n: int = 1) -> DataFrame:
-    return captures.orderBy("timestamp", *total_order(captures)).limit(n)
+    return leading_rows(captures, [F.col("timestamp"), *total_order(captures)], n)
 
 
 def newest_ok_per_url(captures: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def newest_ok_per_url(captures: DataFrame) -> DataFrame:
 
 
 def ordered_limit(captures: DataFrame, n: int) -> DataFrame:
-    return captures.orderBy(*total_order(captures)).limit(n)
+    return leading_rows(captures, total_order(captures), n)
 
 
 def order_of(captures: DataFrame, token: str) -> dict[str, object]:

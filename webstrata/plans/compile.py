@@ -7,7 +7,7 @@ from functools import reduce as fold
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.urls import host_of, percent_encode, prefix_bounds, reversed_host, sql_quote, surt_literal
+from ..functions.urls import percent_encode, prefix_bounds, reversed_host, sql_quote, surt_literal
 from .query import FIELD_TOKENS, Filter, Language, MatchType, Mime, Status, Tld, UrlQuery, UrlRegex
 
 #: Columns of the columnar index that SQL text selects.
@@ -118,11 +118,12 @@ def sql_text(query: UrlQuery, crawls: list[str] | None = None, table: str = "cci
     parts = ["subset = 'warc'"]
     if crawls is not None:
         parts.append(f"crawl IN ({', '.join(map(q, crawls))})" if crawls else "FALSE")
-    name = host_of(query.pattern)
+    rev = reversed_host(query.pattern)
     if query.match is MatchType.HOST:
-        parts.append(f"url_host_name = {q(name)}")
+        parts.append(f"url_surtkey >= {q(rev + ')')} AND url_surtkey < {q(rev + '*')}")
     elif query.match is MatchType.DOMAIN:
-        parts.append(f"(url_host_name = {q(name)} OR url_host_name LIKE {q('%.' + name)})")
+        inside = " OR ".join(f"substr(url_surtkey, 1, {len(rev) + 1}) = {q(rev + end)}" for end in "),")
+        parts.append(f"url_surtkey >= {q(rev + ')')} AND url_surtkey < {q(rev + '-')} AND ({inside})")
     elif query.match is MatchType.PREFIX:
         lo, hi = prefix_bounds(query.pattern)
         parts.append(f"url_surtkey >= {q(lo)} AND url_surtkey < {q(hi)}")
@@ -144,7 +145,7 @@ def sql_text(query: UrlQuery, crawls: list[str] | None = None, table: str = "cci
             case Language(value):
                 parts.append(f"concat(',', content_languages, ',') LIKE {q(f'%,{value},%')}")
             case Tld(value):
-                parts.append(f"url_host_tld = {q(value)}")
+                parts.append(f"url_surtkey >= {q(value.lower() + ')')} AND url_surtkey < {q(value.lower() + '-')} AND (url_surtkey LIKE {q(value.lower() + ',%')} OR url_surtkey LIKE {q(value.lower() + ')%')})")
             case UrlRegex(pattern):
                 parts.append(f"REGEXP_LIKE(url, {q(pattern)})")
     columns = ", ".join(_INDEX_OF[c] for c in query.fields if c in _INDEX_OF) if query.fields else TABLE_COLUMNS

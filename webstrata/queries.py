@@ -143,6 +143,7 @@ register("newest", f"select {_KEY} from captures order by timestamp desc, {_ORDE
 register("oldest", f"select {_KEY} from captures order by timestamp, {_ORDER} limit 1")(lambda c, a: reduce.oldest(c))
 register("newest_200_per_url", _first_per("urlkey", f"timestamp desc, {_ORDER}", "status = 200"))(lambda c, a: reduce.newest_ok_per_url(c))
 register("limit_ordered", f"select {_KEY} from captures where {_ALL} order by {_ORDER} limit 100")(lambda c, a: a.search(ALL.take(100)))
+register("limit_half", f"select {_KEY} from (select *, row_number() over (order by {_ORDER}) rn, count(*) over () n from captures) where rn <= n // 2")(lambda c, a: reduce.ordered_limit(c, c.count() // 2))
 register("budget_records", f"select {_KEY} from captures where {_ALL} order by {_ORDER} limit 50")(lambda c, a: budget.within_records(a.search(ALL), 50))
 register(
     "budget_bytes",
@@ -170,6 +171,23 @@ register(
 )(lambda c, a: sample(c, Sampling("adaptive", 8)))
 
 
+def _hot(c: DataFrame) -> DataFrame:
+    """Every capture under one key."""
+    return c.withColumn("urlkey", F.lit("com,example)/"))
+
+
+_ONE = f"""select * from (select *, row_number() over w rn, count(*) over () n, lag(digest) over w p from captures
+    window w as (order by {_TIES})) where rn = 1 or rn = n or digest is distinct from p"""
+_HOT = _KEY.replace("urlkey", "'com,example)/' as urlkey")
+register("sample_hot_changes", f"select {_HOT} from ({_ONE})")(lambda c, a: sample(_hot(c)))
+register("sample_hot_ends", f"select {_HOT} from ({_ONE}) where rn = 1 or rn = n")(lambda c, a: sample(_hot(c), Sampling("first-last")))
+register(
+    "sample_hot_adaptive",
+    f"""select {_HOT} from (select *, row_number() over (order by {_TIES}) - 1 r, count(*) over () m from ({_ONE}) x) y
+    where m <= 500 or exists (select 1 from range(0, 500) i(k) where (i.k * (m - 1)) // 499 = r)""",
+)(lambda c, a: sample(_hot(c), Sampling("adaptive", 500)))
+
+
 @over_pages(
     "template_bind",
     r"""with t as (select url, regexp_replace(regexp_replace(url, '^.*?://', ''), '^www\.', '') s from pages)
@@ -250,14 +268,21 @@ def _dedup(c: DataFrame, a: Archive) -> DataFrame:
     return payload.once_per_digest(c).select("digest", "captures")
 
 
-def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, raw): gzip records around page bodies; every third body is gzip-encoded, some answers are blocked."""
+# Fixed value: bytes that are no UTF-8, as images begin.
+NO_TEXT = b"\xff\xd8\xff\x00"
+
+
+def page_records(spark: SparkSession, sf_dir: str, binary: bool = False) -> DataFrame:
+    """(page_id, raw): gzip records around page bodies; every third body is gzip-encoded, some answers are blocked.
+
+    binary: bodies begin with bytes that aren't text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                body = (html or "").encode()
+                body = NO_TEXT * binary + (html or "").encode()
                 status = {0: "403 Forbidden", 1: "503 Busy"}.get(page % 11, "200 OK")
                 head = f"HTTP/1.1 {status}\r\nServer: {'cloudflare' if page % 5 == 0 else 'nginx'}\r\nContent-Type: text/html\r\n"
                 if page % 3 == 0:

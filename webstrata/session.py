@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .errors import ConfigError
 
@@ -35,3 +36,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table that is joined by broadcast.
+FEW = 20_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A stored table, marked for broadcast if it has ``most`` rows or fewer; a larger one is joined by its keys."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

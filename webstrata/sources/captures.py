@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import languages, parse_stamp
-from ..functions.urls import host, tld
+from ..functions.urls import host_name, tld
 from ..schema import CAPTURE, COLUMNS
 
 # Fixed value: layout of the columnar index.
@@ -99,10 +99,10 @@ def read_index(spark: SparkSession, root: str, subset: str = "warc") -> DataFram
 
 
 def to_index(captures: DataFrame, subset: str = "warc") -> DataFrame:
-    """Captures as rows of the columnar index, with the host columns that SQL text filters on."""
+    """Captures as rows of the columnar index, with the host columns of that index."""
     source = {"url_surtkey": "urlkey", "url": "url", "fetch_time": "timestamp", "fetch_status": "status", "content_mime_type": "mime", "content_mime_detected": "mime_detected", "content_digest": "digest", "warc_filename": "filename", "warc_record_offset": "offset", "warc_record_length": "length"}
     return captures.select(
-        *(F.col(v).alias(k) for k, v in source.items()), F.array_join("languages", ",").alias("content_languages"), host(F.col("url")).alias("url_host_name"), tld(F.col("urlkey")).alias("url_host_tld"),
+        *(F.col(v).alias(k) for k, v in source.items()), F.array_join("languages", ",").alias("content_languages"), host_name(F.col("url")).alias("url_host_name"), tld(F.col("urlkey")).alias("url_host_tld"),
         "crawl", F.lit(subset).alias("subset"),
     )
 

@@ -21,9 +21,10 @@ from .plans.compile import sql_text
 from .plans.crawls import CrawlSelector, crawl_year
 from .plans.query import Collapse, Language, MatchType, Mime, Status, UrlQuery
 from .plans.template import UrlTemplate
-from .queries import _ALL, _FROM, _KEY, _ORDER, _TIES, _TO, ALL, KEY, _by_month_half, _first_per, _streamed, over_pages, page_records, register
+from .queries import NO_TEXT, _ALL, _FROM, _KEY, _ORDER, _TIES, _TO, ALL, KEY, _by_month_half, _first_per, _streamed, over_pages, page_records, register
 from .session import scratch, stored
 from .sources import captures as src
+from .sources import ranges
 from .sources.paged import requests_of
 from .streaming import captures as streams
 from .transport import answer_name
@@ -83,6 +84,7 @@ def over_sql(name: str, query: UrlQuery, crawls: list[str] | None, sql: str) ->
 
 _FOUR = 'url, status, digest, "offset"'
 over_sql("sql_text_domain", ALL.where(Status(hundred=4), Language("eng")), None, f"select {_FOUR} from captures where {_ALL} and status between 400 and 499 and list_contains(string_split(languages_csv, ','), 'eng')")
+over_sql("sql_text_host", UrlQuery.host("www.therha.example.com"), None, f"select {_FOUR} from captures where starts_with(urlkey, 'com,example,therha)')")
 over_sql("sql_text_prefix", UrlQuery.prefix("therha.example.com/en/").between(_FROM, _TO), ["CC-MAIN-2024-01", "CC-MAIN-2024-02"], f"select {_FOUR} from captures where starts_with(urlkey, 'com,example,therha)/en/') and crawl_ord > 1 and timestamp between timestamp '{_FROM}' and timestamp '{_TO}'")
 over_sql("sql_text_collapse", ALL.collapsed(Collapse("digest")), None, f"select {_FOUR} from (select *, row_number() over (partition by digest order by {_ORDER}) rn from captures where {_ALL}) where rn = 1")
 over_sql("sql_text_limit", ALL.status(200).take(40), None, f"select {_FOUR} from captures where {_ALL} and status = 200 order by {_ORDER} limit 40")
@@ -256,6 +258,31 @@ def cache_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.table().select("domain", "key", F.decode("value", "UTF-8").alias("said"))
 
 
+@over_pages("cache_lookup", _CACHE + f"""select "key", case when cast("key" as integer) % 6 = 0 then 'new' else decode("value") end as url from c where "domain" = 'payload' and cast("key" as integer) % 3 = 0 and cast("key" as integer) % 5 <> 0""")
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some keys of a store that was written three times: replaced entries, and some taken out."""
+    store, rows = cache.CacheStore(spark, scratch(spark, "cache")), _cache(spark, sf_dir)
+    store.put(rows)
+    number = F.col("key").cast("int")
+    store.put(rows.where((F.col("domain") == "payload") & (number % 6 == 0)).withColumns({"value": F.encode(F.lit("new"), "UTF-8"), "written": F.lit(10**9).cast("long")}))
+    store.remove("payload", rows.where((F.col("domain") == "payload") & (number % 5 == 0)).select("key"), F.lit(10**9 + 1))
+    return store.get("payload", rows.where(number % 3 == 0).select("key"), F.lit(1000)).select("key", F.decode("value", "UTF-8").alias("url"))
+
+
+@over_pages(
+    "cache_store_gc",
+    _CACHE + f"""select "domain" as what, cast(count(*) as bigint) n, cast(sum(octet_length("value")) as bigint) bytes from c where {_LIVE} group by "domain" union all
+    select 'reclaimed', 0, cast(coalesce(sum(octet_length("value")), 0) as bigint) + (select count(*) * 3 from c where "domain" = 'payload' and cast("key" as integer) % 4 = 0) from c where not ({_LIVE})""",
+)
+def cache_store_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expired and replaced entries collected: what is left by domain, and the bytes that went."""
+    store, rows = cache.CacheStore(spark, scratch(spark, "cache")), _cache(spark, sf_dir)
+    store.put(rows.where("domain = 'payload' and cast(key as int) % 4 = 0").withColumns({"value": F.encode(F.lit("old"), "UTF-8"), "written": F.lit(-1).cast("long")}))
+    store.put(rows)
+    gone = store.collect_garbage(F.lit(1000))
+    return store.stats().select(F.col("domain").alias("what"), F.col("entries").alias("n"), "bytes").union(gone.select(F.lit("reclaimed"), F.lit(0).cast("long"), "reclaimed"))
+
+
 @over_pages("cache_layers", _CACHE + """select "domain", "key", case when cast("key" as integer) % 2 = 1 and "domain" = 'index' then 'fast' else decode("value") end as said, case when cast("key" as integer) % 2 = 1 and "domain" = 'index' then 7 else 0 end as ttl from c""")
 def cache_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tier in memory before one on storage."""
@@ -268,7 +295,7 @@ def cache_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Archived payloads
 
 
-def archived(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+def archived(spark: SparkSession, sf_dir: str, binary: bool = False) -> tuple[str, DataFrame]:
     """(folder of archive files, locators): page records one behind another, a file for each task."""
     root = scratch(spark, "archives")
 
@@ -287,7 +314,7 @@ def archived(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
                 at += sum(sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(sizes)), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64())], names=["page_id", "filename", "offset", "length"])
 
-    rows = page_records(spark, sf_dir).mapInArrow(write, "page_id long, filename string, offset long, length long")
+    rows = page_records(spark, sf_dir, binary).mapInArrow(write, "page_id long, filename string, offset long, length long")
     return root, stored(rows, "locators")
 
 
@@ -308,10 +335,8 @@ _FETCHED = "select c.crawl, p.url, concat('sha1:P', p.page_id) digest, case p.pa
 
 
 def _fetched(archive: Archive, captures: DataFrame) -> DataFrame:
-    # record bodies run to the end of the data, four bytes behind the declared length; those zipped end with their stream
     got = archive.fetch(captures)
-    size = F.octet_length("text") - F.when(payload.header(F.col("http.headers"), "content-encoding").isNull(), 4).otherwise(0)
-    return got.select("crawl", "url", "digest", F.coalesce("http.status", F.lit(-1)).alias("status_sent"), F.coalesce(size.cast("long"), F.lit(-1)).alias("n_bytes"), F.col("error").isNotNull().alias("failed"))
+    return got.select("crawl", "url", "digest", F.coalesce("http.status", F.lit(-1)).alias("status_sent"), F.coalesce(F.octet_length("text").cast("long"), F.lit(-1)).alias("n_bytes"), F.col("error").isNotNull().alias("failed"))
 
 
 @over_pages("fetch_ranges", _FETCHED)
@@ -340,13 +365,46 @@ def fetch_payload_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fetched(Archive(spark, captures, derived.crawls(spark), table.union(table)), captures)
 
 
-@over_pages("payload_files", "select concat('sha1_P', page_id) as name, cast(octet_length(encode(html)) + case when page_id % 3 = 0 then 0 else 4 end as bigint) as bytes, false as failed from pages union all select 'sha1_gone', -1, true")
+_BYTES = f"'{''.join(f'\\x{x:02X}' for x in NO_TEXT)}'::blob || encode(html)"
+
+
+@over_pages("payload_files", f"select concat('sha1_P', page_id) as name, cast(octet_length({_BYTES}) as bigint) as bytes, sha256({_BYTES}) as sha256, false as failed from pages union all select 'sha1_gone', -1, null, true")
 def payload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for every distinct payload."""
-    root, locators = archived(spark, sf_dir)
+    """A file for every distinct payload, zipped or not, and what the files hold."""
+    root, locators = archived(spark, sf_dir, binary=True)
+    captures, out = _page_captures(spark, sf_dir, locators), scratch(spark, "payload-out")
+    written = Archive(spark, captures, derived.crawls(spark), settings=Settings(archives=root)).write_payloads(captures, out)
+    files = spark.read.format("binaryFile").load(out).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    return written.join(files, "name", "left").select("name", F.coalesce("bytes", F.lit(-1)).alias("bytes"), "sha256", F.col("error").isNotNull().alias("failed"))
+
+
+@over_pages("fetch_bodies", f"select c.crawl, p.url, sha256({_BYTES}) as sha256 from pages p, (values ('CC-MAIN-2024-04'), ('CC-MAIN-2024-03')) c(crawl) union all select 'CC-MAIN-2024-04', url, null from pages where page_id = 1")
+def fetch_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies as bytes, whatever they are, no byte more than was sent."""
+    root, locators = archived(spark, sf_dir, binary=True)
     captures = _page_captures(spark, sf_dir, locators)
-    written = Archive(spark, captures, derived.crawls(spark), settings=Settings(archives=root)).write_payloads(captures, scratch(spark, "payload-out"))
-    return written.select("name", F.coalesce("bytes", F.lit(-1)).alias("bytes"), F.col("error").isNotNull().alias("failed"))
+    got = Archive(spark, captures, derived.crawls(spark), settings=Settings(archives=root)).fetch_http(captures)
+    return got.select("crawl", "url", F.sha2("body", 256).alias("sha256"))
+
+
+_GAP, _SLAB, _TASK = 4000, 100_000, 20_000
+
+
+@over_pages(
+    "read_plan",
+    derived.CTE.rstrip() + f""", l as (select digest, filename, "offset" o, "offset" + length e, "offset" // {_SLAB} s, length from captures),
+    l2 as (select *, max(e) over (partition by filename, s order by o, length, digest rows between unbounded preceding and 1 preceding) be from l),
+    l3 as (select *, case when be is null or o > be + {_GAP} then 1 else 0 end nw from l2),
+    l4 as (select *, sum(nw) over (partition by filename, s order by o, length, digest rows unbounded preceding) nth from l3),
+    rd as (select filename, s, nth, min(o) "start", max(e) stop, count(*) ranges from l4 group by all),
+    sl as (select filename, s, sum(stop - "start") bytes from rd group by all),
+    t as (select filename, s, (sum(bytes) over (order by filename, s rows unbounded preceding) - bytes) // {_TASK} task from sl)
+    select rd.filename, "start", stop, ranges, cast(task as integer) task from rd join t on t.filename = rd.filename and t.s = rd.s""",
+)
+def read_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads that the ranges of all captures become, and the tasks that they are dealt to by bytes."""
+    planned, _ = ranges.packed(ranges.reads(derived.captures(spark, sf_dir).select("digest", "filename", "offset", "length"), _GAP, _SLAB), _TASK)
+    return planned.groupBy("filename", F.col("r_start").alias("start"), F.col("r_stop").alias("stop"), F.col("r_task").alias("task")).agg(F.count(F.lit(1)).alias("ranges"))
 
 
 @over_pages("newest_text", "select url, md5(html) as said from pages where page_id % 3 = 0 and page_id % 11 > 1 and page_id < 100")
