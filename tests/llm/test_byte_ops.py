@@ -455,7 +455,7 @@ def test_main_text(spark):
         ('<dl><dt class="promo">a<dd>b<dt>c<dd class="promo">d</dl>Text', "b c Text"),
         ('<table><tr><td class="ad">a<td>b<tr class="promo"><td>c<tr><td>d</table>Text', "b d Text"),
         ('<table><tr><td class="ad">a<table><tr><td>b</table>c</table>Text', "Text"),
-        ('<div><form>a<p>b</p></div>Text', "Text"),
+        ('<p>One</p><div><form>a<p>b</p></div>Text', "One Text"),
         ('<section><aside>a<div>b</div></section>Text', "Text"),
         ('<div><aside>a</p></span>b</aside>Text</div>', "Text"),
         ('<p class="ad"><span>a</p>Text<span class="ad">b<b>c</span></b>d', "Textbcd"),
@@ -463,14 +463,19 @@ def test_main_text(spark):
         ('<datalist><option class="ad">a<option>b</datalist>Text', "b Text"),
         ("<p class=notice>cookie<p>Text", "Text"),
         ('<div class="entry has-sidebar">Text <b class="related-term">more</b> words</div>', "Text more words"),
-        ('<div class="comments-closed">Text</div><div class="cookie-notice">a</div><div id="reader_comments">b</div>', "Text"),
+        ('<div class="comments-closed">Text</div><div class="cookie-notice">a</div><div class="x comments">b</div>', "Text"),
+        ('<section class="related-work">A</section><div class="social-history">B</div><div class="share-price">C</div>', "A B C"),
+        ('<blockquote class="public-notice">A</blockquote><section class="river-navigation">B</section><p id="notice">C</p>', "A B C"),
+        ("Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be<object>shown</object><canvas>drawn</canvas>", "Let x=1 be shown drawn"),
+        ("R&am<b>p;</b>D &am<!-- -->p; R&amp;D", "R&amp;D &amp; R&D"),
         ("<p title=it's>Text</p> it's", "Text it's"),
         ('<p title="it\'s > 1" class=x>Text</p>', "Text"),
         ('<p title="no end>Text</p> and', "Text and"),
         ("Te<img src=x>xt<br>a<hr>b", "Text a b"),
-        ("<form><p>many words that hold most of the page</p></form>Text", "many words that hold most of the page Text"),
-        ("<noscript>a</noscript><svg><title>b</title></svg><iframe>c</iframe><math>d</math>Text", "Text"),
-        ("<svg><path>Text</path>", "Text"),
+        ("<form><p>all paragraphs of the page</p><p>and more</p></form>Text", "all paragraphs of the page and more Text"),
+        ("<form>many words that hold most of the page but no paragraph</form><p>Text</p>", "Text"),
+        ("<noscript>a</noscript><svg><title>b</title></svg><iframe>c</iframe>Text", "Text"),
+        ("<svg><path>a</path></svg>Text", "Text"),
         ("a < b and 3 <4 </ x>Text<!-- c -- d --><!-->e<? f ?>", "a < b and 3 <4 Texte"),
         ("<TITLE>a</TiTle >Text<x-y-" + "z" * 200 + ">b</x>", "Text b"),
     ],
@@ -481,6 +486,28 @@ def test_elements_left_out_end_where_html_ends_them(inner, want):
     assert html_extract.main_text(page, everything) == f"Start {want} End"
 
 
+def test_class_words_are_learnt_from_other_pages(spark):
+    """Words seen beside labelled articles go, those seen inside stay, whatever a list would say; the pages tried don't teach."""
+    page = lambda k, inner="": f"""<div class="page wide"><div class="taboola">Tale {k}</div><div class="gdpr-bar x{k}">Agree</div><article><h1>Title {k}</h1><p class="lead">Some words of the article {k} that go on.</p>
+        <div class="sidebar">Told aside {k}</div>{inner}<p>And more words here.</p></article><section class="reader-feedback discussion">Said {k}</section></div>"""
+    train = spark.createDataFrame([(page(k),) for k in range(80)], "html string")
+    weights = html_extract.learn(train)
+    tried = page(99, '<div class="taboola">Buy</div><div class="discussion">No!</div><div class="gdpr-bar">Yes</div><div class="wide">Wide</div><div class="unheard">New</div>')
+    assert html_extract.main_text(tried, weights) == "Title 99 Some words of the article 99 that go on. Told aside 99 Wide New And more words here."
+    assert "c:x7" not in weights and "c:page" not in weights and weights["c:sidebar"] > 0 > weights["c:taboola"]
+
+
+def test_labelled_pages_that_did_not_teach(spark):
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_extract.learn(pages.where("page_id % 2 = 0"))
+    for r in html_extract.extract(pages.where("page_id % 2 = 1"), weights).join(pages.select("page_id", "html"), "page_id").collect():
+        inner = re.search(r"(?s)<article>(.*?)</article>", r["html"]).group(1)
+        assert r["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner))).split())
+
+
 @pytest.mark.parametrize("piece", ['<a "', "<a b='", "<a b=", "<", "<!-- ", "</", "<script>", "<title>", "<p class=ad>", "&", "<a b=\"c", "<div class='ad'>x"])
 def test_broken_pages_take_linear_time(piece):
     import time
@@ -549,6 +576,19 @@ def test_search_of_few(spark):
     assert ann_mih.search(none, none).count() == 0
 
 
+def test_search_of_every_length(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=8 if i < 90 else 4 if i < 250 else 3).tolist()) for i in range(251)]
+    vectors = ann_mih.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for x in ann_mih.search(vectors, vectors.where("vec_id % 50 = 0"), target=1.0).collect():
+        got.setdefault(x["query_id"], set()).add(x["vec_id"])
+    assert set(got) == {0, 50, 100, 150, 200}  # 250 has no other of its length
+    for i, found in got.items():
+        want = brute_nearest([x for x in rows if len(x[1]) == len(rows[i][1])])[i]
+        assert len({j for j, _ in want} & found) >= 4 and len(found) == 5
+
+
 @pytest.mark.parametrize("lone", [0, 16, 60])
 def test_search_fills_every_query(spark, lone):
     r = np.random.default_rng(13)

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,16 +161,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, sample:
     vectors: (vec_id, v) as ``usable`` gives them; queries: some of them, all rows of an id.  A
     query never finds its own id; of rows with one id that with the smallest vector counts; with
     fewer candidates there are fewer ranks.  Queries that find fewer than k within the learnt
-    radius are searched again within a larger one, in the end among all codes.  Only vectors of
-    the sample's most frequent length (the smallest of equally frequent ones) are compared.
+    radius are searched again within a larger one, in the end among all codes.  Vectors of each
+    length have codes of their own and meet those of their length alone; an id whose rows differ
+    in length has one of each.
     """
+    sizes = [r[0] for r in queries.select(F.size("v")).distinct().orderBy(F.size("v")).collect()]
+    of = lambda rows, dim: rows.where(F.size("v") == dim)
+    parts = [_search_length(of(vectors, n), of(queries, n), n, k, sample, target, block) for n in sizes]
+    return functools.reduce(DataFrame.unionAll, parts) if parts else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search_length(vectors: DataFrame, queries: DataFrame, dim: int, k: int, sample: int, target: float, block: int) -> DataFrame:
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()
-    empty = "query_id long, rank int, vec_id long, score double"
     if not chosen:
-        return vectors.sparkSession.createDataFrame([], empty)
-    sizes = pd.Series([len(r["v"]) for r in chosen]).mode()
-    dim = int(sizes[0])
-    codes = fit(np.array([r["v"] for r in chosen if len(r["v"]) == dim], np.float64), k, target)
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    codes = fit(np.array([r["v"] for r in chosen], np.float64), k, target)
     index, asked = (stored(coded(one_each(x, dim), codes), n) for x, n in ((vectors, "codes"), (queries, "queries")))
     full = min(k, index.count() - 1)
     shape = spread(index, codes, block)

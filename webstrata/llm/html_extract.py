@@ -2,7 +2,8 @@
 
 A page is a sequence of words and tags.  Words score positive and tags negative, by weights learnt
 from labelled pages; one linear scan finds the run with the largest sum, the main content.  Inside
-it, elements that never hold article text are left out and blocks are joined by one space.
+it, elements that never hold article text are left out, by their kind or by what the same labels say
+of their class words, and blocks are joined by one space.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ WORD, TAG, UNSEEN = 0.05, -0.1, -2.0
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
-    " area base button embed img input link meta select source track wbr".split()
+    " area base button embed img input link meta select source track wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover".split()
 )
 #: Elements whose content is no markup, up to their end tag.
 RAW = frozenset("script style textarea title iframe noembed noframes".split())
-SKIP = frozenset("nav header footer aside form button select dialog menu noscript template svg math object canvas".split())
-#: Left out only where they hold half of the run's words at most, as whole pages may be wrapped in them.
+SKIP = frozenset("nav header footer aside form button select dialog menu noscript template svg".split())
+#: Left out only where they don't hold the article or all paragraphs of the run, as whole pages may be wrapped in them.
 WRAPS = SKIP - {"nav", "footer", "aside"}
 #: Elements that hide those around them from the end tags inside.
 SCOPE = frozenset("applet caption html table td th marquee".split())
@@ -62,12 +63,14 @@ IMPLIED = {
 }
 #: End tag -> elements that hide the one it ends.
 HIDES = {"p": SCOPE | {"button"}, "li": SCOPE | {"ul", "ol"}, "table": frozenset(("html",)), **dict.fromkeys(ROWS | GROUPS, frozenset(("table",)))}
-#: Class or id words of notices, adverts, menus and reader comments, and words that say a page has or lacks such a thing.
-ODD = re.compile(
-    r"(?i)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|comments?|disqus|share|sharing|social|related|recommend\w*"
-    r"|sidebar|breadcrumbs?|menu|nav|navbar|navigation|footer|newsletter|subscribe|popup|modal|pagination|widget)"
+#: Class words and roles of adverts, notices, menus and reader comments: taken as seen outside the article on so many pages.
+OUTSIDE = frozenset(
+    "ad ads advert adverts advertisement banner sponsored promo cookie-notice cookie-banner notice comments comment-list disqus share sharing sidebar breadcrumb breadcrumbs menu nav navbar navigation"
+    " footer newsletter pagination complementary contentinfo search dialog alertdialog".split()
 )
-STATES = frozenset("has no with without is not hide hidden open opened closed enabled disabled on off".split())
+PRIOR_PAGES = 20
+#: Pages that a class word was seen on at least before it counts, and the weight below which an element is left out.
+LEAST_PAGES, CLASS_OUT = 10, -2.0
 PAGE = frozenset("html body main article".split())
 KNOWN = VOID | INLINE | RAW | SKIP | SCOPE | BLOCK | ROWS | GROUPS | PAGE | frozenset("head title option optgroup datalist legend label picture video audio".split())
 
@@ -79,13 +82,14 @@ _BARE = re.compile(r"[^\s>]*")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
 
 
-def is_odd(hint: str) -> bool:
-    """A class or id whose first or last word names such a thing, none of whose words says that it's only about it."""
-    for word in hint.split():
-        parts = [x for x in re.split(r"[-_]+", word.lower()) if x]
-        if parts and not STATES.intersection(parts) and (ODD.fullmatch(parts[0]) or ODD.fullmatch(parts[-1])):
-            return True
-    return False
+def class_weight(inside: int, outside: int, word: str) -> float:
+    """Log-odds of a class word inside against outside of articles, in pages."""
+    return math.log((inside + 0.5) / (outside + 0.5 + PRIOR_PAGES * (word in OUTSIDE)))
+
+
+def class_score(words: Iterable[str], weights: dict[str, float]) -> float:
+    """Sum of the weights of an element's class words; words that no label speaks of weigh nothing."""
+    return sum(weights.get("c:" + w, class_weight(0, 0, w)) for w in set(words))
 
 
 class Finder:
@@ -108,7 +112,7 @@ class Finder:
 
 
 def tag_end(page: str, at: int, find: Finder) -> tuple[int, list[str]]:
-    """(place behind the tag's ``>``, its class, id and role), from behind the tag's name; quotes count only around values.
+    """(place behind the tag's ``>``, words of its class and role), from behind the tag's name; quotes count only around values.
 
     A quoted value that never ends is taken for a bare one.
     """
@@ -128,8 +132,8 @@ def tag_end(page: str, at: int, find: Finder) -> tuple[int, list[str]]:
             else:
                 m = _BARE.match(page, at)
                 value, at = m.group(), m.end()
-            if name in ("class", "id", "role"):
-                hints.append(value)
+            if name in ("class", "role"):
+                hints += value.lower().split()
 
 
 class Token(NamedTuple):
@@ -137,15 +141,17 @@ class Token(NamedTuple):
     words: int  # 0 for a tag
     text: str
     tag: str  # name, with a slash before closing ones
-    odd: bool
+    odd: bool  # a start tag whose class words say that its element is no article text
 
 
-def tokens(page: str) -> list[Token]:
+def tokens(page: str, weights: dict[str, float] | None = None, seen: dict[int, list[str]] | None = None) -> list[Token]:
     """Tags and runs of text in page order, in one pass; raw elements and comments are one tag each.
 
     As HTML has it, ``<`` is text unless a letter, ``/``, ``!`` or ``?`` follows; a comment that doesn't
     end, and a script or style that doesn't, run to the end of the page.  A tag without ``>`` is text.
+    weights: of class words.  seen: gets the class words of each start tag, by token.
     """
+    weights = weights or {}
     out: list[Token] = []
     around, at, n, find = "body", 0, len(page), Finder(page)
     text_from = 0
@@ -172,7 +178,10 @@ def tokens(page: str) -> list[Token]:
                 out.append(Token(tag, 0, "", "", False))
                 at = text_from = min(find(">", end) + 1, n)
                 continue
-            odd = not close and tag not in INLINE and tag not in PAGE and any(map(is_odd, hints))
+            marked = not close and tag not in INLINE and tag not in PAGE and bool(hints)
+            odd = marked and class_score(hints, weights) < CLASS_OUT
+            if marked and seen is not None:
+                seen[len(out)] = hints
             key = tag if tag in KNOWN else "other"
             out.append(Token(("/" if close else "") + key + ("!" if odd else ""), 0, "", ("/" if close else "") + tag, odd))
             if tag not in VOID and (tag not in INLINE or tag == "a"):
@@ -184,28 +193,49 @@ def tokens(page: str) -> list[Token]:
     return out
 
 
-def label(found: list[Token]) -> list[bool] | None:
-    """Tokens inside the one article (or else main) element that a labelled page has; None for other pages."""
+def article(found: list[Token]) -> tuple[int, int] | None:
+    """Start and end tag of the one article (or else main) element that a labelled page has; None for other pages."""
     for name in ("article", "main"):
         a = [i for i, t in enumerate(found) if t.tag == name]
         b = [i for i, t in enumerate(found) if t.tag == "/" + name]
         if len(a) == 1 and len(b) == 1 and a[0] < b[0]:
-            return [a[0] < i < b[0] for i in range(len(found))]
+            return a[0], b[0]
     return None
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Log-odds weight of each token kind, from at most ``sample`` pages whose markup labels their article."""
+    """Log-odds weight of each token kind and, as ``c:word``, of class words, from at most ``sample`` pages whose markup labels their article.
+
+    A class word counts once a page, outside only on elements that don't hold the article; words on
+    fewer than ``LEAST_PAGES`` pages have no weight of their own.  Pages of one hash count together.
+    """
     labelled = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]"))
     chosen = labelled.select(F.xxhash64("html").alias("pick")).distinct().orderBy("pick").limit(sample)
     picked = labelled.select("html", F.xxhash64("html").alias("h")).join(F.broadcast(chosen), F.col("h") == F.col("pick"), "left_semi").select("html")
 
+    def classes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        count: Counter[tuple[str, bool]] = Counter()
+        for page in batch.column(0).to_pylist():
+            seen: dict[int, list[str]] = {}
+            found = tokens(page, seen=seen)
+            if seen and (at := article(found)):
+                ends = element_ends(found)
+                count.update({(w, at[0] < i < at[1]) for i, words in seen.items() if not (i < at[0] and ends.get(i, 0) >= at[1]) for w in words})
+        rows = list(count.items())
+        return pa.RecordBatch.from_arrays([pa.array([w for (w, _), _ in rows], pa.string()), pa.array([i for (_, i), _ in rows], pa.bool_()), pa.array([n for _, n in rows], pa.int64())], names=["word", "inside", "n"])
+
+    n = lambda inside: F.coalesce(F.sum(F.when(F.col("inside") == inside, F.col("n"))), F.lit(0))
+    # of the sample's words those on LEAST_PAGES pages
+    words = map_arrow(picked, classes, "word string, inside boolean, n long").groupBy("word").agg(n(True).alias("a"), n(False).alias("b")).where(F.col("a") + F.col("b") >= LEAST_PAGES).collect()
+    known = {"c:" + r["word"]: class_weight(r["a"], r["b"], r["word"]) for r in words}
+
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: Counter[tuple[str, bool]] = Counter()
         for page in batch.column(0).to_pylist():
-            found = tokens(page)
-            for t, inside in zip(found, label(found) or []):
-                seen[t.key, inside] += t.words or 1
+            found = tokens(page, known)
+            if at := article(found):
+                for i, t in enumerate(found):
+                    seen[t.key, at[0] < i < at[1]] += t.words or 1
         rows = list(seen.items())
         return pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows], pa.string()), pa.array([i for (_, i), _ in rows], pa.bool_()), pa.array([n for _, n in rows], pa.int64())], names=["key", "inside", "n"])
 
@@ -213,7 +243,7 @@ def learn(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
     rows = map_arrow(picked, count, "key string, inside boolean, n long").groupBy("key").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b")).collect()
     total = [sum(r[k] for r in rows) + 1 for k in ("a", "b")]
     odds = {r["key"]: math.log((r["a"] + 0.5) / total[0]) - math.log((r["b"] + 0.5) / total[1]) for r in rows}
-    return {k: max(WORD, v) if k.startswith("w:") else min(TAG, v) for k, v in odds.items()}
+    return {k: max(WORD, v) if k.startswith("w:") else min(TAG, v) for k, v in odds.items()} | known
 
 
 #: Used where no page is labelled: words of running text count, links and menus hardly.
@@ -314,17 +344,15 @@ def element_ends(found: list[Token]) -> dict[int, int]:
 def main_text(page: str, weights: dict[str, float]) -> str:
     """Text of the best run: references decoded, white space of a block made single spaces, blocks joined by one space.
 
-    An element left out ends where HTML ends it: at its end tag, at a start tag that implies it, or
-    with the element around it.  What its class alone marks, and wrappers such as forms, stay
-    where they hold more than half of the run's words.
+    A second scan leaves out elements inside the run: menus, forms and the like by kind, others by the
+    score of their class words.  Each ends where HTML ends it: at its end tag, at a start tag that
+    implies it, or with the element around it.  A wrapper such as a form stays where it holds the
+    article element or every paragraph of the run.
     """
-    found = tokens(page)
+    found = tokens(page, weights)
     a, b = best_run(found, weights)
     ends = element_ends(found)
-    before = [0]
-    for t in found:
-        before.append(before[-1] + t.words)
-    total = before[b] - before[a]
+    held = [i for i in range(a, b) if found[i].tag in ("article", "main")] or [i for i in range(a, b) if found[i].tag == "p"]
     out: list[str] = []
     skip = 0
     for i in range(a, b):
@@ -335,12 +363,11 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         if i < skip:
             continue
         if t.text:
-            out.append(t.text)
+            out.append(html.unescape(t.text))
         elif name and t.tag == name and i in ends and (t.odd or name in SKIP):
-            inside = before[min(ends[i], b)] - before[i]
-            if not (t.odd or name in WRAPS) or inside * 2 <= total:
-                skip = max(skip, ends[i])
-    return " ".join(html.unescape("".join(out)).split())
+            if t.odd or name not in WRAPS or not held or held[0] < i or held[-1] >= ends[i]:
+                skip = ends[i]
+    return " ".join("".join(out).split())
 
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

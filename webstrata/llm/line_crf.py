@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import by_bytes, map_arrow, stored, text_column
 
 #: Labelled documents learnt from, whole, in the order of their ids' hashes: this many and lines of this number in
-#: all at most (48 bytes a line on the driver); one with more than a hundredth of these lines isn't chosen.
-SAMPLE_DOCS, SAMPLE_LINES = 6_000, 500_000
+#: all at most (48 bytes a line on the driver), and lines of one document.
+SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_LONGEST = 6_000, 500_000, 5_000
 #: Lines of a training sequence; longer documents are several sequences.
 SEGMENT = 64
 BINS = 8
@@ -191,11 +191,13 @@ def held_out() -> "F.Column":
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES) -> LineCrf:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES, longest: int = SAMPLE_LONGEST) -> LineCrf:
     """Fit on every line of a bounded sample of labelled documents that aren't held out; a line's label is its document's.
 
     A doc_id whose label rows disagree is not learnt from; rows of docs that repeat a doc_id are
-    documents of their own.  With no usable label the model is empty: every score is 0.5.
+    documents of their own.  A document of more than ``longest`` lines doesn't teach, so that no one
+    fills the sample, and one that no longer fits into ``lines`` is passed over for shorter ones
+    behind it; both are scored as any other.  With no usable label the model is empty: every score is 0.5.
     """
     rows = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").alias("l_id")).agg(F.min("quality").alias("low"), F.max("quality").cast("double").alias("good")).where("low = good")
     chosen = rows.orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
@@ -206,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lines:
         cols = [*batch.columns[:3], pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=["pick", "pick_text", "good", "n_lines", "feats"])
 
-    measured = map_arrow(texts, measure, "pick long, pick_text long, good double, n_lines long, feats binary").where(F.col("n_lines") <= max(1, lines // 100))
+    measured = map_arrow(texts, measure, "pick long, pick_text long, good double, n_lines long, feats binary").where(F.col("n_lines") <= longest)
     measured = stored(measured.withColumn("row_no", F.monotonically_increasing_id()), "line-features")
     budget = {}
     for r in measured.orderBy("pick", "pick_text", "row_no").select("row_no", "n_lines").limit(sample).collect():
