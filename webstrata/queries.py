@@ -323,12 +323,45 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, _by_month_half(derived.captures(spark, sf_dir)), lambda s: streams.stream_distinct(s).select("urlkey"), "distinct")
 
 
+def _shuffled(captures: DataFrame, triggers: int = 4) -> list[DataFrame]:
+    """Captures by time of arrival, up to two days behind their own time."""
+    arrival = F.unix_timestamp(F.col("timestamp").cast("timestamp")) + F.pmod(F.xxhash64("offset"), F.lit(2 * 86_400))
+    span = F.floor((arrival - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / (8 * 86_400))
+    part = F.least(F.greatest(span, F.lit(0)), F.lit(triggers - 1))
+    return [captures.where(part == k) for k in range(triggers)]
+
+
 @over_pages(
     "stream_changes",
-    derived.CTE + 'select urlkey, timestamp, digest, "offset" from (select *, lag(digest) over (partition by urlkey order by timestamp, filename, "offset") p, row_number() over (partition by urlkey order by timestamp, filename, "offset") rn from captures) where rn = 1 or digest <> p',
+    derived.CTE + """select urlkey, timestamp, digest, "offset" from (select *, lag(digest) over (partition by urlkey order by timestamp, filename, "offset") p, row_number() over (partition by urlkey order by timestamp, filename, "offset") rn from captures)
+    where (rn = 1 or digest <> p) and timestamp <= (select max(timestamp) from captures) - interval 3 day""",
 )
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, _by_month_half(derived.captures(spark, sf_dir)), streams.stream_changes, "changes")
+    """Changes of captures that arrive out of order, up to the watermark."""
+    streams.keep_state_on_disk(spark)
+    try:
+        found = _streamed(spark, _shuffled(derived.captures(spark, sf_dir)), lambda s: streams.stream_changes(s, "3 days"), "changes")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return found.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+_BEHIND = '"offset" % 7000 = 0 and timestamp < timestamp \'2024-01-10\''
+
+
+@over_pages(
+    "stream_sessions",
+    derived.CTE.rstrip() + f""", s1 as (select *, lag(timestamp) over (partition by urlkey order by timestamp) p from captures where not ({_BEHIND})),
+    s2 as (select *, sum(case when p is null or timestamp - p >= interval 12 hour then 1 else 0 end) over (partition by urlkey order by timestamp rows unbounded preceding) nth from s1)
+    select urlkey, min(timestamp) "start", max(timestamp) + interval 12 hour stop, count(*) n, cast(sum(length) as bigint) bytes from s2 group by urlkey, nth
+    having max(timestamp) + interval 12 hour <= (select max(timestamp) from captures) - interval 1 day""",
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits by key; rows that come behind the watermark change nothing."""
+    c = derived.captures(spark, sf_dir)
+    late = F.expr(_BEHIND.replace('"offset"', "offset"))
+    parts = [*_by_month_half(c.where(~late)), c.where(late)]
+    return _streamed(spark, parts, lambda s: streams.sessions(s, "12 hours", "1 day"), "sessions").withColumns({k: F.col(k).cast("timestamp_ntz") for k in ("start", "stop")})
 
 
 from . import stored_queries  # noqa: E402, F401  registers the queries over written tables and files

@@ -502,6 +502,21 @@ def stream_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select(*KEY)
 
 
+_THIRD = "case when timestamp < timestamp '2024-01-08' then 0 when timestamp < timestamp '2024-01-20' then 1 else 2 end"
+
+
+@over_pages("stream_budget_bytes", derived.CTE + f"select {_KEY} from (select *, sum(length) over (order by {_THIRD}, {_ORDER} rows unbounded preceding) run from captures) where run <= (select sum(length) * 6 // 10 from captures)")
+def stream_budget_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A byte budget over three triggers, spent in the second or third."""
+    source, out, state = (scratch(spark, f"bytes-{x}") for x in ("in", "out", "state"))
+    c = derived.captures(spark, sf_dir).drop("truncated")
+    most = c.agg(F.sum("length")).first()[0] * 6 // 10
+    for k in range(3):
+        c.where(F.expr(_THIRD) == k).write.mode("append").parquet(source)
+        streams.write_within(spark.readStream.schema(c.schema).parquet(source), Budget(bytes=most), out, state).awaitTermination()
+    return spark.read.parquet(out).select(*KEY)
+
+
 @over_pages("stream_windows", derived.CTE + "select time_bucket(interval 1 day, timestamp) as start, status, count(*) n from captures where time_bucket(interval 1 day, timestamp) + interval 1 day <= (select max(timestamp) - interval 1 hour from captures) group by all")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of windows that the watermark has passed."""

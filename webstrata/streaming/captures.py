@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.reduce import total_order
+from ..operators.budget import Budget, spend
 from ..sources.captures import parse_lines
 
 
@@ -27,46 +27,121 @@ def stream_distinct(captures: DataFrame, watermark: str | None = None) -> DataFr
     return captures.dropDuplicates(["urlkey"])
 
 
-def stream_changes(captures: DataFrame) -> DataFrame:
-    """(urlkey, timestamp, digest, offset) of rows whose digest differs from the one before of their key; the first row of a key counts.
-
-    Inside a trigger rows go by time, filename and offset; state is one digest a key.  Triggers have
-    to come in the order of time: a capture that arrives after later ones of its key is compared
-    with the last of those, where the batch form compares it with its neighbour in time.
+class _Changes(StatefulProcessor):
+    """Rows of a key wait in time until the watermark has passed them; then each is compared with the one before."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "timestamp timestamp, filename string, offset long, digest string")
+        self.last = handle.getValueState("last", "digest string")
+
+    def wake(self, at: list[int]) -> None:
+        """One timer a key: at its earliest waiting row."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if at:
+            self.handle.registerTimer(max(1, min(at)))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new = [r for part in rows for r in part[["timestamp", "filename", "offset", "digest"]].itertuples(index=False, name=None)]
+        self.waiting.appendList([(t.to_pydatetime(), f, int(o), d) for t, f, o, d in new])
+        self.wake([*self.handle.listTimers(), *(_ms(t) for t, _, _, _ in new)])
+        return iter([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1], r[2]))
+        due, rest = [r for r in rows if _ms(r[0]) <= passed], [r for r in rows if _ms(r[0]) > passed]
+        said = self.last.get()
+        out = []
+        for r in due:
+            if said is None or r[3] != said[0]:
+                out.append((key[0], r[0], r[3], r[2]))
+            said = (r[3],)
+        if due:
+            self.last.update(said)
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        self.wake([_ms(r[0]) for r in rest])
+        if out:
+            yield pd.DataFrame(out, columns=["urlkey", "timestamp", "digest", "offset"])
+
+    def close(self) -> None:
+        pass
+
+
+def _ms(at: Any) -> int:
+    return int(pd.Timestamp(at).timestamp() * 1000)
+
+
+def stream_changes(captures: DataFrame, late: str = "1 day") -> DataFrame:
+    """(urlkey, timestamp, digest, offset) of rows whose digest differs from the one before of their key in time; the first row of a key counts.
+
+    Rows may arrive in any order as long as they are at most ``late`` behind the latest: they wait in
+    state until the watermark passes them and are compared in the order of time, filename and
+    offset, so the answer is the batch form's.  Rows behind the watermark are dropped and counted
+    (``dropped_rows``).  State is the rows of that delay and one digest a key.
     """
-    order = ["timestamp", "filename", "offset"]
-    columns = ["urlkey", "timestamp", "digest", "offset"]
+    chosen = captures.select("urlkey", F.col("timestamp").cast("timestamp").alias("timestamp"), "filename", "offset", "digest").withWatermark("timestamp", late)
+    return chosen.groupBy("urlkey").transformWithStateInPandas(_Changes(), "urlkey string, timestamp timestamp, digest string, offset long", "append", "EventTime")
 
-    def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-        before = rows["digest"].shift()
-        if state.exists:
-            before.iloc[0] = state.get[0]
-        state.update((rows["digest"].iloc[-1],))
-        yield rows.loc[rows["digest"] != before, columns]
 
-    chosen = captures.select(*dict.fromkeys([*columns, *order]))
-    kind = dict(captures.dtypes)["timestamp"]
-    return chosen.groupBy("urlkey").applyInPandasWithState(step, f"urlkey string, timestamp {kind}, digest string, offset long", "digest string", "append", GroupStateTimeout.NoTimeout)
+#: The state store that timers and list state need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def write_within_records(captures: DataFrame, most: int, path: str, checkpoint: str) -> StreamingQuery:
-    """Start a stream that appends captures to ``path`` until it holds ``most``; each trigger takes the first in order.
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Have streams that start from now on keep their state in RocksDB, which ``stream_changes`` needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
+def sessions(captures: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """(urlkey, start, stop, n, bytes) of visits to a key that lie less than ``gap`` apart; a late row may join two sessions until the watermark passes them."""
+    timed = captures.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
+    found = timed.groupBy("urlkey", F.session_window("timestamp", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+    return found.select("urlkey", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n", "bytes")
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that a stream's operators dropped because they were behind the watermark, as far as its progress is kept."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
-    What was written before a trigger is counted in the table itself, and a trigger that is tried
-    again overwrites its own folder, so a restart neither loses nor repeats rows.
+
+def write_within(captures: DataFrame, limits: Budget, path: str, checkpoint: str) -> StreamingQuery:
+    """Start a stream that appends captures to ``path`` until a budget of records or bytes is spent; each trigger takes the first in order.
+
+    The first row that doesn't fit ends it, smaller ones behind it included, as in the batch form.
+    Inside a trigger the cut is found by sums of ranges.  What is spent stands in a ledger below
+    ``path``, a line a trigger, written after the trigger's rows; a trigger reads the lines of those
+    before it alone and overwrites its own rows and line, so a restart neither loses nor repeats rows.
     """
+    ledger = f"{path.rstrip('/')}/_ledger"
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
         there = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(base)
-        done = spark.read.parquet(path).where(F.col("trigger") < number).count() if number and there else 0
-        batch.orderBy(*total_order(batch)).limit(max(0, most - done)).write.mode("overwrite").parquet(f"{path}/trigger={number}")
+        lines = spark.read.schema("records long, bytes long, closed boolean, trigger int").option("basePath", ledger).parquet(ledger).where(F.col("trigger") < number) if there else None
+        r = lines.agg(F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.bool_or("closed"), F.lit(False))).first() if lines is not None else (0, 0, False)
+        if r[2]:
+            kept, over = batch.limit(0), True
+        else:
+            left = Budget(None if limits.records is None else limits.records - r[0], None if limits.bytes is None else limits.bytes - r[1])
+            kept, over = spend(batch, left)
+        kept.write.mode("overwrite").parquet(f"{path.rstrip('/')}/trigger={number}")
+        done = spark.read.schema(kept.schema).parquet(f"{path.rstrip('/')}/trigger={number}").agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+        done.withColumn("closed", F.lit(bool(over))).write.mode("overwrite").parquet(f"{ledger}/trigger={number}")
 
     return captures.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def write_within_records(captures: DataFrame, most: int, path: str, checkpoint: str) -> StreamingQuery:
+    """``write_within`` for records alone."""
+    return write_within(captures, Budget(records=most), path, checkpoint)
+
+
 def windowed_counts(captures: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Captures per event-time window and status, late rows up to the watermark."""
     return captures.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late).groupBy(F.window("timestamp", size, slide), "status").count()
