@@ -23,6 +23,7 @@ from webstrata.sources import ranges
 from webstrata.sources.paged import read_pages, requests_of
 from webstrata.sources.ranges import read_ranges
 from webstrata.sources.registry import REGISTRY_URL, live_registry
+from webstrata.streaming import captures as streams
 from webstrata.transport import FixedTransport, HttpTransport, Politeness, answer_name
 
 
@@ -509,3 +510,99 @@ def test_memory_tier_weighs_bytes(spark):
     assert {r["key"] for r in tier.entries.collect()} == {"k29", "k28", "k27", "k26"} and tier.entries.storageLevel.useMemory
     assert tier.get("payload", spark.createDataFrame([("k29",), ("k1",)], "key string")).first()["written"] == 99
     tier.drop()
+
+
+def test_payload_files_appear_whole_or_not_at_all(spark, tmp_path):
+    rows = spark.createDataFrame([(f"n{i}", bytes([i]) * i) for i in range(40)] + [("none", None), (None, b"x")], "name string, body binary").repartition(4)
+    out = tmp_path / "out"
+    said = {r["name"]: (r["bytes"], r["error"]) for r in sinks.write_payload_files(rows, str(out)).collect()}
+    assert said["n7"] == (7, None) and said["none"] == (None, "no payload") and said[None] == (None, "no name")
+    assert {p.name: p.read_bytes() for p in out.iterdir()} == {f"n{i}": bytes([i]) * i for i in range(40)}
+    # a task that fails half-way leaves nothing, nor do those that had finished
+    bad = rows.where("body is not null and name is not null").coalesce(1).select("name", F.when(F.col("name") == "n33", F.raise_error(F.lit("lost"))).otherwise(F.col("body")).cast("binary").alias("body"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        with pytest.raises(Exception, match="lost"):
+            bad.write.format("payload_files").mode("append").save(str(tmp_path / "bad"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert list((tmp_path / "bad").glob("*")) == []
+
+
+def test_sketches_unite(spark, tmp_path):
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, "CC-MAIN-2024-01").otherwise("CC-MAIN-2024-04").alias("crawl"), F.concat(F.lit("k"), F.col("id") % 20_000).alias("urlkey"), F.concat(F.lit("d"), "id").alias("digest"), F.lit(2).cast("long").alias("length"))
+    a = Archive(spark, rows, derived.crawls(spark))
+    a.write_sketches(str(tmp_path / "s"))
+    exact = {r["crawl"]: r for r in rows.groupBy("crawl").agg(F.countDistinct("urlkey").alias("urls"), F.countDistinct("digest").alias("digests")).collect()}
+    for r in a.sketched_stats(str(tmp_path / "s")).collect():
+        assert abs(r["urls"] / exact[r["crawl"]]["urls"] - 1) < 0.05 and abs(r["digests"] / exact[r["crawl"]]["digests"] - 1) < 0.05
+    whole = a.sketched_stats(str(tmp_path / "s"), united=True).first()
+    assert abs(whole["urls"] / 20_000 - 1) < 0.05 and abs(whole["digests"] / 60_000 - 1) < 0.05 and (whole["captures"], whole["bytes"]) == (60_000, 120_000)
+    assert a.sketched_stats(str(tmp_path / "s"), "latest").count() == 1
+
+
+def streamed(spark, tmp_path, name, rows, step, schema):
+    """Run a stream over one more file of rows; (all rows put out so far, the query)."""
+    source, out, state = (str(tmp_path / f"{name}-{x}") for x in ("in", "out", "state"))
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    query = step(spark.readStream.schema(schema).parquet(source)).writeStream.trigger(availableNow=True).option("checkpointLocation", state).start(out, format="parquet")
+    query.awaitTermination()
+    return spark.read.parquet(out), query
+
+
+def test_changes_of_late_rows(spark, tmp_path):
+    schema = "urlkey string, timestamp timestamp, digest string, filename string, offset long"
+    row = lambda hour, digest, n, key="k": (key, datetime(2024, 1, 1 + hour // 24, hour % 24), digest, "f", n)
+    streams.keep_state_on_disk(spark)
+    try:
+        go = lambda rows: streamed(spark, tmp_path, "late", rows, lambda s: streams.stream_changes(s, "10 hours"), schema)
+        go([row(5, "b", 2), row(8, "b", 3), row(0, "a", 0)])
+        # an earlier row of the key comes later, and splits what would have been one run
+        go([row(6, "a", 9), row(2, "a", 1), row(30, "z", 7, "other")])
+        got, query = go([row(7, "x", 11), row(60, "z", 8, "other")])
+        assert sorted((r["offset"], r["digest"]) for r in got.where("urlkey = 'k'").collect()) == [(0, "a"), (2, "b"), (3, "b"), (9, "a")]
+        assert streams.dropped_rows(query) == 1
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_sessions_and_late_rows(spark, tmp_path):
+    schema = "urlkey string, timestamp timestamp, length long"
+    row = lambda minute, key="k": (key, datetime(2024, 1, 1, minute // 60, minute % 60), 10)
+    go = lambda rows: streamed(spark, tmp_path, "visits", rows, lambda s: streams.sessions(s, "30 minutes", "1 hour"), schema)
+    go([row(0), row(50)])
+    go([row(25)])  # joins the two
+    got, _ = go([row(300, "j")])
+    assert [(r["n"], r["bytes"], (r["stop"] - r["start"]).seconds) for r in got.collect()] == [(3, 30, 80 * 60)]
+    got, query = go([row(26), row(60, "late"), row(600, "j")])
+    assert streams.dropped_rows(query) == 2 and {r["urlkey"] for r in got.collect()} == {"k", "j"}
+
+
+def test_stream_budget_is_restart_safe(spark, tmp_path):
+    schema = "crawl_ord int, urlkey string, timestamp timestamp, filename string, offset long, crawl string, length long"
+    rows = lambda *sizes: [(0, f"k{i}", datetime(2024, 1, 1), "f", i, "c", n) for i, n in enumerate(sizes)]
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def go(*sizes, limits=budget.Budget(bytes=100)):
+        spark.createDataFrame(rows(*sizes), schema).write.mode("append").parquet(source)
+        streams.write_within(spark.readStream.schema(schema).parquet(source), limits, out, state).awaitTermination()
+        return sorted(r["length"] for r in spark.read.parquet(out).collect())
+
+    assert go(30, 20) == [20, 30]
+    assert go(45) == [20, 30, 45]
+    # the last trigger again, as after a crash between its rows and its commit
+    last = max((tmp_path / "state" / "commits").glob("[0-9]"))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert go(4, 9, 1) == [4, 20, 30, 45]  # 9 doesn't fit, and ends it
+    assert go(1) == [4, 20, 30, 45]
+
+
+def test_command_line_cache(spark, tmp_path):
+    a = archive_with_payloads(spark)
+    store = cache.CacheStore(spark, str(tmp_path / "c"))
+    store.put(spark.createDataFrame([("payload", "a", b"xyz", 1, 1), ("payload", "b", b"xy", 1, 0)], cache.SCHEMA))
+    lines = lambda *argv: list(run(parser().parse_args(argv), a))
+    assert lines("cache", str(tmp_path / "c")) == ['{"domain":"payload","entries":2,"bytes":5}']
+    assert lines("cache", str(tmp_path / "c"), "--gc") == ['{"reclaimed":3,"buckets":1}']
+    assert lines("cache", str(tmp_path / "c")) == ['{"domain":"payload","entries":1,"bytes":2}']

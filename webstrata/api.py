@@ -98,6 +98,15 @@ class Archive:
     def stats(self, query: UrlQuery) -> DataFrame:
         return reduce.stats_by_crawl(self.search(replace(query, fields=None)))
 
+    def write_sketches(self, path: str) -> None:
+        """Store a small row of counts and sketches for each crawl, from which ``sketched_stats`` answers."""
+        reduce.crawl_sketches(self.captures).write.mode("overwrite").parquet(path)
+
+    def sketched_stats(self, path: str, selector: CrawlSelector | str = "all", united: bool = False) -> DataFrame:
+        """Captures, bytes and about how many URLs and contents each chosen crawl has, or all of them together; no capture is read."""
+        rows = self.spark.read.parquet(path).join(self.crawls(selector).select(F.col("id").alias("crawl")), "crawl", "left_semi")
+        return reduce.sketched_stats(rows.withColumn("crawl", F.lit("all")) if united else rows)
+
     def manifest(self, query: UrlQuery, how: Sampling | None = None) -> DataFrame:
         return sample(self.search(replace(query, fields=None)), how)
 
@@ -190,12 +199,18 @@ class Archive:
     def text(self, urls: DataFrame, selector: CrawlSelector | str = "all") -> DataFrame:
         return self.fetch(self.newest(urls, selector)).select(F.col("wanted").alias("url"), "crawl", "timestamp", "text", "error")
 
-    def sitemap_seeds(self, host: str, selector: CrawlSelector | str = "latest") -> DataFrame:
-        """URLs of a host's archived sitemaps, and the sitemaps themselves, sorted; what isn't archived adds nothing."""
+    def sitemap_seeds(self, host: str, selector: CrawlSelector | str = "latest", nested: bool = False) -> DataFrame:
+        """URLs of a host's archived sitemaps, and the sitemaps themselves, sorted; what isn't archived adds nothing.
+
+        nested: what a sitemap index names is a sitemap too, and followed; zipped sitemaps are unzipped.
+        """
         base = f"https://{host}"
         one = lambda rows: self.spark.createDataFrame([(r,) for r in rows], "url string")
         robots = self.text(one([f"{base}/robots.txt"]), selector)
         maps = robots.select(F.explode(discover.sitemap_lines(F.col("text"))).alias("sitemap")).union(one([f"{base}/sitemap.xml"])).distinct()
+        if nested:
+            bodies = lambda urls: self.fetch(self.newest(urls, selector), parts=("body",)).select(F.col("wanted").alias("url"), "body")
+            return discover.seeds(*discover.follow(maps, lambda urls: payload.unzipped_texts(bodies(urls))))
         bodies = self.text(maps.select(F.col("sitemap").alias("url")), selector)
         return discover.seeds(maps, bodies.select(F.explode(discover.locations(F.col("text"))).alias("loc")))
 

@@ -113,6 +113,24 @@ def decode_payloads(payloads: DataFrame, raw: str = "raw", strict: bool = False,
     return payloads.select(*keep, raw).mapInArrow(run, schema)
 
 
+def unzipped_texts(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """``text`` in place of a body: unzipped if it is a gzip file, read as UTF-8; null for one that is broken."""
+    keep = [c for c in bodies.columns if c != body]
+
+    def one(data: bytes | None) -> str | None:
+        try:
+            return None if data is None else gunzip(data).decode("utf-8", "replace")
+        except (ParseError, zlib.error):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([one(x.as_py()) for x in batch.column(batch.num_columns - 1)], pa.string())], names=[*keep, "text"])
+
+    types = dict(bodies.dtypes)
+    return bodies.select(*keep, body).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "text string"]))
+
+
 def header(headers: Column, name: str) -> Column:
     """The first value of a header, null without one."""
     return F.get(F.filter(headers, lambda h: h["name"] == name.lower()), F.lit(0))["value"]

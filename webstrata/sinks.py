@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from typing import Any
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from .functions.fields import safe_name, stamp
 from .schema import COLUMNS
@@ -51,30 +56,79 @@ def payload_table(payloads: DataFrame) -> DataFrame:
     return payloads.select(safe_name(F.col("digest")).alias("name"), "body")
 
 
+@dataclass
+class _Files(WriterCommitMessage):
+    """What a task wrote, for its commit: the folder of its attempt."""
+
+    attempt: str
+
+
+class PayloadFiles(DataSource):
+    """``payload_files``: writes (name, body) as files of their own, all or none of a task's, and none of a job that fails.
+
+    A task writes into a folder of its attempt below ``_attempt-<job>``; the job's commit moves the
+    files of the attempts that count into place, a failed job's folder is dropped.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "payload_files"
+
+    def schema(self) -> str:
+        return "name string, body binary"
+
+    def writer(self, schema: Any, overwrite: bool) -> DataSourceArrowWriter:
+        return _FileWriter(self.options["path"], int(self.options.get("movers", 16)))
+
+
+class _FileWriter(DataSourceArrowWriter):
+    def __init__(self, root: str, movers: int) -> None:
+        self.root, self.job, self.movers = root, f"_attempt-{uuid.uuid4().hex}", movers
+
+    def _store(self) -> tuple[fs.FileSystem, str]:
+        store, base = fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
+        return store, base.rstrip("/")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        store, base = self._store()
+        attempt = f"{base}/{self.job}/{uuid.uuid4().hex}"
+        store.create_dir(attempt, recursive=True)
+        for batch in iterator:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if name and body.is_valid:
+                    with store.open_output_stream(f"{attempt}/{name}", compression=None) as f:
+                        f.write(body.as_buffer())
+        return _Files(attempt)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        """Move the files of each counted attempt; names of one attempt are held at a time."""
+        store, base = self._store()
+        with ThreadPoolExecutor(self.movers) as pool:
+            for m in messages:
+                if m is not None:
+                    names = [x.base_name for x in store.get_file_info(fs.FileSelector(m.attempt, allow_not_found=True))]  # type: ignore[attr-defined]
+                    list(pool.map(lambda n, at=m.attempt: store.move(f"{at}/{n}", f"{base}/{n}"), names))  # type: ignore[attr-defined]
+        self.abort(messages)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, base = self._store()
+        if store.get_file_info(f"{base}/{self.job}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{base}/{self.job}")
+
+
 def write_payload_files(payloads: DataFrame, root: str) -> DataFrame:
     """Write every (name, body) as a file of its own below ``root`` (a path or URI that pyarrow opens) and give (name, bytes, error).
 
-    An action.  A null body writes nothing and says so; of rows that share a name the last written
-    stays.  A retried task writes its files again.
+    An action: payloads are stored first, so that what is said and what is written are the same.  A
+    null body writes nothing and says so; of rows that share a name one stays.  Files appear when
+    the whole job has succeeded; a task that fails or is tried again leaves nothing.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-        store.create_dir(base, recursive=True)
-        for batch in batches:
-            sizes, errors = [], []
-            for name, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if body is None or not name:
-                    sizes.append(None)
-                    errors.append("no payload" if name else "no name")
-                    continue
-                with store.open_output_stream(f"{base.rstrip('/')}/{name}", compression=None) as f:
-                    f.write(body)
-                sizes.append(len(body))
-                errors.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], names=["name", "bytes", "error"])
-
-    return stored(payloads.select("name", "body").mapInArrow(run, "name string, bytes long, error string"), "payload-files")
+    spark = payloads.sparkSession
+    spark.dataSource.register(PayloadFiles)
+    rows = stored(payloads.select("name", "body"), "payload-files")
+    rows.where("name <> '' and body is not null").write.format("payload_files").mode("append").save(root)
+    error = F.when(F.coalesce(F.col("name"), F.lit("")) == "", "no name").when(F.col("body").isNull(), "no payload")
+    return rows.select("name", F.when(error.isNull(), F.length("body").cast("long")).alias("bytes"), error.alias("error"))
 
 
 def write_captures(captures: DataFrame, path: str) -> None:

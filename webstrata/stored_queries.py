@@ -1,10 +1,11 @@
-"""Registered queries over written indexes, archives, caches, index servers and streams, with their SQL equivalents."""
+"""Registered queries over written indexes, archives, caches, sitemaps and streams, with their SQL equivalents."""
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 from dataclasses import replace
-from datetime import UTC, datetime
+from datetime import datetime
 
 import pyarrow as pa
 from pyarrow import fs
@@ -13,21 +14,18 @@ from pyspark.sql import functions as F
 
 from . import derived, sinks
 from .api import Archive, Settings, locate
-from .functions import fields, timespec
+from .functions import fields
 from .functions.urls import host, surt, tld
-from .operators import budget, cache, discover, payload, reduce
+from .operators import budget, cache, discover, reduce
 from .operators.budget import Budget
 from .plans.compile import sql_text
-from .plans.crawls import CrawlSelector, crawl_year
 from .plans.query import Collapse, Language, MatchType, Mime, Status, UrlQuery
 from .plans.template import UrlTemplate
-from .queries import NO_TEXT, _ALL, _FROM, _KEY, _ORDER, _TIES, _TO, ALL, KEY, _by_month_half, _first_per, _streamed, over_pages, page_records, register
+from .queries import NO_TEXT, _ALL, _FROM, _KEY, _ORDER, _TO, ALL, KEY, _by_month_half, _first_per, _streamed, over_pages, page_records, register
 from .session import scratch, stored
 from .sources import captures as src
 from .sources import ranges
-from .sources.paged import requests_of
 from .streaming import captures as streams
-from .transport import answer_name
 
 _indexes: dict[tuple[str, str], str] = {}
 
@@ -97,61 +95,6 @@ def sql_text_no_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql_text(ALL, [], "ccindex_none")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_REGISTRY = ", ".join(f"('{i}', '{a}', {f"'{b}'" if b else 'null'}, {k})" for k, (i, a, b) in enumerate(derived.REGISTRY_ROWS))
-_REGISTRY = f"(values {_REGISTRY}) r(id, \"from\", \"to\", crawl_ord)"
-
-
-def _registry_file(spark: SparkSession) -> DataFrame:
-    """The derived crawl list, written as the JSON array that index servers give, and read."""
-    path = scratch(spark, "registry")
-    rows = derived.crawls(spark).coalesce(1).orderBy("crawl_ord").select("id", F.col("id").alias("name"), F.lit("").alias("cdx-api"), "from", "to")
-    rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).coalesce(1).write.text(path)
-    return src.read_registry(spark, path)
-
-
-@over_pages("registry_scan", f'select id, "from", "to", cast(crawl_ord as integer) crawl_ord, cast(id[9:12] as integer) as year from {_REGISTRY}')
-def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _registry_file(spark).select("id", "from", "to", "crawl_ord", crawl_year(F.col("id")).alias("year"))
-
-
-@over_pages("crawl_list", f"select concat(id, chr(9), id) as value from {_REGISTRY}")
-def crawl_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.crawl_rows(_registry_file(spark))
-
-
-_SELECTORS = ("all", "latest", "latest-3", "2023..2025", "2019..2021", "CC-MAIN-2024-02,CC-MAIN-2020-05", "since:2024-01-20")
-_CHOSEN = {"all": "true", "latest": "crawl_ord = 0", "latest-3": "crawl_ord < 3", "2023..2025": "id like '%2024%'", "2019..2021": "id like '%2020%'", "CC-MAIN-2024-02,CC-MAIN-2020-05": "id in ('CC-MAIN-2024-02', 'CC-MAIN-2020-05')", "since:2024-01-20": "crawl_ord < 2"}
-
-
-@over_pages("crawl_selectors", " union all ".join(f"select '{t}' as selector, id from {_REGISTRY} where {w}" for t, w in _CHOSEN.items()))
-def crawl_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every form of selector, parsed, shown again and applied."""
-    registry = derived.crawls(spark)
-    parts = [registry.where(s.predicate()).select(F.lit(str(s)).alias("selector"), "id") for s in map(CrawlSelector.parse, _SELECTORS)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
-_NOW = datetime(2025, 3, 31, 9, 45, tzinfo=UTC)
-_TIMES = {
-    "now": "n", "today": "date_trunc('day', n)", "yesterday": "date_trunc('day', n) - interval 1 day", "5d": "n - interval 5 day", "2 weeks ago": "n - interval 14 day", "36 hours": "n - interval 36 hour", "1mo": "timestamp '2025-02-28 09:45:00'",
-    "2 years ago": "n - interval 2 year", "2019": "timestamp '2019-01-01'", "2019-08": "timestamp '2019-08-01'", "20190817": "timestamp '2019-08-17'", "20190817010203": "timestamp '2019-08-17 01:02:03'", "2019-08-17T05:00:00+03:00": "timestamp '2019-08-17 02:00:00'",
-}
-
-
-@over_pages("time_expressions", "with t as (select timestamp '2025-03-31 09:45:00' n) " + " union all ".join(f"select '{t}' as said, {e} as at from t" for t, e in _TIMES.items()))
-def time_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t, timespec.parse(t, _NOW).replace(tzinfo=None)) for t in _TIMES], "said string, at timestamp_ntz")
-
-
-@over_pages("backoff_schedule", "select cast(i as integer) attempt, cast(least(500 * pow(2, i), 30000) as bigint) ms from range(0, 10) t(i)")
-def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attempt = F.col("id").cast("int")
-    return spark.range(10).select(attempt.alias("attempt"), fields.backoff_ms(attempt, 500, 30_000).alias("ms"))
-
-
 @over_pages("page_probes", "select page_id, case page_id % 3 when 2 then 0 else page_id end pages from pages")
 def page_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id").cast("string")
@@ -427,54 +370,59 @@ def sitemap_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.seeds(discover.robots_sitemaps(robots), discover.sitemap_urls(maps))
 
 
-# Index servers
+# Sitemaps and sketches
 
 
-def answered(spark: SparkSession, sf_dir: str, query: UrlQuery) -> str:
-    """A folder of an index server's answers to one query: two pages a crawl that has captures, none of another."""
-    root = scratch(spark, "answers")
-    c = derived.captures(spark, sf_dir)
-    line = F.to_json(F.struct("urlkey", fields.stamp(F.col("timestamp")).alias("timestamp"), "url", F.col("status").cast("string").alias("status"), "digest", F.col("length").cast("string").alias("length"), F.col("offset").cast("string").alias("offset"), "filename"))
-    wanted = {crawl: url for crawl, url in requests_of(query, [(i, f"https://index.example.com/{i}") for i, _, _ in derived.REGISTRY_ROWS]).items()}
-    pages = c.where(" or ".join(f"urlkey like '{x}%'" for x in ("com,example)", "com,example,"))).select("crawl", (F.col("offset") / 1000 % 2).cast("int").alias("page"), line.alias("line"))
-    bodies = pages.groupBy("crawl", "page").agg(F.array_join(F.collect_list("line"), "\n").alias("body"))
-    probes = pages.groupBy("crawl").agg(F.lit(-1).alias("page"), F.lit('{"pages": 2}').alias("body"))
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-        store.create_dir(base, recursive=True)
+def _site(spark: SparkSession, sf_dir: str) -> Archive:
+    """An archived site whose sitemap indexes name each other, zipped maps, and each page: 500 a map."""
+    base = "https://maps.example.org"
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    part = F.floor(F.col("page_id") / 500)
+    loc = lambda c: F.concat(F.lit("<loc>"), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("</loc>\n"))
+    name = lambda k: F.concat(F.lit(f"{base}/part-"), k.cast("string"), F.when(k % 3 == 0, ".xml.gz").otherwise(".xml"))
+    maps = pages.groupBy(part.alias("k")).agg(F.array_join(F.collect_list(loc(F.col("url"))), "").alias("inner")).select(name(F.col("k")).alias("url"), F.concat(F.lit("<urlset>"), "inner", F.lit("</urlset>")).alias("body"))
+    # names of the maps, a 500th of the pages
+    listed = pages.select(part.alias("k")).distinct().groupBy((F.col("k") % 2).alias("odd")).agg(F.array_join(F.collect_list(loc(name(F.col("k")))), "").alias("inner"))
+    both = f"<loc>{base}/index.xml.gz</loc><loc>{base}/deep.xml</loc>"
+    indexes = spark.createDataFrame([(0, f"{base}/index.xml.gz"), (1, f"{base}/deep.xml")], "n long, url string").join(listed, F.col("n") == F.col("odd"), "left")
+    indexes = indexes.select("url", F.concat(F.lit(f"<sitemapindex>{both}"), F.coalesce("inner", F.lit("")), F.lit("</sitemapindex>")).alias("body"))
+    robots = spark.createDataFrame([(f"{base}/robots.txt", f"Sitemap: {base}/index.xml.gz\n")], "url string, body string")
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for crawl, page, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                with store.open_output_stream(f"{base}/{answer_name(wanted[crawl] + ('&showNumPages=true' if page < 0 else f'&page={page}'))}") as f:
-                    f.write(body.encode())
-            yield batch.select(["page"])
-
-    bodies.select("crawl", "page", "body").union(probes.select("crawl", "page", "body")).mapInArrow(write, "page int").count()
-    return root
-
-
-def _served(spark: SparkSession, sf_dir: str) -> Archive:
-    named = derived.crawls(spark).withColumn("cdx-api", F.concat(F.lit("https://index.example.com/"), "id"))
-    return Archive(spark, derived.captures(spark, sf_dir).limit(0), named, settings=Settings(answers=answered(spark, sf_dir, ALL)))
+            raws = []
+            for url, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                block = b"HTTP/1.1 200 OK\r\n\r\n" + (gzip.compress(body.encode(), 1, mtime=0) if url.endswith(".gz") else body.encode())
+                raws.append(gzip.compress(f"WARC/1.0\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n", 1, mtime=0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raws, pa.binary())], names=["digest", "raw"])
+
+    payloads = stored(robots.union(indexes).union(maps).mapInArrow(records, "digest string, raw binary"), "site")
+    none = F.lit(None).cast("string")
+    captures = payloads.select(
+        F.lit("CC-MAIN-2024-04").alias("crawl"), surt(F.col("digest")).alias("urlkey"), F.col("digest").alias("url"), F.lit(datetime(2024, 1, 28)).cast("timestamp_ntz").alias("timestamp"), F.lit(200).alias("status"), F.lit("text/xml").alias("mime"),
+        F.lit("text/xml").alias("mime_detected"), F.array().cast("array<string>").alias("languages"), "digest", F.lit(1).cast("long").alias("length"), F.lit(0).cast("long").alias("offset"), F.lit("f").alias("filename"), none.alias("redirect"), none.alias("truncated"),
+    )
+    return Archive(spark, captures, derived.crawls(spark), payloads)
 
 
-@over_pages("paged_index", derived.CTE + f"select {_KEY.replace('timestamp', "date_trunc('second', timestamp) as timestamp")} from captures where {_ALL}")
-def paged_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page of every crawl's index server."""
-    return _served(spark, sf_dir).live(ALL).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).select(*KEY)
+_PARTS = "select distinct concat('https://maps.example.org/part-', page_id // 500, case when (page_id // 500) % 3 = 0 then '.xml.gz' else '.xml' end) as url from pages"
 
 
-@over_pages("page_counts", derived.CTE + f"select crawl, cast(2 as bigint) pages from captures where {_ALL} group by crawl union all select 'CC-MAIN-2020-05', 0")
-def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(_served(spark, sf_dir).page_counts(ALL).items()), "crawl string, pages long")
+@over_pages("sitemap_indexes", f"select distinct url from pages union select url from ({_PARTS}) union select * from (values ('https://maps.example.org/index.xml.gz'), ('https://maps.example.org/deep.xml'), ('https://maps.example.org/sitemap.xml')) v(url)")
+def sitemap_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemap indexes of an archived site, followed until nothing is new."""
+    return _site(spark, sf_dir).sitemap_seeds("maps.example.org", "all", nested=True)
 
 
-@over_pages("dry_run", f"""select concat('https://index.example.com/', id, '?url=example.com&matchType=domain&output=json&filter=status%3A200&collapse=digest&from=20240105000000&to=20240112120000&limit=9') as said from {_REGISTRY} where crawl_ord < 2""")
-def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = derived.crawls(spark).withColumn("cdx-api", F.concat(F.lit("https://index.example.com/"), "id"))
-    query = ALL.status(200).collapsed(Collapse("digest")).between(_FROM, _TO).take(9).in_crawls("latest-2")
-    said = Archive(spark, derived.captures(spark, sf_dir), named).dry_run(query)
-    return spark.createDataFrame([(x,) for x in said if x.startswith("http")], "said string")
+@register("stats_sketched", """select crawl, count(*) captures, cast(sum(length) as bigint) bytes, true urls_close, true digests_close from captures group by crawl
+    union all select 'all', count(*), cast(sum(length) as bigint), true, true from captures""", None)
+def _sketched(c: DataFrame, a: Archive) -> DataFrame:
+    """Distinct counts from stored sketches, a crawl each and united, held against exact ones."""
+    kept = stored(reduce.crawl_sketches(c), "sketches")
+    said = reduce.sketched_stats(kept).union(reduce.sketched_stats(kept.withColumn("crawl", F.lit("all"))))
+    exact = c.select(F.explode(F.array("crawl", F.lit("all"))).alias("crawl"), "urlkey", "digest").groupBy("crawl").agg(F.countDistinct("urlkey").alias("u"), F.countDistinct("digest").alias("d"))
+    close = lambda x, y: F.abs(F.col(x) - F.col(y)) <= F.col(y) * 0.05
+    return said.join(exact, "crawl").select("crawl", "captures", "bytes", close("urls", "u").alias("urls_close"), close("digests", "d").alias("digests_close"))
 
 
 # Streams
