@@ -66,8 +66,9 @@ class _Files(WriterCommitMessage):
 class PayloadFiles(DataSource):
     """``payload_files``: writes (name, body) as files of their own, all or none of a task's, and none of a job that fails.
 
-    A task writes into a folder of its attempt below ``_attempt-<job>``; the job's commit moves the
-    files of the attempts that count into place, a failed job's folder is dropped.
+    A task writes into a folder of its attempt below ``_attempt-<job>``, which the driver makes; the
+    job's commit moves the files of the attempts that count into place.  A failed job's folder is
+    dropped, and tasks that are still at work can't write without it.
     """
 
     @classmethod
@@ -78,7 +79,10 @@ class PayloadFiles(DataSource):
         return "name string, body binary"
 
     def writer(self, schema: Any, overwrite: bool) -> DataSourceArrowWriter:
-        return _FileWriter(self.options["path"], int(self.options.get("movers", 16)))
+        made = _FileWriter(self.options["path"], int(self.options.get("movers", 16)))
+        store, base = made._store()
+        store.create_dir(f"{base}/{made.job}", recursive=True)
+        return made
 
 
 class _FileWriter(DataSourceArrowWriter):
@@ -92,7 +96,7 @@ class _FileWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, base = self._store()
         attempt = f"{base}/{self.job}/{uuid.uuid4().hex}"
-        store.create_dir(attempt, recursive=True)
+        store.create_dir(attempt, recursive=False)
         for batch in iterator:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if name and body.is_valid:
@@ -112,8 +116,14 @@ class _FileWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         store, base = self._store()
-        if store.get_file_info(f"{base}/{self.job}").type != fs.FileType.NotFound:
-            store.delete_dir(f"{base}/{self.job}")
+        for last in (False, False, True):
+            try:
+                if store.get_file_info(f"{base}/{self.job}").type != fs.FileType.NotFound:
+                    store.delete_dir(f"{base}/{self.job}")
+                return
+            except OSError:  # a task wrote meanwhile
+                if last:
+                    raise
 
 
 def write_payload_files(payloads: DataFrame, root: str) -> DataFrame:
