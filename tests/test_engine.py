@@ -205,6 +205,8 @@ def test_budget(spark, sf_dir):
     assert rows.count() == 2 and isinstance(over, BudgetExhaustedError) and over.resume.startswith("CC-MAIN")
     rest = reduce.resume_after(c, over.resume)
     assert rest.count() == 28 and rest.exceptAll(c.exceptAll(rows)).count() == 0
+    key = over.resume.split("@")[0]
+    assert "@" in over.resume and reduce.resume_after(c, key).exceptAll(rest).count() == 0 == rest.exceptAll(reduce.resume_after(c, key)).count()
     bare = c.drop("crawl_ord")
     assert reduce.resume_after(bare, budget.spend(bare, budget.Budget(records=5))[1].resume).count() == 25
     for bad in ("nothing", "CC-MAIN-2024-04:f:99999"):

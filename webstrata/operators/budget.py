@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import BudgetExhaustedError, IndexTooLargeError
-from ..functions.fields import capture_key
 from ..session import stored
-from .ordered import leading_rows
-from .reduce import total_order
+from .ordered import in_ranges, leading_rows, part_totals
+from .reduce import resume_token, total_order
 
 #: Index pages of a crawl that a search reads at most.
 MAX_PAGES = 1000
@@ -32,19 +31,28 @@ def within_records(captures: DataFrame, n: int) -> DataFrame:
 
 
 def within_bytes(captures: DataFrame, most: int) -> DataFrame:
-    """The longest leading run of rows whose lengths sum to ``most`` at most.
+    """The longest leading run of rows whose lengths sum to ``most`` at most."""
+    return leading_bytes(captures, most)[0]
 
-    Rows are range-partitioned in order and stored, so that their partitions are fixed; sums of
-    the partitions, one row each, give each partition its start, and only partitions that start
-    within the budget are summed row by row.
+
+def leading_bytes(captures: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """(the longest leading run within ``most`` bytes, whether a row was left).
+
+    The plan runs once: rows are dealt by ranges and stored.  Sums of the ranges, one row each, tell
+    which of them the budget cuts; those before it stay whole, and it alone is summed row by row.
     """
-    order = total_order(captures)
-    dealt = stored(captures.repartitionByRange(*order).withColumn("b_part", F.spark_partition_id()), "budget-ranges")
-    sums = dealt.groupBy("b_part").agg(F.sum("length").alias("b_sum"))
-    starts = sums.select(F.col("b_part").alias("b_of"), (F.sum("b_sum").over(Window.orderBy("b_part")) - F.col("b_sum")).alias("b_start")).where(F.col("b_start") <= most)
-    w = Window.partitionBy("b_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = dealt.join(F.broadcast(starts), F.col("b_part") == F.col("b_of")).withColumn("b_run", F.sum("length").over(w))
-    return run.where(F.col("b_run") + F.col("b_start") <= most).select(*captures.columns)
+    dealt = in_ranges(captures, total_order(captures), "budget-ranges")
+    spent, cut = 0, None
+    for part, n in part_totals(dealt, F.col("length")):
+        if spent + n > most:
+            cut = part
+            break
+        spent += n
+    if cut is None:
+        return dealt.drop("o_part", "o_at"), False
+    w = Window.partitionBy("o_part").orderBy("o_at").rowsBetween(Window.unboundedPreceding, 0)
+    last = dealt.where(F.col("o_part") == cut).withColumn("b_run", F.sum("length").over(w)).where(F.col("b_run") <= most - spent)
+    return dealt.where(F.col("o_part") < cut).unionByName(last.drop("b_run")).select(*captures.columns), True
 
 
 def spend(captures: DataFrame, budget: Budget, pages: dict[str, int] | None = None) -> tuple[DataFrame, BudgetExhaustedError | None]:
@@ -58,23 +66,18 @@ def spend(captures: DataFrame, budget: Budget, pages: dict[str, int] | None = No
     if budget.records is None and budget.bytes is None:
         return captures, None
     what = ""
-    now = captures
+    kept = captures
     if budget.records is not None:
-        now = stored(within_records(captures, budget.records + 1), "budget-records")
-        if now.count() > budget.records:
+        kept = stored(within_records(kept, budget.records + 1), "budget-records")
+        if kept.count() > budget.records:
             what = "record"
-            now = within_records(now, budget.records)
-    kept = now
+            kept = within_records(kept, budget.records)
     if budget.bytes is not None:
-        # a byte budget alone reads the plan twice: its total first, its leading run then
-        total = now.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-        if total > budget.bytes:
-            what = "byte"
-            kept = stored(within_bytes(now, budget.bytes), "budget-bytes")
+        kept, cut = leading_bytes(kept, budget.bytes)
+        what = "byte" if cut else what
     if not what:
         return kept, None
-    names = [capture_key(F.col("crawl"), F.col("filename"), F.col("offset")).alias("k")]
-    last = kept.orderBy(*total_order(kept, last_first=True)).select(*names).first()
+    last = kept.orderBy(*total_order(kept, last_first=True)).select(resume_token(kept).alias("k")).first()
     return kept, BudgetExhaustedError(what, last["k"] if last else None)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
-from ..functions.fields import stamp
+from ..functions.fields import capture_key, stamp
 from ..plans.query import Collapse
 from ..schema import TOTAL_ORDER
 from .ordered import leading_rows
@@ -61,17 +62,34 @@ def ordered_limit(captures: DataFrame, n: int) -> DataFrame:
     return leading_rows(captures, total_order(captures), n)
 
 
+def resume_token(captures: DataFrame) -> Column:
+    """A capture's key, and behind it its time and URL key, so that nothing has to be looked up to go on after it."""
+    at = F.unix_micros(F.col("timestamp").cast("timestamp")).cast("string")
+    return F.concat_ws("@", capture_key(F.col("crawl"), F.col("filename"), F.col("offset")), at, F.col("urlkey"))
+
+
 def order_of(captures: DataFrame, token: str) -> dict[str, object]:
-    """Values of the total order of the capture that a resume token (its capture key) names."""
-    crawl, _, rest = token.partition(":")
-    filename, _, offset = rest.rpartition(":")
-    if not filename or not offset.isdigit():
+    """Values of the total order of the capture that a resume token names.
+
+    A bare capture key is looked up in its crawl; of a whole token only the crawl's place is, which
+    any one row of the crawl tells.
+    """
+    m = re.fullmatch(r"(?s)([^:]*):(.+):(\d+?)(?:@(-?\d+)@(.*))?", token)
+    if not m:
         raise ConfigError(f"no resume token: {token!r}")
-    names = [c for c in ("crawl_ord", *TOTAL_ORDER[1:]) if c in captures.columns]
-    row = captures.where((F.col("crawl") == crawl) & (F.col("filename") == filename) & (F.col("offset") == int(offset))).select("crawl", *names).first()
+    crawl, filename, offset, at, urlkey = m.groups()
+    rows = captures.where(F.col("crawl") == crawl)
+    ranked = ["crawl_ord"] if "crawl_ord" in captures.columns else []
+    if at is None:
+        row = rows.where((F.col("filename") == filename) & (F.col("offset") == int(offset))).select("crawl", *ranked, *TOTAL_ORDER[1:]).first()
+    else:
+        row = rows.select("crawl", *ranked).first()
     if row is None:
         raise ConfigError(f"no capture {token!r} to resume after")
-    return row.asDict()
+    if at is None:
+        return row.asDict()
+    time = F.timestamp_micros(F.lit(int(at))).cast(dict(captures.dtypes)["timestamp"])
+    return row.asDict() | {"urlkey": urlkey, "timestamp": time, "filename": filename, "offset": int(offset)}
 
 
 def resume_after(captures: DataFrame, after: dict[str, object] | str) -> DataFrame:
