@@ -39,7 +39,7 @@ WINDOW_BYTES = 48
 #: Threads that encode leaves.
 THREADS = 2
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 200_000
 
 _NO_ANCHOR = re.compile(r" (?:\s|\Z)")
 _ANCHOR = re.compile(r" (?=\S)")
