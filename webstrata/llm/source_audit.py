@@ -24,7 +24,7 @@ LEAST_DOCS = 30
 #: Smoothing count, and units of a share.
 ADDED, UNITS = 5, 1_000_000_000
 #: Terms of a bucket, about.
-BUCKET = 1 << 16
+BUCKET = 1 << 12
 #: Ranks of the part ``term``.
 TOP = 50
 #: Entries that a task counts before it passes them on, and bytes of a text at once.
