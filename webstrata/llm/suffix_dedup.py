@@ -7,7 +7,7 @@ twice over range partitions, by the words that follow and, inside one prefix, by
 reverse order; each is compared with its neighbours in the sorted order word by word.  Suffixes
 with d common words are one run of that order, so the first position of the run names those d words
 exactly.  A passage is then a suffix, a length to the left and one to the right: the two runs
-that extend it.  Hashes decide nothing about equality.
+that extend it.  Whole texts are told apart by SHA-256; no other hash decides about equality.
 """
 
 from __future__ import annotations
@@ -101,8 +101,9 @@ def common_words(a: str, b: str) -> int:
 
 
 def text_keys() -> list[Column]:
-    """128 bits that tell texts apart: two hashes with different seeds."""
-    return [F.xxhash64(text_column()).alias("c1"), F.xxhash64(F.lit(1), text_column()).alias("c2")]
+    """128 bits of a text's SHA-256, which tell texts apart, as two numbers."""
+    digest = F.sha2(F.encode(text_column(), "UTF-8"), 256)
+    return [F.conv(F.substring(digest, at, 16), 16, -10).cast("long").alias(c) for c, at in (("c1", 1), ("c2", 17))]
 
 
 def sorted_runs(rows: DataFrame, base: int, depths: int, name: str) -> DataFrame:
