@@ -13,6 +13,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -80,13 +81,15 @@ class PagedReader(DataSourceReader):
         workers = max(1, min(int(self.options.get("workers", MAX_CONCURRENCY)), len(urls)))
         return [Pages(urls[k::workers], workers) for k in range(workers) if urls[k::workers]]
 
-    def read(self, partition: Pages) -> Iterator[tuple[str, int, str]]:
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+        """A batch a page."""
         transport = open_transport(self.options)
         if isinstance(transport, HttpTransport):
             transport = transport.shared_by(partition.workers)
         for crawl, page, url in partition.urls:
-            for line in lines_of(transport, url):
-                yield crawl, page, line
+            lines = list(lines_of(transport, url))
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([crawl] * len(lines)), pa.array([page] * len(lines), pa.int32()), pa.array(lines, pa.string())], names=["crawl", "page", "value"])
 
 
 def read_pages(spark: SparkSession, query: UrlQuery, crawls: list[tuple[str, str]], mode: str = "FAILFAST", **options: object) -> DataFrame:
