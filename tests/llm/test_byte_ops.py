@@ -108,10 +108,14 @@ def test_planes_query(spark, odd, kind, monkeypatch):
 
 
 def test_shard_files(spark, odd, tmp_path):
-    """Files of the format, read in order without Spark."""
-    shards = token_planes.write_planes(odd.repartition(3), WORD)
-    token_planes.export_shards(shards, str(tmp_path / "s"))
-    read = [token_planes.Shard(p.read_bytes()) for p in sorted((tmp_path / "s").iterdir())]
+    """Files of the format, read in order without Spark; names alone give every shard's place."""
+    root = tmp_path / "s"
+    shards = token_planes.write_planes(odd.repartition(3), WORD, str(root))
+    names = sorted(p.name for p in root.iterdir())
+    assert names and all(n.endswith(".bpln") for n in names)
+    assert "content" not in shards.select("part", "n_ids")._jdf.queryExecution().executedPlan().toString()
+    read = [token_planes.Shard((root / n).read_bytes()) for n in names]
+    assert [len(s.ids()) for s in read] == [int(n.rsplit("-", 1)[1].split(".")[0]) for n in names]
     assert sum(len(s.doc_ids) for s in read) == len(ODD)
     t = Tokenizer.from_file(WORD)
     ids = np.concatenate([s.ids() for s in read]).tolist()
@@ -125,6 +129,14 @@ def test_shard_files(spark, odd, tmp_path):
     assert last == 9 and ids[-len(t.encode(by_id[9], add_special_tokens=False).ids) - 1 :][:-1] == t.encode(by_id[9], add_special_tokens=False).ids
 
 
+def test_no_shard_of_a_failed_job(spark, odd, tmp_path):
+    """A document that can't be read fails the job; no file of any task stays."""
+    bad = odd.repartition(3).withColumn("text", F.when(F.col("doc_id") == 6, F.raise_error(F.lit("no such text"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="no such text"):
+        token_planes.write_planes(bad, WORD, str(tmp_path / "s"))
+    assert not [p for p in (tmp_path / "s").rglob("*") if p.is_file()]
+
+
 def test_wide_vocabularies(monkeypatch):
     monkeypatch.setattr(Tokenizer, "get_vocab_size", lambda self, with_added_tokens=True: 1 << 17, raising=False)
     try:

@@ -8,10 +8,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks import PayloadFiles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,9 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/webstrata/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/webstrata/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -53,28 +58,14 @@ def few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def export_files(rows: DataFrame, root: str) -> DataFrame:
-    """Write every (name, blob) as a file of its own below ``root`` (a path or URI that pyarrow opens); (name, bytes) of each.
+def export_files(rows: DataFrame, root: str) -> None:
+    """Write every (name, blob) as a file of its own below ``root`` (a path or URI that pyarrow opens).
 
-    An action.  Names must be unique; a null blob writes nothing and has null bytes.  A retried task
-    writes its files again.
+    An action.  Names must be unique; a null name or blob writes nothing.  Files appear when the
+    whole job has succeeded; a task that fails or is tried again leaves nothing.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-        store.create_dir(base, recursive=True)
-        for batch in batches:
-            sizes = []
-            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not blob.is_valid:
-                    sizes.append(None)
-                    continue
-                with store.open_output_stream(f"{base.rstrip('/')}/{name}", compression=None) as f:
-                    f.write(blob.as_buffer())
-                sizes.append(len(blob.as_buffer()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "bytes"])
-
-    return stored(rows.select("name", "blob").mapInArrow(run, "name string, bytes long"), "files")
+    rows.sparkSession.dataSource.register(PayloadFiles)
+    rows.select("name", F.col("blob").alias("body")).write.format("payload_files").mode("append").save(root)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

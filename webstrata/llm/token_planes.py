@@ -20,19 +20,19 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe_tree import byte_of_char
-from .common import PYTHON_ONLY_SPACE, by_bytes, export_files, stored, text_column
+from .common import PYTHON_ONLY_SPACE, by_bytes, export_files, new_folder, text_column
 
 # Fixed value: first bytes of a shard.
 MAGIC = b"BPLN0001"
 #: Ids of a block.
 BLOCK = 1 << 15
 #: A shard ends with the document that brings it to this many ids.
-SHARD_IDS = 1 << 18
+SHARD_IDS = 1 << 22
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 700_000
 # Fixed value: the split pattern of the tokenizer file, for lower-case words.
@@ -164,8 +164,8 @@ class Shard:
         return np.concatenate(parts)[start - start // block * block :][: stop - start]
 
 
-def write_planes(docs: DataFrame, path: str, end_id: int = 1, kind: str = "byte") -> DataFrame:
-    """Encode documents in ascending doc_id order and store shards: (part, seq, part_start, n_ids, blob).
+def to_shards(docs: DataFrame, path: str, end_id: int = 1, kind: str = "byte") -> DataFrame:
+    """Documents encoded in ascending doc_id order, as shards: (part, seq, part_start, n_ids, blob).
 
     Order: doc_id with nulls first, equal ids by a hash of their text, then by the text.  Null texts
     count as empty; every document gets the end id.  A document is never split: one longer than a
@@ -200,11 +200,30 @@ def write_planes(docs: DataFrame, path: str, end_id: int = 1, kind: str = "byte"
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     # rows of one id spread by their texts
     ordered = ordered.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text").drop("text_hash")
-    return stored(ordered.mapInArrow(run, "part long, seq long, part_start long, n_ids long, blob binary"), "planes", compression="none")
+    return ordered.mapInArrow(run, "part long, seq long, part_start long, n_ids long, blob binary")
+
+
+def write_planes(docs: DataFrame, path: str, root: str, end_id: int = 1, kind: str = "byte") -> DataFrame:
+    """Write the shards of documents as files below ``root`` (a path or URI that pyarrow opens) and give them as ``open_planes`` does.
+
+    An action.  A file's name holds its task, its place in the task's sequence, the ids of the task
+    before it and its own, so names sort in document order.  Files appear when the whole job has
+    succeeded.  No documents give an empty folder.
+    """
+    name = F.format_string("shard-%08d-%08d-%d-%d.bpln", "part", "seq", "part_start", "n_ids")
+    export_files(to_shards(docs, path, end_id, kind).select(name.alias("name"), "blob"), root)
+    return open_planes(docs.sparkSession, root)
+
+
+def open_planes(spark: SparkSession, root: str) -> DataFrame:
+    """Shard files below ``root`` as (part, seq, part_start, n_ids, blob); without the blob only names are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bpln").load(root)
+    number = lambda i: F.regexp_extract("path", r"shard-(\d+)-(\d+)-(\d+)-(\d+)\.bpln$", i).cast("long")
+    return files.select(*(number(i + 1).alias(c) for i, c in enumerate(("part", "seq", "part_start", "n_ids"))), F.col("content").alias("blob"))
 
 
 def read_planes(shards: DataFrame) -> DataFrame:
-    """One row a document, from the stored files: doc_id, start, n_tokens, ids_crc32 (of 32-bit ids)."""
+    """One row a document, from shards: doc_id, start, n_tokens, ids_crc32 (of 32-bit ids)."""
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     offsets = totals.select(F.col("part").alias("of_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
 
@@ -225,10 +244,7 @@ def read_planes(shards: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def export_shards(shards: DataFrame, root: str) -> DataFrame:
-    """Each shard as a file of the format, named in document order; (name, bytes)."""
-    return export_files(shards.select(F.format_string("shard-%06d-%06d.bpln", "part", "seq").alias("name"), "blob"), root)
-
-
-def token_planes(docs: DataFrame, path: str | None = None, end_id: int = 1, kind: str = "byte") -> DataFrame:
-    return read_planes(write_planes(docs, path or public_tokenizers.path("word_bpe_49k.json"), end_id, kind))
+def token_planes(docs: DataFrame, path: str | None = None, end_id: int = 1, kind: str = "byte", root: str | None = None) -> DataFrame:
+    """Documents to shard files and back; ``root`` is a new folder below the shared one unless it is given."""
+    root = root or new_folder(docs.sparkSession, "planes")
+    return read_planes(write_planes(docs, path or public_tokenizers.path("word_bpe_49k.json"), root, end_id, kind))
