@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe_tree import byte_of_char
-from .common import PYTHON_ONLY_SPACE, by_bytes, export_files, new_folder, text_column
+from .common import PYTHON_ONLY_SPACE, by_bytes, export_files, new_folder, stored, text_column
 
 # Fixed value: first bytes of a shard.
 MAGIC = b"BPLN0001"
@@ -208,10 +208,12 @@ def write_planes(docs: DataFrame, path: str, root: str, end_id: int = 1, kind: s
 
     An action.  A file's name holds its task, its place in the task's sequence, the ids of the task
     before it and its own, so names sort in document order.  Files appear when the whole job has
-    succeeded.  No documents give an empty folder.
+    succeeded.  No documents give an empty folder.  Shards are stored as rows first: a task that both
+    encodes and writes files has two Python workers, each with its own encoder and words.
     """
     name = F.format_string("shard-%08d-%08d-%d-%d.bpln", "part", "seq", "part_start", "n_ids")
-    export_files(to_shards(docs, path, end_id, kind).select(name.alias("name"), "blob"), root)
+    shards = stored(to_shards(docs, path, end_id, kind), "planes", compression="none")
+    export_files(shards.select(name.alias("name"), "blob"), root)
     return open_planes(docs.sparkSession, root)
 
 
