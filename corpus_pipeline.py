@@ -64,7 +64,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", tokens),
 ]
 
-#: A conditional random field, MinHash and BPE aren't SQL; the tests hold the operators of the stages against brute force, of quality its marginals and its area on held-out rows.
+#: A conditional random field, MinHash and BPE aren't SQL; ``tests/llm/test_pipeline.py`` holds run() against a plain chain of the five stages.
 ORACLE_SQL = None
 
 
