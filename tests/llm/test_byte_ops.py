@@ -366,7 +366,7 @@ def test_media_columns_of_any_streams(spark):
     stream, raw = foreign_stream(random.Random(3), 2, 16, [64, 96], 10)
     media = spark.createDataFrame([(1, bytearray(stream)), (2, None)], "doc_id long, media binary").withColumn("n_bytes", F.lit(1).cast("long"))
     rows = flac_media.pcm_blocks(media).orderBy("first_sample").collect()
-    assert [(r["first_sample"], r["n_samples"], r["channels"], r["bits"]) for r in rows] == [(0, 64, 2, 16), (64, 96, 2, 16)] and b"".join(bytes(r["pcm"]) for r in rows) == raw
+    assert [(r["first_sample"], r["n_samples"], r["channels"], r["bits"], r["levels"]) for r in rows] == [(0, 64, 2, 16, "plain"), (64, 96, 2, 16, "plain")] and b"".join(bytes(r["pcm"]) for r in rows) == raw
     assert flac_media.media_features(media.where("media is null")).count() == 0
 
 
@@ -404,6 +404,8 @@ def test_media_query(spark, odd):
     blocks = flac_media.pcm_blocks(flac_media.to_media(odd.where("doc_id = 8"), levels="plain")).orderBy("first_sample").collect()
     assert b"".join(bytes(b ^ 0x80 for b in r["pcm"]) for r in blocks).rstrip(b"\0").decode() == dict(ODD)[8]
     assert [r["first_sample"] for r in blocks] == list(range(0, 1024 * len(blocks), 1024))
+    ranked = flac_media.pcm_blocks(flac_media.to_media(odd.where("doc_id = 8"))).orderBy("first_sample").collect()
+    assert b"".join(flac_media.to_payload(bytes(r["pcm"]), r["levels"]) for r in ranked).rstrip(b"\0").decode() == dict(ODD)[8]
 
 
 def test_media_are_stored_and_read_back(spark, odd, tmp_path, monkeypatch):
@@ -691,6 +693,17 @@ def test_mixing(spark):
     assert poisson_mix.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_no_source_repeats_more_than_it_may(spark):
+    """A tiny source beside long ones: its rate is held, the other's stays, and by default nothing is held."""
+    docs = spark.createDataFrame([(0, "tiny", "t"), *((i, "long text " * 500, "l") for i in range(1, 200))], "doc_id long, text string, source string")
+    rates = lambda **more: {r["mix_source"]: (r["rate"], r["steps"]) for r in poisson_mix.source_rates(docs, **more).collect()}
+    free, held = rates(), rates(most_repeats=20)
+    assert free["t"][0] > 100 and held == {"t": (20.0, 2), "l": free["l"]}
+    assert rates(most_repeats=1e9) == free and rates(most_repeats=0) == {}
+    assert poisson_mix.mix_sources(docs, most_repeats=20).where("source = 't'").count() < 60
+    assert poisson_mix.mix_sources(docs, most_repeats=0).count() == 0
+
+
 def test_poisson_counts_follow_the_distribution(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("xy").alias("text"), F.lit("s").alias("source"))
     for rate in (0.7, 40.0):

@@ -627,7 +627,7 @@ def payload(text: str) -> tuple[int, bytes]:
 
 
 def feature(data: bytes, block: int = BLOCK) -> str:
-    """Samples, mean, mean square and sign changes of the PCM, as text."""
+    """Samples, mean, mean square and sign changes of payload bytes taken as plain 8-bit PCM, whatever levels their stream has."""
     s = np.frombuffer(data, np.uint8).astype(np.int64) - 128
     turns = int(np.count_nonzero((s[1:] < 0) != (s[:-1] < 0)))
     return f"n={len(s)};mean={s.sum() / len(s):.4f};power={(s * s).sum() / len(s):.4f};turns={turns};blocks={-(-len(s) // block)}"
@@ -660,20 +660,22 @@ def to_media(docs: DataFrame, levels: str = "ranks") -> DataFrame:
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """doc_id, first_sample, n_samples, channels, bits, pcm (interleaved signed little-endian): one row a frame, seekable by sample offset.
+    """doc_id, first_sample, n_samples, channels, bits, levels, pcm (interleaved signed little-endian): one row a frame, seekable by sample offset.
 
     media: (doc_id, media) with FLAC streams of any form; a null stream has no rows, a damaged one raises.
+    levels: what 8-bit samples stand for, a name that ``to_payload`` takes to give the bytes back;
+    "plain" for streams of other writers.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, media = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         found = [x for a, b in _parts([len(m) for m in media]) for x in stream_blocks(media[a:b])]
-        rows = [(i, first, n, pcm.channels, pcm.bits, x) for i, pcm in zip(ids, found, strict=True) for first, n, x in pcm.blocks]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        names = ["doc_id", "first_sample", "n_samples", "channels", "bits", "pcm"]
+        rows = [(i, first, n, pcm.channels, pcm.bits, pcm.levels, x) for i, pcm in zip(ids, found, strict=True) for first, n, x in pcm.blocks]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary())
+        names = ["doc_id", "first_sample", "n_samples", "channels", "bits", "levels", "pcm"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names) if rows else None
 
-    return map_arrow(media.select("doc_id", "media").where("media is not null"), run, "doc_id long, first_sample long, n_samples long, channels int, bits int, pcm binary")
+    return map_arrow(media.select("doc_id", "media").where("media is not null"), run, "doc_id long, first_sample long, n_samples long, channels int, bits int, levels string, pcm binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:

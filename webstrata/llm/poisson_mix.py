@@ -26,12 +26,14 @@ def uniform(*parts: Column) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def source_rates(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0) -> DataFrame:
+def source_rates(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0, most_repeats: float | None = None) -> DataFrame:
     """One row a source: ``rate`` (mean repeats), ``steps`` and the cumulative distribution of one step.
 
     weights: (source, weight) with any positive scale, rows that repeat a source add up; by default
     the square root of a source's characters (temperature 2).  Sources with no characters or no
-    positive weight get rate 0.  epochs: expected characters out per character in.
+    positive weight get rate 0.  epochs: expected characters out per character in.  most_repeats: no
+    source's rate is larger; the others keep theirs, so that the output is smaller and a held source
+    misses its weight.  Without it a tiny source with a large weight repeats as often as that asks.
     """
     sizes = docs.groupBy(F.col("source").alias("mix_source")).agg(F.sum(F.length("text")).cast("double").alias("chars"))
     if weights is None:
@@ -43,6 +45,8 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, epochs: floa
     # two numbers, from partial sums
     total = sizes.agg(F.sum("weight").alias("weight"), F.sum("chars").alias("chars")).first()
     sized = sizes.select("mix_source", (F.col("weight") / F.lit(total["weight"]) * F.lit(total["chars"]) * F.lit(float(epochs)) / F.col("chars")).alias("rate"))
+    if most_repeats is not None:
+        sized = sized.withColumn("rate", F.least("rate", F.lit(float(most_repeats)))).where("rate > 0")
     step = F.col("rate") / F.col("steps")
     grown = F.aggregate(
         F.sequence(F.lit(1), F.lit(TERMS)),
@@ -62,7 +66,7 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, epochs: floa
     )
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0, seed: str = "mix", most_repeats: float | None = None) -> DataFrame:
     """Repeat documents so that sources reach their target weights, then shuffle globally.
 
     docs: at least (doc_id, text, source); every column is kept, ``copy_no`` (from 1) and
@@ -73,7 +77,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, epochs: float
     documents by a broadcast whose size was counted, or by a join that adaptive execution splits.
     """
     shared_dir(docs.sparkSession)  # for checkpoints
-    rates = source_rates(docs, weights, epochs).checkpoint()
+    rates = source_rates(docs, weights, epochs, most_repeats).checkpoint()
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     packed = docs.select(F.struct(*docs.columns).alias("mix_row"), F.col("source").alias("mix_of"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("mix_id"))
