@@ -263,7 +263,7 @@ def archived(spark: SparkSession, sf_dir: str, binary: bool = False) -> tuple[st
 
 def _page_captures(spark: SparkSession, sf_dir: str, locators: DataFrame) -> DataFrame:
     """Two captures of every page that share its payload, and one whose archive is gone."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").join(locators, "page_id")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").join(locators.hint("merge"), "page_id")
     at = F.timestamp_seconds(F.lit(1706400000) + F.col("page_id")).cast("timestamp_ntz")
     rows = pages.select(
         F.explode(F.array(F.lit("CC-MAIN-2024-04"), F.lit("CC-MAIN-2024-03"))).alias("crawl"), surt(F.col("url")).alias("urlkey"), "url", at.alias("timestamp"), F.lit(200).alias("status"), F.lit("text/html").alias("mime"),
