@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import random
 
 import pyarrow as pa
 
@@ -22,3 +23,27 @@ def test_payloads_are_never_broadcast(spark, sf_dir):
     final = text.split("Initial Plan")[0]
     # the first join is that with the payloads
     assert final[final.index("Join") - 9 :].startswith("SortMergeJoin [digest")
+
+
+class Frame:
+    """Stands for a DataFrame, to run what a task runs."""
+
+    columns, dtypes = ["id", "raw"], [("id", "bigint"), ("raw", "binary")]
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_task_decodes_a_bounded_part_of_a_batch():
+    body = random.Random(1).randbytes(1 << 19)
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    raw = gzip.compress(b"WARC/1.0\r\nContent-Length: %d\r\n\r\n" % len(block) + block, 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([raw] * 59 + [None], pa.binary())], names=["id", "raw"])
+    made = list(payload.decode_payloads(Frame(), strict=True, parts=("record", "body"))(iter([batch])))
+    assert max(len(b) for b in made) <= payload.OUT_BYTES >> 19 and max(b.nbytes for b in made) < 3 * payload.OUT_BYTES
+    assert [i for b in made for i in b.column(0).to_pylist()] == list(range(60))
+    assert all(x == body for b in made for x in b.column("body").to_pylist()[: 59 - b.column(0)[0].as_py()])
+    assert made[-1].column("body").to_pylist()[-1] is None

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any, TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,12 @@ from ..errors import ParseError
 from ..functions.fields import CHALLENGE_STATUS
 from ..schema import HTTP_CAPTURE, WARC_RECORD
 
+T = TypeVar("T")
+
 #: HTTP headers of a response at most, and body bytes that the challenge test reads.
 MAX_HEADERS, SNIPPET = 128, 4096
+#: Bytes that a task decodes and passes on at once.
+OUT_BYTES = 4 << 20
 # Words of challenge pages.
 CHALLENGE_WORDS = ("just a moment", "cf-challenge", "captcha")
 
@@ -37,6 +42,24 @@ def gunzip(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def values(column: pa.Array) -> Iterator[Any]:
+    """Values of a column as Python's, one at a time."""
+    return (x.as_py() for x in column)
+
+
+def by_bytes(rows: Iterable[T], size: Callable[[T], int], most: int = OUT_BYTES) -> Iterator[tuple[int, list[T]]]:
+    """(place of the first, rows) in runs that end once they have ``most`` bytes: so much is held at a time, however many rows come."""
+    at, held, total = 0, [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if total >= most:
+            yield at, held
+            at, held, total = at + len(held), [], 0
+    if held:
+        yield at, held
+
+
 def _headers(block: bytes) -> list[dict[str, str]]:
     rows = (line.partition(b":") for line in block.replace(b"\r\n", b"\n").split(b"\n")[1:])
     return [{"name": k.decode("utf-8", "replace").strip().lower(), "value": v.decode("utf-8", "replace").strip()} for k, sep, v in rows if sep]
@@ -103,10 +126,15 @@ def decode_payloads(payloads: DataFrame, raw: str = "raw", strict: bool = False,
             return {}, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def size(row: tuple[dict, str | None]) -> int:
+            made = row[0]
+            return len(made["record"]["body"]) + len(made["body"]) if made else 0
+
         for batch in batches:
-            rows = [one(x.as_py()) for x in batch.column(batch.num_columns - 1)]
-            cols = [pa.array([made.get(p) for made, _ in rows], _ARROW[p]) for p in parts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols, pa.array([e for _, e in rows], pa.string())], names=[*keep, *parts, "error"])
+            for at, rows in by_bytes(map(one, values(batch.column(batch.num_columns - 1))), size):
+                cols = [pa.array([made.get(p) for made, _ in rows], _ARROW[p]) for p in parts]
+                kept = batch.slice(at, len(rows)).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*kept, *cols, pa.array([e for _, e in rows], pa.string())], names=[*keep, *parts, "error"])
 
     types = dict(payloads.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"{p} {DECODED[p]}" for p in parts] + ["error string"])
@@ -125,7 +153,8 @@ def unzipped_texts(bodies: DataFrame, body: str = "body") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([one(x.as_py()) for x in batch.column(batch.num_columns - 1)], pa.string())], names=[*keep, "text"])
+            for at, texts in by_bytes(map(one, values(batch.column(batch.num_columns - 1))), lambda text: len(text or "")):
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns[:-1], pa.array(texts, pa.string())], names=[*keep, "text"])
 
     types = dict(bodies.dtypes)
     return bodies.select(*keep, body).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "text string"]))

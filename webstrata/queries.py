@@ -278,18 +278,19 @@ def page_records(spark: SparkSession, sf_dir: str, binary: bool = False) -> Data
     binary: bodies begin with bytes that aren't text.
     """
 
+    def record(page: int, html: str | None) -> bytes:
+        body = NO_TEXT * binary + (html or "").encode()
+        status = {0: "403 Forbidden", 1: "503 Busy"}.get(page % 11, "200 OK")
+        head = f"HTTP/1.1 {status}\r\nServer: {'cloudflare' if page % 5 == 0 else 'nginx'}\r\nContent-Type: text/html\r\n"
+        if page % 3 == 0:
+            head, body = head + "Content-Encoding: gzip\r\n", gzip.compress(body, 1, mtime=0)
+        block = head.encode() + b"\r\n" + body
+        return gzip.compress(f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n", 1, mtime=0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                body = NO_TEXT * binary + (html or "").encode()
-                status = {0: "403 Forbidden", 1: "503 Busy"}.get(page % 11, "200 OK")
-                head = f"HTTP/1.1 {status}\r\nServer: {'cloudflare' if page % 5 == 0 else 'nginx'}\r\nContent-Type: text/html\r\n"
-                if page % 3 == 0:
-                    head, body = head + "Content-Encoding: gzip\r\n", gzip.compress(body, 1, mtime=0)
-                block = head.encode() + b"\r\n" + body
-                out.append(gzip.compress(f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n", 1, mtime=0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["page_id", "raw"])
+            for at, raws in payload.by_bytes(map(record, *map(payload.values, batch.columns)), len):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(raws)), pa.array(raws, pa.binary())], names=["page_id", "raw"])
 
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").mapInArrow(run, "page_id long, raw binary")
 
