@@ -6,6 +6,8 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,65 +29,96 @@ def stream_distinct(captures: DataFrame, watermark: str | None = None) -> DataFr
     return captures.dropDuplicates(["urlkey"])
 
 
+#: Buckets of keys that ``stream_changes`` keeps its state by.
+BUCKETS = 4096
+_ROWS = pa.schema([("urlkey", pa.string()), ("at", pa.int64()), ("filename", pa.string()), ("offset", pa.int64()), ("digest", pa.string())])
+
+
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
 class _Changes(StatefulProcessor):
-    """Rows of a key wait in time until the watermark has passed them; then each is compared with the one before."""
+    """Rows of a bucket of keys wait in time until the watermark has passed them; then each is compared with the one before of its key.
+
+    A call of the state store costs far more than a row, so that a bucket's rows go to it and come from it together.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "timestamp timestamp, filename string, offset long, digest string")
-        self.last = handle.getValueState("last", "digest string")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.last = handle.getValueState("last", "digests binary")
 
     def wake(self, at: list[int]) -> None:
-        """One timer a key: at its earliest waiting row."""
+        """One timer a bucket: at its earliest waiting row."""
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if at:
             self.handle.registerTimer(max(1, min(at)))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = [r for part in rows for r in part[["timestamp", "filename", "offset", "digest"]].itertuples(index=False, name=None)]
-        self.waiting.appendList([(t.to_pydatetime(), f, int(o), d) for t, f, o, d in new])
-        self.wake([*self.handle.listTimers(), *(_ms(t) for t, _, _, _ in new)])
+        new = pa.concat_tables([pa.Table.from_pandas(part[_ROWS.names], _ROWS, preserve_index=False) for part in rows])
+        new = new.filter(pc.is_valid(new["urlkey"]))
+        if new.num_rows:
+            self.waiting.appendValue((_packed(new),))
+            self.wake([*self.handle.listTimers(), pc.min(new["at"]).as_py() // 1000])
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1], r[2]))
-        due, rest = [r for r in rows if _ms(r[0]) <= passed], [r for r in rows if _ms(r[0]) > passed]
-        said = self.last.get()
-        out = []
-        for r in due:
-            if said is None or r[3] != said[0]:
-                out.append((key[0], r[0], r[3], r[2]))
-            said = (r[3],)
-        if due:
-            self.last.update(said)
-        if rest:
-            self.waiting.put(rest)
+        passed = (timerValues.getCurrentWatermarkInMs() + 1) * 1000
+        rows = pa.concat_tables([_unpacked(r[0]) for r in self.waiting.get()])
+        early = pc.less(rows["at"], passed)
+        due, rest = rows.filter(early), rows.filter(pc.invert(early))
+        due = due.sort_by([(c, "ascending") for c in ("urlkey", "at", "filename", "offset")])
+        held = self.last.get()
+        last = dict(zip(*(c.to_pylist() for c in _unpacked(held[0]).columns), strict=True)) if held else {}
+        changed = []
+        for url, digest in zip(due["urlkey"].to_pylist(), due["digest"].to_pylist(), strict=True):
+            changed.append(url not in last or last[url] != digest)
+            last[url] = digest
+        if changed:
+            self.last.update((_packed(pa.table({"urlkey": pa.array(last.keys(), pa.string()), "digest": pa.array(last.values(), pa.string())})),))
+        if rest.num_rows:
+            self.waiting.put([(_packed(rest),)])
+            self.wake([pc.min(rest["at"]).as_py() // 1000])
         else:
             self.waiting.clear()
-        self.wake([_ms(r[0]) for r in rest])
-        if out:
-            yield pd.DataFrame(out, columns=["urlkey", "timestamp", "digest", "offset"])
+            self.wake([])
+        if any(changed):
+            yield due.filter(pa.array(changed)).select(["urlkey", "at", "digest", "offset"]).to_pandas()
 
     def close(self) -> None:
         pass
 
 
-def _ms(at: Any) -> int:
-    return int(pd.Timestamp(at).timestamp() * 1000)
-
-
-def stream_changes(captures: DataFrame, late: str = "1 day") -> DataFrame:
+def stream_changes(captures: DataFrame, late: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """(urlkey, timestamp, digest, offset) of rows whose digest differs from the one before of their key in time; the first row of a key counts.
 
     Rows may arrive in any order as long as they are at most ``late`` behind the latest: they wait in
     state until the watermark passes them and are compared in the order of time, filename and
     offset, so the answer is the batch form's.  Rows behind the watermark are dropped and counted
-    (``dropped_rows``).  State is the rows of that delay and one digest a key.
+    (``dropped_rows``).  Rows without a key only move the watermark: ``closing`` makes one that ends
+    a stream.  State is the rows of that delay and one digest a key, by ``buckets`` of keys: a task
+    holds one bucket at a time, so let their number grow with what waits; it is fixed for a checkpoint.
     """
-    chosen = captures.select("urlkey", F.col("timestamp").cast("timestamp").alias("timestamp"), "filename", "offset", "digest").withWatermark("timestamp", late)
-    return chosen.groupBy("urlkey").transformWithStateInPandas(_Changes(), "urlkey string, timestamp timestamp, digest string, offset long", "append", "EventTime")
+    at = F.col("timestamp").cast("timestamp")
+    chosen = captures.select("urlkey", at.alias("timestamp"), F.unix_micros(at).alias("at"), "filename", "offset", "digest").withWatermark("timestamp", late)
+    dealt = chosen.withColumn("bucket", F.pmod(F.xxhash64("urlkey"), F.lit(buckets)).cast("int")).groupBy("bucket")
+    found = dealt.transformWithStateInPandas(_Changes(), "urlkey string, at long, digest string, offset long", "append", "EventTime")
+    return found.select("urlkey", F.timestamp_micros("at").alias("timestamp"), "digest", "offset")
+
+
+def closing(captures: DataFrame, late: str = "1 day") -> DataFrame:
+    """One row of the same columns, without a key and so far ahead of ``captures`` that the watermark passes all of them: as a stream's last row it has nothing wait any more."""
+    end = captures.agg(F.max("timestamp").alias("timestamp"))
+    return end.select(*(F.expr(f"timestamp + interval {late} + interval 1 second").cast(kind).alias(c) if c == "timestamp" else F.lit(None).cast(kind).alias(c) for c, kind in captures.dtypes))
 
 
 #: The state store that timers and list state need.
