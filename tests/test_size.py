@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import gzip
 import random
+from datetime import datetime, timedelta
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from webstrata import derived
 from webstrata.api import Archive, Settings
 from webstrata.operators import payload
 from webstrata.stored_queries import _page_captures, archived
+from webstrata.streaming import captures as streams
 
 
 def test_payloads_are_never_broadcast(spark, sf_dir):
@@ -25,6 +28,27 @@ def test_payloads_are_never_broadcast(spark, sf_dir):
     assert final[final.index("Join") - 9 :].startswith("SortMergeJoin [digest")
 
 
+def run_stream(spark, tmp_path, parts, step):
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        step(spark.readStream.schema(part.schema).parquet(source)).writeStream.trigger(availableNow=True).option("checkpointLocation", state).start(out, format="parquet").awaitTermination()
+    return spark.read.parquet(out)
+
+
+def test_a_closed_stream_gives_every_change(spark, tmp_path):
+    rows = [(f"k{k}", datetime(2024, 1, 1) + timedelta(hours=h), "f", 100 * k + h, f"d{h // 2 % 2}") for k in range(50) for h in range(10)]
+    given = spark.createDataFrame(rows, "urlkey string, timestamp timestamp, filename string, offset long, digest string")
+    late = F.col("offset") % 3 == 1
+    streams.keep_state_on_disk(spark)
+    try:
+        # a bucket holds many keys
+        got = run_stream(spark, tmp_path, [given.where(~late), given.where(late), streams.closing(given, "1 day")], lambda s: streams.stream_changes(s, "1 day", 4))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted((r["urlkey"], r["offset"]) for r in got.collect()) == sorted((f"k{k}", 100 * k + h) for k in range(50) for h in range(0, 10, 2))
+
+
 class Frame:
     """Stands for a DataFrame, to run what a task runs."""
 

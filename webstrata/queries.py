@@ -18,7 +18,7 @@ from .operators import budget, discover, payload, reduce
 from .operators.sampling import Sampling, sample
 from .plans.query import Collapse, Language, Mime, Status, Tld, UrlQuery, UrlRegex
 from .plans.template import UrlTemplate
-from .session import scratch
+from .session import scratch, stored
 from .sources import captures as src
 from .streaming import captures as streams
 
@@ -329,19 +329,21 @@ def _shuffled(captures: DataFrame, triggers: int = 4) -> list[DataFrame]:
     arrival = F.unix_timestamp(F.col("timestamp").cast("timestamp")) + F.pmod(F.xxhash64("offset"), F.lit(2 * 86_400))
     span = F.floor((arrival - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / (8 * 86_400))
     part = F.least(F.greatest(span, F.lit(0)), F.lit(triggers - 1))
-    return [captures.where(part == k) for k in range(triggers)]
+    dealt = stored(captures.withColumn("s_part", part.cast("int")), "arrivals")
+    return [dealt.where(F.col("s_part") == k).drop("s_part") for k in range(triggers)]
 
 
 @over_pages(
     "stream_changes",
-    derived.CTE + """select urlkey, timestamp, digest, "offset" from (select *, lag(digest) over (partition by urlkey order by timestamp, filename, "offset") p, row_number() over (partition by urlkey order by timestamp, filename, "offset") rn from captures)
-    where (rn = 1 or digest <> p) and timestamp <= (select max(timestamp) from captures) - interval 3 day""",
+    derived.CTE + 'select urlkey, timestamp, digest, "offset" from (select *, lag(digest) over (partition by urlkey order by timestamp, filename, "offset") p, row_number() over (partition by urlkey order by timestamp, filename, "offset") rn from captures) where rn = 1 or digest <> p',
 )
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of captures that arrive out of order, up to the watermark."""
+    """Changes of captures that arrive out of order, and an end behind which none waits."""
+    captures = derived.captures(spark, sf_dir).select("urlkey", "timestamp", "filename", "offset", "digest")
+    parts = _shuffled(captures)
     streams.keep_state_on_disk(spark)
     try:
-        found = _streamed(spark, _shuffled(derived.captures(spark, sf_dir)), lambda s: streams.stream_changes(s, "3 days"), "changes")
+        found = _streamed(spark, [*parts, streams.closing(captures, "3 days")], lambda s: streams.stream_changes(s, "3 days"), "changes")
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return found.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
