@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from webstrata import derived
+from webstrata import derived, stored_queries
 from webstrata.api import Archive, Settings
 from webstrata.operators import payload
 from webstrata.stored_queries import _page_captures, archived
@@ -71,3 +71,17 @@ def test_a_task_decodes_a_bounded_part_of_a_batch():
     assert [i for b in made for i in b.column(0).to_pylist()] == list(range(60))
     assert all(x == body for b in made for x in b.column("body").to_pylist()[: 59 - b.column(0)[0].as_py()])
     assert made[-1].column("body").to_pylist()[-1] is None
+
+
+def test_index_captures_are_derived_once(spark, sf_dir, monkeypatch):
+    given = []
+    monkeypatch.setattr(stored_queries, "_indexes", {})
+    monkeypatch.setattr(stored_queries.src, "write_index", lambda rows, root, subset="warc": given.append(rows._jdf.queryExecution().optimizedPlan().toString()))
+    stored_queries.index_root(spark, sf_dir)
+    assert len(given) == 2 and not any("Join" in plan for plan in given)
+
+
+def test_addresses_are_keyed_once_a_page(spark, sf_dir):
+    plan = derived.captures(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # what is computed above the join knows no host
+    assert "regexp_extract" not in plan[: plan.index("Join")] and "regexp_extract" in plan

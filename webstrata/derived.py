@@ -26,11 +26,13 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One capture an event: of the page that the event's id selects, in the crawl of its day."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("p_url"))
+    # what hangs on the address alone is derived once a page, not once an event
+    pages = pages.withColumns({"p_key": surt(F.col("p_url")), "p_lang": F.regexp_extract("p_url", "^[a-z]+://[^/]+/([a-z]+)/", 1)})
     n = pages.count()
     day = F.dayofmonth("ts")
     crawl = F.when(day <= 8, "CC-MAIN-2024-01").when(day <= 16, "CC-MAIN-2024-02").when(day <= 24, "CC-MAIN-2024-03").otherwise("CC-MAIN-2024-04")
     pdf = F.col("user_id") % 5 == 0
-    lang = F.regexp_extract("p_url", "^[a-z]+://[^/]+/([a-z]+)/", 1)
+    lang = F.col("p_lang")
     code = (
         F.when(F.col("event_type").isin("view", "click", "purchase"), 200).when(F.col("event_type") == "signup", 301)
         .when(F.col("event_id") % 3 == 0, 403).when(F.col("event_id") % 3 == 1, 404).otherwise(503)
@@ -38,7 +40,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events.join(pages, F.col("page_id") == F.col("event_id") % n).select(
         crawl.alias("crawl"),
         F.when(day <= 8, 3).when(day <= 16, 2).when(day <= 24, 1).otherwise(0).alias("crawl_ord"),
-        surt(F.col("p_url")).alias("urlkey"),
+        F.col("p_key").alias("urlkey"),
         F.col("p_url").alias("url"),
         F.col("ts").alias("timestamp"),
         code.alias("status"),

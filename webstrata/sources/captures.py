@@ -109,8 +109,9 @@ def to_index(captures: DataFrame, subset: str = "warc") -> DataFrame:
 
 def write_index(captures: DataFrame, root: str, subset: str = "warc") -> None:
     """The index's layout below ``root``: files by crawl and subset, each sorted by key, so that key ranges skip files and row groups."""
-    rows = to_index(captures, subset).repartitionByRange("crawl", "url_surtkey").sortWithinPartitions("crawl", "url_surtkey", "fetch_time")
-    rows.write.mode("append").partitionBy("crawl", "subset").parquet(f"{root.rstrip('/')}/{INDEX_PATH}")
+    # the ranges are drawn by a run of the plan: host columns are added behind them
+    rows = captures.repartitionByRange("crawl", "urlkey").sortWithinPartitions("crawl", "urlkey", "timestamp")
+    to_index(rows, subset).write.mode("append").partitionBy("crawl", "subset").parquet(f"{root.rstrip('/')}/{INDEX_PATH}")
 
 
 def partition_path(crawl: str, subset: str = "warc") -> str:

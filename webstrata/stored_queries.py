@@ -34,7 +34,8 @@ def index_root(spark: SparkSession, sf_dir: str) -> str:
     """A written index of the derived captures, once a session; a second subset holds every row under another status."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
-        root, rows = scratch(spark, "index"), derived.captures(spark, sf_dir)
+        # written twice, and each time run to draw ranges before: derived once
+        root, rows = scratch(spark, "index"), stored(derived.captures(spark, sf_dir).drop("redirect", "truncated", "crawl_ord"), "index-captures")
         src.write_index(rows, root)
         src.write_index(rows.withColumn("status", F.lit(404)), root, "robotstxt")
         _indexes[key] = root
