@@ -22,7 +22,7 @@ from ..transport import Transport
 #: Bytes between two ranges that are read along, bytes of a slab (reads end with the last range that starts in it), and bytes of a task.
 GAP, SLAB, TASK_BYTES = 64 << 10, 64 << 20, 256 << 20
 #: Bytes of ranges that a task passes on at once.
-OUT_BYTES = 32 << 20
+OUT_BYTES = 4 << 20
 
 
 def reads(locators: DataFrame, gap: int = GAP, slab: int = SLAB) -> DataFrame:
