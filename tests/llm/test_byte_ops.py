@@ -70,6 +70,35 @@ def test_word_encoder():
         assert np.frombuffer(next(iter(w.encode([text]))), "<u2").tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_with_control_characters_and_any_space():
+    """Every ASCII character, and every character that Python takes for space, between and inside words."""
+    w, r = token_planes.WordEncoder(WORD), random.Random(6)
+    ascii_, space = [chr(i) for i in range(128)], [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    pools = [ascii_, space + list("ab'1é"), [*space, *ascii_, "<|endoftext|>", "<|", "İ", "\u0301", "中"]]
+    texts = ["".join(r.choice(r.choice(pools)) for _ in range(r.randrange(40))) for _ in range(600)]
+    for text, ids in zip(texts, w.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_are_met_once(monkeypatch):
+    """Over many chunks each word is handled once, and long ones aren't remembered beyond the bound."""
+    monkeypatch.setattr(token_planes, "CHUNK", 200)
+    w, r, met = token_planes.WordEncoder(WORD), random.Random(7), []
+    monkeypatch.setattr(w, "word", lambda x, one=w.word: met.append(x) or one(x))
+    texts = [" ".join(f"{r.choice('abc')}{r.randrange(30)}" for _ in range(r.randrange(30))) for _ in range(200)]
+    for text, ids in zip(texts, w.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(met) == len(set(met)) == len(w.words)
+    w = token_planes.WordEncoder(WORD)
+    list(w.encode(["q" * 1000 + " once twice", "twice " + "q" * 1000 + " z" * 100]))
+    assert w.words.to_pylist() == ["q" * 1000, "once", "twice", "z"]
+    w.forget()
+    assert w.words.to_pylist() == ["twice"] and list(w.encode(["z twice q"])) == [w.whole("z") + w.whole("twice") + w.whole("q")]
+    monkeypatch.setattr(token_planes, "CACHE_BYTES", 100)
+    list(w.encode(["q" * 1000]))
+    assert "q" * 1000 not in w.words.to_pylist()
+
+
 def test_word_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(token_planes, "CACHE_WORDS", 50)
     w, r = token_planes.WordEncoder(WORD), random.Random(4)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 import zlib
 from array import array
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe_tree import byte_of_char
-from .common import PYTHON_ONLY_SPACE, by_bytes, export_files, new_folder, stored, text_column
+from .common import PYTHON_ONLY_SPACE, export_files, new_folder, stored, text_column
 
 # Fixed value: first bytes of a shard.
 MAGIC = b"BPLN0001"
@@ -33,20 +35,35 @@ MAGIC = b"BPLN0001"
 BLOCK = 1 << 15
 #: A shard ends with the document that brings it to this many ids.
 SHARD_IDS = 1 << 22
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 700_000
+#: Words whose ids a worker remembers, bytes of all of them with their ids, and of one.
+CACHE_WORDS, CACHE_BYTES, LONG_WORD = 700_000, 1 << 26, 100
+#: Bytes of texts that are encoded at once.
+CHUNK = 1 << 24
 # Fixed value: the split pattern of the tokenizer file, for lower-case words.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Fixed value: the same for words of ASCII characters without white space.
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def runs_of(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Index ranges that hold about ``limit`` each, one item at least."""
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield start, stop
+        start = stop
 
 
 class WordEncoder:
     """Exact ids of a tokenizer that drops white space, word by word, with a bounded memory of words.
 
     White space always separates this tokenizer's pieces, so a text's ids are the concatenation of
-    its words' ids.  Words of characters below U+0250 (all in normal form C, with plain lower case)
-    are split into pieces here and each piece goes to the library's model; other words, words that
-    may hold special strings, and texts with separators that only Python takes for space go to the
-    library whole.
+    its words' ids; words end at ASCII white space.  Arrow cuts words and finds those that are known,
+    numpy puts their ids together, so that only words not met before are handled one by one.  Words
+    of characters below U+0250 (all in normal form C, with plain lower case) are split into pieces
+    here and each piece goes to the library's model; other words, and words that may hold special
+    strings or separators that not all take for space, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,43 +72,90 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.chars = {b: c for c, b in byte_of_char().items()}
-        self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
         # little-endian ids, as wide as the vocabulary needs
         self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
 
+        # known words; of each, where its ids start in the table, how many they are, and whether it came again
+        self.words = pa.array([], pa.string())
+        self.starts, self.sizes, self.again = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.table = np.zeros(0, self.dtype)
+
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def piece(self, text: str) -> bytes:
         found = self.pieces.get(text)
         if found is None:
-            if len(self.pieces) >= CACHE_WORDS // 2:
+            if len(self.pieces) >= CACHE_WORDS:
                 self.pieces.clear()
-            shown = text if text.isascii() else "".join(map(self.chars.__getitem__, text.encode()))
+            shown = text if text.isascii() and text.isprintable() else "".join(map(self.chars.__getitem__, text.encode()))
             found = self.pieces[text] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
         return found
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        for w in new:
-            if (w.isascii() or max(w) < "ɐ") and "<|" not in w:
-                low = w.lower()
-                self.known[w] = self.piece(low) if low.isalpha() else b"".join(map(self.piece, PIECES.findall(low)))
-            else:
-                self.known[w] = self.whole(w)
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def word(self, w: str) -> bytes:
+        """Ids of one word."""
+        low = w.lower()
+        if w.isascii():
+            if low.isalpha():
+                return self.piece(low)
+            split = ASCII_PIECES
+        elif max(w) < "ɐ":
+            split = PIECES
+        else:
+            return self.whole(w)
+        if "<|" in w or PYTHON_ONLY_SPACE.search(w):
+            return self.whole(w)
+        return b"".join(map(self.piece, split.findall(low)))
+
+    def learn(self, words: pa.Array) -> None:
+        """Add words that aren't known."""
+        made = list(map(self.word, words.to_pylist()))
+        sizes = np.fromiter(map(len, made), np.int32, len(made)) // self.dtype.itemsize
+        starts = len(self.table) + np.cumsum(sizes, dtype=np.int32) - sizes
+        self.words = pa.concat_arrays([self.words, words])
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        self.again = np.concatenate([self.again, np.zeros(len(made), bool)])
+        self.table = np.concatenate([self.table, np.frombuffer(b"".join(made), self.dtype)])
+
+    def forget(self) -> None:
+        """Keep words that came again, or none where these are too many; long words go."""
+        stay = self.again & (pc.binary_length(self.words).to_numpy() <= LONG_WORD)
+        stay &= bool(stay.sum() <= CACHE_WORDS // 2)
+        self.table = self.table[np.repeat(stay, self.sizes)]
+        self.words, self.sizes = self.words.filter(pa.array(stay)), self.sizes[stay]
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
+        self.again = np.zeros(len(self.sizes), bool)
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
         """Ids of each text, of ``dtype``."""
-        for a, b in by_bytes(texts, 1 << 21):
-            split = [None if PYTHON_ONLY_SPACE.search(t) else t.split() for t in texts[a:b]]
-            self.learn(set().union(*(s for s in split if s)))
-            for t, s in zip(texts[a:b], split, strict=True):
-                yield self.whole(t) if s is None else b"".join(map(self.known.__getitem__, s))
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.string())
+        for a, b in runs_of(pc.binary_length(texts).to_numpy(), CHUNK):
+            split = pc.ascii_split_whitespace(texts.slice(a, b - a))
+            found = split.flatten().dictionary_encode()
+            at = pc.index_in(found.dictionary, self.words)
+            new = at.is_null()
+            self.again[at.drop_null().to_numpy()] = True
+            before = len(self.words)
+            self.learn(found.dictionary.filter(new))
+            unknown = new.to_numpy(zero_copy_only=False)
+            place = at.fill_null(0).to_numpy().copy()
+            place[unknown] = np.arange(before, len(self.words))
+            place = place[found.indices.to_numpy()]
+
+            # the ids of a word lie together in the table
+            sizes = self.sizes[place]
+            ends = np.zeros(len(place) + 1, np.int64)
+            np.cumsum(sizes, out=ends[1:])
+            ids = self.table[np.repeat(self.starts[place] - ends[:-1], sizes) + np.arange(ends[-1])]
+            offsets = split.offsets.to_numpy()
+            cuts = ends[offsets - offsets[0]].tolist()
+            for i in range(b - a):
+                yield ids[cuts[i] : cuts[i + 1]].tobytes()
+            if len(self.words) > CACHE_WORDS or self.words.nbytes + self.table.nbytes > CACHE_BYTES:
+                self.forget()
 
 
 @functools.lru_cache(maxsize=1)
@@ -186,7 +250,7 @@ def to_shards(docs: DataFrame, path: str, end_id: int = 1, kind: str = "byte") -
             return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("blob", pa.binary())]))
 
         for batch in batches:
-            for doc_id, one in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, one in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 ids += [one, end]
                 doc_ids.append(doc_id)
                 lengths.append(len(one) // encoder.dtype.itemsize + 1)
