@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from webstrata import derived, stored_queries
 from webstrata.api import Archive, Settings
 from webstrata.operators import payload
+from webstrata.sources import ranges
 from webstrata.stored_queries import _page_captures, archived
 from webstrata.streaming import captures as streams
 
@@ -85,3 +86,13 @@ def test_addresses_are_keyed_once_a_page(spark, sf_dir):
     plan = derived.captures(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     # what is computed above the join knows no host
     assert "regexp_extract" not in plan[: plan.index("Join")] and "regexp_extract" in plan
+
+
+def test_no_more_read_tasks_than_slabs(spark):
+    """A share of one byte doesn't ask for a task a byte."""
+    given = spark.createDataFrame([(f"d{k}", "f", 1000 * k, 900) for k in range(20)], "digest string, filename string, offset long, length long")
+    planned = ranges.reads(given, 0, 2000)
+    dealt, tasks = ranges.packed(planned, 1, filled=True)
+    assert tasks == 10 == dealt.select("r_task").distinct().count() and dealt.count() == 20
+    assert ranges.packed(planned, 1)[1] == 18_000
+    assert ranges.packed(planned, 5_000, filled=True)[1] == 4

@@ -41,7 +41,7 @@ def reads(locators: DataFrame, gap: int = GAP, slab: int = SLAB) -> DataFrame:
     return rows.withColumns({"r_start": F.min("offset").over(one), "r_stop": F.max(stop).over(one)}).drop("r_read")
 
 
-def packed(planned: DataFrame, task_bytes: int | None = None, tasks: int | None = None) -> tuple[DataFrame, int]:
+def packed(planned: DataFrame, task_bytes: int | None = None, tasks: int | None = None, filled: bool = False) -> tuple[DataFrame, int]:
     """(planned reads with r_task, number of tasks): slabs in order, a task ends where it has its bytes.
 
     ``task_bytes``, or an even share of all bytes for ``tasks``; without both, ``TASK_BYTES`` or less, so
@@ -54,6 +54,8 @@ def packed(planned: DataFrame, task_bytes: int | None = None, tasks: int | None
     if task_bytes is None:
         share = -(-total // (tasks or planned.sparkSession.sparkContext.defaultParallelism))
         task_bytes = max(1, share if tasks else min(TASK_BYTES, share))
+    elif filled:
+        task_bytes = max(task_bytes, -(-total // max(1, slabs.count())))
     dealt = slabs.select(F.col("filename").alias("s_file"), F.col("r_slab").alias("s_slab"), F.floor(F.col("o_before") / task_bytes).cast("int").alias("r_task"))
     made = planned.join(dealt, (F.col("filename") == F.col("s_file")) & (F.col("r_slab") == F.col("s_slab"))).drop("s_file", "s_slab")
     return made, max(0, total - 1) // task_bytes + 1
@@ -91,7 +93,7 @@ def read_ranges(root: str, locators: DataFrame, transport: Transport | None = No
     names = ("digest", "filename", "offset", "length")
     given = stored(locators.select("digest", "filename", *(F.col(c).cast("long").alias(c) for c in ("offset", "length"))), "locators")
     sound = F.coalesce((F.col("offset") >= 0) & (F.col("length") >= 0) & F.col("filename").isNotNull(), F.lit(False))
-    dealt, tasks = packed(reads(given.where(sound), gap, slab), task_bytes, workers)
+    dealt, tasks = packed(reads(given.where(sound), gap, slab), task_bytes, workers, filled=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if transport is not None:
